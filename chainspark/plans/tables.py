@@ -175,7 +175,7 @@ tr AS MATERIALIZED (
 
 def sql(base: str, body: str) -> str:
     """WITH <views> <body>; the body may start with further CTEs after a comma."""
-    return "WITH " + base.strip() + body
+    return "WITH " + base.strip() + body.lstrip(" ") if not base else "WITH " + base.strip() + body
 
 
 DRAW_SQL = "CAST(('0x' || substr(md5({0}), 1, 8)) AS BIGINT)"
