@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chainspark.functions import scalars as S
-from chainspark.functions.scan import Running, scan
+from chainspark.functions.scan import Running, running, scan
 from chainspark.operators import chains
 from chainspark.session import shared_dir
 from chainspark.space import StateSpace
@@ -23,7 +23,7 @@ def load(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def _moves(spark: SparkSession, sf: str) -> DataFrame:
+def _plays(spark: SparkSession, sf: str) -> DataFrame:
     lines = load(spark, sf, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
         "l_shipdate", "l_tax", "l_returnflag",
@@ -71,6 +71,17 @@ def _moves(spark: SparkSession, sf: str) -> DataFrame:
         F.coalesce("next_y", "start_y").alias("end_y"))
 
 
+def _moves(spark: SparkSession, sf: str) -> DataFrame:
+    """Plays with the score before each action, seen by the acting team."""
+    goal = (F.col("outcome") == "GOAL").cast("int")
+    first = F.col("team") < F.col("opponent")
+    df = running(artifact(spark, sf, "plays", _plays), ["match_id"],
+                 ["match_date", "possession", "event_index"],
+                 [Running("lead", "sum", F.when(first, goal).otherwise(-goal))], F.col("match_date"))
+    diff = F.when(first, F.col("lead")).otherwise(-F.col("lead"))
+    return df.withColumn("score_state", S.sign_label(diff)).drop("lead")
+
+
 def chunk_of(col: str = "event_index", size: int = 4096):
     """Chunk for scans over a dense index."""
     return F.floor(F.col(col) / size)
@@ -143,9 +154,11 @@ actions AS MATERIALIZED (
 
 MOVES = FA + """,
 moves AS MATERIALIZED (
-  SELECT *, LEAD(start_x) OVER w AS next_x, LEAD(start_y) OVER w AS next_y, LEAD(player_id) OVER w AS next_player,
+  SELECT * EXCLUDE (lead_a), CASE WHEN lead_a * (CASE WHEN team < opponent THEN 1 ELSE -1 END) < 0 THEN 'losing' WHEN lead_a = 0 THEN 'drawing' ELSE 'winning' END AS score_state FROM (
+  SELECT *, COALESCE(SUM(CASE WHEN outcome = 'GOAL' THEN CASE WHEN team < opponent THEN 1 ELSE -1 END ELSE 0 END) OVER (PARTITION BY match_id ORDER BY match_date, possession, event_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lead_a,
+    LEAD(start_x) OVER w AS next_x, LEAD(start_y) OVER w AS next_y, LEAD(player_id) OVER w AS next_player,
     COALESCE(LEAD(start_x) OVER w, start_x) AS end_x, COALESCE(LEAD(start_y) OVER w, start_y) AS end_y
-  FROM actions WINDOW w AS (PARTITION BY poss_uid ORDER BY event_index))"""
+  FROM actions WINDOW w AS (PARTITION BY poss_uid ORDER BY event_index)))"""
 
 
 def zone_sql(x: str, y: str, nx: int = 5, ny: int = 4) -> str:
@@ -159,7 +172,7 @@ PHASE_SQL = ("CASE phase WHEN 'open' THEN 0 WHEN 'transition' THEN 1 WHEN 'resta
 TR = MOVES + f""",
 tr0 AS (
   SELECT match_id, match_date, season, season_order, poss_uid, possession, team, opponent, coach, event_index, phase, action_type, player_id,
-    under_pressure, outcome, start_x, start_y, end_x, end_y,
+    under_pressure, score_state, outcome, start_x, start_y, end_x, end_y,
     {zone_sql('start_x', 'start_y')} * 4 + {PHASE_SQL} AS from_state,
     CASE outcome WHEN 'GOAL' THEN 80 WHEN 'SHOT_NOGOAL' THEN 81 WHEN 'LOSS' THEN 82 WHEN 'OUT' THEN 83
       ELSE {zone_sql('end_x', 'end_y')} * 4 + {PHASE_SQL} END AS to_state,
@@ -167,10 +180,10 @@ tr0 AS (
   FROM moves),
 tr AS MATERIALIZED (
   SELECT match_id, match_date, season, season_order, poss_uid, possession, team, opponent, coach, event_index, phase, action_type, player_id,
-    under_pressure, from_state, to_state, to_state >= 80 AS is_absorbing FROM tr0
+    under_pressure, score_state, from_state, to_state, to_state >= 80 AS is_absorbing FROM tr0
   UNION ALL
   SELECT match_id, match_date, season, season_order, poss_uid, possession, team, opponent, coach, event_index + 1, phase, 'TERMINAL', NULL,
-    NULL, to_state, 82, TRUE FROM tr0 WHERE back = 1 AND to_state < 80)"""
+    NULL, score_state, to_state, 82, TRUE FROM tr0 WHERE back = 1 AND to_state < 80)"""
 
 
 def sql(base: str, body: str) -> str:
