@@ -28,8 +28,12 @@ def starts(trans: DataFrame, keys=(), weight=None) -> DataFrame:
 
 def grouped(P: DataFrame, keys: list[str], fields: list[T.StructField],
             kernel: Callable[[np.ndarray, np.ndarray], list[tuple]], space: StateSpace,
-            alpha: DataFrame | None = None) -> DataFrame:
-    """Run a dense kernel (P, alpha) -> rows once per group."""
+            alpha: DataFrame | None = None, uniform_empty: bool = False) -> DataFrame:
+    """Run a dense kernel (P, alpha) -> rows once per group.
+
+    Rows without data stay zero (never reached from the unit's own starts) or, when starts come
+    from another unit, become uniform.
+    """
     nt, ns = space.n_transient, space.n_states
     cells = P.select(*keys, F.col("i").cast("int"), F.col("j").cast("int"), F.col("p").cast("double"))
     if alpha is not None:
@@ -45,6 +49,8 @@ def grouped(P: DataFrame, keys: list[str], fields: list[T.StructField],
         cell = j >= 0
         matrix[i[cell], j[cell]] = p[cell]
         a[i[~cell]] = p[~cell]
+        if uniform_empty:
+            matrix[matrix.sum(1) == 0] = 1.0 / ns
         out = pd.DataFrame(kernel(matrix, a), columns=names)
         for k, value in zip(reversed(keys), reversed(key)):
             out.insert(0, k, value)
@@ -101,7 +107,8 @@ def visits(P: DataFrame, alpha: DataFrame, keys: list[str], space: StateSpace) -
                    kernel, space, alpha)
 
 
-def scalars(P: DataFrame, alpha: DataFrame, keys: list[str], space: StateSpace) -> DataFrame:
+def scalars(P: DataFrame, alpha: DataFrame, keys: list[str], space: StateSpace,
+            uniform_empty: bool = False) -> DataFrame:
     """e_t, p_goal, p_shot of a group; null when the spectral radius reaches one."""
     nt = space.n_transient
     goal = space.absorbing.index("GOAL")
@@ -114,7 +121,8 @@ def scalars(P: DataFrame, alpha: DataFrame, keys: list[str], space: StateSpace)
         X = _inverse_apply(Q, np.column_stack([np.ones(nt), M[:, nt:]]))
         t = (a / a.sum()) @ X
         return [(float(t[0]), float(t[1 + goal]), float(t[1 + goal] + t[1 + saved]))]
-    return grouped(P, keys, [_num("e_t"), _num("p_goal"), _num("p_shot")], kernel, space, alpha)
+    return grouped(P, keys, [_num("e_t"), _num("p_goal"), _num("p_shot")], kernel, space, alpha,
+                   uniform_empty)
 
 
 def survival(P: DataFrame, alpha: DataFrame, keys: list[str], space: StateSpace, kmax: int

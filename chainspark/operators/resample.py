@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from chainspark.functions.draws import draw, poisson1, uniform
 from chainspark.functions.scan import Running, position, running
+from chainspark.session import cut_lineage
 
 
 def ranked_blocks(blocks: DataFrame, stratum: list[str], block: str, seed: int) -> DataFrame:
@@ -33,7 +34,8 @@ def multinomial_weights(blocks: DataFrame, stratum: list[str], block: str, B: in
     One row per block with ``w``: list of (b, w) for replicates that drew it; replicate 0 is the
     data itself. A list has at most B + 1 entries.
     """
-    r = ranked_blocks(blocks, stratum, block, seed)
+    # one row per block, read twice below
+    r = cut_lineage(ranked_blocks(blocks, stratum, block, seed))
     slots = r.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(B))))
     target = draw(seed, _stratum_text(stratum), F.col("b"), F.col("rank")) % F.col("n")
     drawn = slots.select(*stratum, "b", target.alias("rank")).groupBy(*stratum, "rank", "b").agg(
@@ -68,7 +70,7 @@ def permutation_labels(blocks: DataFrame, stratum: list[str], block: str, label:
     Labels are laid out in sorted order over ranks; every replicate ranks the blocks by a fresh
     draw and takes the label at that rank.
     """
-    d = blocks.select(*stratum, block, label).distinct()
+    d = cut_lineage(blocks.select(*stratum, block, label).distinct())
     base = position(d, stratum, [label, block], F.col(label), "__slot")
     keys = [*stratum, "b"]
     many = d.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(B)))).withColumn(
@@ -177,7 +179,8 @@ def fdr(df: DataFrame, family: list[str], p: str = "p", alpha: float = 0.05,
     outside the mask keep q = 1.
     """
     keys = list(family) or ["__family"]
-    d = df if family else df.withColumn("__family", F.lit(0))
+    # a results table, read by every scan below
+    d = cut_lineage(df if family else df.withColumn("__family", F.lit(0)))
     take = (F.lit(True) if mask is None else F.coalesce(mask, F.lit(False))) & F.col(p).isNotNull()
     d = d.withColumn("__take", take)
     # equal p-values share a q-value: rank distinct values with their counts

@@ -2,7 +2,7 @@
 
 import importlib
 
-AREAS = ("chain_queries", "estimate_queries", "relation_queries", "inference_queries")
+AREAS = ("chain_queries", "estimate_queries", "relation_queries", "inference_queries", "standard_queries")
 
 
 def load_all() -> None:

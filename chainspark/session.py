@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_spark(cpus: int | str = "*", app: str = "chainspark") -> SparkSession:
@@ -37,3 +38,15 @@ def shared_dir(spark: SparkSession) -> str:
     if not _OWN:
         _OWN.append(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return "file:" + _OWN[0]
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write a derived table to the shared folder and read it back.
+
+    Used for small tables that several branches of a plan read (block ranks, replicate results,
+    rounds of a fixpoint): they are computed once, and losing an executor loses nothing.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/chainspark-{spark.sparkContext.applicationId}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
