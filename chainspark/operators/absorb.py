@@ -116,9 +116,12 @@ def scalars(P: DataFrame, alpha: DataFrame, keys: list[str], space: StateSpace,
 
     def kernel(M, a):
         Q = M[:, :nt]
-        if a.sum() <= 0 or spectral_radius(Q) >= 1 - 1e-12:
+        if a.sum() <= 0:
             return [(None, None, None)]
         X = _inverse_apply(Q, np.column_stack([np.ones(nt), M[:, nt:]]))
+        # for a nonnegative Q, expected lengths are all >= 1 exactly when its radius is below one
+        if not (np.isfinite(X).all() and X[:, 0].min() >= 1 - 1e-9):
+            return [(None, None, None)]
         t = (a / a.sum()) @ X
         return [(float(t[0]), float(t[1 + goal]), float(t[1 + goal] + t[1 + saved]))]
     return grouped(P, keys, [_num("e_t"), _num("p_goal"), _num("p_shot")], kernel, space, alpha,

@@ -2,7 +2,8 @@
 
 import importlib
 
-AREAS = ("chain_queries", "estimate_queries", "relation_queries", "inference_queries", "standard_queries")
+AREAS = ("chain_queries", "estimate_queries", "relation_queries", "inference_queries", "standard_queries",
+         "shot_queries", "team_queries")
 
 
 def load_all() -> None:
