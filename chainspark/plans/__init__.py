@@ -3,7 +3,7 @@
 import importlib
 
 AREAS = ("chain_queries", "estimate_queries", "relation_queries", "inference_queries", "standard_queries",
-         "shot_queries", "team_queries")
+         "shot_queries", "team_queries", "source_queries")
 
 
 def load_all() -> None:
