@@ -1,13 +1,14 @@
-"""Ordered scans that never gather a whole key into one task.
-
-A plain window sorts every row of a key in one task, so one hot match or one hot player stops
-the job. The scans below take a ``chunk``: a column that is non-decreasing in the scan order
-(an index divided by a constant, a date, the high bits of a draw). Rows are windowed inside
-(keys, chunk); one total per chunk is pre-aggregated with map-side combine, windowed over the
-chunks of a key, and joined back. The result is exact for every chunking; ``chunk=None`` is the
-plain window, for groups whose size is bounded by construction (states, replicates).
-
-Keys must be non-null.
+"""Ordered scans that never gather a hot key into one task.
+
+A plain window sorts every row of a key in one task, so one oversized match or player stops the
+job. Here keys above a row limit (``spark.chainspark.hotRows``, one million by default) are cut
+by a ``chunk``: a column that is non-decreasing in the scan order (an index divided by a
+constant, a date, the high bits of a draw). Rows are windowed inside (key, chunk); one total per
+chunk of a hot key is pre-aggregated with map-side combine, windowed over the chunks of its key,
+and joined back. All other keys take the plain window inside the same exchange, so the usual
+case costs one count by key on top. At most rows/limit keys can be hot, which bounds what is
+broadcast. Results are exact for every limit and chunking; ``chunk=None`` is the plain window,
+for groups whose size is bounded by construction (states, replicates).
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+HOT_ROWS = 1_000_000
+
 _AGG = {"sum": F.sum, "count": F.count, "min": F.min, "max": F.max}
 
 
@@ -47,8 +50,8 @@ def scan(df: DataFrame, keys: list[str], order: list[str], chunk: Column | None
          ) -> DataFrame:
     """Running aggregates, whole-key totals and neighbour values in one pass.
 
-    One aggregate per (keys, chunk), one small window over chunks, one join back, then windows
-    that share a single (keys, chunk) exchange; ask for everything at once rather than nesting.
+    All windows share a single (keys, chunk) exchange; ask for everything at once rather than
+    nesting scans.
     """
     totals, after, before = totals or {}, after or {}, before or {}
     names = df.columns
@@ -66,14 +69,17 @@ def scan(df: DataFrame, keys: list[str], order: list[str], chunk: Column | None
             d = d.withColumn(f"{tag}_own", F.struct(*[v.alias(n) for n, v in cols.items()]))
     group = list(keys)
     if chunk is not None:
-        d = d.withColumn("__chunk", chunk)
+        limit = int(df.sparkSession.conf.get("spark.chainspark.hotRows", str(HOT_ROWS)))
+        hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows")).filter(
+            F.col("__rows") > limit).select(*keys, F.lit(True).alias("__hot"))
+        d = d.join(F.broadcast(hot), keys, "left").withColumn("__chunk", F.when(F.col("__hot"), chunk))
         aggs = [_AGG[o.fn](o.value).alias(f"__t_{o.name}") for o in outs]
         aggs += [_AGG[fn](v).alias(f"__s_{n}") for n, (fn, v) in totals.items()]
         for step, cols, tag in sides:
             if cols:
                 edge = F.min_by if step == 1 else F.max_by
                 aggs.append(edge(F.col(f"{tag}_own"), F.struct(*order)).alias(f"{tag}_e"))
-        per_chunk = d.groupBy(*keys, "__chunk").agg(*aggs)
+        per_chunk = d.filter(F.col("__hot")).groupBy(*keys, "__chunk").agg(*aggs)
         whole = Window.partitionBy(*keys)
         cols_out = []
         for o in outs:
@@ -83,16 +89,17 @@ def scan(df: DataFrame, keys: list[str], order: list[str], chunk: Column | None
             cols_out.append(merge(F.col(f"__t_{o.name}")).over(w).alias(f"__o_{o.name}"))
         for n, (fn, _) in totals.items():
             merge = F.sum if fn == "count" else _AGG[fn]
-            cols_out.append(merge(F.col(f"__s_{n}")).over(whole).alias(n))
+            cols_out.append(merge(F.col(f"__s_{n}")).over(whole).alias(f"__w_{n}"))
         for step, cols, tag in sides:
             if cols:
                 near = F.lead if step == 1 else F.lag
                 cols_out.append(near(f"{tag}_e").over(whole.orderBy("__chunk")).alias(f"{tag}_c"))
-        d = d.join(per_chunk.select(*keys, "__chunk", *cols_out), [*keys, "__chunk"])
+        d = d.join(per_chunk.select(*keys, "__chunk", *cols_out), [*keys, "__chunk"], "left")
         group.append("__chunk")
-    else:
-        for n, (fn, v) in totals.items():
-            d = d.withColumn(n, _AGG[fn](v).over(Window.partitionBy(*keys)))
+    for n, (fn, v) in totals.items():
+        own = _AGG[fn](v).over(Window.partitionBy(*group))
+        d = d.withColumn(n, own if chunk is None else
+                         F.when(F.col("__hot"), F.col(f"__w_{n}")).otherwise(own))
     for o in outs:
         w = Window.partitionBy(*group).orderBy(*_order(order, o.reverse)).rowsBetween(
             Window.unboundedPreceding, 0 if o.inclusive else -1)

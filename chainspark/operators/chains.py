@@ -141,8 +141,9 @@ def close_possessions(trans: DataFrame, space: StateSpace, min_actions: int = 1,
     cols = trans.columns
     per = trans.groupBy(poss).agg(
         F.count(F.lit(1)).alias("__n"),
-        F.max(F.struct("event_index", "is_absorbing")).alias("__last"))
-    open_end = ~F.col("__last.is_absorbing")
+        F.max("event_index").alias("__last"),
+        F.max_by("is_absorbing", "event_index").alias("__closed"))
+    open_end = ~F.col("__closed")
     need = F.lit(min_actions)
     if club is not None and min_rival is not None:
         need = F.when(F.col("team") == club, min_actions).otherwise(min_rival)
@@ -158,7 +159,7 @@ def close_possessions(trans: DataFrame, space: StateSpace, min_actions: int = 1,
     row = F.struct(*[F.col(c).alias(c) for c in cols])
     extra = F.struct(*[changed.get(c, F.col(c)).cast(trans.schema[c].dataType).alias(c)
                        for c in cols])
-    ends = open_end & (F.col("event_index") == F.col("__last.event_index"))
+    ends = open_end & (F.col("event_index") == F.col("__last"))
     return df.select(F.explode(F.when(ends, F.array(row, extra)).otherwise(F.array(row)))
                      .alias("r")).select("r.*")
 

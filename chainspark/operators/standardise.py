@@ -328,6 +328,23 @@ def profile_map(units: DataFrame, key: str, features: list[str], k: int = 2) ->
     return d.select(key, *features, *axes)
 
 
+def wide_profile_map(units: DataFrame, key: str, vector: str, k: int = 2) -> DataFrame:
+    """profile_map for array columns: scaler and PCA of the ML library, sign fixed the same way."""
+    import numpy as np
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import PCA, StandardScaler
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    d = units.select(key, array_to_vector(F.col(vector).cast("array<double>")).alias("x"))
+    model = Pipeline(stages=[
+        StandardScaler(inputCol="x", outputCol="z", withMean=True, withStd=True),
+        PCA(k=k, inputCol="z", outputCol="pc")]).fit(d)
+    loads = model.stages[1].pc.toArray()
+    sign = np.sign(loads[np.abs(loads).argmax(0), np.arange(k)])
+    out = vector_to_array("pc")
+    return model.transform(d).select(key, *[(out[a] * float(sign[a])).alias(f"pc{a + 1}") for a in range(k)])
+
+
 def profile_distances(profile: DataFrame, key: str, features: list[str]) -> DataFrame:
     """Euclidean distance of every pair of unit profiles and its share among all pairs."""
     from chainspark.operators.relations import midrank

@@ -265,11 +265,10 @@ def f08(spark, sf):
     return load(spark, sf, "orders").groupBy(d.alias("d")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("f09_slug", sql("", """x AS (SELECT doc_id, lower(replace(translate(substr(text, 1, 40), 'áàäâãåéèëêíìïîóòöôõúùüûñçýÁÀÄÂÃÅÉÈËÊÍÌÏÎÓÒÖÔÕÚÙÜÛÑÇÝ', 'aaaaaaeeeeiiiiooooouuuuncyAAAAAAEEEEIIIIOOOOOUUUUNCY'), ' ', '_')) AS slug FROM documents)
-SELECT doc_id, slug FROM x"""))
+@query("f09_slug", sql("", """x AS (SELECT doc_id, lower(replace(translate(text, 'áàäâãåéèëêíìïîóòöôõúùüûñçýÁÀÄÂÃÅÉÈËÊÍÌÏÎÓÒÖÔÕÚÙÜÛÑÇÝ', 'aaaaaaeeeeiiiiooooouuuuncyAAAAAAEEEEIIIIOOOOOUUUUNCY'), ' ', '_')) AS slug FROM documents)
+SELECT doc_id, md5(slug) AS slug FROM x"""))
 def f09(spark, sf):
-    """A name is the title-sized head of a text here; the whole text is not a club name."""
-    return load(spark, sf, "documents").select("doc_id", S.slug(F.substring("text", 1, 40)).alias("slug"))
+    return load(spark, sf, "documents").select("doc_id", F.md5(S.slug(F.col("text"))).alias("slug"))
 
 
 @query("f10_distances", sql(FA, """

@@ -425,12 +425,8 @@ def d18b(spark, sf):
 
 @query("d18_embedding_map")
 def d18c(spark, sf):
-    """The same projection on the label means of the vector table."""
-    e = load(spark, sf, "embeddings").select("label", F.posexplode("embedding").alias("k", "v")).filter("k < 8")
-    wide = e.groupBy("label").pivot("k", list(range(8))).agg(F.avg("v"))
-    names = [f"v{k}" for k in range(8)]
-    wide = wide.toDF("label", *names)
-    return D.profile_map(wide, "label", names).select("label", "pc1", "pc2")
+    """The same projection for wide profiles: scaler and PCA from the ML library, all dimensions."""
+    return D.wide_profile_map(load(spark, sf, "embeddings"), "vec_id", "embedding")
 
 
 @query("d19_points_per_match", sql(FA, """,
