@@ -55,6 +55,8 @@ def scan(df: DataFrame, keys: list[str], order: list[str], chunk: Column | None
     """
     totals, after, before = totals or {}, after or {}, before or {}
     names = df.columns
+    if not keys:
+        df, keys = df.withColumn("__all", F.lit(0)), ["__all"]
     sides = [(1, after, "__after"), (-1, before, "__before")]
     final = [*names, *[o.name for o in outs], *totals]
     final += [F.col(tag)[n].alias(n) for _, cols, tag in sides for n in cols]

@@ -150,34 +150,26 @@ def merge_interims(run_table: DataFrame, max_matches: int, cut_lineage, max_roun
     matches of the era.
     """
     d = run_table.withColumns({"merged": F.lit(0).cast("bigint"), "absorbed": F.lit(0).cast("bigint"),
-                               "first_run": F.col("run_id"), "last_run": F.col("run_id")})
-    order = ["run_id"]
+                               "first_run": F.col("run_id"), "last_run": F.col("run_id"),
+                               "__p": F.col("run_id")})
+    chunk = F.floor(F.col("__p") / 4096)
     for _ in range(max_rounds):
-        d = scan(d, ["club"], order, F.floor(F.col("run_id") / 4096),
+        d = scan(d, ["club"], ["__p"], chunk,
                  after={"__nc": F.struct(F.col("coach").alias("v"))},
                  before={"__pc": F.struct(F.col("coach").alias("v"))})
         cand = F.coalesce((F.col("n") <= max_matches) & (F.col("__nc.v") == F.col("__pc.v")),
                           F.lit(False))
         d = cut_lineage(d.withColumn("__cand", cand).drop("__nc", "__pc"))
         if d.filter("__cand").isEmpty():
-            return d.drop("__cand")
-        # candidate number inside its stretch: run order minus order of the last non-candidate
-        d = running(d, ["club"], order, [
-            Running("__pos", "count", F.lit(1), inclusive=True),
-            Running("__gap", "max", F.when(~F.col("__cand"), F.col("run_id")))],
-            F.floor(F.col("run_id") / 4096))
-        d = running(d, ["club"], order, [
-            Running("__base", "max", F.when(~F.col("__cand"), F.col("__pos")))],
-            F.floor(F.col("run_id") / 4096))
-        take = F.col("__cand") & ((F.col("__pos") - F.col("__base")) % 2 == 1)
-        d = d.withColumn("__take", take)
-        d = scan(d, ["club"], order, F.floor(F.col("run_id") / 4096),
-                 before={"__prev_take": F.col("__take")})
+            return d.drop("__cand", "__p")
+        # candidates directly before this run; positions are dense, the first run is never one
+        d = running(d, ["club"], ["__p"], [
+            Running("__g", "max", F.when(~F.col("__cand"), F.col("__p")))], chunk)
+        odd = F.coalesce((F.col("__p") - 1 - F.col("__g")) % 2 == 1, F.lit(False))
+        d = d.withColumn("__take", F.col("__cand") & ~odd)
         # a taken run and the run after it join the run before
-        stays = ~(F.col("__take") | F.coalesce("__prev_take", F.lit(False)))
-        d = running(d.withColumn("__stay", stays.cast("int")), ["club"], order,
-                    [Running("__group", "sum", F.col("__stay"), inclusive=True)],
-                    F.floor(F.col("run_id") / 4096))
+        d = running(d.withColumn("__stay", (~(F.col("__take") | odd)).cast("int")), ["club"], ["__p"],
+                    [Running("__group", "sum", F.col("__stay"), inclusive=True)], chunk)
         own = ~F.col("__take")
         d = d.groupBy("club", "__group").agg(
             F.min("run_id").alias("run_id"), F.min_by("coach", "run_id").alias("coach"),
@@ -191,7 +183,7 @@ def merge_interims(run_table: DataFrame, max_matches: int, cut_lineage, max_roun
             (F.sum(F.when(own, F.col("absorbed")).otherwise(0))
              + F.sum(F.when(~own, F.col("n")).otherwise(0))).alias("absorbed"),
             F.min("first_run").alias("first_run"), F.max("last_run").alias("last_run"),
-        ).drop("__group")
+        ).withColumnRenamed("__group", "__p")
     raise RuntimeError("interim merging did not settle")
 
 

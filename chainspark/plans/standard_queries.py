@@ -465,7 +465,7 @@ def rival_k(spark, sf):
 
 
 def match_cells(spark, sf):
-    return rival(spark, sf).groupBy("opponent", "coach_faced", "rival", "season", "match_id", "zone").agg(
+    return rival(spark, sf).groupBy("opponent", "coach_faced", "rival", "match_id", "zone").agg(
         F.sum("y").alias("pressed"), F.count(F.lit(1)).cast("double").alias("n"))
 
 
