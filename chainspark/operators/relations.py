@@ -174,24 +174,23 @@ def leave_unit_out(df: DataFrame, unit: str, by: list[str], sums: list[str]) ->
 
 
 # -- sets ----------------------------------------------------------------------------------
-def jaccard(members: DataFrame, unit: str, item: str) -> DataFrame:
-    """Overlap of member sets for every pair of units.
+def jaccard(members: DataFrame, within: list[str], unit: str, item: str) -> DataFrame:
+    """Overlap of member sets for every pair of units inside ``within`` (a club).
 
-    Pairs share at least one member through an equi-join on the member and are aggregated at
-    once; pairs without a common member are completed from the unit list with overlap zero.
+    Common members come from an equi-join on the member; pairs without any keep overlap zero.
     """
-    m = members.select(unit, item).distinct()
-    size = m.groupBy(unit).agg(F.count(F.lit(1)).alias("n"))
-    common = m.select(F.col(unit).alias("a"), item).join(
-        m.select(F.col(unit).alias("b"), item), item).filter("a < b").groupBy("a", "b").agg(
-        F.count(F.lit(1)).alias("common"))
-    a = size.select(F.col(unit).alias("a"), F.col("n").alias("n_a"))
-    b = size.select(F.col(unit).alias("b"), F.col("n").alias("n_b"))
-    pairs = a.join(b, F.col("a") < F.col("b"))
-    out = pairs.join(common, ["a", "b"], "left").withColumn(
+    m = members.select(*within, unit, item).distinct()
+    size = m.groupBy(*within, unit).agg(F.count(F.lit(1)).alias("n"))
+    common = m.select(*within, F.col(unit).alias("a"), item).join(
+        m.select(*within, F.col(unit).alias("b"), item), [*within, item]).filter("a < b").groupBy(
+        *within, "a", "b").agg(F.count(F.lit(1)).alias("common"))
+    a = size.select(*within, F.col(unit).alias("a"), F.col("n").alias("n_a"))
+    b = size.select(*within, F.col(unit).alias("b"), F.col("n").alias("n_b"))
+    pairs = a.join(b, within).filter("a < b")
+    out = pairs.join(common, [*within, "a", "b"], "left").withColumn(
         "common", F.coalesce("common", F.lit(0)))
     union = F.col("n_a") + F.col("n_b") - F.col("common")
-    return out.select("a", "b", "n_a", "n_b", "common", (F.col("common") / union).alias("jaccard"))
+    return out.select(*within, "a", "b", "n_a", "n_b", "common", (F.col("common") / union).alias("jaccard"))
 
 
 def table_difference(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -137,7 +137,8 @@ def permutation_p(reps: DataFrame, keys: list[str], value: str, two_sided: bool
     w = Window.partitionBy(*keys)
     d = reps.withColumn("__x", x).withColumn("__o", F.max(F.when(F.col("b") == 0, x)).over(w))
     null = F.when(F.col("b") > 0, F.col("__x"))
-    hits = F.sum((null >= F.col("__o")).cast("bigint"))
+    # equal statistics count as ties whatever the order of their sums
+    hits = F.sum((null >= F.col("__o") - 1e-12).cast("bigint"))
     extra = 1 if plus_one else 0
     out = d.groupBy(*keys).agg(
         F.max(F.when(F.col("b") == 0, F.col(value))).alias("observed"),

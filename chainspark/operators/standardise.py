@@ -255,7 +255,7 @@ def occupancy_excess(match_zone: DataFrame, league: DataFrame, keys: list[str],
     d = match_zone.withColumn("__w", weight)
     own = d.groupBy(*keys, "zone").agg(F.sum(F.col("__w") * F.col("y")).alias("y"))
     by_season = d.groupBy(*keys, "season").agg(F.sum(F.col("__w") * F.col("y")).alias("n"))
-    ref = by_season.join(F.broadcast(league), "season").groupBy(*keys, "zone").agg(
+    ref = by_season.join(league, "season").groupBy(*keys, "zone").agg(
         F.sum(F.col("n") * F.col("share")).alias("e"))
     both = ref.join(own, [*keys, "zone"], "full")
     n = F.sum(F.coalesce("y", F.lit(0.0))).over(Window.partitionBy(*keys))

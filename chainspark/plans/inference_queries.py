@@ -64,6 +64,29 @@ def i05(spark, sf):
     return goal_rate_reps(spark, sf).select("team", "b", F.round("rate", 6).alias("rate"))
 
 
+@query("j12_replicate_weights", sql(BOOT, " SELECT s AS team, k AS match_id, CAST(b AS INTEGER) AS b, CAST(w AS BIGINT) AS w FROM wt"))
+def j12(spark, sf):
+    w = R.multinomial_weights(per_match(spark, sf), ["team"], "match_id", 40, 11).withColumn("x", F.explode("w"))
+    return w.select("team", "match_id", "x.b", "x.w")
+
+
+@query("j13_grid_completion", sql(GRID, " SELECT team, i, CAST(COUNT(*) AS BIGINT) AS cells, SUM(n) AS n, CAST(SUM(CASE WHEN n = 0 THEN 1 ELSE 0 END) AS BIGINT) AS zeros FROM full_c GROUP BY 1, 2"))
+def j13(spark, sf):
+    full = E.complete(cells(spark, sf), SPACE, ["team"])
+    return full.groupBy("team", "i").agg(F.count(F.lit(1)).alias("cells"), F.sum("n").alias("n"),
+                                         F.sum((F.col("n") == 0).cast("bigint")).alias("zeros"))
+
+
+@query("j14_lambda_grid", sql(CELLS, """,
+l AS (SELECT CAST(UNNEST([1, 10, 100]) AS DOUBLE) AS lam)
+SELECT team, lam, ROUND(AVG(ni / (ni + lam)), 6) AS mean_weight FROM rowsum, l GROUP BY 1, 2"""))
+def j14(spark, sf):
+    rows = cells(spark, sf).groupBy("team", "i").agg(F.sum("n").alias("ni"))
+    lam = F.explode(F.array(F.lit(1.0), F.lit(10.0), F.lit(100.0)))
+    return rows.withColumn("lam", lam).groupBy("team", "lam").agg(
+        F.round(F.avg(F.col("ni") / (F.col("ni") + F.col("lam"))), 6).alias("mean_weight"))
+
+
 @query("i05_poisson_bootstrap", sql(PM, f""",
 u AS (SELECT team, match_id, n, g, b, CASE WHEN b = 0 THEN 1 ELSE (SELECT COUNT(*) FROM (SELECT UNNEST([0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253, 0.999998874797402, 0.9999998885745217]) AS c) WHERE (CAST({draw_sql("'5'", "b", "match_id")} AS DOUBLE) + 0.5) / 4294967296.0 > c) END AS w
   FROM pm, (SELECT UNNEST(range(0, 11)) AS b))
@@ -403,7 +426,7 @@ rl AS (SELECT dr.team, b, k FROM dr JOIN cd ON cd.team = dr.team AND ((u > befor
 rh AS (SELECT team, b, k, COUNT(*) / SUM(COUNT(*)) OVER (PARTITION BY team, b) AS o FROM rl GROUP BY 1, 2, 3),
 gr AS (SELECT cd.team, x.b, cd.k, cdf, SUM(COALESCE(o, 0)) OVER (PARTITION BY cd.team, x.b ORDER BY cd.k) AS oc FROM cd CROSS JOIN (SELECT UNNEST(range(0, 10)) AS b) x LEFT JOIN rh ON rh.team = cd.team AND rh.b = x.b AND rh.k = cd.k),
 ks AS (SELECT team, b, MAX(ABS(oc - cdf)) AS ks FROM gr GROUP BY 1, 2)
-SELECT x.team, ROUND(x.ks, 6) AS ks, ROUND((1 + (SELECT COUNT(*) FROM ks y WHERE y.team = x.team AND y.b > 0 AND y.ks >= x.ks)) / 10.0, 6) AS p FROM ks x WHERE b = 0"""))
+SELECT x.team, ROUND(x.ks, 6) AS ks, ROUND((1 + (SELECT COUNT(*) FROM ks y WHERE y.team = x.team AND y.b > 0 AND y.ks >= x.ks - 1e-12)) / 10.0, 6) AS p FROM ks x WHERE b = 0"""))
 def i19(spark, sf):
     law = C.survival(matrix(spark, sf), alpha(spark, sf), ["team"], SPACE, 20)
     h = chains.length_histogram(transitions(spark, sf), ("team",))

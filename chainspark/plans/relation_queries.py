@@ -493,6 +493,15 @@ def w09(spark, sf):
     return d.withColumn("rank_share", F.round("rank_share", 6)).distinct()
 
 
+@query("w10_reverse_running_min", sql(FA, """,
+m AS (SELECT team, match_id, COUNT(*) AS n FROM actions GROUP BY 1, 2)
+SELECT team, match_id, CAST(MIN(n) OVER (PARTITION BY team ORDER BY match_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS least FROM m"""))
+def w10(spark, sf):
+    m = moves(spark, sf).groupBy("team", "match_id").agg(N().alias("n"))
+    return running(m, ["team"], ["match_id"], [Running("least", "min", F.col("n"), inclusive=True, reverse=True)],
+                   F.floor(F.col("match_id") / 100)).select("team", "match_id", "least")
+
+
 @query("w11_gap_blocks", sql(FA, """,
 m AS (SELECT DISTINCT team, match_id FROM actions), g AS (SELECT *, CASE WHEN match_id - LAG(match_id) OVER (PARTITION BY team ORDER BY match_id) > 2 THEN 1 ELSE 0 END AS j FROM m)
 SELECT team, match_id, CAST(SUM(j) OVER (PARTITION BY team ORDER BY match_id) AS BIGINT) AS block FROM g"""))
@@ -568,13 +577,13 @@ def u03(spark, sf):
 
 
 @query("u04_jaccard", sql(FA, """,
-m AS (SELECT coach, player_id FROM actions WHERE action_type = 'Shot' GROUP BY 1, 2), s AS (SELECT coach, COUNT(*) AS n FROM m GROUP BY 1),
-c AS (SELECT x.coach AS a, y.coach AS b, COUNT(*) AS c FROM m x JOIN m y ON x.player_id = y.player_id AND x.coach < y.coach GROUP BY 1, 2)
-SELECT x.coach AS a, y.coach AS b, CAST(x.n AS BIGINT) AS n_a, CAST(y.n AS BIGINT) AS n_b, CAST(COALESCE(c, 0) AS BIGINT) AS common, ROUND(COALESCE(c, 0) / (x.n + y.n - COALESCE(c, 0)), 6) AS jaccard
-FROM s x JOIN s y ON x.coach < y.coach LEFT JOIN c ON c.a = x.coach AND c.b = y.coach"""))
+m AS (SELECT team, coach, player_id FROM actions WHERE action_type = 'Shot' GROUP BY 1, 2, 3), s AS (SELECT team, coach, COUNT(*) AS n FROM m GROUP BY 1, 2),
+c AS (SELECT x.coach AS a, y.coach AS b, COUNT(*) AS c FROM m x JOIN m y ON x.team = y.team AND x.player_id = y.player_id AND x.coach < y.coach GROUP BY 1, 2)
+SELECT x.team, x.coach AS a, y.coach AS b, CAST(x.n AS BIGINT) AS n_a, CAST(y.n AS BIGINT) AS n_b, CAST(COALESCE(c, 0) AS BIGINT) AS common, ROUND(COALESCE(c, 0) / (x.n + y.n - COALESCE(c, 0)), 6) AS jaccard
+FROM s x JOIN s y ON x.team = y.team AND x.coach < y.coach LEFT JOIN c ON c.a = x.coach AND c.b = y.coach"""))
 def u04(spark, sf):
-    m = moves(spark, sf).filter("action_type = 'Shot'").select("coach", "player_id")
-    return Q.jaccard(m, "coach", "player_id").withColumn("jaccard", F.round("jaccard", 6))
+    m = moves(spark, sf).filter("action_type = 'Shot'").select("team", "coach", "player_id")
+    return Q.jaccard(m, ["team"], "coach", "player_id").withColumn("jaccard", F.round("jaccard", 6))
 
 
 @query("u05_table_difference", sql(FA, """,

@@ -250,7 +250,7 @@ def x12b(spark, sf):
 SELECT tr.poss_uid, ROUND(MAX(bg), 6) AS best FROM tr JOIN vals v ON v.team = tr.team AND v.i = tr.from_state WHERE phase = 'set_piece' AND event_index <= 4 GROUP BY 1"""))
 def x13(spark, sf):
     v = C.state_values(matrix(spark, sf), ["team"], SPACE).select("team", F.col("state").alias("from_state"), "p_goal")
-    d = transitions(spark, sf).filter("phase = 'set_piece' and event_index <= 4").join(F.broadcast(v), ["team", "from_state"])
+    d = transitions(spark, sf).filter("phase = 'set_piece' and event_index <= 4").join(v, ["team", "from_state"])
     return d.groupBy("poss_uid").agg(F.round(F.max("p_goal"), 6).alias("best"))
 
 

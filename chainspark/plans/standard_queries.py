@@ -275,7 +275,30 @@ def d12(spark, sf):
                    ["within", "composition", "total"])
 
 
-@query("d12_kitagawa_null")
+def permuted_sql(rows: str, stratum: str, block: str, label: str, B: int, seed: int) -> str:
+    """Labels shuffled between blocks of a stratum (table pl: s, k, b, l), as the Spark kernel does."""
+    return f""",
+lb AS (SELECT DISTINCT {stratum} AS s, {block} AS k, {label} AS l FROM {rows}),
+sb AS (SELECT s, l, ROW_NUMBER() OVER (PARTITION BY s ORDER BY l, k) AS slot FROM lb),
+sp AS (SELECT s, k, b, ROW_NUMBER() OVER (PARTITION BY s, b ORDER BY {draw_sql(f"'{seed}'", "b", "k")}, k) AS slot FROM lb, (SELECT UNNEST(range(1, {B + 1})) AS b)),
+pl AS MATERIALIZED (SELECT sp.s, sp.k, sp.b, sb.l FROM sp JOIN sb ON sb.s = sp.s AND sb.slot = sp.slot UNION ALL SELECT s, k, 0, l FROM lb)"""
+
+
+NULL_SQL = """ROUND(MAX(CASE WHEN b = 0 THEN v END), 6) AS observed, ROUND(QUANTILE_CONT(x, 0.5) FILTER (WHERE b > 0), 6) AS null_median,
+ ROUND((1 + SUM(CASE WHEN b > 0 AND x >= o - 1e-12 THEN 1 ELSE 0 END)) / (1.0 + SUM(CASE WHEN b > 0 THEN 1 ELSE 0 END)), 6) AS p"""
+
+
+def null_summary(reps, keys, value, two_sided=False):
+    d = R.permutation_p(reps, keys, value, two_sided)
+    return rounded(d, keys, ["observed", "null_median", "p"])
+
+
+@query("d12_kitagawa_null", sql(POSS, permuted_sql("ps", "team", "match_id", "coach", 6, 51) + f""",
+c AS (SELECT ps.team, b AS rep, l AS coach, {BUCKET} AS bucket, COUNT(*) AS n, AVG(pr) AS m FROM ps JOIN pl ON pl.s = team AND pl.k = ps.match_id GROUP BY 1, 2, 3, 4),
+w AS (SELECT *, n / SUM(n) OVER (PARTITION BY team, rep, coach) AS w FROM c),
+g AS (SELECT x.team, x.rep AS b, x.coach AS a, y.coach AS c, SUM((x.w + y.w) / 2 * (x.m - y.m)) AS v FROM w x JOIN w y ON x.team = y.team AND x.rep = y.rep AND x.bucket = y.bucket AND x.coach < y.coach GROUP BY 1, 2, 3, 4),
+t3 AS (SELECT team, a, c, b, v, ABS(v) AS x, MAX(CASE WHEN b = 0 THEN ABS(v) END) OVER (PARTITION BY team, a, c) AS o FROM g)
+SELECT team, a, c, """ + NULL_SQL + " FROM t3 GROUP BY 1, 2, 3"))
 def d12b(spark, sf):
     ps = possessions(spark, sf).withColumn("bucket", S.length_bucket(F.col("len").cast("bigint")))
     perm = R.permutation_labels(ps.select("team", "match_id", "coach"), ["team"], "match_id", "coach", 6, 51)
@@ -289,7 +312,7 @@ def d12b(spark, sf):
     x = p.groupBy("team", "rep", "a", "b").agg(
         F.sum((F.col("w_a") + F.col("w_b")) / 2 * (F.col("m_a") - F.col("m_b"))).alias("within"))
     x = x.withColumnRenamed("b", "c").withColumnRenamed("rep", "b")
-    return R.permutation_p(x, ["team", "a", "c"], "within", two_sided=True)
+    return null_summary(x, ["team", "a", "c"], "within", two_sided=True)
 
 
 @query("d13_covariance_identity", sql(POSS, """
@@ -328,14 +351,18 @@ def d15(spark, sf):
     return D.total_shift(ex, ["team"], "coach").withColumn("T", F.round("T", 6))
 
 
-@query("d15_occupancy_shift_null")
+@query("d15_occupancy_shift_null", sql(ZONES, permuted_sql("mz", "team", "match_id", "coach", 6, 61) + """,
+mp AS (SELECT team || '|' || b AS team, l AS coach, season, zone, y FROM mz JOIN pl ON pl.s = team AND pl.k = match_id)""" + excess_sql("mp", "coach") + """,
+t2 AS (SELECT split_part(team, '|', 1) AS team, CAST(split_part(team, '|', 2) AS INTEGER) AS rep, a, b AS c, T FROM tt),
+t3 AS (SELECT team, a, c, rep AS b, T AS v, T AS x, MAX(CASE WHEN rep = 0 THEN T END) OVER (PARTITION BY team, a, c) AS o FROM t2)
+SELECT team, a, c, """ + NULL_SQL + " FROM t3 GROUP BY 1, 2, 3"))
 def d15b(spark, sf):
     z, lg = match_zones(spark, sf)
     perm = R.permutation_labels(z.select("team", "match_id", "coach"), ["team"], "match_id", "coach", 6, 61)
     d = z.groupBy("team", "match_id", "season", "zone").agg(F.sum("y").alias("y")).join(perm, ["team", "match_id"])
     ex = D.occupancy_excess(d.withColumnRenamed("b", "rep"), lg, ["team", "rep", "coach"], F.lit(1.0))
     t = D.total_shift(ex, ["team", "rep"], "coach").withColumnRenamed("b", "c").withColumnRenamed("rep", "b")
-    return R.permutation_p(t, ["team", "a", "c"], "T")
+    return null_summary(t, ["team", "a", "c"], "T")
 
 
 @query("d16_half_era_placebo", sql(ZONES, """,
@@ -498,10 +525,16 @@ def q03(spark, sf):
     return P.zone_contrast(c, [], "coach_faced", "KT1_0", "KT1_1").withColumn("g2", F.round("g2", 6))
 
 
-@query("q03_zone_permutation")
+@query("q03_zone_permutation", sql(RIVAL, """,
+r2 AS (SELECT * FROM ra WHERE coach_faced IN ('KT1_0', 'KT1_1'))""" + permuted_sql("r2", "rival", "match_id", "coach_faced", 20, 81) + """,
+zc AS (SELECT b, zone, SUM(CASE WHEN l = 'KT1_0' THEN y ELSE 0 END) AS da, CAST(SUM(CASE WHEN l = 'KT1_0' THEN 1 ELSE 0 END) AS DOUBLE) AS na, SUM(CASE WHEN l = 'KT1_1' THEN y ELSE 0 END) AS db, CAST(SUM(CASE WHEN l = 'KT1_1' THEN 1 ELSE 0 END) AS DOUBLE) AS nb FROM r2 JOIN pl ON pl.s = rival AND pl.k = match_id GROUP BY 1, 2),
+z0 AS (SELECT *, (da + db) / (na + nb) AS p0 FROM zc),
+g AS (SELECT b, zone, CASE WHEN na < 1 OR nb < 1 OR p0 <= 0 OR p0 >= 1 THEN 0 ELSE 2 * (CASE WHEN da > 0 THEN da * LN(da / (na * p0)) ELSE 0 END + CASE WHEN na - da > 0 THEN (na - da) * LN((na - da) / (na * (1 - p0))) ELSE 0 END + CASE WHEN db > 0 THEN db * LN(db / (nb * p0)) ELSE 0 END + CASE WHEN nb - db > 0 THEN (nb - db) * LN((nb - db) / (nb * (1 - p0))) ELSE 0 END) END AS v FROM z0),
+t3 AS (SELECT zone, b, v, v AS x, MAX(CASE WHEN b = 0 THEN v END) OVER (PARTITION BY zone) AS o FROM g)
+SELECT zone, """ + NULL_SQL + " FROM t3 GROUP BY 1"))
 def q03b(spark, sf):
     n = P.zone_contrast_null(match_cells(spark, sf), "coach_faced", "KT1_0", "KT1_1", "rival", 20, 81)
-    return R.permutation_p(n, ["zone"], "g2")
+    return null_summary(n, ["zone"], "g2")
 
 
 @query("q04_overdispersion", sql(RIVAL, """,
