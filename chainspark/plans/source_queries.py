@@ -19,7 +19,7 @@ from chainspark.plans.registry import query
 from chainspark.plans.relation_queries import ERAS, N, match_coaches
 from chainspark.plans.tables import (FA, MOVES, SPACE, TR, _BUILT, artifact, chunk_of, draw_sql, era_table, load,
                                      moves, sql, transitions)
-from chainspark.session import cut_lineage, shared_dir
+from chainspark.session import cut_lineage, is_written, shared_dir
 from chainspark.sources import adapters as A
 from chainspark.sources import events as E
 
@@ -27,7 +27,7 @@ from chainspark.sources import events as E
 def copy_of_events(spark, sf, fmt):
     """Write the derived event log once in a text format and return its folder."""
     key = (spark.sparkContext.applicationId, sf, f"copy-{fmt}")
-    if key not in _BUILT:
+    if key not in _BUILT or not is_written(spark, _BUILT[key]):
         path = f"{shared_dir(spark)}/chainspark-{key[0]}/{abs(hash(sf))}/events-{fmt}"
         e = raw_events(spark, sf)
         if fmt == "csv":
@@ -76,7 +76,7 @@ def s04(spark, sf):
 @query("s05_to_parquet_partitioned", sql(EV, " SELECT type, CAST(COUNT(*) AS BIGINT) AS n, ROUND(SUM(start_x), 3) AS sx FROM ev GROUP BY type"))
 def s05(spark, sf):
     key = (spark.sparkContext.applicationId, sf, "events-by-type")
-    if key not in _BUILT:
+    if key not in _BUILT or not is_written(spark, _BUILT[key]):
         path = f"{shared_dir(spark)}/chainspark-{key[0]}/{abs(hash(sf))}/events-by-type"
         E.to_parquet(E.normalise(raw_events(spark, sf)), path, "type")
         _BUILT[key] = path

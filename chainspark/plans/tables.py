@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from chainspark.functions import scalars as S
 from chainspark.functions.scan import Running, running, scan
 from chainspark.operators import chains
-from chainspark.session import shared_dir
+from chainspark.session import is_written, shared_dir
 from chainspark.space import StateSpace
 
 SPACE = StateSpace()
@@ -102,7 +102,7 @@ def artifact(spark: SparkSession, sf: str, name: str, build) -> DataFrame:
     spark.checkpoint.dir, so lineage is cut and lost executors cost nothing already written.
     """
     key = (spark.sparkContext.applicationId, sf, name)
-    if key not in _BUILT:
+    if key not in _BUILT or not is_written(spark, _BUILT[key]):
         tag = hashlib.sha256(sf.encode()).hexdigest()[:12]
         path = f"{shared_dir(spark)}/chainspark-{key[0]}/{tag}/{name}"
         build(spark, sf).write.mode("overwrite").parquet(path)

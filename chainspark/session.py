@@ -31,15 +31,27 @@ _OWN: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder for derived tables: the one the cluster names, a scratch folder where unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """Folder for derived tables: the one the cluster names; a scratch folder only in local mode.
+
+    A machine-local folder would be useless to executors, so a cluster without the setting is an
+    error rather than a silent fallback.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not _OWN:
         _OWN.append(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return "file:" + _OWN[0]
 
 
+def is_written(spark: SparkSession, path: str) -> bool:
+    """True when a table was written to the path completely and is still there."""
+    done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
+    return done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write a derived table to the shared folder and read it back.
 

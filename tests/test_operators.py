@@ -108,6 +108,8 @@ def test_chain_algebra_matches_numpy(spark):
     al = spark.createDataFrame([(1, 0, 2.0), (1, 7, 1.0)], "u int, i int, a double")
     s = C.scalars(E.mle(cells, ["u"]), al, ["u"], SPACE).first()
     assert math.isclose(s.e_t, (2 * N.sum(1)[0] + N.sum(1)[7]) / 3)
+    k = C.checks(E.mle(cells, ["u"]), ["u"], SPACE).first()
+    assert math.isclose(k.rho, np.abs(np.linalg.eigvals(P[:, :80])).max()) and k.row_error < 1e-12 and k.rho < 1
     # Neumann series agrees with the solve
     S_, Qk = np.eye(80), P[:, :80].copy()
     for _ in range(9):
@@ -288,3 +290,15 @@ def test_asof_equals_range_join(hot):
     right = hot.createDataFrame([(1, 5, "x"), (1, 20, "y"), (1, 21, "z")], "k int, s int, v string")
     got = {r.t: r.v for r in Q.asof_backward(left, right, ["k"], "t", "s", ["v"], F.floor(F.col("__t") / 10)).collect()}
     assert all(got[t] == (None if t < 5 else "x" if t < 20 else "y" if t < 21 else "z") for t in got) and len(got) == 17
+
+
+def test_derived_tables_survive_a_cleared_folder(spark):
+    import shutil
+
+    from chainspark.plans import tables
+
+    first = tables.artifact(spark, "/x", "probe", lambda s, _: s.range(5).toDF("v"))
+    assert first.count() == 5
+    path = tables._BUILT[(spark.sparkContext.applicationId, "/x", "probe")]
+    shutil.move(path.removeprefix("file:"), path.removeprefix("file:") + "-gone")
+    assert tables.artifact(spark, "/x", "probe", lambda s, _: s.range(6).toDF("v")).count() == 6
