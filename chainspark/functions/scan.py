@@ -17,6 +17,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chainspark.session import cut_lineage
+
 HOT_ROWS = 1_000_000
 
 _AGG = {"sum": F.sum, "count": F.count, "min": F.min, "max": F.max}
@@ -151,9 +153,10 @@ def exact_quantile(df: DataFrame, keys: list[str], value: str, probs: dict[str,
     """
     d = df.select(*keys, F.col(value).cast("double").alias("v")).filter(F.col("v").isNotNull())
     cuts = F.array(*[F.lit(k / buckets) for k in range(1, buckets)])
-    bounds = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"),
-                                  F.percentile_approx("v", cuts, 1000).alias("bounds"))
-    counts = d.groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("c"))
+    # folded once and written, so the data are read a single time
+    counts = cut_lineage(d.groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("c")))
+    bounds = counts.groupBy(*keys).agg(F.sum("c").alias("n"),
+                                       F.percentile_approx("v", cuts, 1000).alias("bounds"))
     counts = counts.join(bounds, keys) if keys else counts.crossJoin(F.broadcast(bounds))
     chunk = F.size(F.filter("bounds", lambda b: b < F.col("v")))
     counts = counts.withColumn("__bucket", chunk).drop("bounds")

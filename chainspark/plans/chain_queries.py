@@ -4,12 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from chainspark.functions import scalars as S
-from chainspark.functions.scan import neighbour, position
-from chainspark.operators import chains, relations
+from chainspark.operators import chains
 from chainspark.plans.registry import query
-from chainspark.plans.tables import (FA, MOVES, PHASE_SQL, SPACE, TR, artifact, chunk_of, moves, sql,
-                                     transitions, zone_sql)
+from chainspark.plans.tables import MOVES, PHASE_SQL, SPACE, TR, artifact, moves, sql, transitions, zone_sql
 from chainspark.sources import events as E
 
 

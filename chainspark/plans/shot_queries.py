@@ -5,18 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from chainspark.functions import scalars as S
-from chainspark.functions.draws import draw
-from chainspark.functions.scan import exact_quantile
 from chainspark.operators import absorb as C
 from chainspark.operators import estimate as E
-from chainspark.operators import relations as Q
 from chainspark.operators import resample as R
 from chainspark.operators import shots as X
 from chainspark.operators import standardise as D
 from chainspark.plans.estimate_queries import VALUES, matrix, rsql
 from chainspark.plans.inference_queries import rounded, weights_sql
 from chainspark.plans.registry import query
-from chainspark.plans.tables import FA, SPACE, TR, artifact, chunk_of, draw_sql, moves, sql, transitions
+from chainspark.plans.tables import FA, SPACE, TR, artifact, moves, sql, transitions
 
 
 # -- shots with a frame derived from their own row: up to six players around the shot ---------------

@@ -9,16 +9,13 @@ from chainspark.functions import scalars as S
 from chainspark.functions.scan import exact_quantile
 from chainspark.operators import eras as R
 from chainspark.operators import quality as K
-from chainspark.operators import relations as Q
 from chainspark.operators import resample as B
 from chainspark.operators import shots as X
-from chainspark.operators import teams as L
 from chainspark.plans.chain_queries import EV, raw_events
-from chainspark.plans.inference_queries import PAIR_REPS, PV, p_table, pair_reps
+from chainspark.plans.inference_queries import PAIR_REPS, pair_reps
 from chainspark.plans.registry import query
-from chainspark.plans.relation_queries import ERAS, N, match_coaches
-from chainspark.plans.tables import (FA, MOVES, SPACE, TR, _BUILT, artifact, chunk_of, draw_sql, era_table, load,
-                                     moves, sql, transitions)
+from chainspark.plans.relation_queries import ERAS
+from chainspark.plans.tables import FA, MOVES, SPACE, TR, _BUILT, era_table, load, moves, sql, transitions
 from chainspark.session import cut_lineage, is_written, shared_dir
 from chainspark.sources import adapters as A
 from chainspark.sources import events as E

@@ -16,7 +16,7 @@ from chainspark.operators import standardise as D
 from chainspark.plans.estimate_queries import rsql
 from chainspark.plans.inference_queries import rounded, weights_sql
 from chainspark.plans.registry import query
-from chainspark.plans.tables import FA, MOVES, SPACE, TR, chunk_of, draw_sql, load, moves, sql, transitions
+from chainspark.plans.tables import FA, SPACE, TR, draw_sql, load, moves, sql, transitions
 
 POSS = TR + """,
 ps AS MATERIALIZED (SELECT poss_uid, team, coach, opponent, season, season_order, match_id, CAST(COUNT(*) AS DOUBLE) AS len, MAX(CASE WHEN to_state IN (80, 81) THEN 1.0 ELSE 0.0 END) AS shot, AVG(CASE WHEN under_pressure THEN 1.0 WHEN NOT under_pressure THEN 0.0 END) AS pr FROM tr GROUP BY ALL)"""

@@ -6,14 +6,15 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from chainspark.functions import scalars as S
+from chainspark.functions.scan import exact_quantile
 from chainspark.operators import relations as Q
 from chainspark.operators import resample as R
 from chainspark.operators import standardise as D
 from chainspark.operators import teams as L
-from chainspark.plans.inference_queries import rounded, weights_sql
+from chainspark.plans.inference_queries import rounded
 from chainspark.plans.registry import query
-from chainspark.plans.standard_queries import ZONES
-from chainspark.plans.tables import FA, MOVES, SPACE, TR, draw_sql, era_table, load, moves, sql, transitions
+from chainspark.plans.standard_queries import NULL_SQL, null_summary, permuted_sql
+from chainspark.plans.tables import FA, MOVES, SPACE, TR, era_table, load, moves, sql, transitions
 
 XG = "ROUND(1 / (1 + EXP(SQRT(POW(120 - start_x, 2) + POW(40 - start_y, 2)) / 40)), 4)"
 PANEL = MOVES + f""",
@@ -200,7 +201,15 @@ def l11(spark, sf):
     return L.player_shift(player_zones(spark, sf), ["team"], "coach", 15).withColumn("T", F.round("T", 6))
 
 
-@query("l11_half_era_null")
+@query("l11_half_era_null", sql(TR, """,
+md AS (SELECT team, coach, match_id, MIN(match_date) AS d FROM tr GROUP BY 1, 2, 3),
+hf AS (SELECT team, coach, match_id, CASE WHEN ROW_NUMBER() OVER (PARTITION BY team, coach ORDER BY d, match_id) <= FLOOR(COUNT(*) OVER (PARTITION BY team, coach) / 2.0) THEN 1 ELSE 2 END AS half FROM md),
+z AS (SELECT tr.team, tr.coach, half, player_id, FLOOR(from_state / 4) AS zone, CAST(COUNT(*) AS DOUBLE) AS y FROM tr JOIN hf ON hf.team = tr.team AND hf.coach = tr.coach AND hf.match_id = tr.match_id WHERE action_type <> 'TERMINAL' GROUP BY ALL),
+t AS (SELECT team, coach, half, player_id, SUM(y) AS n FROM z GROUP BY ALL HAVING SUM(y) >= 5),
+pp AS (SELECT x.team, x.coach, x.player_id, x.n AS na, y.n AS nb FROM t x JOIN t y ON x.team = y.team AND x.coach = y.coach AND x.player_id = y.player_id AND x.half = 1 AND y.half = 2),
+c AS (SELECT pp.team, pp.coach, pp.player_id, zone, ABS(SUM(CASE WHEN half = 1 THEN y / na ELSE -y / nb END)) AS d FROM pp JOIN z ON z.team = pp.team AND z.coach = pp.coach AND z.player_id = pp.player_id GROUP BY ALL),
+s AS (SELECT team, coach, player_id, 0.5 * SUM(d) AS T FROM c GROUP BY ALL)
+SELECT team, ROUND(QUANTILE_CONT(T, 0.5), 6) AS p50, ROUND(QUANTILE_CONT(T, 0.9), 6) AS p90, CAST(COUNT(*) AS BIGINT) AS n FROM s GROUP BY team"""))
 def l11b(spark, sf):
     """Shift between date halves of the same era: the scale below which a shift says nothing."""
     pz = player_zones(spark, sf, ("team", "coach", "match_id", "player_id"))
@@ -208,7 +217,9 @@ def l11b(spark, sf):
     h = Q.halves(days, ["team", "coach"], ["d", "match_id"], False, F.year("d")).drop("d")
     z = pz.join(h, ["team", "coach", "match_id"]).groupBy("team", "coach", "half", "player_id", "zone").agg(F.sum("y").alias("y"))
     t = L.player_shift(z, ["team", "coach"], "half", 5)
-    return t.groupBy("team").agg(F.percentile("T", F.lit(0.5)).alias("p50"), F.percentile("T", F.lit(0.9)).alias("p90"), F.count(F.lit(1)).alias("n"))
+    q = exact_quantile(t, ["team"], "T", {"p50": 0.5, "p90": 0.9})
+    n = t.groupBy("team").agg(F.count(F.lit(1)).alias("n"))
+    return n.join(q, "team").select("team", F.round("p50", 6).alias("p50"), F.round("p90", 6).alias("p90"), "n")
 
 
 @query("l12_most_frequent_position", sql(TR, """,
@@ -261,14 +272,22 @@ def l13c(spark, sf):
     return L.hub_share(edges(spark, sf), ["team", "coach"]).withColumn("hub_share", F.round("hub_share", 6))
 
 
-@query("l13_network_null")
+_SHIFT_P = NET_T[len(NET):].replace(" en ", " ep ").replace("FROM en ", "FROM ep ")
+
+
+@query("l13_network_null", sql(NET, permuted_sql("eg", "team", "match_id", "coach", 4, 101) + """,
+ep AS MATERIALIZED (SELECT team || '|' || b AS team, l AS coach, player_id, recipient_id, SUM(n) AS n FROM eg JOIN pl ON pl.s = team AND pl.k = match_id GROUP BY ALL)""" + _SHIFT_P + """,
+x AS (SELECT team, a, b, player_id, recipient_id, ABS(SUM(CASE WHEN e = a THEN p ELSE -p END)) AS d FROM e2 GROUP BY 1, 2, 3, 4, 5),
+t2 AS (SELECT split_part(team, '|', 1) AS team, CAST(split_part(team, '|', 2) AS INTEGER) AS rep, a, b AS c, 0.5 * SUM(d) AS T FROM x GROUP BY team, a, b),
+t3 AS (SELECT team, a, c, rep AS b, T AS v, T AS x, MAX(CASE WHEN rep = 0 THEN T END) OVER (PARTITION BY team, a, c) AS o FROM t2)
+SELECT team, a, c, """ + NULL_SQL + " FROM t3 GROUP BY 1, 2, 3"))
 def l13d(spark, sf):
     me = match_edges(spark, sf)
     perm = R.permutation_labels(me.select("team", "match_id", "coach"), ["team"], "match_id", "coach", 4, 101)
     d = me.groupBy("team", "match_id", "player_id", "recipient_id").agg(F.sum("n").alias("n")).join(perm, ["team", "match_id"])
     e = d.groupBy("team", F.col("b").alias("rep"), "coach", "player_id", "recipient_id").agg(F.sum("n").alias("n"))
     t = L.network_shift(e, ["team", "rep"], "coach", 3).withColumnRenamed("b", "c").withColumnRenamed("rep", "b")
-    return R.permutation_p(t, ["team", "a", "c"], "T")
+    return null_summary(t, ["team", "a", "c"], "T")
 
 
 @query("l14_network_block_placebo", sql(NET, """,
