@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from chainspark.llm import mixing, quality_rules, tokens
+from chainspark.llm import mixing, quality_rules, similarity, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -26,6 +26,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op1_ngram_jaccard")
+def op1_ngram_jaccard(spark, sf_dir):
+    return similarity.similar_groups(table(spark, sf_dir, "documents"), k=4, percent=85)
+
+
 @query("op3_token_counts")
 def op3_token_counts(spark, sf_dir):
     return tokens.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
