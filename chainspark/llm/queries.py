@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from chainspark.llm import mixing, quality_rules, similarity, tokens
+from chainspark.llm import decontaminate, mixing, quality_rules, similarity, tokens, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -42,6 +43,18 @@ def op5_source_mix(spark, sf_dir):
         "doc_id", "size", "source_size", "target", "taken")
 
 
+@query("op8_decontamination", decontaminate.CONTAMINATION_SQL)
+def op8_decontamination(spark, sf_dir):
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items",
+                        F.sha2(F.concat_ws(",", "item_ids"), 256).alias("items_sha256"), "contaminated")
+
+
+@query("op9_url_filter", url_filter.URL_SQL)
+def op9_url_filter(spark, sf_dir):
+    return url_filter.judge_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"), url_filter.FIXED_RULES)
+
+
 @query("op10_quality_rules")
 def op10_quality_rules(spark, sf_dir):
     return quality_rules.judge_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
