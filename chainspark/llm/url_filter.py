@@ -31,12 +31,12 @@ def url_tokens(host: Column, path: Column, rest: Column) -> Column:
                                                   marked("q:", names))))
 
 
-def mine_rules(tokens: DataFrame, labels: DataFrame, support: float, confidence: float) -> DataFrame:
+def mine_rules(tokens: DataFrame, labels: DataFrame, support: float, confidence: float, least: int) -> DataFrame:
     """(antecedent, confidence, support) of rules 'these tokens: block' from labelled urls.
 
     A url is bad when its page has a label of quality 0 or toxic 1. Rules hold in at least the
-    share ``support`` of all labelled urls, and the share ``confidence`` of the labelled urls with
-    these tokens is bad.
+    share ``support`` of all labelled urls and in ``least`` of them, and the share ``confidence``
+    of the labelled urls with these tokens is bad.
     """
     marks = (labels.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_id"))
              .agg(F.max(F.coalesce((F.col("quality") == 0) | (F.col("toxic") == 1), F.lit(False))).alias("bad")))
@@ -44,7 +44,9 @@ def mine_rules(tokens: DataFrame, labels: DataFrame, support: float, confidence:
         tokens.join(marks, F.col("page_id") == F.col("_id"))
         .select(F.when(F.col("bad"), F.concat("tokens", F.array(F.lit(BAD)))).otherwise(F.col("tokens")).alias("items"))
         .where(F.size("items") > 0))
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets)
+    # the miner takes a share and rounds the count up
+    share = min(1.0, max(support, (least - 0.5) / max(baskets.count(), 1)))
+    model = FPGrowth(itemsCol="items", minSupport=share, minConfidence=confidence).fit(baskets)
     return (model.associationRules.where(F.col("consequent") == F.array(F.lit(BAD)))
             .select(F.sort_array("antecedent").alias("antecedent"), "confidence", "support"))
 
@@ -63,7 +65,7 @@ def blocked_sets(tokens: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def judge_urls(pages: DataFrame, labels: DataFrame, fixed: list[tuple[str, str, str]], support: float = 0.01,
-               confidence: float = 0.5) -> DataFrame:
+               confidence: float = 0.5, least: int = 20) -> DataFrame:
     """Verdict on the url of every page (page_id, url).
 
     ``fixed`` holds (verdict, host, path) rules: one fits its host and all subdomains of it if the
@@ -84,7 +86,7 @@ def judge_urls(pages: DataFrame, labels: DataFrame, fixed: list[tuple[str, str,
         F.struct(F.lit(len(h + p)).alias("size"), F.lit(v == "allow").alias("allow"), F.lit(h + p).alias("rule")))
         for v, h, p in fixed]) if fixed else F.lit(None).cast("array<struct<size:int,allow:boolean,rule:string>>")
     best = F.array_max(fits)
-    bad = blocked_sets(rows, mine_rules(rows, labels, support, confidence)).withColumnRenamed("tokens", "_tokens")
+    bad = blocked_sets(rows, mine_rules(rows, labels, support, confidence, least)).withColumnRenamed("tokens", "_tokens")
     return (rows.join(bad, F.col("tokens") == F.col("_tokens"), "left").withColumn("best", best)
             .select("page_id", "host", "path", F.col("best.rule").alias("rule"),
                     F.when(F.col("best").isNotNull(), F.when(F.col("best.allow"), "allow").otherwise("block"))
@@ -108,7 +110,7 @@ k AS (SELECT toks, bad FROM t JOIN m ON page_id = doc_id WHERE len(toks) > 0 OR
 sub AS (SELECT list_filter(toks, lambda x, i: ((mask >> (i - 1)) & 1) = 1) AS s, bad
   FROM (SELECT toks, bad, unnest(range(1, (1 << len(toks)::INT)::BIGINT)) AS mask FROM k)),
 rules AS (SELECT s FROM sub GROUP BY s
-  HAVING count(*) FILTER (bad) >= ceil(0.01 * (SELECT count(*) FROM k)) AND count(*) FILTER (bad) >= 0.5 * count(*)),
+  HAVING count(*) FILTER (bad) >= greatest(20, ceil(0.01 * (SELECT count(*) FROM k))) AND count(*) FILTER (bad) >= 0.5 * count(*)),
 f AS (SELECT t.*, list_max([x FOR x IN [
     CASE WHEN (host = 'org' OR host LIKE '%.org') AND path LIKE '/%' THEN {'n': 4, 'allow': true, 'rule': 'org/'} END,
     CASE WHEN (host = 'example.org' OR host LIKE '%.example.org') AND path LIKE '/es/%' THEN {'n': 15, 'allow': false, 'rule': 'example.org/es/'} END,
