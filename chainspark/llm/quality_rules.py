@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from chainspark.llm.text import LOWER, SPACE, Chunk, Ranges, _lut, chunks, group_sum, map_arrow, shingles
 
 SYMBOLS = _lut(b"#*$%&|<>")
-BITS = 18
+BITS = 17
 PRIOR = 5.0
 #: A document stays when its mean log ratio per n-gram is at least this (natural logarithm).
-THRESHOLD = -0.18
+THRESHOLD = -0.12
 
 
 def _repeated_words(grams: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -97,7 +97,7 @@ def ngram_counts(docs: DataFrame, bits: int = BITS) -> DataFrame:
 
 
 def log_ratios(docs: DataFrame, bits: int = BITS) -> np.ndarray:
-    """Log of target over raw probability per bucket, both smoothed by the raw distribution.
+    """Log of target over raw probability per bucket.
 
     2^bits rows reach the driver, whatever the number of documents. PRIOR n-grams are added to what
     the target holds of a bucket and to what it would hold at the raw corpus' rate, so a bucket
@@ -109,7 +109,7 @@ def log_ratios(docs: DataFrame, bits: int = BITS) -> np.ndarray:
     if target.sum() == 0:
         return np.zeros(1 << bits, np.float32)
     share = target.sum() / raw.sum()
-    return np.log((target + PRIOR) / (raw * share + PRIOR)).astype(np.float32)
+    return np.log((target + PRIOR) / (np.maximum(raw - 1, 0) * share + PRIOR)).astype(np.float32)
 
 
 def judge_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, bits: int = BITS) -> DataFrame:
@@ -125,7 +125,9 @@ def judge_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRES
     """
     good = (labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_id"))
             .agg((F.min("quality") == 1).alias("target")))
-    marked = docs.select("doc_id", "text").join(good, F.col("doc_id") == F.col("_id"), "left")
+    # always a merge join: labels are as many as documents may be, and a plan that changes with
+    # their number would change what is shuffled
+    marked = docs.select("doc_id", "text").hint("merge").join(good, F.col("doc_id") == F.col("_id"), "left")
     ratios = log_ratios(marked, bits)
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
