@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chainspark.llm import decontaminate, mixing, quality_rules, similarity, tokens, url_filter
+from chainspark.llm import classifier, decontaminate, mixing, quality_rules, similarity, tokens, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -37,6 +37,11 @@ def op3_token_counts(spark, sf_dir):
     return tokens.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+@query("op4_quality_classifier")
+def op4_quality_classifier(spark, sf_dir):
+    return classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query("op5_source_mix", mixing.MIX_SQL)
 def op5_source_mix(spark, sf_dir):
     return mixing.mix_sources(table(spark, sf_dir, "documents")).select(
