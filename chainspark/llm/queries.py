@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chainspark.llm import classifier, decontaminate, mixing, quality_rules, similarity, tokens, url_filter
+from chainspark.llm import classifier, decontaminate, html, mixing, quality_rules, similarity, tokens, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -48,6 +48,11 @@ def op5_source_mix(spark, sf_dir):
         "doc_id", "size", "source_size", "target", "taken")
 
 
+@query("op7_html_extraction")
+def op7_html_extraction(spark, sf_dir):
+    return html.extract_pages(table(spark, sf_dir, "pages"))
+
+
 @query("op8_decontamination", decontaminate.CONTAMINATION_SQL)
 def op8_decontamination(spark, sf_dir):
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
