@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chainspark.llm import classifier, decontaminate, html, mixing, quality_rules, similarity, tokens, url_filter
+from chainspark.llm import classifier, decontaminate, html, licenses, mixing, quality_rules, similarity, tokens, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -32,6 +32,12 @@ def op1_ngram_jaccard(spark, sf_dir):
     return similarity.similar_groups(table(spark, sf_dir, "documents"), k=4, percent=85)
 
 
+@query("op2_license_scan")
+def op2_license_scan(spark, sf_dir):
+    found = licenses.license_windows(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", F.size("found").cast("bigint").alias("n_found"), "licenses")
+
+
 @query("op3_token_counts")
 def op3_token_counts(spark, sf_dir):
     return tokens.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
