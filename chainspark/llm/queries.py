@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chainspark.llm import classifier, decontaminate, html, licenses, mixing, quality_rules, similarity, tokens, url_filter
+from chainspark.llm import classifier, decontaminate, html, licenses, line_dedup, mixing, quality_rules, similarity, tokens, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -54,6 +54,11 @@ def op5_source_mix(spark, sf_dir):
         "doc_id", "size", "source_size", "target", "taken")
 
 
+@query("op6_line_dedup")
+def op6_line_dedup(spark, sf_dir):
+    return line_dedup.line_report(table(spark, sf_dir, "documents"))
+
+
 @query("op7_html_extraction")
 def op7_html_extraction(spark, sf_dir):
     return html.extract_pages(table(spark, sf_dir, "pages"))
