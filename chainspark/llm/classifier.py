@@ -241,3 +241,20 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, bits: i
     return map_arrow(docs.select("doc_id", "text"), run, f"doc_id {kind}, score double").select(
         "doc_id", _held_out(F.col("doc_id")).alias("held_out"), "score",
         (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, bits: int = BITS,
+              fit_rows: int = FIT_ROWS) -> DataFrame:
+    """The rows of documents, all columns as they are, that classify() predicts to be good.
+
+    The model is fitted on these documents' labels; rows are filtered where they lie, without an
+    exchange, so nulls and repeated rows need no key.
+    """
+    model = fit(docs, labels, bits, fit_rows)
+
+    def run(batch):
+        column = batch.column(batch.schema.get_field_index("text"))
+        for chunk in chunks(column):
+            s = np.ones(chunk.n) if model is None else model.scores(*features(chunk, bits))
+            yield batch.slice(chunk.first_row, chunk.n).filter(pa.array(s >= threshold))
+    return map_arrow(docs, run, docs.schema)

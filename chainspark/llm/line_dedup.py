@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chainspark.llm.similarity import Bands, _linked
-from chainspark.llm.text import LOWER, Chunk, Ranges, chunks, group_sum, map_arrow, mix, sorted_sets
+from chainspark.llm.text import LOWER, Chunk, Ranges, chunks, group_sum, map_arrow, mix, sorted_sets, unused
 from chainspark.session import cut_lineage
 
 #: Buckets of the rarity sketch.
@@ -213,13 +213,14 @@ def dedup_lines(docs: DataFrame, percent: int = 85, least: int = 5) -> DataFrame
     """
     narrow = (docs.where("doc_id IS NOT NULL AND text IS NOT NULL")
               .select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("print")))
-    cut = (repeated_lines(narrow, percent, least).distinct().groupBy(F.col("doc_id").alias("_doc"), F.col("print").alias("_print"))
-           .agg(F.sort_array(F.collect_list("line_no")).alias("_cut")))
-    lines = F.split("text", "\n")
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_cut", i)), "\n")
-    joined = docs.join(cut, (F.col("doc_id") == F.col("_doc")) & (F.xxhash64("text") == F.col("_print")), "left")
-    return (joined.withColumn("text", F.when(F.col("_cut").isNull(), F.col("text")).otherwise(kept))
-            .withColumn("lines_removed", F.coalesce("_cut", F.array().cast("array<int>")))
+    doc, mark, cut = unused(docs, "_doc", "_print", "_cut")
+    found = (repeated_lines(narrow, percent, least).distinct()
+             .groupBy(F.col("doc_id").alias(doc), F.col("print").alias(mark))
+             .agg(F.sort_array(F.collect_list("line_no")).alias(cut)))
+    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.col(cut), i)), "\n")
+    joined = docs.join(found, (F.col("doc_id") == F.col(doc)) & (F.xxhash64("text") == F.col(mark)), "left")
+    return (joined.withColumn("text", F.when(F.col(cut).isNull(), F.col("text")).otherwise(kept))
+            .withColumn("lines_removed", F.coalesce(cut, F.array().cast("array<int>")))
             .select(*docs.columns, *([] if "lines_removed" in docs.columns else ["lines_removed"])))
 
 

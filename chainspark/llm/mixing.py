@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chainspark.llm.ranks import rank_within
+from chainspark.llm.text import unused
 from chainspark.session import cut_lineage
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -58,9 +59,9 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: fl
 
     Null texts have size 0; null sources are one source, last in order; rows with null or repeated
     ids are mixed like all others; an empty table gives an empty table; other columns are not read.
-    Returns doc_id, source, size, source_size, target, copies, taken (copies x size).
+    Returns doc_id, source, print (xxhash64 of the text), size, source_size, target, copies, taken (copies x size).
     """
-    sizes = cut_lineage(docs.select("doc_id", "source", F.coalesce(
+    sizes = cut_lineage(docs.select("doc_id", "source", F.xxhash64("text").alias("print"), F.coalesce(
         F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint").alias("size")))
     targets = source_targets(sizes, weights, share, cap)
     ranked = rank_within(sizes.withColumn("_tie", _draw(F.lit(seed), F.col("doc_id"))), ["source"],
@@ -72,7 +73,24 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: fl
     crossed = F.floor(F.col("_rank") * F.col("_per") + offset) - F.floor((F.col("_rank") - 1) * F.col("_per") + offset)
     copies = F.least(crossed, F.lit(int(-(-cap // 1)))).cast("bigint")
     return (out.withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size"))
-            .select("doc_id", "source", "size", "source_size", "target", "copies", "taken"))
+            .select("doc_id", "source", "print", "size", "source_size", "target", "copies", "taken"))
+
+
+def emit_mix(docs: DataFrame, **settings) -> DataFrame:
+    """The rows of documents as often as mix_sources takes them, with ``copy`` counting from 1.
+
+    Rows that repeat doc_id, source and text are emitted as often as all of them together. All
+    columns stay as they are; a column ``copy`` that docs has itself is replaced.
+    """
+    doc, source, mark, times = unused(docs, "_doc", "_source", "_print", "_times")
+    taken = (mix_sources(docs, **settings).groupBy(F.col("doc_id").alias(doc), F.col("source").alias(source),
+                                                   F.col("print").alias(mark))
+             .agg(F.sum("copies").alias(times)).where(F.col(times) > 0))
+    same = (F.col("doc_id").eqNullSafe(F.col(doc)) & F.col("source").eqNullSafe(F.col(source))
+            & F.xxhash64("text").eqNullSafe(F.col(mark)))
+    once = docs.join(taken, same).dropDuplicates([doc, source, mark])
+    kept = [c for c in docs.columns if c != "copy"]
+    return once.select(*kept, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col(times))).alias("copy"))
 
 
 MIX_SQL = r"""
