@@ -133,11 +133,11 @@ def proximity_matches(items: DataFrame, index: DataFrame, reach: int) -> DataFra
     centre = (index.join(_small(words.where("term = rarest").select("item", "item_id", "need", "term")), "term")
               .select("item", "item_id", "need", "doc_id", "print", F.col("pos").alias("at"),
                       F.explode(F.sequence(stretch - 1, stretch + 1)).alias("stretch")))
-    same = ((centre["item"] == near["item"]) & (centre["stretch"] == near["stretch"])
-            & centre["doc_id"].eqNullSafe(near["doc_id"]) & centre["print"].eqNullSafe(near["print"])
-            & (F.abs(near["pos"] - centre["at"]) <= reach))
-    return (centre.join(near, same).select(centre["item_id"], centre["item"], "need", centre["doc_id"],
-                                           centre["print"], centre["at"], near["term"])
+    c, n = centre.alias("c"), near.alias("n")
+    same = ((F.col("c.item") == F.col("n.item")) & (F.col("c.stretch") == F.col("n.stretch"))
+            & F.col("c.doc_id").eqNullSafe(F.col("n.doc_id")) & F.col("c.print").eqNullSafe(F.col("n.print"))
+            & (F.abs(F.col("n.pos") - F.col("c.at")) <= reach))
+    return (c.join(n, same).select("c.item_id", "c.item", "c.need", "c.doc_id", "c.print", "c.at", "n.term")
             .groupBy("item", "item_id", "need", "doc_id", "print", "at").agg(F.count_distinct("term").alias("n"))
             .where("n = need").select("doc_id", "print", "item_id", F.col("at").alias("pos")))
 
