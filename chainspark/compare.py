@@ -18,7 +18,7 @@ def _cell(v):
     if v is None or v is pd.NaT or v is pd.NA:
         return None
     if isinstance(v, float) and math.isnan(v):
-        return None
+        return "NaN"  # not a number is not a missing one
     if isinstance(v, (datetime.datetime, pd.Timestamp)):
         v = pd.Timestamp(v)
         return v.date().isoformat() if v == v.normalize() else v.isoformat()

@@ -2,13 +2,23 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Letters with an accent and their plain form, position by position.
-ACCENTED = "áàäâãåéèëêíìïîóòöôõúùüûñçýÁÀÄÂÃÅÉÈËÊÍÌÏÎÓÒÖÔÕÚÙÜÛÑÇÝ"
-PLAIN = "aaaaaaeeeeiiiiooooouuuuncyAAAAAAEEEEIIIIOOOOOUUUUNCY"
+def _decomposed_letters() -> tuple[str, str]:
+    """Every letter that decomposes into a base letter and marks, and its base, position by position."""
+    pairs = []
+    for code in [*range(0xC0, 0x250), *range(0x370, 0x530), *range(0x1E00, 0x2000)]:
+        base, *marks = unicodedata.normalize("NFD", chr(code))
+        if marks and all(unicodedata.combining(m) for m in marks):
+            pairs.append((chr(code), base))
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+ACCENTED, PLAIN = _decomposed_letters()
 
 # Tokens that mean "missing" in text exports.
 NULL_TOKENS = ("", "NA", "N/A", "null", "None", "nan")
@@ -34,10 +44,9 @@ def location_xy(c: Column, dtype: T.DataType) -> tuple[Column, Column]:
 
 
 def clock_seconds(ts: Column) -> Column:
-    """Seconds of an HH:MM:SS.mmm text."""
-    p = F.split(ts, ":")
-    return (F.get(p, 0).try_cast("double") * 3600 + F.get(p, 1).try_cast("double") * 60
-            + F.get(p, 2).try_cast("double"))
+    """Seconds of a clock text of any number of parts: H:M:S, M:S or S; null if a part is no number."""
+    parts = F.transform(F.split(ts, ":"), lambda p: p.try_cast("double"))
+    return F.aggregate(parts, F.lit(0.0), lambda total, part: total * 60 + part)
 
 
 # -- dates and seasons -------------------------------------------------------------------
@@ -57,7 +66,8 @@ def season_order(d: Column) -> Column:
 
 # -- text keys ---------------------------------------------------------------------------
 def strip_accents(c: Column) -> Column:
-    return F.translate(c, ACCENTED, PLAIN)
+    """Letters without their marks, whether they are written as one character or as several."""
+    return F.translate(F.regexp_replace(c, r"\p{Mn}", ""), ACCENTED, PLAIN)
 
 
 def slug(c: Column) -> Column:
@@ -93,17 +103,27 @@ def sign_label(diff: Column, labels=("losing", "drawing", "winning")) -> Column:
     return F.when(diff < 0, labels[0]).when(diff > 0, labels[2]).otherwise(labels[1])
 
 
+# The minute from which a match is late; names of the sides of a pair of cuts.
+LATE_FROM = 60
+LEVELS = ("weak", "mid", "strong")
+
+
 def invert_score(label: Column) -> Column:
-    return F.when(label == "losing", "winning").when(label == "winning", "losing").otherwise(label)
+    """The other side's label; what is neither won nor lost stays."""
+    sides = F.array(F.lit("losing"), F.lit("winning"))
+    return F.coalesce(F.try_element_at(sides, (3 - F.nullif(F.array_position(sides, label), F.lit(0))).cast("int")), label)
 
 
 def moment_level(minute: Column) -> Column:
-    return F.when(minute >= 60, "late").when(minute < 60, "early").otherwise("other")
+    return F.coalesce(F.element_at(F.array(F.lit("early"), F.lit("late")),
+                                   (minute >= LATE_FROM).cast("int") + 1), F.lit("other"))
 
 
 def rival_level(value: Column, cut_low: Column, cut_high: Column) -> Column:
-    """strong in the upper third, weak in the lower, mid between or when unknown."""
-    return F.when(value >= cut_high, "strong").when(value <= cut_low, "weak").otherwise("mid")
+    """Upper third, lower third, or between; unknown counts as between, equal cuts as upper."""
+    above, below = (value >= cut_high).cast("int"), ((value <= cut_low) & (value < cut_high)).cast("int")
+    step = F.coalesce(above, F.lit(0)) - F.coalesce(below, F.lit(0))
+    return F.element_at(F.array(*[F.lit(x) for x in LEVELS]), step + 2)
 
 
 def length_bucket(n: Column) -> Column:
@@ -136,17 +156,25 @@ def goal_angle(x: Column, y: Column) -> Column:
     return F.acos(F.least(F.greatest(cosine, F.lit(-1.0)), F.lit(1.0)))
 
 
+# Shot zones from the inside out, as least depth and half width around the goal's axis.
+SHOT_ZONES = (("six_yard", 114, 10), ("box_centre", 102, 10), ("box_side", 102, 22))
+
+
 def shot_zone(x: Column, y: Column) -> Column:
-    """Six-yard box, penalty box (centre or side), outside."""
-    return (F.when((x >= 114) & y.between(30, 50), "six_yard")
-            .when((x >= 102) & y.between(30, 50), "box_centre")
-            .when((x >= 102) & y.between(18, 62), "box_side").otherwise("outside"))
+    """Name of the first zone whose depth and width hold the point."""
+    inside = [F.when((x >= depth) & (F.abs(y - GOAL_Y) <= half), name) for name, depth, half in SHOT_ZONES]
+    return F.coalesce(*inside, F.lit("outside"))
 
 
 def delivery_zone(y_start: Column, y_end: Column) -> Column:
-    """central in front of goal, near on the side the ball comes from, else far."""
-    return (F.when(y_end.isNull(), "unknown").when(y_end.between(GOAL_LEFT, GOAL_RIGHT), "central")
-            .when((y_start < GOAL_Y) == (y_end < GOAL_Y), "near").otherwise("far"))
+    """Where a delivery ends, by its offset from the goal's axis against the side it comes from."""
+    half = (GOAL_RIGHT - GOAL_LEFT) / 2
+    offset = y_end - GOAL_Y
+    # -1 left of the axis, 1 right of it or on it
+    side = lambda v: F.when(v < 0, -1).otherwise(1)
+    same_side = side(y_start - GOAL_Y) * side(offset) > 0
+    name = F.when(F.abs(offset) <= half, "central").otherwise(F.when(y_start.isNotNull() & same_side, "near").otherwise("far"))
+    return F.coalesce(F.when(offset.isNotNull(), name), F.lit("unknown"))
 
 
 # Own 40% line, share of the distance left, gain by half (own-own, own-other,
@@ -155,16 +183,19 @@ PROGRESSIVE_FROM_X, PROGRESSIVE_SHARE, PROGRESSIVE_GAIN, MIDFIELD = 48.0, 0.75,
 
 
 def progressive_relative(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
-    return (x0 >= PROGRESSIVE_FROM_X) & (
-        goal_distance(x1, y1) <= PROGRESSIVE_SHARE * goal_distance(x0, y0))
+    """From the own 40 % line on, a move to within a share of the distance that was left."""
+    left = [goal_distance(x, y) for x, y in ((x0, y0), (x1, y1))]
+    return (x0 >= PROGRESSIVE_FROM_X) & (left[1] <= PROGRESSIVE_SHARE * left[0])
 
 
 def progressive_fixed(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
-    gain = goal_distance(x0, y0) - goal_distance(x1, y1)
-    own0, own1 = x0 < MIDFIELD, x1 < MIDFIELD
-    need = (F.when(own0 & own1, PROGRESSIVE_GAIN[0]).when(own0 & ~own1, PROGRESSIVE_GAIN[1])
-            .when(~own0 & ~own1, PROGRESSIVE_GAIN[2]))
-    return F.coalesce(gain >= need, F.lit(False))
+    """A gain in distance to the goal, of which less is asked the more ends lie beyond midfield.
+
+    A move back over midfield never gains as much as is asked of a move over it.
+    """
+    beyond = (x0 >= MIDFIELD).cast("int") + (x1 >= MIDFIELD).cast("int")
+    need = F.element_at(F.array(*[F.lit(g) for g in PROGRESSIVE_GAIN]), beyond + 1)
+    return F.coalesce(goal_distance(x0, y0) - goal_distance(x1, y1) >= need, F.lit(False))
 
 
 # -- literal text to JSON ----------------------------------------------------------------

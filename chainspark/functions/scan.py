@@ -35,6 +35,15 @@ class Running:
     reverse: bool = False
 
 
+def same_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys where null equals null; the right side's keys are dropped."""
+    named = right.select(*[F.col(k).alias(f"__r_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    on = F.lit(True)
+    for k in keys:
+        on &= F.col(k).eqNullSafe(F.col(f"__r_{k}"))
+    return left.join(named, on, how).drop(*[f"__r_{k}" for k in keys])
+
+
 def _order(order, reverse: bool):
     return [F.col(c).desc() if reverse else F.col(c).asc() for c in order]
 
@@ -65,7 +74,7 @@ def scan(df: DataFrame, keys: list[str], order: list[str], chunk: Column | None
 
     if not outs and not after and not before:
         whole = df.groupBy(*keys).agg(*[_AGG[fn](v).alias(n) for n, (fn, v) in totals.items()])
-        return df.join(whole, keys).select(*final)
+        return same_keys(df, whole, keys).select(*final)
 
     d = df
     for _, cols, tag in sides:
@@ -75,8 +84,8 @@ def scan(df: DataFrame, keys: list[str], order: list[str], chunk: Column | None
     if chunk is not None:
         limit = int(df.sparkSession.conf.get("spark.chainspark.hotRows", str(HOT_ROWS)))
         hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows")).filter(
-            F.col("__rows") > limit).select(*keys, F.lit(True).alias("__hot"))
-        d = d.join(F.broadcast(hot), keys, "left").withColumn("__chunk", F.when(F.col("__hot"), chunk))
+            F.col("__rows") > limit).select(*keys, "__rows", F.lit(True).alias("__hot"))
+        d = same_keys(d, F.broadcast(hot), keys, "left").withColumn("__chunk", F.when(F.col("__hot"), chunk))
         aggs = [_AGG[o.fn](o.value).alias(f"__t_{o.name}") for o in outs]
         aggs += [_AGG[fn](v).alias(f"__s_{n}") for n, (fn, v) in totals.items()]
         for step, cols, tag in sides:
@@ -98,7 +107,9 @@ def scan(df: DataFrame, keys: list[str], order: list[str], chunk: Column | None
             if cols:
                 near = F.lead if step == 1 else F.lag
                 cols_out.append(near(f"{tag}_e").over(whole.orderBy("__chunk")).alias(f"{tag}_c"))
-        d = d.join(per_chunk.select(*keys, "__chunk", *cols_out), [*keys, "__chunk"], "left")
+        # null chunks and null keys are chunks and keys like others; keys that are not hot have no totals
+        d = same_keys(d, per_chunk.select(*keys, "__chunk", F.lit(True).alias("__hot"), *cols_out),
+                      [*keys, "__chunk", "__hot"], "left")
         group.append("__chunk")
     for n, (fn, v) in totals.items():
         own = _AGG[fn](v).over(Window.partitionBy(*group))

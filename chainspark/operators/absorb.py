@@ -204,6 +204,8 @@ def quasi_stationary(P: DataFrame, keys: list[str], space: StateSpace, phase: st
             mu = nu
             if done:
                 break
+        else:
+            raise RuntimeError(f"the power steps did not settle within {max_steps}")
         return [(z, float(mu[z]), lam, 1.0 / (1.0 - lam), True) for z in range(nz)]
     fields = [_num("zone", T.LongType()), _num("share"), _num("lambda1"), _num("lifetime"),
               _num("irreducible", T.BooleanType())]

@@ -140,8 +140,7 @@ def coach_runs(managers: DataFrame, chunk: Column | None = None) -> DataFrame:
         F.sort_array(F.collect_set(S.season_label(F.col("match_date")))).alias("seasons"))
 
 
-def merge_interims(run_table: DataFrame, max_matches: int, cut_lineage, max_rounds: int = 64
-                   ) -> DataFrame:
+def merge_interims(run_table: DataFrame, max_matches: int, cut_lineage) -> DataFrame:
     """Fold runs of at most ``max_matches`` between two runs of the same coach into them.
 
     Every round merges the leftmost candidate of each stretch of adjacent candidates, and every
@@ -153,7 +152,7 @@ def merge_interims(run_table: DataFrame, max_matches: int, cut_lineage, max_roun
                                "first_run": F.col("run_id"), "last_run": F.col("run_id"),
                                "__p": F.col("run_id")})
     chunk = F.floor(F.col("__p") / 4096)
-    for _ in range(max_rounds):
+    while True:  # every round with a candidate removes runs, so the rounds end
         d = scan(d, ["club"], ["__p"], chunk,
                  after={"__nc": F.struct(F.col("coach").alias("v"))},
                  before={"__pc": F.struct(F.col("coach").alias("v"))})
@@ -184,7 +183,6 @@ def merge_interims(run_table: DataFrame, max_matches: int, cut_lineage, max_roun
              + F.sum(F.when(~own, F.col("n")).otherwise(0))).alias("absorbed"),
             F.min("first_run").alias("first_run"), F.max("last_run").alias("last_run"),
         ).withColumnRenamed("__group", "__p")
-    raise RuntimeError("interim merging did not settle")
 
 
 def flag_eras(merged: DataFrame, min_matches: int = 10, chunk: Column | None = None) -> DataFrame:

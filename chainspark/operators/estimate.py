@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chainspark.functions.draws import draw
+from chainspark.functions.draws import chunk_of, draw
 from chainspark.functions.scan import position
 from chainspark.space import StateSpace
 
@@ -93,8 +93,7 @@ def folds(blocks: DataFrame, k: int, seed: int, keys: list[str], block: str = "p
           ) -> DataFrame:
     """Deterministic near-equal folds of blocks, in the order of a draw on the block id."""
     d = blocks.withColumn("__u", draw(seed, F.col(block)))
-    # the high bits of the draw are an even chunking, whatever the size of a key
-    d = position(d, keys, ["__u", block], F.floor(F.col("__u") / 2 ** 24), "__pos", "__m")
+    d = position(d, keys, ["__u", block], chunk_of(F.col("__u")), "__pos", "__m")
     base, big = F.floor(F.col("__m") / k), F.col("__m") % k
     at = F.col("__pos") - 1
     fold = F.when(at < big * (base + 1), F.floor(at / (base + 1))).otherwise(
@@ -173,7 +172,7 @@ def error_curve(trans: DataFrame, q: DataFrame, lam: float, fractions: list[floa
     ids = trans.select("poss_uid").distinct().withColumn(
         "rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
     ids = ids.withColumn("u", draw(seed, F.col("rep"), F.col("poss_uid")))
-    ids = position(ids, ["rep"], ["u", "poss_uid"], F.floor(F.col("u") / 2 ** 24), "pos", "m")
+    ids = position(ids, ["rep"], ["u", "poss_uid"], chunk_of(F.col("u")), "pos", "m")
     spec = F.array(*[F.lit(float(f)) for f in fractions])
     ids = ids.withColumn("fraction", F.explode(spec)).withColumn(
         "n_possessions", F.greatest(F.lit(1), F.round(F.col("fraction") * F.col("m")).cast("bigint")))

@@ -107,14 +107,14 @@ def calibrated_null(acts: DataFrame, strata: list[str], outcome: str, min_n: int
     Inside a stratum only the number of pressed rows among outcome rows matters, so a replicate
     keeps the marks of the n1 rows with the smallest draws: no labels are moved between tasks.
     """
-    from chainspark.functions.draws import draw
+    from chainspark.functions.draws import chunk_of, draw
     from chainspark.functions.scan import position
 
     base = acts.select(*strata, uid, outcome, "y")
     n1 = base.groupBy(*strata).agg(F.sum("y").cast("bigint").alias("n1"))
     d = base.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(B)))).withColumn(
         "u", draw(seed, F.col("b"), F.col(uid)))
-    d = position(d, [*strata, "b"], ["u", uid], F.floor(F.col("u") / 2 ** 26), "k").join(n1, strata)
+    d = position(d, [*strata, "b"], ["u", uid], chunk_of(F.col("u")), "k").join(n1, strata)
     d = d.withColumn("y", (F.col("k") <= F.col("n1")).cast("double"))
     null = calibrated_difference(d, ["b"], strata, outcome, min_n)
     obs = calibrated_difference(base.withColumn("b", F.lit(0)), ["b"], strata, outcome, min_n)

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chainspark.functions.draws import draw, poisson1, uniform
+from chainspark.functions.draws import chunk_of, draw, poisson1, uniform
 from chainspark.functions.scan import Running, position, running
 from chainspark.session import cut_lineage
 
@@ -19,7 +19,7 @@ from chainspark.session import cut_lineage
 def ranked_blocks(blocks: DataFrame, stratum: list[str], block: str, seed: int) -> DataFrame:
     """Give every block of a stratum a canonical rank 0..n-1 in the order of its draw."""
     d = blocks.select(*stratum, block).distinct().withColumn("__u", draw(seed, F.col(block)))
-    d = position(d, stratum, ["__u", block], F.floor(F.col("__u") / 2 ** 24), "__k", "__n")
+    d = position(d, stratum, ["__u", block], chunk_of(F.col("__u")), "__k", "__n")
     return d.select(*stratum, block, (F.col("__k") - 1).alias("rank"), F.col("__n").alias("n"))
 
 
@@ -71,11 +71,13 @@ def permutation_labels(blocks: DataFrame, stratum: list[str], block: str, label:
     draw and takes the label at that rank.
     """
     d = cut_lineage(blocks.select(*stratum, block, label).distinct())
-    base = position(d, stratum, [label, block], F.col(label), "__slot")
+    # the order inside a label does not matter; a draw cuts large labels into chunks
+    base = d.withColumn("__u", draw(seed, F.col(block)))
+    base = position(base, stratum, [label, "__u", block], F.struct(F.col(label), chunk_of(F.col("__u"))), "__slot")
     keys = [*stratum, "b"]
     many = d.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(B)))).withColumn(
         "__u", draw(seed, F.col("b"), F.col(block)))
-    many = position(many, keys, ["__u", block], F.floor(F.col("__u") / 2 ** 28), "__slot")
+    many = position(many, keys, ["__u", block], chunk_of(F.col("__u")), "__slot")
     shuffled = many.drop(label, "__u").join(base.select(*stratum, "__slot", label), [*stratum, "__slot"])
     return shuffled.select(*stratum, block, "b", label).unionByName(
         d.withColumn("b", F.lit(0)).select(*stratum, block, "b", label))
@@ -87,7 +89,7 @@ def subsample(blocks: DataFrame, keys: list[str], block: str, size: str, B: int,
     d = blocks.select(*keys, block, size).distinct().withColumn(
         "b", F.explode(F.sequence(F.lit(1), F.lit(B))))
     d = d.withColumn("__u", draw(seed, F.col("b"), F.col(block)))
-    d = position(d, [*keys, "b"], ["__u", block], F.floor(F.col("__u") / 2 ** 28), "__k")
+    d = position(d, [*keys, "b"], ["__u", block], chunk_of(F.col("__u")), "__k")
     return d.filter(F.col("__k") <= F.col(size)).select(*keys, "b", block)
 
 
@@ -173,7 +175,7 @@ def omnibus(reps: DataFrame, keys: list[str], part: str, value: str) -> DataFram
 
 # -- multiplicity --------------------------------------------------------------------------------
 def fdr(df: DataFrame, family: list[str], p: str = "p", alpha: float = 0.05,
-        mask: Column | None = None, dependent: bool = False, levels: int = 256) -> DataFrame:
+        mask: Column | None = None, dependent: bool = False) -> DataFrame:
     """Benjamini-Hochberg q-values and rejections per family; Yekutieli when ``dependent``.
 
     Tests are ranked by a scan chunked on p, so a family may hold any number of tests. Rows
@@ -186,17 +188,18 @@ def fdr(df: DataFrame, family: list[str], p: str = "p", alpha: float = 0.05,
     d = d.withColumn("__take", take)
     # equal p-values share a q-value: rank distinct values with their counts
     values = d.filter("__take").groupBy(*keys, p).agg(F.count(F.lit(1)).alias("__c"))
-    chunk = F.floor(F.col(p) * levels)
+    # as many ranges of p as the family of a hot key needs, of which the scan gives the size
+    chunk = F.floor(F.col(p) * F.ceil(F.col("__rows") / 1000))
     values = running(values, keys, [p], [Running("__rank", "sum", F.col("__c"), inclusive=True)],
                      chunk, {"__m": ("sum", F.col("__c"))})
     factor = F.lit(1.0)
     if dependent:
-        # sum of 1/k up to m from its expansion; exact for small m
-        m = F.col("__m")
-        exact = F.aggregate(F.sequence(F.lit(1), F.least(m, F.lit(1000)).cast("int")), F.lit(0.0),
-                            lambda acc, k: acc + 1.0 / k)
-        tail = F.log(m) + 0.5772156649015329 + 1 / (2.0 * m) - 1 / (12.0 * m * m)
-        factor = F.when(m <= 1000, exact).otherwise(tail)
+        # sum of 1/k up to m: eight steps of its recurrence, then its expansion at m + 8
+        m = F.col("__m").cast("double")
+        far = m + 8
+        square = far * far
+        factor = (F.log(far) + 0.5772156649015329 + 1 / (2 * far) - 1 / (12 * square) + 1 / (120 * square * square)
+                  - 1 / (252 * square * square * square)) - sum((1 / (m + k) for k in range(1, 9)), F.lit(0.0))
     values = values.withColumn("__raw", F.col(p) * F.col("__m") / F.col("__rank") * factor)
     values = running(values, keys, [p], [Running("__q", "min", F.col("__raw"), True, True)], chunk)
     q = F.when(F.col("__take"), F.least(F.lit(1.0), F.col("__q"))).otherwise(1.0)

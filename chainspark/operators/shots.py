@@ -45,6 +45,11 @@ def frame_audit(shots: DataFrame, keys: list[str], text: str) -> DataFrame:
         F.avg(F.when(F.col("__f").isNotNull(), F.size(opponents(F.col("__f"), False)).cast("double"))).alias("defenders"))
 
 
+def _number(c: Column) -> Column:
+    """Null for NaN: an unknown place, which comparisons would otherwise put last."""
+    return F.when(~F.isnan(c), c)
+
+
 def _clipped_x(x: Column) -> Column:
     return F.least(x, F.lit(MAX_X))
 
@@ -55,12 +60,13 @@ def shadows(x: Column, y: Column, defenders: Column, radius: float = RADIUS) ->
     ``defenders`` is array<array<double>>; a frame holds at most two teams, so everything stays
     inside the row: no explode and no exchange.
     """
+    x, y = _number(x), _number(y)
     sx = _clipped_x(x)
     lo = F.atan2(F.lit(POST_LOW[1]) - y, F.lit(POST_LOW[0]) - sx)
     hi = F.atan2(F.lit(POST_HIGH[1]) - y, F.lit(POST_HIGH[0]) - sx)
 
     def one(d: Column) -> Column:
-        dx, dy = F.get(d, 0), F.get(d, 1)
+        dx, dy = _number(F.get(d, 0)), _number(F.get(d, 1))
         rho = F.sqrt((dx - sx) * (dx - sx) + (dy - y) * (dy - y))
         semi = F.asin(F.least(F.lit(1.0), F.lit(radius) / F.greatest(rho, F.lit(1e-9))))
         phi = F.atan2(dy - y, dx - sx)
@@ -85,6 +91,7 @@ def _union_length(intervals: Column) -> Column:
 
 def visible_goal(x: Column, y: Column, defenders: Column, radius: float = RADIUS) -> Column:
     """Angular share of the goal not hidden; null without a shooting position."""
+    x, y = _number(x), _number(y)
     sx = _clipped_x(x)
     width = (F.atan2(F.lit(POST_HIGH[1]) - y, F.lit(POST_HIGH[0]) - sx)
              - F.atan2(F.lit(POST_LOW[1]) - y, F.lit(POST_LOW[0]) - sx))
@@ -97,6 +104,7 @@ def visible_goal(x: Column, y: Column, defenders: Column, radius: float = RADIUS
 
 def blocked_segments(x: Column, y: Column, defenders: Column, radius: float = RADIUS) -> Column:
     """Pieces of the goal line hidden, projected linearly; for display, not the angular share."""
+    x, y = _number(x), _number(y)
     sx = _clipped_x(x)
     s = shadows(x, y, defenders, radius)
     low, high = POST_LOW[1], POST_HIGH[1]
@@ -116,10 +124,11 @@ def features(shots: DataFrame, x: str, y: str, frame: str, radius: float = RADIU
 
     Keeper features are null without a keeper in the frame; nothing is imputed.
     """
-    sx, sy = F.col(x), F.col(y)
+    sx, sy = _number(F.col(x)), _number(F.col(y))
     field = F.transform(opponents(F.col(frame), False), lambda p: p["location"])
     keeper = F.get(opponents(F.col(frame), True), 0)["location"]
-    dist = F.transform(field, lambda d: S.distance(sx, sy, F.get(d, 0), F.get(d, 1)))
+    # defenders without a readable place are not near
+    dist = F.filter(F.transform(field, lambda d: S.distance(sx, sy, F.get(d, 0), F.get(d, 1))), lambda d: ~F.isnan(d))
     gx, gy = F.get(keeper, 0), F.get(keeper, 1)
     return shots.withColumns({
         "goal_distance": S.goal_distance(sx, sy), "goal_angle": S.goal_angle(sx, sy),
@@ -186,8 +195,8 @@ def fit_logistic(df: DataFrame, feats: list[str], label: str, keys: list[str], l
             fits[k] = b + delta
             worst = max(worst, float(np.abs(delta).max()))
         if worst < tol:
-            break
-    return fits
+            return fits
+    raise RuntimeError(f"the Newton steps did not settle within {iters}")
 
 
 def predict(df: DataFrame, feats: list[str], mom: DataFrame, fits: dict[tuple, np.ndarray],

@@ -21,7 +21,7 @@ def _raw_events(spark, sf):
     kind, out = F.col("action_type"), F.col("outcome")
     loc = F.array("start_x", "start_y")
     end = F.when(F.pmod(F.col("possession"), F.lit(11)) != 3, F.array("end_x", "end_y"))
-    index = (F.col("possession") * 64 + F.col("event_index")).cast("bigint")
+    index = (F.col("possession") * 1048576 + F.col("event_index")).cast("bigint")
     last = out != ""
     return m.select(
         F.concat_ws(":", "poss_uid", "event_index").alias("id"), index.alias("index"), "match_id",
@@ -43,7 +43,7 @@ def _raw_events(spark, sf):
 
 EV = MOVES + """,
 ev AS MATERIALIZED (
-  SELECT possession * 64 + event_index AS index, match_id, possession, event_index, poss_uid, phase, player_id, under_pressure, outcome,
+  SELECT possession * 1048576 + event_index AS index, match_id, possession, event_index, poss_uid, phase, player_id, under_pressure, outcome,
     CASE WHEN outcome IN ('LOSS','OUT') THEN 'Pass' ELSE action_type END AS type,
     CASE WHEN player_id % 7 = 5 AND outcome = '' THEN opponent ELSE team END AS team, team AS possession_team,
     start_x, start_y,
@@ -82,7 +82,7 @@ SELECT match_id, score_state, CAST(COUNT(*) AS BIGINT) AS n, CAST(SUM(goal_diff)
 FROM sc GROUP BY match_id, score_state"""))
 def t01(spark, sf):
     df = chains.add_score_state(E.normalise(raw_events(spark, sf)), club="T1",
-                                chunk=F.floor(F.col("index") / (64 * 1024)))
+                                chunk=F.floor(F.col("index") / (1048576 * 1024)))
     return df.groupBy("match_id", "score_state").agg(
         F.count(F.lit(1)).alias("n"), F.sum("goal_diff").alias("sum_diff"),
         F.sum("goal_diff_club").alias("sum_club"))
@@ -103,7 +103,7 @@ SELECT poss_uid, match_id, team, index AS event_index, phase, score_state, score
   under_pressure, from_state, to_state, to_state >= 80 AS is_absorbing FROM built"""))
 def t03(spark, sf):
     return chains.build_transitions(E.normalise(raw_events(spark, sf)), SPACE, club="T1",
-                                    chunk=F.floor(F.col("index") / (64 * 1024)))
+                                    chunk=F.floor(F.col("index") / (1048576 * 1024)))
 
 
 @query("t04_terminal_absorption", sql(TR, """

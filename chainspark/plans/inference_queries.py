@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from chainspark.functions import scalars as S
+from chainspark.functions.draws import SPAN, chunk_of, poisson1_steps
 from chainspark.operators import absorb as C
 from chainspark.operators import chains
 from chainspark.operators import contrast as X
@@ -87,7 +88,7 @@ def j14(spark, sf):
 
 
 @query("i05_poisson_bootstrap", sql(PM, f""",
-u AS (SELECT team, match_id, n, g, b, CASE WHEN b = 0 THEN 1 ELSE (SELECT COUNT(*) FROM (SELECT UNNEST([0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253, 0.999998874797402, 0.9999998885745217]) AS c) WHERE (CAST({draw_sql("'5'", "b", "match_id")} AS DOUBLE) + 0.5) / 4294967296.0 > c) END AS w
+u AS (SELECT team, match_id, n, g, b, CASE WHEN b = 0 THEN 1 ELSE (SELECT COUNT(*) FROM (SELECT UNNEST({poisson1_steps()}) AS c) WHERE (CAST({draw_sql("'5'", "b", "match_id")} AS DOUBLE) + 0.5) / {float(SPAN)!r} > c) END AS w
   FROM pm, (SELECT UNNEST(range(0, 11)) AS b))
 SELECT team, CAST(b AS INTEGER) AS b, CAST(SUM(w * n) AS DOUBLE) AS n, CAST(SUM(w * g) AS DOUBLE) AS g FROM u GROUP BY 1, 2"""))
 def i05b(spark, sf):
@@ -406,7 +407,7 @@ def i18b(spark, sf):
     from chainspark.functions.draws import draw
     from chainspark.functions.scan import position
     many = many.withColumn("u", draw(77, F.col("b"), F.col("match_id")))
-    many = position(many, ["team", "b"], ["u", "match_id"], F.floor(F.col("u") / 2 ** 28), "pos").drop("u")
+    many = position(many, ["team", "b"], ["u", "match_id"], chunk_of(F.col("u")), "pos").drop("u")
     both = many.unionByName(order.select("team", "match_id", "size", F.lit(0).alias("b"), "pos"))
     c = E.count_cells(tr, ("team", "match_id"))
     c = c.join(both.select("team", "match_id", "b"), ["team", "match_id"])
@@ -420,7 +421,7 @@ cd0 AS MATERIALIZED (SELECT *, SUM(pmf) OVER (PARTITION BY team ORDER BY k) AS c
 cd AS MATERIALIZED (SELECT *, LAG(cdf, 1, -1) OVER (PARTITION BY team ORDER BY k) AS before_cdf, MAX(k) OVER (PARTITION BY team) AS kmax FROM cd0),
 ln AS (SELECT team, poss_uid, COUNT(*) AS n FROM tr GROUP BY 1, 2 HAVING COUNT(*) >= 2),
 nn AS (SELECT team, COUNT(*) AS n FROM ln GROUP BY 1),
-dr AS (SELECT team, b, s, (CAST({draw_sql("'8'", "team", "b", "s")} AS DOUBLE) + 0.5) / 4294967296.0 AS u FROM nn, (SELECT UNNEST(range(1, 10)) AS b), LATERAL (SELECT UNNEST(range(n)) AS s)),
+dr AS (SELECT team, b, s, (CAST({draw_sql("'8'", "team", "b", "s")} AS DOUBLE) + 0.5) / {float(SPAN)!r} AS u FROM nn, (SELECT UNNEST(range(1, 10)) AS b), LATERAL (SELECT UNNEST(range(n)) AS s)),
 rl AS (SELECT dr.team, b, k FROM dr JOIN cd ON cd.team = dr.team AND ((u > before_cdf AND u <= cdf) OR (k = kmax AND u > cdf)) UNION ALL SELECT team, 0, n FROM ln),
 rh AS (SELECT team, b, k, COUNT(*) / SUM(COUNT(*)) OVER (PARTITION BY team, b) AS o FROM rl GROUP BY 1, 2, 3),
 gr AS (SELECT cd.team, x.b, cd.k, cdf, SUM(COALESCE(o, 0)) OVER (PARTITION BY cd.team, x.b ORDER BY cd.k) AS oc FROM cd CROSS JOIN (SELECT UNNEST(range(0, 10)) AS b) x LEFT JOIN rh ON rh.team = cd.team AND rh.b = x.b AND rh.k = cd.k),

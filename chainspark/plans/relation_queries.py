@@ -457,7 +457,7 @@ def w04(spark, sf):
     return d.groupBy("action_type").agg(F.avg((F.col("k") == F.col("length")).cast("double")).alias("last_share"))
 
 
-@query("w05_first_row", sql(FA, " SELECT match_id, team, MIN_BY(phase, possession * 64 + event_index) AS phase, MIN_BY(start_x, possession * 64 + event_index) AS start_x FROM actions GROUP BY 1, 2"))
+@query("w05_first_row", sql(FA, " SELECT match_id, team, MIN_BY(phase, possession * 1048576 + event_index) AS phase, MIN_BY(start_x, possession * 1048576 + event_index) AS start_x FROM actions GROUP BY 1, 2"))
 def w05(spark, sf):
     return Q.first_per_key(moves(spark, sf).select("match_id", "team", "phase", "start_x", "possession", "event_index"),
                            ["match_id", "team"], [F.col("possession"), F.col("event_index")]).select(
@@ -487,9 +487,8 @@ def w08(spark, sf):
  FROM lineitem WINDOW w AS (PARTITION BY l_returnflag ORDER BY l_quantity))
 SELECT DISTINCT l_returnflag, l_quantity, CAST(rk AS DOUBLE) AS rank, ROUND(sh, 6) AS rank_share FROM r"""))
 def w09(spark, sf):
-    d = Q.midrank(load(spark, sf, "lineitem").select("l_returnflag", "l_quantity"), ["l_returnflag"], "l_quantity",
-                  chunk=F.floor(F.col("l_quantity") / 8))
-    return d.withColumn("rank_share", F.round("rank_share", 6)).distinct()
+    d = Q.rank_values(load(spark, sf, "lineitem"), ["l_returnflag"], "l_quantity", chunk=F.floor(F.col("l_quantity") / 8))
+    return d.withColumn("rank_share", F.round("rank_share", 6))
 
 
 @query("w10_reverse_running_min", sql(FA, """,
@@ -605,7 +604,8 @@ def u05b(spark, sf):
 SELECT b.team AS defender, a.team AS attacker, CAST(COUNT(*) AS BIGINT) AS n, CAST(SUM(CASE WHEN under_pressure THEN 1 ELSE 0 END) AS BIGINT) AS pressed
 FROM actions a JOIN (SELECT DISTINCT match_id, team FROM actions) b ON a.match_id = b.match_id AND a.team <> b.team GROUP BY 1, 2"""))
 def u06(spark, sf):
-    m = moves(spark, sf)
-    sides = m.select("match_id", F.col("team").alias("defender")).distinct()
-    return m.join(sides, "match_id").filter("team <> defender").groupBy("defender", F.col("team").alias("attacker")).agg(
-        N().alias("n"), F.sum(F.col("under_pressure").cast("bigint")).alias("pressed"))
+    # one row per side of a match before the sides meet
+    side = moves(spark, sf).groupBy("match_id", "team").agg(N().alias("n"), F.sum(F.col("under_pressure").cast("bigint")).alias("pressed"))
+    rival = side.select("match_id", F.col("team").alias("defender"))
+    return side.join(rival, "match_id").filter("team <> defender").groupBy("defender", F.col("team").alias("attacker")).agg(
+        F.sum("n").alias("n"), F.sum("pressed").alias("pressed"))

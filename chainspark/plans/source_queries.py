@@ -248,11 +248,15 @@ def f06(spark, sf):
     return moves(spark, sf).groupBy("score_state", S.invert_score(F.col("score_state")).alias("inverted"), S.moment_level(minute).alias("moment")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("f07_clock_text", sql("", """t AS (SELECT user_id, strftime(ts, '%H:%M:%S.%g') AS c FROM events)
-SELECT user_id, ROUND(SUM(CAST(split_part(c, ':', 1) AS DOUBLE) * 3600 + CAST(split_part(c, ':', 2) AS DOUBLE) * 60 + CAST(split_part(c, ':', 3) AS DOUBLE)), 3) AS seconds FROM t GROUP BY 1"""))
+@query("f07_clock_text", sql("", """t AS (SELECT user_id, strftime(ts, '%H:%M:%S.%g') AS c FROM events),
+v AS (SELECT user_id, CAST(split_part(c, ':', 1) AS DOUBLE) * 3600 + CAST(split_part(c, ':', 2) AS DOUBLE) * 60 + CAST(split_part(c, ':', 3) AS DOUBLE) AS s,
+  CAST(split_part(c, ':', 1) AS DOUBLE) * 60 + CAST(split_part(c, ':', 2) AS DOUBLE) AS short FROM t)
+SELECT user_id, ROUND(SUM(s), 3) AS seconds, ROUND(SUM(short), 3) AS minutes_seconds FROM v GROUP BY 1"""))
 def f07(spark, sf):
     text = F.date_format(F.col("ts").cast("timestamp"), "HH:mm:ss.SSS")
-    return load(spark, sf, "events").groupBy("user_id").agg(F.round(F.sum(S.clock_seconds(text)), 3).alias("seconds"))
+    short = F.substring(text, 1, 5)
+    return load(spark, sf, "events").groupBy("user_id").agg(
+        F.round(F.sum(S.clock_seconds(text)), 3).alias("seconds"), F.round(F.sum(S.clock_seconds(short)), 3).alias("minutes_seconds"))
 
 
 @query("f08_date_text", sql("", """d AS (SELECT CAST(substr(CAST(o_orderdate AS VARCHAR), 1, 10) AS DATE) AS d FROM orders)
@@ -262,10 +266,10 @@ def f08(spark, sf):
     return load(spark, sf, "orders").groupBy(d.alias("d")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("f09_slug", sql("", """x AS (SELECT doc_id, lower(replace(translate(text, 'áàäâãåéèëêíìïîóòöôõúùüûñçýÁÀÄÂÃÅÉÈËÊÍÌÏÎÓÒÖÔÕÚÙÜÛÑÇÝ', 'aaaaaaeeeeiiiiooooouuuuncyAAAAAAEEEEIIIIOOOOOUUUUNCY'), ' ', '_')) AS slug FROM documents)
+@query("f09_slug", sql("", f"""x AS (SELECT doc_id, lower(replace(translate(regexp_replace(text || ' Dušan Tadić Łódź Žižek', '\\p{{Mn}}', '', 'g'), '{S.ACCENTED}', '{S.PLAIN}'), ' ', '_')) AS slug FROM documents)
 SELECT doc_id, md5(slug) AS slug FROM x"""))
 def f09(spark, sf):
-    return load(spark, sf, "documents").select("doc_id", F.md5(S.slug(F.col("text"))).alias("slug"))
+    return load(spark, sf, "documents").select("doc_id", F.md5(S.slug(F.concat("text", F.lit(" Dušan Tadić Łódź Žižek")))).alias("slug"))
 
 
 @query("f10_distances", sql(FA, """
@@ -440,14 +444,12 @@ k AS (SELECT b.team, b.match_id, b.block, season, lo, hi, ROW_NUMBER() OVER (PAR
 SELECT team, match_id, CAST(lo + CAST(CASE WHEN n > 1 THEN ROUND(CAST(DATE_DIFF('day', lo, hi) AS DOUBLE) * (k - 1) / (n - 1)) ELSE 0 END AS INTEGER) AS DATE) AS match_date, season, block, 'derived' AS source FROM k"""))
 def r09(spark, sf):
     ids = moves(spark, sf).select("team", "match_id").distinct()
-    # one calendar row per year of the log
-    years = moves(spark, sf).select((F.year("match_date") % 100).alias("y")).distinct()
-    first = years.agg(F.min("y").alias("y0"))
-    cal = spark.range(1, 10).withColumnRenamed("id", "season_no").crossJoin(F.broadcast(first)).select(
+    seasons = 5  # regular blocks asked for, and so the seasons of the calendar
+    cal = spark.range(1, seasons + 1).withColumnRenamed("id", "season_no").select(
         "season_no", F.concat(F.lit("S"), F.col("season_no").cast("string")).alias("season"),
         F.make_date((2000 + F.col("season_no")).cast("int"), F.lit(1), F.lit(10)).alias("first_day"),
         F.make_date((2000 + F.col("season_no")).cast("int"), F.lit(5), F.lit(20)).alias("last_day"))
-    return R.derive_dates(ids, ["team"], 40, cal, 5, (7, 30), F.floor(F.col("match_id") / 100))
+    return R.derive_dates(ids, ["team"], 40, cal, seasons, (7, 30), F.floor(F.col("match_id") / 100))
 
 
 @query("r10_common_club", sql(FA, """,

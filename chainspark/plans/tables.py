@@ -10,6 +10,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chainspark.functions.draws import DIGITS
 from chainspark.functions import scalars as S
 from chainspark.functions.scan import Running, running, scan
 from chainspark.operators import chains
@@ -191,7 +192,7 @@ def sql(base: str, body: str) -> str:
     return "WITH " + base.strip() + body.lstrip(" ") if not base else "WITH " + base.strip() + body
 
 
-DRAW_SQL = "CAST(('0x' || substr(md5({0}), 1, 8)) AS BIGINT)"
+DRAW_SQL = f"CAST(('0x' || substr(md5({{0}}), 1, {DIGITS})) AS BIGINT)"
 
 
 def draw_sql(*parts: str) -> str:

@@ -117,7 +117,7 @@ def l06(spark, sf):
     return minutes(spark, sf).withColumn("minutes", F.round("minutes", 6))
 
 
-@query("l06_clock_kind", sql(SPELLS, " SELECT team, CASE WHEN AVG(CASE WHEN f >= 2700 THEN 1.0 ELSE 0.0 END) > 0.5 THEN 'cumulative' ELSE 'period' END AS clock FROM sp WHERE fp = 2 GROUP BY team"))
+@query("l06_clock_kind", sql(SPELLS, " SELECT team, CASE WHEN AVG(CASE WHEN f >= 2700 THEN 1.0 ELSE 0.0 END) FILTER (fp = 2) > 0.5 THEN 'cumulative' WHEN COUNT(*) FILTER (fp = 2) = 0 THEN 'unknown' ELSE 'period' END AS clock FROM sp GROUP BY team"))
 def l06b(spark, sf):
     return L.clock_kind(spells(spark, sf), ["team"])
 

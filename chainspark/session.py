@@ -52,6 +52,20 @@ def is_written(spark: SparkSession, path: str) -> bool:
     return done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done)
 
 
+def scratch_dir(spark: SparkSession) -> str:
+    """The application's own folder of derived tables inside the shared one."""
+    return f"{shared_dir(spark)}/chainspark-{spark.sparkContext.applicationId}"
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Remove the derived tables of this application; frames read from them are of no use afterwards.
+
+    They belong to the application: call this when its results are written.
+    """
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write a derived table to the shared folder and read it back.
 
@@ -59,6 +73,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     rounds of a fixpoint): they are computed once, and losing an executor loses nothing.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/chainspark-{spark.sparkContext.applicationId}/cut-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

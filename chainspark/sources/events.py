@@ -40,14 +40,15 @@ def require_columns(df: DataFrame, needed) -> DataFrame:
     return df
 
 
-def scan_csv(spark: SparkSession, path: str | list[str], schema: T.StructType | None = None
-             ) -> DataFrame:
+def scan_csv(spark: SparkSession, path: str | list[str], schema: T.StructType | None = None,
+             multi_line: bool = False) -> DataFrame:
     """CSV with every null token handled.
 
     Columns are read as text and cast to the contract, so a rare column that is empty in the
-    first rows keeps its type. Without a schema the whole file is sampled for inference.
+    first rows keeps its type. Without a schema the whole file is sampled for inference. Files are
+    split between tasks unless values may hold line breaks (``multi_line``).
     """
-    reader = spark.read.option("header", True).option("escape", '"').option("multiLine", True)
+    reader = spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line)
     if schema is None:
         df = reader.option("inferSchema", True).option("samplingRatio", 1.0).csv(path)
         texts = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
@@ -100,7 +101,7 @@ def scan_events(spark: SparkSession, src: str, schema: T.StructType | None = EVE
 
 
 def _csv_folder(spark: SparkSession, src: str, schema) -> DataFrame:
-    raw = (spark.read.option("header", True).option("escape", '"').option("multiLine", True)
+    raw = (spark.read.option("header", True).option("escape", '"')
            .option("pathGlobFilter", "*.csv").option("recursiveFileLookup", True).csv(src))
     out = raw.withColumns({c: S.null_tokens_to_null(F.col(f"`{c}`")) for c in raw.columns})
     if schema is None:

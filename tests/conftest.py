@@ -12,6 +12,9 @@ def spark():
 
     session = get_spark(8, "chainspark-tests")
     yield session
+    from chainspark.session import drop_scratch
+
+    drop_scratch(session)
     session.stop()
 
 
