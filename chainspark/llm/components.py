@@ -32,39 +32,39 @@ def _forest(batches):
                                           pa.array([p[1] for p in pairs], pa.int64())], ["u", "v"])
 
 
+def _round(edges: DataFrame) -> DataFrame:
+    """Large star, then small star, on links u > v."""
+    # large star: neighbours above a node go to the smallest in its neighbourhood
+    both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+    large = (both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+             .where("u <> v").distinct())
+    # small star: a node and its smaller neighbours go to the smallest of them
+    low = large.groupBy("u").agg(F.min("v").alias("m"))
+    small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return small.unionAll(low.select("u", F.col("m").alias("v"))).distinct()
+
+
+def _is_forest_of_stars(edges: DataFrame) -> bool:
+    """True when every node has one link down, to a node without any."""
+    centres = edges.select(F.col("v").alias("u")).distinct().withColumn("centre", F.lit(True))
+    per = edges.groupBy("u").count().join(centres, "u", "left")
+    return per.where("count > 1 OR centre").isEmpty()
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component) for every node of the links (a, b: bigint); component: its smallest node.
 
-    Links are first contracted inside each batch of a task. Then rounds of large-star and
-    small-star (each node passes its neighbours to the smallest one) run until nothing changes,
-    about the logarithm of the longest path. A round needs minima with map-side combine and one
-    join; the join's hot centres are what adaptive execution splits. Nothing reaches the driver but
-    two numbers a round. Null ends and loops link nothing; an empty table gives an empty table.
+    Links are first contracted inside each batch of a task. Then rounds of large star and small
+    star (each node passes its neighbours to the smallest one) run until only stars are left,
+    about the logarithm of the longest path. A round needs minima with map-side combine and joins,
+    whose hot centres are what adaptive execution splits; its result is written. Nothing of the
+    links reaches the driver. Null ends and loops link nothing; an empty table gives an empty table.
     """
-    edges = (links.select(F.col("a").cast("bigint").alias("u"), F.col("b").cast("bigint").alias("v"))
-             .where("u IS NOT NULL AND v IS NOT NULL AND u <> v")
-             .mapInArrow(_forest, "u bigint, v bigint").distinct())
-    edges = cut_lineage(edges)  # u > v throughout
-    while True:
-        # large star: neighbours above a node go to the smallest in its neighbourhood
-        both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = (both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-                 .where("u <> v"))
-        large = cut_lineage(large.distinct())
-        # small star: a node and its smaller neighbours go to the smallest of them
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-                 .unionAll(low.select("u", F.col("m").alias("v"))))
-        after = cut_lineage(small.distinct())
-        if _mark(after) == _mark(edges):
-            return after.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(
-                after.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-        edges = after
-
-
-def _mark(edges: DataFrame) -> tuple:
-    """Count and order-free checksum of a link table."""
-    r = edges.agg(F.count("*").alias("n"),
-                  F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
-    return r["n"], r["s"]
+    edges = cut_lineage(links.select(F.col("a").cast("bigint").alias("u"), F.col("b").cast("bigint").alias("v"))
+                        .where("u IS NOT NULL AND v IS NOT NULL AND u <> v")
+                        .mapInArrow(_forest, "u bigint, v bigint").distinct())  # u > v throughout
+    while not _is_forest_of_stars(edges):
+        edges = cut_lineage(_round(edges))
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(
+        edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

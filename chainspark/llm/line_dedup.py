@@ -17,8 +17,10 @@ from chainspark.llm.similarity import Bands, _linked
 from chainspark.llm.text import LOWER, Chunk, Ranges, chunks, group_sum, map_arrow, mix, sorted_sets, unused
 from chainspark.session import cut_lineage
 
-#: Buckets of the rarity sketch.
-SKETCH_BITS = 18
+#: Buckets of the rarity sketch: about one for each word that is not rare; a byte each.
+SKETCH_BITS = 21
+#: Bits of the filter that picks the lines whose words a check needs.
+FILTER_BITS = 26
 _A, _B = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 
 
@@ -38,45 +40,57 @@ def _prints(values: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return n.astype(np.int64), fp1.view(np.int64), fp2.view(np.int64)
 
 
-def rarity_sketch(docs: DataFrame) -> np.ndarray:
-    """Lines that hold a word, per bucket of the word's hash; 2^SKETCH_BITS numbers for any corpus."""
+def _parity(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """64 bits a line; bit i tells whether an odd number of its words hash to i."""
+    sums = np.zeros(len(values) + 1, np.uint64)
+    np.bitwise_xor.accumulate(np.uint64(1) << (values & np.uint64(63)), out=sums[1:])
+    return (sums[first[1:]] ^ sums[first[:-1]]).view(np.int64)
+
+
+def _lines(docs: DataFrame, least: int) -> DataFrame:
+    """Lines with ``least`` distinct words: doc_id, print, line_no, n, fp1, fp2; and rarity counts.
+
+    The counts are rows of their own (bucket, lines): the lines that hold a word, per bucket of the
+    word's hash. Each task adds its words up and sends 2^SKETCH_BITS of them at most.
+    """
+    names = ["doc_id", "print", "line_no", "n", "fp1", "fp2", "bucket", "lines"]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
+
     def run(batches):
-        total = np.zeros(1 << SKETCH_BITS, np.int64)
+        total = np.zeros(1 << SKETCH_BITS, np.int32)
         for batch in batches:
             for chunk in chunks(batch.column("text")):
-                values, _, _ = _line_sets(chunk)
-                total += np.bincount((values >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(total))
+                values, first, l_bounds = _line_sets(chunk)
+                total += np.bincount((values >> np.uint64(64 - SKETCH_BITS)).astype(np.int64),
+                                     minlength=len(total)).astype(np.int32)
+                n, fp1, fp2 = _prints(values, first)
+                per = np.diff(l_bounds)
+                doc = np.repeat(np.arange(chunk.n), per)
+                no = np.arange(len(n)) - np.repeat(l_bounds[:-1], per)
+                keep = n >= least
+                take = pa.array(chunk.first_row + doc[keep])
+                own = [batch.column("doc_id").take(take), batch.column("print").take(take), pa.array(no[keep].astype(np.int32)),
+                       pa.array(n[keep]), pa.array(fp1[keep]), pa.array(fp2[keep])]
+                yield pa.RecordBatch.from_arrays([*own, *[pa.nulls(int(keep.sum()), k) for k in kinds[6:]]], names)
         used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["bucket", "n"])
-    counts = docs.select("text").mapInArrow(run, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
-    counts = counts.toPandas()
-    out = np.zeros(1 << SKETCH_BITS, np.int64)
-    out[counts.bucket] = counts.n
+        yield pa.RecordBatch.from_arrays([*[pa.nulls(len(used), k) for k in kinds[:6]], pa.array(used.astype(np.int32)),
+                                          pa.array(total[used].astype(np.int64))], names)
+    return docs.mapInArrow(run, "doc_id bigint, print bigint, line_no int, n bigint, fp1 bigint, fp2 bigint, bucket int, lines bigint")
+
+
+def _rarity(counts: DataFrame) -> np.ndarray:
+    """12 times the binary logarithm of each bucket's count; 2^SKETCH_BITS bytes for any corpus."""
+    level = F.least(F.round(12 * F.log2(F.sum("lines"))), F.lit(255)).cast("int")
+    levels = counts.where("bucket IS NOT NULL").groupBy("bucket").agg(level.alias("level")).toPandas()
+    out = np.zeros(1 << SKETCH_BITS, np.uint8)
+    out[levels.bucket] = levels.level
     return out
 
 
-def _lines(docs: DataFrame, least: int) -> DataFrame:
-    """(doc_id, print, n_lines) and (line_no, n, fp1, fp2) of the lines with ``least`` distinct words."""
-    def run(batch):
-        for chunk in chunks(batch.column("text")):
-            values, first, l_bounds = _line_sets(chunk)
-            n, fp1, fp2 = _prints(values, first)
-            per = np.diff(l_bounds)
-            doc = np.repeat(np.arange(chunk.n), per)
-            no = np.arange(len(n)) - np.repeat(l_bounds[:-1], per)
-            keep = n >= least
-            take = pa.array(chunk.first_row + doc[keep])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(take), batch.column("print").take(take),
-                 pa.array(no[keep].astype(np.int32)), pa.array(n[keep]), pa.array(fp1[keep]), pa.array(fp2[keep])],
-                ["doc_id", "print", "line_no", "n", "fp1", "fp2"])
-    return map_arrow(docs, run, "doc_id bigint, print bigint, line_no int, n bigint, fp1 bigint, fp2 bigint")
-
-
-def _prefixes(docs: DataFrame, bands: Bands, least: int, sketch: np.ndarray) -> DataFrame:
-    """(word, fp1, n, place, doc_id, line_no) for the prefix words of lines that can have a partner.
-
-    A set that a task has seen sends nothing again: its first document in the task stands for it.
+def _prefixes(docs: DataFrame, bands: Bands, least: int, rarity: np.ndarray) -> DataFrame:
+    """(word, fp1, bits, n, place, doc_id, line_no) for the prefix words of lines that can have a partner.
+
+    A set that a task has seen in an earlier line sends nothing again.
     """
     def run(batches):
         seen: dict[int, tuple[int, int]] = {}
@@ -88,19 +102,20 @@ def _prefixes(docs: DataFrame, bands: Bands, least: int, sketch: np.ndarray) ->
                 per = np.diff(l_bounds)
                 doc = ids[chunk.first_row + np.repeat(np.arange(chunk.n), per)]
                 no = np.arange(len(n)) - np.repeat(l_bounds[:-1], per)
-                # a partner of another set has at least one word more or less in common than a copy
-                alone = bands.overlap(n, n + 1) > n
-                fresh = (n >= least) & ~(alone & (bands.overlap(n, np.maximum(n - 1, 0)) > n - 1) & (bands.overlap(n, n) > n - 1))
+                # small sets are only similar to equal ones, which are one class already
+                partner = (bands.overlap(n, n + 1) <= n) | (bands.overlap(n, np.maximum(n - 1, 0)) <= n - 1) | (bands.overlap(n, n) <= n - 1)
+                fresh = (n >= least) & partner
                 for i in np.flatnonzero(fresh):
                     key, at = int(fp1[i]), (int(doc[i]), int(no[i]))
                     if key in seen and seen[key] <= at:
                         fresh[i] = False
                     else:
                         seen[key] = at
+                bits = _parity(values, first)
                 size = np.where(fresh, n, 0)
                 own = values[np.repeat(fresh, n)]
                 line = np.repeat(np.arange(len(n)), size)
-                order = np.lexsort((own, sketch[(own >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], line))
+                order = np.lexsort((own, rarity[(own >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], line))
                 bounds = np.concatenate([[0], np.cumsum(size)])
                 place = np.arange(len(own)) - np.repeat(bounds[:-1], size)
                 # the smallest overlap with any partner decides the prefix
@@ -108,49 +123,70 @@ def _prefixes(docs: DataFrame, bands: Bands, least: int, sketch: np.ndarray) ->
                 head = place < np.repeat(n - need + 1, size)
                 at = line[head]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(own[order][head].view(np.int64)), pa.array(fp1[at]), pa.array(n[at].astype(np.int32)),
+                    [pa.array(own[order][head].view(np.int64)), pa.array(fp1[at]), pa.array(bits[at]), pa.array(n[at].astype(np.int32)),
                      pa.array(place[head].astype(np.int32)), pa.array(doc[at].astype(np.int64)), pa.array(no[at].astype(np.int32))],
-                    ["word", "fp1", "n", "place", "doc_id", "line_no"])
+                    ["word", "fp1", "bits", "n", "place", "doc_id", "line_no"])
     return docs.select("doc_id", "text").mapInArrow(
-        run, "word bigint, fp1 bigint, n int, place int, doc_id bigint, line_no int")
+        run, "word bigint, fp1 bigint, bits bigint, n int, place int, doc_id bigint, line_no int")
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(fp1, fp2, n, items) of wanted (doc_id, line_nos) lines."""
+    """(fp1, fp2, n, items) of the lines whose fp1 is wanted: one row per set.
+
+    What is wanted goes to the tasks as a filter of 2^FILTER_BITS bits, whatever its number; a join
+    drops what the filter lets pass besides.
+    """
+    spot = F.shiftrightunsigned("fp1", 64 - FILTER_BITS)
+    mask = F.expr(f"shiftleft(1L, cast(pmod(shiftrightunsigned(fp1, {64 - FILTER_BITS}), 64) as int))")
+    words = wanted.groupBy(F.floor(spot / 64).cast("int").alias("at")).agg(F.bit_or(mask).alias("mask")).toPandas()
+    table = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    table[words["at"]] = words["mask"]
+    open_bits = table.view(np.uint64)
+
     def run(batch):
-        nos = batch.column("line_nos").to_pylist()
         for chunk in chunks(batch.column("text")):
-            values, first, l_bounds = _line_sets(chunk)
+            values, first, _ = _line_sets(chunk)
             n, fp1, fp2 = _prints(values, first)
-            at = [int(l_bounds[d]) + k for d in range(chunk.n) for k in nos[chunk.first_row + d]
-                  if k < l_bounds[d + 1] - l_bounds[d]]
+            spot = fp1.view(np.uint64) >> np.uint64(64 - FILTER_BITS)
+            at = np.flatnonzero((open_bits[(spot >> np.uint64(6)).astype(np.int64)] >> (spot & np.uint64(63))) & np.uint64(1))
+            at = at[np.unique(fp1[at], return_index=True)[1]]
             items = [values[first[i]:first[i + 1]].tobytes() for i in at]
             yield pa.RecordBatch.from_arrays([pa.array(fp1[at]), pa.array(fp2[at]), pa.array(n[at]),
                                               pa.array(items, pa.binary())], ["fp1", "fp2", "n", "items"])
-    return map_arrow(docs.join(wanted.withColumnRenamed("doc_id", "_doc"), F.col("doc_id") == F.col("_doc"))
-                     .select("text", "line_nos"), run, "fp1 bigint, fp2 bigint, n bigint, items binary")
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
-    """Of pairs (early, late: fp1) those whose sets are similar, as the late set (fp1, fp2, n)."""
-    early = sets.select(F.col("fp1").alias("early"), F.col("items").alias("items_a"))
-    late = sets.select(F.col("fp1").alias("late"), "fp1", "fp2", "n", F.col("items").alias("items_b"))
+    sets = map_arrow(docs.select("text"), run, "fp1 bigint, fp2 bigint, n bigint, items binary")
+    return sets.join(wanted, "fp1", "left_semi").dropDuplicates(["fp1", "fp2", "n"])
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, bands: Bands) -> DataFrame:
+    """Sets (fp1, fp2, n) that are similar to an earlier one, of pairs (early, late: fp1)."""
+    pairs = cut_lineage(pairs)
+    wanted = cut_lineage(pairs.select(F.explode(F.array("early", "late")).alias("fp1")).distinct())
+    if wanted.isEmpty():
+        return classes.where("false").select("fp1", "fp2", "n")
+    at = classes.select(*[F.col(c).alias(f"_{c}") for c in ("fp1", "fp2", "n")], "at")
+    sets = _sets_of(docs, wanted)
+    sets = cut_lineage(sets.join(at, (F.col("fp1") == F.col("_fp1")) & (F.col("fp2") == F.col("_fp2")) & (F.col("n") == F.col("_n")))
+                       .select("fp1", "fp2", "n", "items", "at"))
+    early = sets.select(F.col("fp1").alias("early"), F.col("items").alias("items_a"), F.col("at").alias("at_a"))
+    late = sets.select(F.col("fp1").alias("late"), "fp1", "fp2", "n", F.col("items").alias("items_b"), F.col("at").alias("at_b"))
 
     def run(batch):
         good = [i for i, (a, b) in enumerate(zip(batch.column("items_a"), batch.column("items_b")))
                 if _linked(np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64), bands)]
         yield batch.select(["fp1", "fp2", "n"]).take(pa.array(good, pa.int64()))
-    rows = pairs.join(early, "early").join(late, "late").select("fp1", "fp2", "n", "items_a", "items_b")
+    rows = (pairs.join(early, "early").join(late, "late").where("at_a < at_b")
+            .select("fp1", "fp2", "n", "items_a", "items_b"))
     return map_arrow(rows, run, "fp1 bigint, fp2 bigint, n bigint").distinct()
 
 
 def _can_match(bands: Bands, a: str, b: str) -> Column:
-    """Length and positional filter of two prefix entries of one word."""
+    """Length and positional filter of two prefix entries of one word, then the parity bits."""
     n_a, n_b = F.col(f"{a}.n"), F.col(f"{b}.n")
     p = bands.percent
     need = F.ceil(p * (n_a + n_b) / F.lit(100 + p))
     left = F.least(n_a - F.col(f"{a}.place"), n_b - F.col(f"{b}.place"))
-    return (100 * F.least(n_a, n_b) >= p * F.greatest(n_a, n_b)) & (left >= need)
+    apart = F.bit_count(F.col(f"{a}.bits").bitwiseXOR(F.col(f"{b}.bits")))
+    return (100 * F.least(n_a, n_b) >= p * F.greatest(n_a, n_b)) & (left >= need) & (n_a + n_b - apart >= 2 * need)
 
 
 def repeated_lines(docs: DataFrame, percent: int = 85, least: int = 5) -> DataFrame:
@@ -166,37 +202,32 @@ def repeated_lines(docs: DataFrame, percent: int = 85, least: int = 5) -> DataFr
     near copies costs its members and not its pairs.
     """
     bands = Bands(percent)
-    lines = cut_lineage(_lines(docs, least))
+    found = cut_lineage(_lines(docs, least))
+    lines = found.where("fp1 IS NOT NULL").drop("bucket", "lines")
     classes = cut_lineage(lines.groupBy("fp1", "fp2", "n").agg(
         F.min(F.struct("doc_id", "line_no")).alias("at"), F.count("*").alias("lines")))
     slots = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    entry = (_prefixes(docs, bands, least, rarity_sketch(docs)).repartition(slots, "word").groupBy("word", "fp1", "n")
-             .agg(F.min(F.struct("doc_id", "line_no", "place")).alias("e"))
-             .select("word", "fp1", "n", "e.place", "e.doc_id", "e.line_no"))
     order = Window.partitionBy("word").orderBy("doc_id", "line_no", "fp1")
-    groups = cut_lineage(entry.withColumn("lead", F.first(F.struct("fp1", "n", "place")).over(order))
-                         .withColumn("more", F.lead("fp1").over(order))
-                         .where("lead.fp1 <> fp1 OR more IS NOT NULL").drop("more"))
-    nodes = groups.select("fp1").distinct()
-    wanted = (classes.join(nodes, "fp1", "left_semi").groupBy(F.col("at.doc_id").alias("doc_id"))
-              .agg(F.collect_set("at.line_no").alias("line_nos")))
-    sets = cut_lineage(_sets_of(docs, wanted).dropDuplicates(["fp1", "fp2", "n"]))
-    members = groups.where("lead.fp1 <> fp1").alias("m")
-    first = (members.select("m.*", F.struct("n", "place").alias("own"))
-             .where(_can_match(bands, "own", "lead")).select(F.col("lead.fp1").alias("early"), F.col("fp1").alias("late")))
-    done = cut_lineage(_verified(first.distinct(), sets, bands))
-    open_lines = groups.where("lead.fp1 <> fp1").join(done.select("fp1").distinct(), "fp1", "left_anti").drop("lead")
-    late, early = open_lines.alias("late"), groups.where("lead.fp1 <> fp1").drop("lead").alias("early")
-    before = F.struct("early.doc_id", "early.line_no", "early.fp1") < F.struct("late.doc_id", "late.line_no", "late.fp1")
-    second = (late.join(early, (F.col("late.word") == F.col("early.word")) & before & _can_match(bands, "late", "early"))
+    own, lead = F.struct("n", "place", "bits").alias("own"), F.first(F.struct("fp1", "n", "place", "bits")).over(order).alias("lead")
+    near = (_prefixes(docs, bands, least, _rarity(found)).repartition(slots, "word")
+            .select("word", "fp1", "doc_id", "line_no", own, lead).where("fp1 <> lead.fp1"))
+    groups = cut_lineage(near.select("word", "fp1", "doc_id", "line_no", "own.*",
+                                     F.when(_can_match(bands, "own", "lead"), F.col("lead.fp1")).alias("lead")))
+    done = cut_lineage(_verified(groups.where("lead IS NOT NULL").select(F.col("lead").alias("early"), F.col("fp1").alias("late"))
+                                 .distinct(), docs, classes, bands))
+    rest = groups.drop("lead")
+    late, early = rest.join(done.select("fp1").distinct(), "fp1", "left_anti").alias("late"), rest.alias("early")
+    before = F.struct("early.doc_id", "early.line_no") < F.struct("late.doc_id", "late.line_no")
+    second = (late.join(early, (F.col("late.word") == F.col("early.word")) & (F.col("late.fp1") != F.col("early.fp1")) & before
+                        & _can_match(bands, "late", "early"))
               .select(F.col("early.fp1").alias("early"), F.col("late.fp1").alias("late")).distinct())
-    found = cut_lineage(done.unionAll(_verified(second, sets, bands)).distinct())
+    gone = done.unionAll(_verified(second, docs, classes, bands)).distinct()
     # a class that repeats an earlier one goes as a whole, others keep their first line
-    gone = (classes.join(found.withColumn("whole", F.lit(True)), ["fp1", "fp2", "n"], "left")
-            .where("whole OR lines > 1")
-            .select(*[F.col(c).alias(f"_{c}") for c in ("fp1", "fp2", "n")], "whole", "at"))
+    marks = (classes.join(gone.withColumn("whole", F.lit(True)), ["fp1", "fp2", "n"], "left")
+             .where("whole OR lines > 1")
+             .select(*[F.col(c).alias(f"_{c}") for c in ("fp1", "fp2", "n")], "whole", "at"))
     same = (F.col("fp1") == F.col("_fp1")) & (F.col("fp2") == F.col("_fp2")) & (F.col("n") == F.col("_n"))
-    return (lines.join(gone, same)
+    return (lines.join(marks, same)
             .where(F.coalesce("whole", F.lit(False)) | (F.struct("doc_id", "line_no") != F.col("at")))
             .select("doc_id", "print", "line_no"))
 

@@ -15,7 +15,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -52,7 +51,8 @@ class Bands:
         tops, top = [], 1
         while not tops or tops[-1] < largest:
             tops.append(top)
-            top = max(top + 1, int(top / RATIO))
+            # a partner lies in the same band or the next
+            top = max(top + 1, int(top / RATIO), 100 * top // self.percent)
         tops = np.array(tops, np.int64)
         partner = 100 * tops // self.percent
         sums = tops + partner
@@ -188,59 +188,121 @@ def _linked(a: np.ndarray, b: np.ndarray, bands: Bands) -> bool:
     return 100 * inter >= bands.percent * (len(a) + len(b) - inter)
 
 
-def _check_pairs(pairs: DataFrame, bands: Bands) -> DataFrame:
-    """Rows (a, b, n_a, n_b, bits_a, bits_b, items_a, items_b) that are links, as (a, b)."""
-    def run(batch):
-        col = {c: batch.column(c) for c in batch.schema.names}
-        n_a, n_b = col["n_a"].to_numpy(), col["n_b"].to_numpy()
-        good = []
-        for i in range(batch.num_rows):
-            need = bands.overlap(int(n_a[i]), int(n_b[i]))
-            if need > min(n_a[i], n_b[i]):
-                continue
-            x, y = (np.frombuffer(col[c][i].as_buffer(), np.uint8) for c in ("bits_a", "bits_b"))
-            size = min(len(x), len(y))
-            apart = int(np.bitwise_count(_fold(x, size) ^ _fold(y, size)).sum())
-            if (n_a[i] + n_b[i] - apart) // 2 < need:
-                continue
-            if _linked(*(np.frombuffer(col[c][i].as_buffer(), np.uint64) for c in ("items_a", "items_b")), bands):
-                good.append(i)
-        take = pa.array(good, pa.int64())
-        yield pa.RecordBatch.from_arrays([col["a"].take(take), col["b"].take(take)], ["a", "b"])
-    return map_arrow(pairs, run, "a bigint, b bigint")
-
-
-def _check_tiles(rows: DataFrame, bands: Bands) -> DataFrame:
-    """Links across components inside tiles of queries (side 0) and members (side 1) of a key."""
-    def run(pdf):
-        if not len(pdf):
-            return pdf[["a", "b"]]
-        size = min(map(len, pdf.bits))
-        bits = np.stack([_fold(np.frombuffer(b, np.uint8), size) for b in pdf.bits]).view(np.uint64)
-        n, comp, side = pdf.n.to_numpy(), pdf.comp.to_numpy(), pdf.side.to_numpy()
-        rep = pdf.rep.to_numpy()
-        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        top = {int(c): int(c) for c in comp}
-
-        def root(x):
-            while top[x] != x:
-                x = top[x]
-            return x
-
-        out = []
-        for i in left:
-            other = right[comp[right] != comp[i]]
-            apart = np.bitwise_count(bits[other] ^ bits[i]).sum(axis=1).astype(np.int64)
-            bound = (n[other] + n[i] - apart) // 2
-            ok = bound >= bands.overlap(n[other], n[i])
-            for j in other[ok][np.argsort(-bound[ok], kind="stable")]:
-                p, q = root(int(comp[i])), root(int(comp[j]))
-                if p != q and _linked(np.frombuffer(pdf["items"].iloc[i], np.uint64),
-                                      np.frombuffer(pdf["items"].iloc[j], np.uint64), bands):
-                    top[max(p, q)] = min(p, q)
-                    out.append((int(rep[i]), int(rep[j])))
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
-    return rows.groupBy("key", "tile_q", "tile_m").applyInPandas(run, "a bigint, b bigint")
+def _parts(batch: pa.RecordBatch, rows: int = 1000):
+    """A batch in parts, so that what Python makes of it stays small."""
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
+def _apart(x: bytes, y: bytes) -> int:
+    """Shingles by which two sets differ, at least: unequal bits of their parity bitmaps."""
+    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    size = min(len(a), len(b))
+    return int(np.bitwise_count(_fold(a, size) ^ _fold(b, size)).sum())
+
+
+def _bounded_pairs(pairs: DataFrame, table: DataFrame, bands: Bands) -> DataFrame:
+    """Pairs (left, right: fp1) as (a, b: smallest documents) if the bit counts leave enough overlap."""
+    def side(s: str, at: str) -> DataFrame:
+        return table.select(F.col("fp1").alias(at), F.col("rep").alias(s), F.col("n").alias(f"n_{s}"),
+                            F.col("bits").alias(f"bits_{s}"))
+
+    def run(whole):
+        for batch in _parts(whole):
+            n_a, n_b = batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy()
+            need = bands.overlap(n_a, n_b)
+            bits = zip(batch.column("bits_a").to_pylist(), batch.column("bits_b").to_pylist())
+            good = [i for i, (x, y) in enumerate(bits) if need[i] <= min(n_a[i], n_b[i])
+                    and (n_a[i] + n_b[i] - _apart(x, y)) // 2 >= need[i]]
+            yield batch.select(["a", "b"]).take(pa.array(good, pa.int64()))
+    rows = pairs.join(side("a", "left").hint("merge"), "left").join(side("b", "right").hint("merge"), "right")
+    return map_arrow(rows.select("a", "b", "n_a", "n_b", "bits_a", "bits_b"), run, "a bigint, b bigint")
+
+
+def _verified_pairs(pairs: DataFrame, table: DataFrame, bands: Bands) -> DataFrame:
+    """Pairs (a, b) that are links, by intersecting their sorted arrays."""
+    items = table.select("rep", "items")
+
+    def run(whole):
+        for batch in _parts(whole):
+            both = zip(batch.column("items_a"), batch.column("items_b"))
+            good = [i for i, (x, y) in enumerate(both) if _linked(
+                np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), bands)]
+            yield batch.select(["a", "b"]).take(pa.array(good, pa.int64()))
+    rows = (pairs.join(items.select(F.col("rep").alias("a"), F.col("items").alias("items_a")).hint("merge"), "a")
+            .join(items.select(F.col("rep").alias("b"), F.col("items").alias("items_b")).hint("merge"), "b"))
+    return map_arrow(rows.select("a", "b", "items_a", "items_b"), run, "a bigint, b bigint")
+
+
+def _tile(bits: list[bytes], n: np.ndarray, comp: np.ndarray, rep: np.ndarray, side: np.ndarray, bands: Bands,
+          most: int | None) -> tuple[np.ndarray, bool]:
+    """Pairs of one tile, and whether ``most`` has left any out."""
+    size = min(map(len, bits))
+    flat = np.stack([_fold(np.frombuffer(b, np.uint8), size) for b in bits]).view(np.uint64)
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    out, cut = [], False
+    for i in left:
+        other = right[comp[right] != comp[i]]
+        apart = np.bitwise_count(flat[other] ^ flat[i]).sum(axis=1).astype(np.int64)
+        bound = (n[other] + n[i] - apart) // 2
+        ok = bound >= bands.overlap(n[other], n[i])
+        other, bound = other[ok], bound[ok]
+        if most is not None and len(other) > most:
+            order = np.lexsort((-bound, comp[other]))
+            other = other[order]
+            first = np.flatnonzero(np.append(True, comp[other][1:] != comp[other][:-1]))
+            place = np.arange(len(other)) - np.repeat(first, np.diff(np.append(first, len(other))))
+            cut |= bool((place >= most).any())
+            other = other[place < most]
+        if len(other):
+            out.append(np.stack([np.full(len(other), rep[i]), rep[other]]))
+    return (np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)), cut
+
+
+def _tile_pairs(rows: DataFrame, bands: Bands, most: int | None) -> DataFrame:
+    """Pairs across components that the bit counts leave, in tiles of queries (side 0) and members.
+
+    With ``most``, only the pairs of highest bound of each query and component; if that leaves any
+    out, there is a row of nulls. Rows of a tile, 2 * TILE at most, follow each other in their
+    partition; a task holds one batch and the tile that its end cuts.
+    """
+    names = ["key", "tile_q", "tile_m", "n", "comp", "rep", "side"]
+
+    def run(batches):
+        rest = None
+        cut = False
+
+        def tiles(table, last):
+            nonlocal cut
+            col = {c: table.column(c).to_numpy() for c in names}
+            bits = table.column("bits").to_pylist()
+            new = np.ones(table.num_rows, bool)
+            new[1:] = np.any([col[c][1:] != col[c][:-1] for c in names[:3]], axis=0)
+            first = np.append(np.flatnonzero(new), table.num_rows)
+            done = len(first) - 1 if last else len(first) - 2
+            found = []
+            for a, b in zip(first[:done], first[1:done + 1]):
+                if b - a > 1:
+                    pairs, more = _tile(bits[a:b], *(col[c][a:b] for c in names[3:]), bands, most)
+                    cut |= more
+                    found.append(pairs)
+            both = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
+            both = np.unique(np.sort(both, axis=0), axis=1)
+            return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"]), first[done]
+
+        for batch in (part for whole in batches for part in _parts(whole)):
+            table = pa.Table.from_batches([batch] if rest is None else [*rest.to_batches(), batch]).combine_chunks()
+            out, at = tiles(table, False)
+            rest = table.slice(int(at))
+            yield out
+        if rest is not None and rest.num_rows:
+            yield tiles(rest.combine_chunks(), True)[0]
+        if cut:
+            yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64())] * 2, ["a", "b"])
+    slots = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tile = names[:3]
+    return (rows.select(*names, "bits").repartition(slots, *tile).sortWithinPartitions(*tile)
+            .mapInArrow(run, "a bigint, b bigint").distinct())
 
 
 def similar_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -275,31 +337,26 @@ def similar_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     reps = (sig.where("n > 0 AND doc_id IS NOT NULL").join(nodes, F.col("fp1") == F.col("node"), "left_semi")
             .groupBy("fp1", "fp2", "n").agg(F.min("doc_id").alias("rep")))
     reps = cut_lineage(reps)
-    table = _set_table(docs.join(reps.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), k)
+    # here and where sets meet always a merge join: a plan that changes with the number of copies
+    # would change what is shuffled, and how much of it, from one corpus to the next
+    table = _set_table(docs.hint("merge").join(reps.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), k)
     table = cut_lineage(table.join(reps.select(*[F.col(c).alias(f"_{c}") for c in ("fp1", "fp2", "n")], "rep"),
                                    (F.col("doc_id") == F.col("rep")) & (F.col("fp1") == F.col("_fp1"))
                                    & (F.col("fp2") == F.col("_fp2")) & (F.col("n") == F.col("_n")), "left_semi")
                         .dropDuplicates(["doc_id", "fp1", "fp2"]).withColumnRenamed("doc_id", "rep"))
 
-    def side(s: str) -> DataFrame:
-        return table.select(F.col("fp1").alias(f"key_{s}"), F.col("rep").alias(s),
-                            *[F.col(c).alias(f"{c}_{s}") for c in ("n", "bits", "items")])
-
-    pairs = (members.select("node", "leader").distinct()
-             .join(side("a"), F.col("node") == F.col("key_a")).join(side("b"), F.col("leader") == F.col("key_b"))
-             .select("a", "b", "n_a", "n_b", "bits_a", "bits_b", "items_a", "items_b"))
-    links = cut_lineage(_check_pairs(pairs, bands))
-    comp = cut_lineage(components(links))
-    placed = (table.join(comp, F.col("rep") == F.col("node"), "left")
-              .withColumn("comp", F.coalesce("component", "rep")).drop("node", "component"))
-    more = _cross_links(members, placed, bands)
-    named = placed.select("rep", "comp")
-    if more is not None:
-        joined = components(more.join(named.select(F.col("rep").alias("a"), F.col("comp").alias("ca")), "a")
-                            .join(named.select(F.col("rep").alias("b"), F.col("comp").alias("cb")), "b")
-                            .select(F.col("ca").alias("a"), F.col("cb").alias("b")))
-        named = (named.join(joined, F.col("comp") == F.col("node"), "left")
-                 .select("rep", F.coalesce("component", "comp").alias("comp")))
+    pairs = members.select(F.col("node").alias("left"), F.col("leader").alias("right")).distinct()
+    links = _verified_pairs(_bounded_pairs(pairs, table, bands), table, bands)
+    named = _place(table.select("rep", F.col("rep").alias("comp")), links)
+    # the best pairs across components join nearly all that are linked; then those left out, if any
+    for most in (2, None):
+        rows = _open_tiles(members, table, named)
+        if rows is None:
+            break
+        found = cut_lineage(_tile_pairs(rows, bands, most))
+        named = _place(named, _verified_pairs(found.where("a IS NOT NULL"), table, bands))
+        if found.where("a IS NULL").isEmpty():
+            break
     # every class of equal sets that has more than one document, or links
     classes = (sig.where("n > 0").groupBy("fp1", "fp2", "n")
                .agg(F.min("doc_id").alias("first"), F.count("*").alias("rows")))
@@ -312,37 +369,49 @@ def similar_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
             .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("_label", "doc_id").alias("component_id")))
 
 
-def _cross_links(members: DataFrame, placed: DataFrame, bands: Bands) -> DataFrame | None:
-    """Links between components among the sets of keys that several components share."""
-    where = placed.select(F.col("fp1").alias("node"), "comp")
+def _place(named: DataFrame, links: DataFrame) -> DataFrame:
+    """(rep, comp) after more links (a, b: rep)."""
+    at = named.select(F.col("rep").alias("a"), F.col("comp").alias("ca"))
+    to = named.select(F.col("rep").alias("b"), F.col("comp").alias("cb"))
+    joined = components(links.join(at, "a").join(to, "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+    return cut_lineage(named.join(joined, F.col("comp") == F.col("node"), "left")
+                       .select("rep", F.coalesce("component", "comp").alias("comp")))
+
+
+def _open_tiles(members: DataFrame, table: DataFrame, named: DataFrame) -> DataFrame | None:
+    """Tiles of the sets of keys that several components still share, or None.
+
+    Of each key, the rows outside its largest component are its queries: any pair across
+    components has one of them. Queries and all rows are cut into blocks of TILE.
+    """
+    where = table.select(F.col("fp1").alias("node"), "rep").join(named, "rep")
     of_leader = where.select(F.col("node").alias("leader"), F.col("comp").alias("comp_leader"))
     # a key of two sets has been decided; one of three or more is open while components differ
-    open_keys = (members.join(where, "node").join(of_leader, "leader")
-                 .groupBy("key").agg(F.count("*").alias("others"), F.max((F.col("comp") != F.col("comp_leader"))
-                                                                         .cast("int")).alias("open"))
-                 .where("open = 1 AND others > 1").select("key"))
-    open_keys = cut_lineage(open_keys)
-    if open_keys.isEmpty():
-        return None
-    kept = members.join(open_keys, "key", "left_semi")
-    kept = kept.select("key", "node").unionAll(kept.select("key", F.col("leader").alias("node")).distinct())
-    rows = kept.join(placed.select(F.col("fp1").alias("node"), "rep", "comp"), "node")
-    # rows outside a key's largest component are its queries: any pair across components has one
-    sizes = rows.groupBy("key", "comp").count()
-    largest = sizes.groupBy("key").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"))
-    rows = cut_lineage(rows.join(largest, "key").withColumn("query", F.col("comp") != F.col("main")))
+    differ = F.max((F.col("comp") != F.col("comp_leader")).cast("int"))
+    open_keys = (members.join(where, "node").join(of_leader, "leader").groupBy("key")
+                 .agg(F.count("*").alias("others"), differ.alias("open")).where("open = 1 AND others > 1").select("key"))
+    kept = (members.join(open_keys, "key", "left_semi")
+            .select("key", F.explode(F.array("node", "leader")).alias("node")).distinct())
+    rows = kept.join(where, "node").select("key", "rep", "comp")
+    # keys of the same sets ask the same: one of them is enough
+    prints = [F.sum(F.xxhash64(F.lit(s), "rep").cast("decimal(38,0)")) for s in (1, 2)]
+    single = rows.groupBy("key").agg(F.struct(F.count("*"), *prints).alias("sets")).groupBy("sets").agg(F.min("key").alias("key"))
+    rows = rows.join(single.select("key"), "key", "left_semi")
+    largest = (rows.groupBy("key", "comp").count().groupBy("key")
+               .agg(F.max_by("comp", F.struct("count", "comp")).alias("main")))
+    rows = rows.join(largest, "key").withColumn("query", F.col("comp") != F.col("main")).drop("main")
     by_key = Window.partitionBy("key").orderBy("query", "comp", "rep")
     by_query = Window.partitionBy("key", "query").orderBy("comp", "rep")
     rows = cut_lineage(rows.withColumn("tile_m", F.floor((F.row_number().over(by_key) - 1) / TILE))
                        .withColumn("tile_q", F.floor((F.row_number().over(by_query) - 1) / TILE)))
-    tiles = rows.groupBy("key").agg(F.max("tile_m").alias("last_m"),
-                                    F.max(F.when(F.col("query"), F.col("tile_q"))).alias("last_q"))
-    rows = rows.join(tiles, "key")
-    asked = rows.where("query").select("key", "rep", "comp", "tile_q", F.lit(0).alias("side"),
-                                       F.explode(F.sequence(F.lit(0).cast("bigint"), "last_m")).alias("tile_m"))
-    met = rows.select("key", "rep", "comp", F.explode(F.sequence(F.lit(0).cast("bigint"), "last_q")).alias("tile_q"),
-                      F.lit(1).alias("side"), "tile_m")
-    full = (asked.unionByName(met).withColumnRenamed("rep", "_rep")
-            .join(placed.select("rep", "n", "bits", "items"), F.col("_rep") == F.col("rep")).drop("_rep"))
-    full = full.withColumn("a", F.col("rep")).withColumn("b", F.col("rep"))
-    return cut_lineage(_check_tiles(full, bands).distinct())
+    if rows.isEmpty():
+        return None
+    last = rows.groupBy("key").agg(F.max("tile_m").alias("last_m"),
+                                   F.max(F.when(F.col("query"), F.col("tile_q"))).alias("last_q"))
+    rows = rows.join(last, "key")
+    zero = F.lit(0).cast("bigint")
+    asked = rows.where("query").select("key", "rep", "comp", "tile_q", F.explode(F.sequence(zero, "last_m")).alias("tile_m"),
+                                       F.lit(0).alias("side"))
+    met = rows.select("key", "rep", "comp", F.explode(F.sequence(zero, "last_q")).alias("tile_q"), "tile_m",
+                      F.lit(1).alias("side"))
+    return asked.unionByName(met).join(table.select("rep", "n", "bits"), "rep")

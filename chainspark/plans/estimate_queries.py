@@ -210,9 +210,17 @@ def rsql(base, body):
     return "WITH RECURSIVE " + base.strip() + body
 
 
-@query("c01_chain_checks")
+@query("c01_chain_checks", rsql(CELLS, """,
+qm AS MATERIALIZED (SELECT team, i, j, p FROM mle WHERE j < 80),
+pw AS (SELECT 0 AS k, team, i, CAST(1 AS DOUBLE) AS x FROM (SELECT DISTINCT team, i FROM mle)
+  UNION ALL SELECT pw.k + 1, q.team, q.i, SUM(q.p * pw.x) / 0.75 FROM pw JOIN qm q ON q.team = pw.team AND q.j = pw.i WHERE pw.k < 2500 GROUP BY pw.k, q.team, q.i),
+nm AS (SELECT team, k, SUM(x) AS s FROM pw GROUP BY 1, 2),
+rh AS (SELECT team, 0.75 * MAX(CASE WHEN k = 2500 THEN s END) / MAX(CASE WHEN k = 2499 THEN s END) AS rho FROM nm GROUP BY 1),
+rw AS (SELECT team, i, SUM(p) AS a, SUM(CASE WHEN j < 80 THEN p ELSE 0 END) AS q FROM mle GROUP BY 1, 2)
+SELECT rw.team, ROUND(ANY_VALUE(rho), 3) AS rho, ROUND(MAX(ABS(a - 1)), 6) AS row_error, ROUND(MAX(q), 6) AS inf_norm FROM rw JOIN rh ON rh.team = rw.team GROUP BY 1"""))
 def c01(spark, sf):
-    return C.checks(matrix(spark, sf), ["team"], SPACE)
+    d = C.checks(matrix(spark, sf), ["team"], SPACE)
+    return d.withColumns({"rho": F.round("rho", 3), "row_error": F.round("row_error", 6), "inf_norm": F.round("inf_norm", 6)})
 
 
 @query("c02_state_values", rsql(VALUES, """

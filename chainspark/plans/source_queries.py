@@ -400,12 +400,33 @@ def merged(spark, sf):
     return R.merge_interims(run_table(spark, sf), 2, cut_lineage)
 
 
-@query("r03_merge_interims")
+# a club's runs in order on a stack: a run closes the short one on top of it if the coach below is back
+MERGED = RUNS + """,
+rs AS MATERIALIZED (SELECT club, CAST(run_id AS BIGINT) AS run_id, list_sort(list(DISTINCT CASE WHEN month(match_date) >= 7 THEN 'A' ELSE 'C' END || year(match_date))) AS seasons FROM rn GROUP BY 1, 2),
+st AS (SELECT club, CAST(0 AS BIGINT) AS k, CAST([] AS STRUCT(run_id BIGINT, coach VARCHAR, start_date DATE, end_date DATE, n BIGINT, multi BIGINT, merged BIGINT, absorbed BIGINT, first_run BIGINT, last_run BIGINT, seasons VARCHAR[])[]) AS s FROM (SELECT DISTINCT club FROM rr)
+  UNION ALL
+  SELECT st.club, st.k + 1, CASE WHEN len(s) >= 2 AND s[-1].n <= 2 AND s[-2].coach = r.coach
+    THEN list_append(list_slice(s, 1, len(s) - 2), {'run_id': s[-2].run_id, 'coach': r.coach, 'start_date': s[-2].start_date, 'end_date': r.end_date, 'n': s[-2].n + r.n, 'multi': s[-2].multi + r.multi, 'merged': s[-2].merged + 1,
+      'absorbed': s[-2].absorbed + s[-1].n, 'first_run': s[-2].first_run, 'last_run': r.run_id, 'seasons': list_sort(list_distinct(list_concat(s[-2].seasons, rs.seasons)))})
+    ELSE list_append(s, {'run_id': r.run_id, 'coach': r.coach, 'start_date': r.start_date, 'end_date': r.end_date, 'n': r.n, 'multi': r.multi, 'merged': 0, 'absorbed': 0, 'first_run': r.run_id, 'last_run': r.run_id, 'seasons': rs.seasons}) END
+  FROM st JOIN rr r ON r.club = st.club AND r.run_id = st.k + 1 JOIN rs ON rs.club = r.club AND rs.run_id = r.run_id),
+me AS MATERIALIZED (SELECT club, x.* FROM (SELECT club, UNNEST(arg_max(s, k)) AS x FROM st GROUP BY club)),
+fl AS (SELECT *, COUNT(*) OVER (PARTITION BY club, coach) AS times, ROW_NUMBER() OVER (PARTITION BY club, coach ORDER BY run_id) AS seen, ROW_NUMBER() OVER (PARTITION BY club ORDER BY run_id) AS place FROM me),
+eras AS MATERIALIZED (SELECT club, CASE WHEN times > 1 THEN coach || ' ' || repeat('I', seen) ELSE coach END AS coach, coach AS coach_full, start_date, end_date, n AS n_matches, n + absorbed AS n_in_range, absorbed AS n_absorbed,
+  array_to_string(seasons, '|') AS seasons, n >= 10 AS analysable, concat_ws(';', CASE WHEN place = 1 THEN 'FIRST_OF_WINDOW' END, CASE WHEN n < 10 THEN 'SHORT' END, CASE WHEN times > 1 THEN 'NOT_CONTIGUOUS' END,
+    CASE WHEN multi > 0 THEN 'MULTI_MANAGER(' || multi || ')' END, CASE WHEN merged > 0 THEN 'MERGED(' || merged || ')' END) AS flags, first_run, last_run FROM fl)"""
+
+
+def merged_sql(body):
+    return sql(MERGED, body).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("r03_merge_interims", merged_sql(" SELECT club, run_id, coach, start_date, end_date, n, multi, merged, absorbed, first_run, last_run FROM me"))
 def r03(spark, sf):
     return merged(spark, sf).drop("seasons")
 
 
-@query("r04_era_flags")
+@query("r04_era_flags", merged_sql(" SELECT * FROM eras"))
 def r04(spark, sf):
     return R.flag_eras(merged(spark, sf), 10)
 
@@ -416,7 +437,9 @@ def r05(spark, sf):
     return R.extend_ends(era_table(moves(spark, sf)), F.year("start_date"))
 
 
-@query("r06_match_assignment")
+@query("r06_match_assignment", merged_sql("""
+SELECT fx.club, match_id, match_date, e.coach AS era, e.start_date, e.end_date, fx.coach AS coach_real, CAST(fx.coach = e.coach_full AS INTEGER) AS led_the_era
+FROM fx JOIN eras e ON e.club = fx.club AND fx.match_date BETWEEN e.start_date AND e.end_date"""))
 def r06(spark, sf):
     return R.assign_matches(managers(spark, sf), R.flag_eras(merged(spark, sf), 10))
 

@@ -597,12 +597,22 @@ def q08(spark, sf):
     return P.calibrated_difference(d, [], ["zone", "action_type"], "last", 10).withColumn("diff", F.round("diff", 6))
 
 
-@query("q08_calibration_null")
+@query("q08_calibration_null", sql(RIVAL, f""",
+a0 AS (SELECT zone, action_type, poss_uid || ':' || event_index AS uid, CASE WHEN k = length THEN 1.0 ELSE 0.0 END AS last, y FROM ra),
+n1 AS (SELECT zone, action_type, SUM(y) AS n1 FROM a0 GROUP BY 1, 2),
+ab AS (SELECT a0.*, b, ROW_NUMBER() OVER (PARTITION BY zone, action_type, b ORDER BY {draw_sql("'91'", "b", "uid")}, uid) AS k FROM a0, (SELECT UNNEST(range(1, 6)) AS b)),
+al AS (SELECT zone, action_type, b, last, CASE WHEN k <= n1 THEN 1.0 ELSE 0.0 END AS y FROM ab JOIN n1 USING (zone, action_type) UNION ALL SELECT zone, action_type, 0, last, y FROM a0),
+c AS (SELECT zone, action_type, b, AVG(CASE WHEN y = 1 THEN last END) AS m1, AVG(CASE WHEN y = 0 THEN last END) AS m0, SUM(y) AS n1, SUM(1 - y) AS n0 FROM al GROUP BY 1, 2, 3),
+d AS (SELECT b, SUM((n1 + n0) * (m1 - m0)) / SUM(n1 + n0) AS diff FROM c WHERE n1 >= 10 AND n0 >= 10 GROUP BY b),
+o AS (SELECT diff FROM d WHERE b = 0), x AS (SELECT ABS(diff) AS x FROM d WHERE b > 0),
+s AS (SELECT quantile_cont(x, 0.5) AS med, quantile_cont(x, 0.95) AS top, AVG(x) AS m, stddev_pop(x) AS sd, COUNT(*) AS n, COUNT(*) FILTER (x >= (SELECT ABS(diff) FROM o) - 1e-12) AS hits FROM x)
+SELECT 'all' AS "all", ROUND(o.diff, 6) AS observed, ROUND(med, 6) AS null_median, ROUND(top, 6) AS null_p95, ROUND(CASE WHEN sd > 0 THEN (ABS(o.diff) - m) / sd END, 4) AS z, ROUND(ABS(o.diff) - med, 6) AS excess, (hits + 1.0::DOUBLE) / (n + 1) AS p FROM o, s"""))
 def q08b(spark, sf):
     d = rival_k(spark, sf).withColumn("last", F.col("k") == F.col("length")).withColumn(
         "uid", F.concat_ws(":", "poss_uid", "event_index"))
     n = P.calibrated_null(d, ["zone", "action_type"], "last", 10, 5, 91, "uid")
-    return R.permutation_p(n.withColumn("all", F.lit("all")), ["all"], "diff", two_sided=True)
+    p = R.permutation_p(n.withColumn("all", F.lit("all")), ["all"], "diff", two_sided=True)
+    return p.withColumns({c: F.round(c, 4 if c == "z" else 6) for c in ("observed", "null_median", "null_p95", "z", "excess")})
 
 
 @query("q09_pressure_did", sql(RIVAL, """,
