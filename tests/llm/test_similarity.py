@@ -55,6 +55,7 @@ def varied_documents(seed):
 @pytest.mark.parametrize("seed,k,percent", [(1, 4, 85), (2, 3, 60)])
 def test_groups_match_all_pairs(spark, seed, k, percent, monkeypatch):
     monkeypatch.setattr(S, "TILE", 3)  # many tiles a key
+    monkeypatch.setattr(S, "BEST", 1)
     docs = varied_documents(seed)
     got = S.similar_groups(spark.createDataFrame(docs, "doc_id bigint, text string"), k, percent).collect()
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == plain.groups(docs, k, percent)
