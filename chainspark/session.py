@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -52,17 +53,31 @@ def is_written(spark: SparkSession, path: str) -> bool:
     return done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done)
 
 
+_PART: list[str] = []
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The application's own folder of derived tables inside the shared one."""
-    return f"{shared_dir(spark)}/chainspark-{spark.sparkContext.applicationId}"
+    return "/".join([f"{shared_dir(spark)}/chainspark-{spark.sparkContext.applicationId}", *_PART])
+
+
+@contextlib.contextmanager
+def scratch_part(name: str):
+    """Derived tables written inside the block go to a part of their own, to be dropped together."""
+    _PART.append(name)
+    try:
+        yield
+    finally:
+        _PART.pop()
 
 
-def drop_scratch(spark: SparkSession) -> None:
-    """Remove the derived tables of this application; frames read from them are of no use afterwards.
+def drop_scratch(spark: SparkSession, part: str = "") -> None:
+    """Remove the derived tables of this application, or a part of them.
 
-    They belong to the application: call this when its results are written.
+    They belong to the application: call this when the results that were made from them are
+    written, since frames that read them are of no use afterwards.
     """
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{scratch_dir(spark)}/{part}".rstrip("/"))
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
