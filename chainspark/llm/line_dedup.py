@@ -10,11 +10,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chainspark.llm.similarity import Bands, _linked
-from chainspark.llm.text import LOWER, Chunk, Ranges, chunks, group_sum, map_arrow, mix, sorted_sets, unused
+from chainspark.llm.text import LOWER, Chunk, Ranges, chunks, collect_array, group_sum, map_arrow, mix, sorted_sets, unused
 from chainspark.session import cut_lineage
 
 #: Buckets of the rarity sketch: about one for each word that is not rare; a byte each.
@@ -81,10 +81,8 @@ def _lines(docs: DataFrame, least: int) -> DataFrame:
 def _rarity(counts: DataFrame) -> np.ndarray:
     """12 times the binary logarithm of each bucket's count; 2^SKETCH_BITS bytes for any corpus."""
     level = F.least(F.round(12 * F.log2(F.sum("lines"))), F.lit(255)).cast("int")
-    levels = counts.where("bucket IS NOT NULL").groupBy("bucket").agg(level.alias("level")).toPandas()
-    out = np.zeros(1 << SKETCH_BITS, np.uint8)
-    out[levels.bucket] = levels.level
-    return out
+    levels = counts.where("bucket IS NOT NULL").groupBy("bucket").agg(level.alias("level"))
+    return collect_array(levels, F.col("bucket"), F.col("level"), SKETCH_BITS, np.uint8)
 
 
 def _prefixes(docs: DataFrame, bands: Bands, least: int, rarity: np.ndarray) -> DataFrame:
@@ -130,18 +128,21 @@ def _prefixes(docs: DataFrame, bands: Bands, least: int, rarity: np.ndarray) ->
         run, "word bigint, fp1 bigint, bits bigint, n int, place int, doc_id bigint, line_no int")
 
 
+def _bit_table(wanted: DataFrame) -> np.ndarray:
+    """2^FILTER_BITS bits, of which those at the upper bits of a wanted fp1 are set."""
+    spot = F.shiftrightunsigned("fp1", 64 - FILTER_BITS)
+    mask = F.expr(f"shiftleft(1L, cast(pmod(shiftrightunsigned(fp1, {64 - FILTER_BITS}), 64) as int))")
+    words = wanted.groupBy(F.floor(spot / 64).cast("int").alias("at")).agg(F.bit_or(mask).alias("mask"))
+    return collect_array(words, F.col("at"), F.col("mask"), FILTER_BITS - 6, np.int64).view(np.uint64)
+
+
 def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(fp1, fp2, n, items) of the lines whose fp1 is wanted: one row per set.
 
     What is wanted goes to the tasks as a filter of 2^FILTER_BITS bits, whatever its number; a join
     drops what the filter lets pass besides.
     """
-    spot = F.shiftrightunsigned("fp1", 64 - FILTER_BITS)
-    mask = F.expr(f"shiftleft(1L, cast(pmod(shiftrightunsigned(fp1, {64 - FILTER_BITS}), 64) as int))")
-    words = wanted.groupBy(F.floor(spot / 64).cast("int").alias("at")).agg(F.bit_or(mask).alias("mask")).toPandas()
-    table = np.zeros(1 << (FILTER_BITS - 6), np.int64)
-    table[words["at"]] = words["mask"]
-    open_bits = table.view(np.uint64)
+    open_bits = _bit_table(wanted)
 
     def run(batch):
         for chunk in chunks(batch.column("text")):
@@ -179,14 +180,66 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, bands: Band
     return map_arrow(rows, run, "fp1 bigint, fp2 bigint, n bigint").distinct()
 
 
-def _can_match(bands: Bands, a: str, b: str) -> Column:
-    """Length and positional filter of two prefix entries of one word, then the parity bits."""
-    n_a, n_b = F.col(f"{a}.n"), F.col(f"{b}.n")
-    p = bands.percent
-    need = F.ceil(p * (n_a + n_b) / F.lit(100 + p))
-    left = F.least(n_a - F.col(f"{a}.place"), n_b - F.col(f"{b}.place"))
-    apart = F.bit_count(F.col(f"{a}.bits").bitwiseXOR(F.col(f"{b}.bits")))
-    return (100 * F.least(n_a, n_b) >= p * F.greatest(n_a, n_b)) & (left >= need) & (n_a + n_b - apart >= 2 * need)
+def _pairs(entries: DataFrame, bands: Bands, only: np.ndarray | None = None) -> DataFrame:
+    """Pairs (early, late: fp1) of lines that share a prefix word and pass all filters.
+
+    Entries of a word meet in its order of (doc_id, line_no); length, positional and parity filters
+    are applied to whole columns. Each line gives its earliest partner only, and ``more`` tells
+    that it has others; with ``only``, a bit table of fp1, just these lines give all of theirs. A
+    task holds the entries of one batch and of the word that its end cuts, 45 bytes each.
+    """
+    names = ["word", "fp1", "bits", "n", "place"]
+
+    def match(t, i, j):
+        n_i, n_j = t["n"][i].astype(np.int64), t["n"][j].astype(np.int64)
+        need = bands.overlap(n_i, n_j)
+        ok = (need <= np.minimum(n_i, n_j)) & (np.minimum(n_i - t["place"][i], n_j - t["place"][j]) >= need)
+        ok &= t["fp1"][i] != t["fp1"][j]
+        ok &= n_i + n_j - np.bitwise_count((t["bits"][i] ^ t["bits"][j]).view(np.uint64)).astype(np.int64) >= 2 * need
+        return ok
+
+    def of_words(t):
+        size = len(t["word"])
+        start = np.maximum.accumulate(np.where(np.append(True, t["word"][1:] != t["word"][:-1]), np.arange(size), 0))
+        at = np.arange(size) - start
+        rows = np.arange(size)
+        if only is not None:
+            spot = t["fp1"].view(np.uint64) >> np.uint64(64 - FILTER_BITS)
+            rows = np.flatnonzero((only[(spot >> np.uint64(6)).astype(np.int64)] >> (spot & np.uint64(63))) & np.uint64(1))
+        best, count, every = np.full(size, -1), np.zeros(size, np.int32), []
+        step = 1
+        while len(rows := rows[at[rows] >= step]):
+            hit = rows[match(t, rows, rows - step)]
+            best[hit] = hit - step  # a longer step is an earlier line
+            count[hit] += 1
+            if only is not None:
+                every.append((hit - step, hit))
+            step += 1
+        if only is None:
+            late = np.flatnonzero(best >= 0)
+            early = best[late]
+        else:
+            early, late = (np.concatenate(x) for x in zip(*every)) if every else (np.zeros(0, np.int64),) * 2
+        return pa.RecordBatch.from_arrays([pa.array(t["fp1"][early]), pa.array(t["fp1"][late]), pa.array(count[late] > 1)],
+                                          ["early", "late", "more"])
+
+    def run(batches):
+        rest = None
+        for batch in batches:
+            t = {c: batch.column(c).to_numpy() for c in names}
+            if rest is not None:
+                t = {c: np.concatenate([rest[c], t[c]]) for c in names}
+            if not len(t["word"]):
+                continue
+            cut = int(np.searchsorted(t["word"], t["word"][-1]))
+            rest = {c: v[cut:] for c, v in t.items()}
+            if cut:
+                yield of_words({c: v[:cut] for c, v in t.items()})
+        if rest is not None:
+            yield of_words(rest)
+    slots = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (entries.repartition(slots, "word").sortWithinPartitions("word", "doc_id", "line_no", "fp1").select(*names)
+            .mapInArrow(run, "early bigint, late bigint, more boolean"))
 
 
 def repeated_lines(docs: DataFrame, percent: int = 85, least: int = 5) -> DataFrame:
@@ -197,31 +250,25 @@ def repeated_lines(docs: DataFrame, percent: int = 85, least: int = 5) -> DataFr
     lower-cased). It is removed if an earlier line, removed or not, has a set with 100 *
     intersection >= percent * union. Lines of fewer than ``least`` distinct words never match.
 
-    Equal sets are one class, judged by its first line. In the group of a prefix word all lines
-    first meet its earliest one; only lines that this leaves open meet the others, so a group of
-    near copies costs its members and not its pairs.
+    Equal sets are one class, judged by its first line. Each line is first held against its
+    earliest possible partner under each prefix word; lines that this leaves open, and that have
+    other possible partners, are then held against all of them. So a group of near copies gives
+    as many pairs as it has members, and no match is lost.
     """
     bands = Bands(percent)
     found = cut_lineage(_lines(docs, least))
     lines = found.where("fp1 IS NOT NULL").drop("bucket", "lines")
     classes = cut_lineage(lines.groupBy("fp1", "fp2", "n").agg(
         F.min(F.struct("doc_id", "line_no")).alias("at"), F.count("*").alias("lines")))
-    slots = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = Window.partitionBy("word").orderBy("doc_id", "line_no", "fp1")
-    own, lead = F.struct("n", "place", "bits").alias("own"), F.first(F.struct("fp1", "n", "place", "bits")).over(order).alias("lead")
-    near = (_prefixes(docs, bands, least, _rarity(found)).repartition(slots, "word")
-            .select("word", "fp1", "doc_id", "line_no", own, lead).where("fp1 <> lead.fp1"))
-    groups = cut_lineage(near.select("word", "fp1", "doc_id", "line_no", "own.*",
-                                     F.when(_can_match(bands, "own", "lead"), F.col("lead.fp1")).alias("lead")))
-    done = cut_lineage(_verified(groups.where("lead IS NOT NULL").select(F.col("lead").alias("early"), F.col("fp1").alias("late"))
-                                 .distinct(), docs, classes, bands))
-    rest = groups.drop("lead")
-    late, early = rest.join(done.select("fp1").distinct(), "fp1", "left_anti").alias("late"), rest.alias("early")
-    before = F.struct("early.doc_id", "early.line_no") < F.struct("late.doc_id", "late.line_no")
-    second = (late.join(early, (F.col("late.word") == F.col("early.word")) & (F.col("late.fp1") != F.col("early.fp1")) & before
-                        & _can_match(bands, "late", "early"))
-              .select(F.col("early.fp1").alias("early"), F.col("late.fp1").alias("late")).distinct())
-    gone = done.unionAll(_verified(second, docs, classes, bands)).distinct()
+    entries = _prefixes(docs, bands, least, _rarity(found))
+    first = cut_lineage(_pairs(entries, bands).groupBy("early", "late").agg(F.max("more").alias("more")))
+    gone = cut_lineage(_verified(first.select("early", "late"), docs, classes, bands))
+    left = cut_lineage(first.where("more").select(F.col("late").alias("fp1")).distinct()
+                       .join(gone.select("fp1").distinct(), "fp1", "left_anti"))
+    if not left.isEmpty():
+        others = _pairs(entries, bands, _bit_table(left)).select("early", "late").distinct()
+        gone = gone.unionAll(_verified(others.join(first.select("early", "late"), ["early", "late"], "left_anti"),
+                                       docs, classes, bands)).distinct()
     # a class that repeats an earlier one goes as a whole, others keep their first line
     marks = (classes.join(gone.withColumn("whole", F.lit(True)), ["fp1", "fp2", "n"], "left")
              .where("whole OR lines > 1")

@@ -11,7 +11,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 CHUNK_BYTES = 1 << 20
 _ODD = 0x9E3779B97F4A7C15
@@ -170,6 +171,30 @@ def unused(docs: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def collect_array(df: DataFrame, index: Column, value: Column, bits: int, dtype) -> np.ndarray:
+    """An array of 2^bits numbers from rows of distinct indices; zero where there is none.
+
+    Executors pack 4096 neighbours into one value, so the driver gets the array's own bytes and
+    not as many rows.
+    """
+    low = min(bits, 12)
+    packed = df.groupBy(F.shiftright(index, low).cast("int").alias("block")).agg(
+        F.collect_list(F.struct((index.cast("bigint") % (1 << low)).cast("int").alias("at"), value.cast("bigint").alias("v"))).alias("cells"))
+
+    def run(batch):
+        out = []
+        for cells in batch.column("cells"):
+            own = np.zeros(1 << low, dtype)
+            flat = cells.values
+            own[flat.field("at").to_numpy()] = flat.field("v").to_numpy().astype(dtype)
+            out.append(own.tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column("block"), pa.array(out, pa.binary())], ["block", "cells"])
+    result = np.zeros((1 << (bits - low), 1 << low), dtype)
+    for row in map_arrow(packed, run, "block int, cells binary").collect():
+        result[row["block"]] = np.frombuffer(row["cells"], dtype)
+    return result.reshape(-1)
+
+
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema) -> DataFrame:
     """mapInArrow over single batches."""
     def run(batches):
