@@ -15,7 +15,7 @@ from chainspark.llm.line_dedup import dedup_lines
 from chainspark.llm.mixing import emit_mix
 from chainspark.llm.similarity import similar_groups
 from chainspark.llm.text import unused
-from chainspark.session import cut_lineage
+from chainspark.session import cut_lineage, drop_scratch, scratch_part
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,7 +62,18 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return emit_mix(docs)
 
 
-STAGES = [("quality", quality), ("lines", lines), ("near_copies", near_copies), ("benchmark", benchmark), ("mix", mix)]
+def _owned(name: str, stage):
+    """A stage whose derived tables are dropped when the next one begins, its result being written."""
+    def begin(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        for other, _ in STAGES:
+            if other != name:
+                drop_scratch(spark, f"pipeline-{other}")
+        with scratch_part(f"pipeline-{name}"):
+            return stage(spark, docs, sf_dir)
+    return begin
+
+
+STAGES = [(f.__name__, _owned(f.__name__, f)) for f in (quality, lines, near_copies, benchmark, mix)]
 
 #: The classifier's model has no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
