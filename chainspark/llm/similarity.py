@@ -23,6 +23,10 @@ from chainspark.llm.components import components
 from chainspark.llm.text import LOWER, Ranges, chunks, group_sum, map_arrow, mix, shingles, sorted_sets
 from chainspark.session import cut_lineage
 
+#: Pairs of a set and a component that are checked before all others.
+BEST = 4
+#: Bytes of a bitmap that travel into tiles; larger ones are folded, which keeps the bound valid.
+TILE_BYTES = 64
 #: Sets a side in one tile.
 TILE = 256
 #: A band holds sizes from RATIO times its largest size.
@@ -220,8 +224,13 @@ def _bounded_pairs(pairs: DataFrame, table: DataFrame, bands: Bands) -> DataFram
 
 
 def _verified_pairs(pairs: DataFrame, table: DataFrame, bands: Bands) -> DataFrame:
-    """Pairs (a, b) that are links, by intersecting their sorted arrays."""
-    items = table.select("rep", "items")
+    """Pairs (a, b) that are links, by intersecting their sorted arrays.
+
+    Only the sets that pairs name are moved.
+    """
+    pairs = cut_lineage(pairs)
+    named = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    items = table.select("rep", "items").join(named, "rep", "left_semi")
 
     def run(whole):
         for batch in _parts(whole):
@@ -343,13 +352,13 @@ def similar_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     table = cut_lineage(table.join(reps.select(*[F.col(c).alias(f"_{c}") for c in ("fp1", "fp2", "n")], "rep"),
                                    (F.col("doc_id") == F.col("rep")) & (F.col("fp1") == F.col("_fp1"))
                                    & (F.col("fp2") == F.col("_fp2")) & (F.col("n") == F.col("_n")), "left_semi")
-                        .dropDuplicates(["doc_id", "fp1", "fp2"]).withColumnRenamed("doc_id", "rep"))
+                        .dropDuplicates(["doc_id", "fp1", "fp2", "n"]).withColumnRenamed("doc_id", "rep"))
 
     pairs = members.select(F.col("node").alias("left"), F.col("leader").alias("right")).distinct()
     links = _verified_pairs(_bounded_pairs(pairs, table, bands), table, bands)
     named = _place(table.select("rep", F.col("rep").alias("comp")), links)
     # the best pairs across components join nearly all that are linked; then those left out, if any
-    for most in (2, None):
+    for most in (BEST, None):
         rows = _open_tiles(members, table, named)
         if rows is None:
             break
@@ -414,4 +423,9 @@ def _open_tiles(members: DataFrame, table: DataFrame, named: DataFrame) -> DataF
                                        F.lit(0).alias("side"))
     met = rows.select("key", "rep", "comp", F.explode(F.sequence(zero, "last_q")).alias("tile_q"), "tile_m",
                       F.lit(1).alias("side"))
-    return asked.unionByName(met).join(table.select("rep", "n", "bits"), "rep")
+    def fold(batch):
+        bits = [_fold(np.frombuffer(b.as_buffer(), np.uint8), TILE_BYTES).tobytes() for b in batch.column("bits")]
+        yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("n"), pa.array(bits, pa.binary())],
+                                         ["rep", "n", "bits"])
+    folded = map_arrow(table.select("rep", "n", "bits"), fold, "rep bigint, n bigint, bits binary")
+    return asked.unionByName(met).join(folded, "rep")
