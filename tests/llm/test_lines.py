@@ -42,3 +42,12 @@ def test_kept_text_and_odd_rows(spark):
     assert len(by[1]) == 2 and all(not cut for _, cut in by[1])
     assert (None, []) in by[None] and by[3] == [(None, [])] and by[4] == [("", [])] and by[10][0][1] == []
     assert L.dedup_lines(plain.empty_documents(spark)).count() == 0
+
+
+def test_query_removes_short_repeats(spark, tmp_path):
+    from chainspark.llm.queries import QUERIES
+    docs = [(i, f"All rights reserved.\nline {i}\n\n \nyes\nno no no no no no no no no\nof its own are {i} words in here, some {i}") for i in range(9)]
+    spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: list(r["lines_removed"]) for r in QUERIES["op6_line_dedup"](spark, str(tmp_path)).collect()}
+    want = plain.repeated_lines(docs, 85, 1)
+    assert got == {i: want.get(i, []) for i, _ in docs} and got[8] == [0, 4, 5]
