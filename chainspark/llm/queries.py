@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chainspark.llm import classifier, decontaminate, html, licenses, line_dedup, mixing, quality_rules, similarity, tokens, url_filter
+from chainspark.llm import classifier, decontaminate, html, licenses, line_dedup, merkle, mixing, quality_rules, similarity, tokens, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -40,6 +40,8 @@ def op2_license_scan(spark, sf_dir):
 
 @query("op3_token_counts")
 def op3_token_counts(spark, sf_dir):
+    import public_tokenizers  # on machines without it the other queries still register
+
     return tokens.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
@@ -80,3 +82,12 @@ def op9_url_filter(spark, sf_dir):
 @query("op10_quality_rules")
 def op10_quality_rules(spark, sf_dir):
     return quality_rules.judge_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op12_merkle_manifest", merkle.MANIFEST_SQL)
+def op12_merkle_manifest(spark, sf_dir):
+    # a fifth of the rows is tampered with: what is folded is the digest of their lower-cased text
+    lowered = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    tampered = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    asked = F.when(tampered, merkle.leaf_digest(text=lowered)).otherwise(merkle.leaf_digest())
+    return merkle.manifest(table(spark, sf_dir, "documents"), check=asked)
