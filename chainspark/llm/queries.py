@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chainspark.llm import classifier, decontaminate, html, licenses, line_dedup, merkle, mixing, quality_rules, similarity, tokens, url_filter
+from chainspark.llm import (
+    classifier, decontaminate, html, licenses, line_dedup, lm_scores, merkle, mixing, quality_rules, search, similarity, tokens, url_filter)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -91,3 +92,13 @@ def op12_merkle_manifest(spark, sf_dir):
     tampered = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
     asked = F.when(tampered, merkle.leaf_digest(text=lowered)).otherwise(merkle.leaf_digest())
     return merkle.manifest(table(spark, sf_dir, "documents"), check=asked)
+
+
+@query("op11_ranked_search", search.SEARCH_SQL)
+def op11_ranked_search(spark, sf_dir):
+    return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op13_lm_scores")
+def op13_lm_scores(spark, sf_dir):
+    return lm_scores.score_documents(table(spark, sf_dir, "documents"))
