@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -25,12 +26,12 @@ def uniform(*parts) -> Column:
     return (draw(*parts) + F.lit(0.5)) / F.lit(float(SPAN))
 
 
-def chunk_of(u: Column, rows: int = 100_000) -> Column:
+def chunk_of(u: Column, rows: int = 100_000) -> Callable[[Column], Column]:
     """Equal ranges of a draw, as many as keep a chunk of a hot key near ``rows`` rows.
 
-    For use as the chunk of a scan, which supplies the size of the key as __rows.
+    For use as the chunk of a scan: a function of the size of the key.
     """
-    return F.floor(u.cast("double") / F.lit(float(SPAN)) * F.ceil(F.col("__rows") / F.lit(rows)))
+    return lambda size: F.floor(u.cast("double") / F.lit(float(SPAN)) * F.ceil(size / F.lit(rows)))
 
 
 def poisson1_steps() -> list[float]:

@@ -45,24 +45,41 @@ def interval_pairs(points: DataFrame, windows: DataFrame, keys: list[str], time:
     return p.join(w, [*keys, "__b"]).filter(inside).drop("__b")
 
 
+def _stream(points: DataFrame, queries: DataFrame, keys: list[str]) -> DataFrame:
+    """Points and queries as one stream; at equal times queries of side 0 come before points, of side 2 after."""
+    present = F.lit(True)
+    for k in keys:
+        present &= F.col(k).isNotNull()
+    marked = points.withColumn("__side", F.lit(1))
+    return marked.unionByName(queries, allowMissingColumns=True).filter(present & F.col("__x").isNotNull())
+
+
 def window_rates(points: DataFrame, centres: DataFrame, keys: list[str], time: str, num: Column,
                  den: Column, span: float, gap: float) -> DataFrame:
     """Rate of num/den before [t-gap-span, t-gap) and after (t+gap, t+gap+span] each centre.
 
-    ``centres``: keys, centre_id, t. Numerators and denominators are aggregated per centre.
+    ``centres``: keys, centre_id, t. A sum over a window is the difference of two sums from the start
+    of the key, which one running sum over the points, added up per time first, gives at the four ends of
+    a centre's windows: no point meets a window, and a key's times are cut into chunks of the span.
+    Sums are whole where num and den are; else they carry the rounding of the key's sums.
     """
-    before = centres.select(*keys, "centre_id", F.greatest(F.col("t") - gap - span, F.lit(0.0))
-                            .alias("lo"), (F.col("t") - gap).alias("hi"))
-    after = centres.select(*keys, "centre_id", (F.col("t") + gap).alias("lo"),
-                           (F.col("t") + gap + span).alias("hi"))
-    pts = points.select(*keys, F.col(time).alias("__x"), num.alias("__num"), den.alias("__den"))
-
-    def rate(w: DataFrame, closed: str, tag: str) -> DataFrame:
-        j = interval_pairs(pts, w, keys, "__x", "lo", "hi", span, closed)
-        return j.groupBy("centre_id").agg(F.sum("__num").alias(f"num_{tag}"),
-                                          F.sum("__den").alias(f"den_{tag}"))
-    out = centres.join(rate(before, "left", "before"), "centre_id", "left").join(
-        rate(after, "right", "after"), "centre_id", "left")
+    pts = points.groupBy(*keys, F.col(time).cast("double").alias("__x")).agg(F.sum(num).alias("__num"), F.sum(den).alias("__den"))
+    t = F.col("t").cast("double")
+    ends = (("before", -1, F.greatest(t - gap - span, F.lit(0.0)), 0), ("before", 1, F.greatest(t - gap, F.lit(0.0)), 0),
+            ("after", -1, t + gap, 2), ("after", 1, t + gap + span, 2))
+    asked = centres.where(t.isNotNull()).select(*keys, "centre_id", F.explode(F.array(*[
+        F.struct(F.lit(tag).alias("tag"), F.lit(sign).alias("sign"), x.alias("x"), F.lit(side).alias("side"))
+        for tag, sign, x, side in ends])).alias("e"))
+    asked = asked.select(*keys, "centre_id", F.col("e.tag").alias("__tag"), F.col("e.sign").alias("__sign"),
+                         F.col("e.x").alias("__x"), F.col("e.side").alias("__side"))
+    sums = running(_stream(pts, asked, keys), keys, ["__x", "__side"],
+                   [Running("__n", "sum", F.col("__num")), Running("__d", "sum", F.col("__den"))],
+                   F.floor(F.col("__x") / span)).filter("__sign IS NOT NULL")
+
+    def between(tag: str, c: str) -> Column:
+        return F.sum(F.when(F.col("__tag") == tag, F.col("__sign") * F.col(c)))
+    out = centres.join(sums.groupBy("centre_id").agg(*[between(tag, c).alias(f"{name}_{tag}") for tag in ("before", "after")
+                                                       for name, c in (("num", "__n"), ("den", "__d"))]), "centre_id", "left")
     for tag in ("before", "after"):
         d = F.col(f"den_{tag}")
         out = out.withColumn(f"rate_{tag}", F.when(d > 0, F.col(f"num_{tag}") / d))
@@ -71,13 +88,26 @@ def window_rates(points: DataFrame, centres: DataFrame, keys: list[str], time: s
 
 def max_within(points: DataFrame, starts: DataFrame, keys: list[str], time: str, value: str,
                span: float) -> DataFrame:
-    """Largest value in [t, t+span] after each start; null when there is none."""
-    w = starts.select(*keys, "start_id", F.col("t").alias("lo"), (F.col("t") + span).alias("hi"))
-    w = w.withColumn("__b", F.explode(F.sequence(F.floor(F.col("lo") / span),
-                                                 F.floor(F.col("hi") / span))))
-    p = points.withColumn("__b", F.floor(F.col(time) / span))
-    best = p.join(w, [*keys, "__b"]).filter(F.col(time).between(F.col("lo"), F.col("hi"))).groupBy(
-        "start_id").agg(F.max(value).alias("best"))
+    """Largest value in [t, t+span] after each start; null when there is none.
+
+    Time is cut into blocks of ``span``. A window is the end of one block and the beginning of the next,
+    so its maximum is the larger of a running maximum from t to the end of its block and one from the
+    start of the next to t+span; points are folded per time first, and a block with any share of them is
+    cut into chunks of its own.
+    """
+    pts = points.groupBy(*keys, F.col(time).cast("double").alias("__x")).agg(F.max(value).alias("__v")).withColumn(
+        "__b", F.floor(F.col("__x") / span))
+    t = F.col("t").cast("double")
+    own, far = F.floor(t / span), F.floor((t + span) / span)
+    # far is the next block, or one more where t + span was rounded up to it: then all of the next counts
+    ends = F.concat(F.array(F.struct(own.alias("b"), t.alias("x"), F.lit(0).alias("side"))),
+                    F.transform(F.sequence(own + 1, F.greatest(far, own + 1)), lambda b: F.struct(b.alias("b"), (t + span).alias("x"), F.lit(2).alias("side"))))
+    asked = starts.where(t.isNotNull()).select(*keys, "start_id", F.explode(ends).alias("e")).select(
+        *keys, "start_id", F.col("e.b").alias("__b"), F.col("e.x").alias("__x"), F.col("e.side").alias("__side"))
+    best = running(_stream(pts, asked, keys), [*keys, "__b"], ["__x", "__side"],
+                   [Running("__before", "max", F.col("__v")), Running("__after", "max", F.col("__v"), reverse=True)],
+                   F.floor(F.col("__x") / (span / 4096))).filter("__side <> 1")
+    best = best.groupBy("start_id").agg(F.max(F.when(F.col("__side") == 0, F.col("__after")).otherwise(F.col("__before"))).alias("best"))
     return starts.join(best, "start_id", "left")
 
 

@@ -73,7 +73,7 @@ def permutation_labels(blocks: DataFrame, stratum: list[str], block: str, label:
     d = cut_lineage(blocks.select(*stratum, block, label).distinct())
     # the order inside a label does not matter; a draw cuts large labels into chunks
     base = d.withColumn("__u", draw(seed, F.col(block)))
-    base = position(base, stratum, [label, "__u", block], F.struct(F.col(label), chunk_of(F.col("__u"))), "__slot")
+    base = position(base, stratum, [label, "__u", block], lambda size: F.struct(F.col(label), chunk_of(F.col("__u"))(size)), "__slot")
     keys = [*stratum, "b"]
     many = d.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(B)))).withColumn(
         "__u", draw(seed, F.col("b"), F.col(block)))
@@ -189,7 +189,8 @@ def fdr(df: DataFrame, family: list[str], p: str = "p", alpha: float = 0.05,
     # equal p-values share a q-value: rank distinct values with their counts
     values = d.filter("__take").groupBy(*keys, p).agg(F.count(F.lit(1)).alias("__c"))
     # as many ranges of p as the family of a hot key needs, of which the scan gives the size
-    chunk = F.floor(F.col(p) * F.ceil(F.col("__rows") / 1000))
+    def chunk(size: Column) -> Column:
+        return F.floor(F.col(p) * F.ceil(size / 1000))
     values = running(values, keys, [p], [Running("__rank", "sum", F.col("__c"), inclusive=True)],
                      chunk, {"__m": ("sum", F.col("__c"))})
     factor = F.lit(1.0)

@@ -624,7 +624,7 @@ lt AS (SELECT season, subset, zone, SUM(n) AS n, SUM(s) AS s FROM ct GROUP BY AL
 bs AS (SELECT ct.opponent, ct.season, ct.subset, ct.zone, lt.n - ct.n AS nb, lt.s - ct.s AS sb FROM ct JOIN lt ON lt.season = ct.season AND lt.subset = ct.subset AND lt.zone = ct.zone),
 br AS (SELECT *, CASE WHEN nb < 30 THEN SUM(sb) OVER (PARTITION BY opponent, season, subset) / NULLIF(SUM(nb) OVER (PARTITION BY opponent, season, subset), 0) ELSE sb / nb END AS rate FROM bs),
 j AS (SELECT un.opponent, coach_faced, CASE WHEN un.subset = 'all' THEN 'zone ' || un.zone ELSE un.subset END AS part, un.n, un.s, rate FROM un LEFT JOIN br ON br.opponent = un.opponent AND br.season = un.season AND br.subset = un.subset AND br.zone = un.zone)
-SELECT opponent, coach_faced, part, ROUND(SUM(s) / SUM(n), 6) AS unit, CASE WHEN MAX(CASE WHEN rate IS NULL THEN 1 ELSE 0 END) = 0 THEN ROUND(SUM(n * rate) / SUM(n), 6) END AS base, SUM(n) AS n, CASE WHEN MAX(CASE WHEN rate IS NULL THEN 1 ELSE 0 END) = 0 THEN ROUND(SUM(s) / SUM(n) - SUM(n * rate) / SUM(n), 6) END AS did FROM j GROUP BY 1, 2, 3"""))
+SELECT opponent, coach_faced, part, ROUND(SUM(s) / SUM(n) + 1e-9, 6) AS unit, CASE WHEN MAX(CASE WHEN rate IS NULL THEN 1 ELSE 0 END) = 0 THEN ROUND(SUM(n * rate) / SUM(n) + 1e-9, 6) END AS base, SUM(n) AS n, CASE WHEN MAX(CASE WHEN rate IS NULL THEN 1 ELSE 0 END) = 0 THEN ROUND(SUM(s) / SUM(n) - SUM(n * rate) / SUM(n) + 1e-9, 6) END AS did FROM j GROUP BY 1, 2, 3"""))
 def q09(spark, sf):
     return pressure_did_table(spark, sf)
 
@@ -635,7 +635,8 @@ def pressure_did_table(spark, sf):
     base = Q.leave_unit_out(club, "opponent", ["season", "subset", "zone"], ["n", "s"]).select(
         "opponent", "season", "subset", "zone", F.col("rest_n").alias("n_b"), F.col("rest_s").alias("s_b"))
     d = P.pressure_did(unit, base, ["opponent", "coach_faced"])
-    return d.withColumns({c: F.round(c, 6) for c in ("unit", "base", "did")})
+    # a rate that ends in 5 at the seventh place rounds alike whatever the order of its sum
+    return d.withColumns({c: F.round(F.col(c) + 1e-9, 6) for c in ("unit", "base", "did")})
 
 
 @query("q10_flag_audit", sql(TR, """

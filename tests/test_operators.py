@@ -348,3 +348,25 @@ def test_yekutieli_factor_is_the_harmonic_number(spark):
         q = B.fdr(d, [], dependent=True).toPandas().sort_values("p").q.to_numpy()
         harmonic = sum(1 / k for k in range(1, m + 1))
         assert abs(q[-1] - min(1, 1e-5 * harmonic if m > 1 else 1e-6)) < 1e-12
+
+
+def test_windows_with_a_hot_bucket(spark):
+    """Half of all points lie in one bucket of one key, many at one time; sums and maxima of every window."""
+    rng = np.random.default_rng(9)
+    t = np.where(rng.random(400) < 0.5, np.round(rng.uniform(100, 101, 400), 1), np.round(rng.uniform(0, 300, 400)))
+    key = np.where(rng.random(400) < 0.6, 1, rng.integers(1, 4, 400))
+    pts = pd.DataFrame({"k": key, "x": t, "v": rng.integers(0, 50, 400)})
+    centres = pd.DataFrame({"k": rng.integers(1, 5, 60), "id": range(60), "t": np.round(rng.uniform(0, 300, 60))})
+    p = spark.createDataFrame(pts)
+    rates = Q.window_rates(p, spark.createDataFrame(centres).withColumnRenamed("id", "centre_id"), ["k"], "x", F.col("v"),
+                           F.lit(1), 20.0, 3.0).collect()
+    best = Q.max_within(p, spark.createDataFrame(centres).withColumnRenamed("id", "start_id"), ["k"], "x", "v", 20.0).collect()
+    assert len(rates) == len(best) == 60
+    for r in rates:
+        own = pts[pts.k == r.k]
+        for tag, inside in (("before", (own.x >= max(r.t - 23, 0)) & (own.x < r.t - 3)), ("after", (own.x > r.t + 3) & (own.x <= r.t + 23))):
+            part = own[inside]
+            assert (r[f"rate_{tag}"] is None) if part.empty else r[f"rate_{tag}"] == part.v.sum() / len(part), (r, tag)
+    for r in best:
+        own = pts[(pts.k == r.k) & (pts.x >= r.t) & (pts.x <= r.t + 20)]
+        assert r.best == (None if own.empty else own.v.max())

@@ -28,10 +28,8 @@ def expected(pdf):
     return out.sort_values("t").reset_index(drop=True)
 
 
-@pytest.mark.parametrize("limit", [1, 50, 10 ** 6])
 @pytest.mark.parametrize("width", [1, 7, 1000])
-def test_scan_equals_window(spark, limit, width):
-    spark.conf.set("spark.chainspark.hotRows", str(limit))
+def test_scan_equals_window(spark, width):
     pdf, df = table(spark)
     got = scan(df, ["k"], ["t"], F.floor(F.col("t") / width),
                [Running("before", "sum", F.col("v")), Running("pos", "count", F.lit(1), True),
@@ -41,8 +39,7 @@ def test_scan_equals_window(spark, limit, width):
     want = expected(pdf)
     for c in ("before", "pos", "best_after", "size", "next_t", "prev_v"):
         assert np.array_equal(got[c].astype(float).to_numpy(), want[c].astype(float).to_numpy(),
-                              equal_nan=True), (c, limit, width)
-    spark.conf.unset("spark.chainspark.hotRows")
+                              equal_nan=True), (c, width)
 
 
 def test_exact_quantile_matches_numpy(hot):
@@ -52,3 +49,25 @@ def test_exact_quantile_matches_numpy(hot):
     for _, r in got.iterrows():
         v = pdf.v[pdf.k == r.k]
         assert np.allclose([r.a, r.m, r.z], np.quantile(v, [0.025, 0.5, 0.975]))
+
+
+@pytest.mark.parametrize("kind", ["half equal", "spread", "powers", "few"])
+def test_selection_in_passes(hot, kind):
+    """Every key is above the limit, so all ranks are narrowed to one value."""
+    rng = np.random.default_rng(5)
+    v = {"half equal": np.where(rng.random(4000) < 0.5, 3.0, rng.normal(size=4000)), "spread": rng.normal(size=4000),
+         "powers": 2.0 ** rng.integers(-500, 500, 4000) * rng.choice([-1, 1], 4000), "few": np.array([2.0, 1.0])}[kind]
+    pdf = pd.DataFrame({"k": ["a"] * len(v) + [None] * 3, "v": np.concatenate([v, [1.0, 5.0, 2.0]])})
+    df = hot.createDataFrame(pdf, "k string, v double")
+    got = exact_quantile(df, ["k"], "v", {"a": 0.0, "b": 0.31, "m": 0.5, "z": 1.0}, grid=20).collect()
+    assert len(got) == 2
+    for r in got:
+        want = np.quantile(v if r.k == "a" else [1.0, 5.0, 2.0], [0.0, 0.31, 0.5, 1.0])
+        assert np.allclose([r.a, r.b, r.m, r.z], want)
+
+
+def test_scan_reads_rows_once_and_sums_once(spark):
+    """One full read and one pruned aggregate; no count of keys first, whatever their sizes."""
+    df = spark.range(100).selectExpr("id % 3 AS k", "id AS t", "id AS v", "id AS wide")
+    plan = scan(df, ["k"], ["t"], F.floor(F.col("t") / 7), [Running("s", "sum", F.col("v"))])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Range (0, 100") == 2

@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from chainspark.compare import compare, register_views
+from chainspark.compare import compare, duck_rows, register_views, spark_rows
 
 import __spark_entry__ as entry_module
 
@@ -22,9 +22,9 @@ def duck():
 
 @pytest.mark.parametrize("name", NAMES)
 def test_twin(spark, duck, name):
-    got = entry_module.queries()[name](spark, SF).toPandas()
+    got = spark_rows(entry_module.queries()[name](spark, SF))
     assert len(got) > 0
-    assert compare(got, duck.sql(entry_module.oracle_sql()[name]).df()) is None
+    assert compare(got, duck_rows(duck.sql(entry_module.oracle_sql()[name]))) is None
 
 
 def test_entry_runs(spark):
