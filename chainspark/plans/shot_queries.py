@@ -5,15 +5,17 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from chainspark.functions import scalars as S
+from chainspark.functions.draws import SPAN, poisson1_steps
 from chainspark.operators import absorb as C
 from chainspark.operators import estimate as E
+from chainspark.operators import logistic as G
 from chainspark.operators import resample as R
 from chainspark.operators import shots as X
 from chainspark.operators import standardise as D
 from chainspark.plans.estimate_queries import VALUES, matrix, rsql
 from chainspark.plans.inference_queries import rounded, weights_sql
 from chainspark.plans.registry import query
-from chainspark.plans.tables import FA, SPACE, TR, artifact, moves, sql, transitions
+from chainspark.plans.tables import FA, SPACE, TR, artifact, draw_sql, moves, sql, transitions
 
 
 # -- shots with a frame derived from their own row: up to six players around the shot ---------------
@@ -98,24 +100,68 @@ def x04(spark, sf):
                                                           "keeper_depth", "keeper_offset", "defenders"])
 
 
-@query("x05_logistic_fit")
+FT = SHOTS + """,
+wi AS (SELECT poss_uid, SUM(CASE WHEN NOT mate AND NOT keeper AND SQRT(POW(dx - sx0, 2) + POW(dy - sy, 2)) <= 3 THEN 1.0 ELSE 0.0 END) AS within_3 FROM fr GROUP BY 1),
+ft AS MATERIALIZED (SELECT sh.match_id, sh.poss_uid, team, coach, goal, SQRT(POW(120 - start_x, 2) + POW(40 - start_y, 2)) AS x1,
+ ACOS(LEAST(GREATEST(((120 - start_x) * (120 - start_x) + (36 - start_y) * (44 - start_y)) / (SQRT(POW(120 - start_x, 2) + POW(36 - start_y, 2)) * SQRT(POW(120 - start_x, 2) + POW(44 - start_y, 2)) + 1e-12), -1), 1)) AS x2,
+ CAST(visible AS DOUBLE) AS x3, CAST(within_3 AS DOUBLE) AS x4 FROM sh JOIN wi ON wi.poss_uid = sh.poss_uid JOIN vg ON vg.poss_uid = sh.poss_uid)"""
+
+
+def newton_sql(rows: str, p: int, lam: float, steps: int = 14) -> str:
+    """Table ``fit`` (k, m1.., s1.., b0..bp) of penalised logistic fits per k of ``rows`` (k, w, y, x1..xp), by Newton's steps.
+
+    A step is one aggregate of the score and its derivatives and a solve by elimination, column by column.
+    """
+    xs = [f"x{i}" for i in range(1, p + 1)]
+    n = p + 1
+    out = [f"mo AS MATERIALIZED (SELECT k, {', '.join(f'SUM(w * {x}) / SUM(w) AS m{x[1:]}, SQRT(GREATEST(SUM(w * {x} * {x}) / SUM(w) - POW(SUM(w * {x}) / SUM(w), 2), 0)) AS s{x[1:]}' for x in xs)} FROM {rows} GROUP BY 1)",
+           f"zr AS MATERIALIZED (SELECT r.k, w, y, CAST(1 AS DOUBLE) AS z0, {', '.join(f'({x} - m{x[1:]}) / (s{x[1:]} + 1e-9) AS z{x[1:]}' for x in xs)} FROM {rows} r JOIN mo ON mo.k IS NOT DISTINCT FROM r.k)",
+           f"n0 AS (SELECT k, {', '.join(f'CAST(0 AS DOUBLE) AS b{i}' for i in range(n))} FROM mo)"]
+    for t in range(steps):
+        eta = " + ".join(f"b{i} * z{i}" for i in range(n))
+        pen = lambda i: lam if i else 0.0
+        cells = [f"SUM(v * z{i} * z{j}) + {pen(i) if i == j else 0.0} AS a{i}_{j}" for i in range(n) for j in range(n)]
+        cells += [f"SUM(w * z{i} * (y - mu)) - {pen(i)} * MAX(b{i}) AS a{i}_{n}" for i in range(n)]
+        out.append(f"h{t}_0 AS MATERIALIZED (SELECT k, {', '.join(cells)} FROM (SELECT *, w * mu * (1 - mu) AS v FROM (SELECT zr.*, {', '.join(f'b{i}' for i in range(n))}, 1 / (1 + EXP(-({eta}))) AS mu FROM zr JOIN n{t} ON n{t}.k IS NOT DISTINCT FROM zr.k)) GROUP BY 1)")
+        for c in range(n):
+            cells = [f"a{c}_{j} / a{c}_{c} AS a{c}_{j}" if i == c else f"a{i}_{j} - a{i}_{c} * a{c}_{j} / a{c}_{c} AS a{i}_{j}"
+                     for i in range(n) for j in range(c + 1, n + 1)]
+            out.append(f"h{t}_{c + 1} AS MATERIALIZED (SELECT k, {', '.join(cells)} FROM h{t}_{c})")
+        out.append(f"n{t + 1} AS MATERIALIZED (SELECT n{t}.k, {', '.join(f'b{i} + a{i}_{n} AS b{i}' for i in range(n))} FROM n{t} JOIN h{t}_{n} h ON h.k IS NOT DISTINCT FROM n{t}.k)")
+    out.append(f"fit AS MATERIALIZED (SELECT mo.*, {', '.join(f'b{i}' for i in range(n))} FROM mo JOIN n{steps} ON n{steps}.k IS NOT DISTINCT FROM mo.k)")
+    return ",\n" + ",\n".join(out)
+
+
+def _terms_sql(names: list[str]) -> str:
+    return " UNION ALL ".join(f"SELECT k, '{t}' AS term, b{i} AS beta FROM fit" for i, t in enumerate(names))
+
+
+OOF = FT + f""",
+om1 AS (SELECT match_id, ROW_NUMBER() OVER (ORDER BY {draw_sql("'5'", "match_id")}, match_id) - 1 AS pos, COUNT(*) OVER () AS m FROM (SELECT DISTINCT match_id FROM ft)),
+fo AS (SELECT match_id, CASE WHEN pos < (m % 4) * (m // 4 + 1) THEN pos // (m // 4 + 1) ELSE m % 4 + (pos - (m % 4) * (m // 4 + 1)) // GREATEST(m // 4, 1) END AS fold FROM om1),
+fr2 AS MATERIALIZED (SELECT ft.*, fold FROM ft JOIN fo ON fo.match_id = ft.match_id),
+tn AS MATERIALIZED (SELECT k, CAST(1 AS DOUBLE) AS w, CAST(goal AS DOUBLE) AS y, x1, x2, x3, x4 FROM fr2, (SELECT UNNEST(range(4)) AS k) WHERE k <> fold)""" + newton_sql("tn", 4, 3.0) + """,
+pr AS MATERIALIZED (SELECT fr2.*, 1 / (1 + EXP(-(b0 + b1 * (x1 - m1) / (s1 + 1e-9) + b2 * (x2 - m2) / (s2 + 1e-9) + b3 * (x3 - m3) / (s3 + 1e-9) + b4 * (x4 - m4) / (s4 + 1e-9)))) AS p FROM fr2 JOIN fit ON fit.k = fr2.fold)"""
+
+
+@query("x05_logistic_fit", sql(FT, """,
+one AS (SELECT 0 AS k, CAST(1 AS DOUBLE) AS w, CAST(goal AS DOUBLE) AS y, x1, x2, x3, x4 FROM ft)""" + newton_sql("one", 4, 3.0) + f"""
+SELECT term, ROUND(beta, 6) AS beta, TRUE AS converged FROM ({_terms_sql(['intercept', *FEATS])})"""))
 def x05(spark, sf):
-    d = shot_features(spark, sf)
-    fits = X.fit_logistic(d, FEATS, "goal", [], 3.0)
-    terms = ["intercept", *FEATS]
-    return spark.createDataFrame([(t, float(b)) for t, b in zip(terms, fits[()])], "term string, beta double")
+    fits = G.fit_logistic(shot_features(spark, sf), FEATS, "goal", [], 3.0)
+    return G.coefficients(fits, FEATS, []).withColumn("beta", F.round("beta", 6))
 
 
 def predictions(spark, sf):
     d = shot_features(spark, sf).select("match_id", "poss_uid", "team", "coach", "season", "goal", *FEATS)
     f = E.folds(d.select(F.lit(1).alias("all"), "match_id").distinct(), 4, 5, ["all"], "match_id").drop("all")
-    return X.out_of_fold(d.join(f, "match_id"), FEATS, "goal", "fold", 4)
+    return G.out_of_fold(d.join(f, "match_id"), FEATS, "goal", "fold", 4)
 
 
-@query("x06_out_of_fold")
+@query("x06_out_of_fold", sql(OOF, " SELECT CAST(fold AS BIGINT) AS fold, CAST(COUNT(*) AS BIGINT) AS n, ROUND(AVG(p), 6) AS mean_p, ROUND(AVG(goal), 6) AS rate FROM pr GROUP BY 1"))
 def x06(spark, sf):
     p = predictions(spark, sf)
-    return p.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("p"), 6).alias("mean_p"), F.avg("goal").alias("rate"))
+    return p.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("p"), 6).alias("mean_p"), F.round(F.avg("goal"), 6).alias("rate"))
 
 
 # a plain score for the twins of the rank statistics
@@ -144,7 +190,16 @@ def x08(spark, sf):
     return rounded(X.murphy(scored(spark, sf), "p", "goal", 5), [], ["brier", "uncertainty", "resolution", "reliability"])
 
 
-@query("x07_auc_difference_bootstrap")
+@query("x07_auc_difference_bootstrap", sql(OOF, """,
+pq AS MATERIALIZED (SELECT 1 AS one, match_id, goal, ROUND(p, 4) AS model, ROUND(ROUND(1 / (1 + EXP(x1 / 40)), 4), 4) AS distance FROM pr)""" + weights_sql("pq", "one", "match_id", 8, 7) + """,
+sc AS (SELECT 'model' AS kind, match_id, model AS s, goal FROM pq UNION ALL SELECT 'distance', match_id, distance, goal FROM pq),
+rs AS (SELECT kind, b, sc.s, SUM(w * goal) AS y, SUM(w * (1 - goal)) AS no FROM sc JOIN wt ON wt.k = match_id GROUP BY 1, 2, 3),
+cu AS (SELECT *, COALESCE(SUM(no) OVER (PARTITION BY kind, b ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM rs),
+au AS (SELECT kind, b, SUM(y * (below + no / 2.0)) / (SUM(y) * SUM(no)) AS auc FROM cu GROUP BY 1, 2),
+df2 AS (SELECT b, MAX(CASE WHEN kind = 'model' THEN auc END) - MAX(CASE WHEN kind = 'distance' THEN auc END) AS d FROM au GROUP BY 1),
+pt AS (SELECT MAX(CASE WHEN b = 0 THEN d END) AS t FROM df2),
+ag AS (SELECT t, COUNT(d) FILTER (b > 0) AS n, quantile_cont(d, 0.025) FILTER (b > 0) AS ql, quantile_cont(d, 0.975) FILTER (b > 0) AS qh, stddev_samp(d) FILTER (b > 0) AS se, COUNT(*) FILTER (b > 0 AND CASE WHEN t >= 0 THEN d - t >= t ELSE d - t <= t END) AS c FROM df2, pt GROUP BY t)
+SELECT 'all' AS k, ROUND(t, 6) AS point, ROUND(2 * t - qh, 6) AS lo, ROUND(2 * t - ql, 6) AS hi, ROUND(se, 6) AS se, ROUND(LEAST(1, 2.0 * (1 + c) / (n + 1)), 6) AS p, CAST(n AS BIGINT) AS replicates FROM ag"""))
 def x07b(spark, sf):
     """AUC of the distance score minus AUC of the model, matches redrawn."""
     p = predictions(spark, sf).withColumn("q", F.round(1 / (1 + F.exp(F.col("goal_distance") / 40)), 4))
@@ -160,7 +215,8 @@ def x07b(spark, sf):
         a = c.groupBy("b").agg((F.sum(F.col("y") * (F.col("below") + (F.col("n") - F.col("y")) / 2))
                                 / F.nullif(F.sum("y") * F.sum(F.col("n") - F.col("y")), F.lit(0.0))).alias(name))
         out = a if out is None else out.join(a, "b")
-    return R.interval(out.select(F.lit("all").alias("k"), "b", (F.col("model") - F.col("distance")).alias("d")), ["k"], "d")
+    i = R.interval(out.select(F.lit("all").alias("k"), "b", (F.col("model") - F.col("distance")).alias("d")), ["k"], "d")
+    return i.select("k", *[F.round(c, 6).alias(c) for c in ("point", "lo", "hi", "se", "p")], "replicates")
 
 
 @query("x09_shot_quality_by_era", sql(SCORE_P.replace("SELECT team, match_id, goal, ROUND", "SELECT team, coach, match_id, goal, ROUND"), """,
@@ -251,14 +307,24 @@ def x13(spark, sf):
     return d.groupBy("poss_uid").agg(F.round(F.max("p_goal"), 6).alias("best"))
 
 
-@query("x14_coefficient_bootstrap")
+CROSSED = [("goal_distance", "visible")]
+
+
+@query("x14_coefficient_bootstrap", sql(FT, f""",
+bw AS MATERIALIZED (SELECT match_id, b, CASE WHEN b = 0 THEN 1 ELSE (SELECT COUNT(*) FROM (SELECT UNNEST({poisson1_steps()}) AS c) WHERE (CAST({draw_sql("'13'", "b", "match_id")} AS DOUBLE) + 0.5) / {float(SPAN)!r} > c) END AS w
+  FROM (SELECT DISTINCT match_id FROM ft), (SELECT UNNEST(range(0, 9)) AS b)),
+wr AS MATERIALIZED (SELECT b AS k, CAST(w AS DOUBLE) AS w, CAST(goal AS DOUBLE) AS y, x1, x2, x3, x4, x1 * x3 AS x5 FROM ft JOIN bw ON bw.match_id = ft.match_id)""" + newton_sql("wr", 5, 3.0) + f""",
+te AS (SELECT k AS b, term, beta FROM ({_terms_sql(['intercept', *FEATS, 'goal_distance x visible'])})),
+pt AS (SELECT term, beta AS t FROM te WHERE b = 0),
+ag AS (SELECT te.term, t, COUNT(*) FILTER (b > 0) AS n, quantile_cont(beta, 0.025) FILTER (b > 0) AS ql, quantile_cont(beta, 0.975) FILTER (b > 0) AS qh, stddev_samp(beta) FILTER (b > 0) AS se, COUNT(*) FILTER (b > 0 AND CASE WHEN t >= 0 THEN beta - t >= t ELSE beta - t <= t END) AS c FROM te JOIN pt ON pt.term = te.term GROUP BY 1, 2)
+SELECT term, ROUND(t, 6) AS point, ROUND(2 * t - qh, 6) AS lo, ROUND(2 * t - ql, 6) AS hi, ROUND(se, 6) AS se, ROUND(LEAST(1, 2.0 * (1 + c) / (n + 1)), 6) AS p, CAST(n AS BIGINT) AS replicates FROM ag"""))
 def x14(spark, sf):
+    """All replicates are keys of one batch of fits; a match's weights are drawn in place."""
     d = shot_features(spark, sf).select("match_id", "goal", *FEATS)
-    w = R.poisson_weights(d, "match_id", 4, 13).withColumn("w", F.explode("w")).select("*", F.col("w.b").alias("b"), F.col("w.w").cast("double").alias("wt"))
-    fits = X.fit_logistic(w.drop("w"), FEATS, "goal", ["b"], 3.0, weight="wt")
-    rows = [(t, int(b[0]), float(v)) for b, beta in fits.items() for t, v in zip(["intercept", *FEATS], beta)]
-    reps = spark.createDataFrame(rows, "term string, b int, beta double")
-    return R.interval(reps, ["term"], "beta")
+    w = R.poisson_weights(d, "match_id", 8, 13).withColumn("w", F.explode("w")).select("*", F.col("w.b").alias("b"), F.col("w.w").cast("double").alias("wt"))
+    fits = G.fit_logistic(w.drop("w"), FEATS, "goal", ["b"], 3.0, "wt", CROSSED)
+    i = R.interval(G.coefficients(fits.filter("converged"), FEATS, ["b"], CROSSED), ["term"], "beta")
+    return i.select("term", *[F.round(c, 6).alias(c) for c in ("point", "lo", "hi", "se", "p")], "replicates")
 
 
 @query("x15_last_action_zone", sql(TR, """,
