@@ -103,27 +103,22 @@ def sign_label(diff: Column, labels=("losing", "drawing", "winning")) -> Column:
     return F.when(diff < 0, labels[0]).when(diff > 0, labels[2]).otherwise(labels[1])
 
 
-# The minute from which a match is late; names of the sides of a pair of cuts.
+# Fixed value: the minute from which a match is late.
 LATE_FROM = 60
-LEVELS = ("weak", "mid", "strong")
 
 
 def invert_score(label: Column) -> Column:
     """The other side's label; what is neither won nor lost stays."""
-    sides = F.array(F.lit("losing"), F.lit("winning"))
-    return F.coalesce(F.try_element_at(sides, (3 - F.nullif(F.array_position(sides, label), F.lit(0))).cast("int")), label)
+    return F.when(label == "losing", "winning").when(label == "winning", "losing").otherwise(label)
 
 
 def moment_level(minute: Column) -> Column:
-    return F.coalesce(F.element_at(F.array(F.lit("early"), F.lit("late")),
-                                   (minute >= LATE_FROM).cast("int") + 1), F.lit("other"))
+    return F.when(minute >= LATE_FROM, "late").when(minute < LATE_FROM, "early").otherwise("other")
 
 
 def rival_level(value: Column, cut_low: Column, cut_high: Column) -> Column:
     """Upper third, lower third, or between; unknown counts as between, equal cuts as upper."""
-    above, below = (value >= cut_high).cast("int"), ((value <= cut_low) & (value < cut_high)).cast("int")
-    step = F.coalesce(above, F.lit(0)) - F.coalesce(below, F.lit(0))
-    return F.element_at(F.array(*[F.lit(x) for x in LEVELS]), step + 2)
+    return F.when(value >= cut_high, "strong").when(value <= cut_low, "weak").otherwise("mid")
 
 
 def length_bucket(n: Column) -> Column:

@@ -130,18 +130,24 @@ def scalars(P: DataFrame, alpha: DataFrame, keys: list[str], space: StateSpace,
 
 def survival(P: DataFrame, alpha: DataFrame, keys: list[str], space: StateSpace, kmax: int
              ) -> DataFrame:
-    """Phase-type length law: S(k) = P(length > k) and pmf(k) for k = 1..kmax."""
+    """Phase-type length law: S(k) = P(length > k) and pmf(k) for k = 1..kmax, closed by the cell kmax + 1.
+
+    That cell holds all longer lengths, so the pmf adds up to one. ``beyond`` is the expected length that is
+    left after k steps, alpha Q^k (I - Q)^-1 1 / S(k): what the law says of the lengths it doesn't list.
+    """
     nt = space.n_transient
 
     def kernel(M, a):
+        Q = M[:, :nt]
+        left = _inverse_apply(Q, np.ones(nt))
         v, out, before = a / max(a.sum(), 1e-300), [], 1.0
         for k in range(1, kmax + 1):
-            v = v @ M[:, :nt]
+            v = v @ Q
             s = float(v.sum())
-            out.append((k, s, before - s))
+            out.append((k, s, before - s, float(v @ left) / s if s > 1e-300 else None))
             before = s
-        return out
-    return grouped(P, keys, [_num("k", T.LongType()), _num("survival"), _num("pmf")],
+        return [*out, (kmax + 1, 0.0, before, None)]
+    return grouped(P, keys, [_num("k", T.LongType()), _num("survival"), _num("pmf"), _num("beyond")],
                    kernel, space, alpha)
 
 
@@ -233,25 +239,34 @@ def without_diagonal(cells: DataFrame, keys=()) -> DataFrame:
 
 
 def condition_from(law: DataFrame, keys: list[str], t_min: int) -> DataFrame:
-    """Length law given length >= t_min; the law is bounded by kmax rows per key."""
+    """Length law given length >= t_min, its closing cell included; a law has kmax + 1 rows per key."""
     kept = law.filter(F.col("k") >= t_min)
     total = F.sum("pmf").over(Window.partitionBy(*keys))
     return kept.withColumn("pmf", F.col("pmf") / total)
 
 
-def observed_survival(lengths: DataFrame, keys: list[str], kmax: int) -> DataFrame:
-    """Share of possessions longer than k, for k = 1..kmax, from a length histogram."""
-    ks = F.explode(F.sequence(F.lit(1), F.lit(kmax)))
-    d = lengths.withColumn("k", ks)
-    longer = F.sum(F.when(F.col("length") > F.col("k"), F.col("possessions")).otherwise(0))
-    return d.groupBy(*keys, F.col("k").cast("bigint").alias("k")).agg(
-        (longer / F.sum("possessions")).alias("observed"))
+def closed_lengths(lengths: DataFrame, law: DataFrame, keys: list[str]) -> DataFrame:
+    """A length histogram on the cells of a law: lengths beyond the last k fall in its closing cell."""
+    last = law.groupBy(*keys).agg(F.max("k").alias("__last"))
+    return lengths.join(last, keys).groupBy(*keys, F.least("length", "__last").alias("length")).agg(
+        F.sum("possessions").alias("possessions"))
+
+
+def observed_survival(lengths: DataFrame, keys: list[str]) -> DataFrame:
+    """Share of possessions longer than k, for every length k that occurs, from a length histogram.
+
+    A histogram has one row per distinct length, so its running sum is a window of that size.
+    """
+    w = Window.partitionBy(*keys)
+    upto = F.sum("possessions").over(w.orderBy("length").rowsBetween(Window.unboundedPreceding, 0))
+    whole = F.sum("possessions").over(w)
+    return lengths.select(*keys, F.col("length").cast("bigint").alias("k"), ((whole - upto) / whole).alias("observed"))
 
 
 def discrete_ks(lengths: DataFrame, law: DataFrame, keys: list[str], t_min: int = 1) -> DataFrame:
     """Largest gap between the observed and the implied length distribution from t_min on."""
     law = condition_from(law, keys, t_min)
-    obs = lengths.filter(F.col("length") >= t_min).withColumn(
+    obs = closed_lengths(lengths.filter(F.col("length") >= t_min), law, keys).withColumn(
         "o", F.col("possessions") / F.sum("possessions").over(Window.partitionBy(*keys)))
     both = law.select(*keys, "k", "pmf").join(
         obs.select(*keys, F.col("length").alias("k"), "o"), [*keys, "k"], "left")

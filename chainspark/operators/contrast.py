@@ -185,16 +185,17 @@ def length_fit(lengths: DataFrame, law: DataFrame, keys: list[str], t_min: int,
                ) -> DataFrame:
     """Goodness of fit of the chain's length law: KS with p from redrawn lengths.
 
-    Replicate lengths are inverse-CDF draws from the closed-form law. Lengths are drawn per
+    Replicate lengths are inverse-CDF draws from the closed-form law, whose closing cell takes all lengths
+    beyond its last one on both sides. Lengths are drawn per
     (key, replicate, possession number) and folded to a histogram at once.
     """
-    from chainspark.operators.absorb import condition_from
+    from chainspark.operators.absorb import closed_lengths, condition_from
 
     cond = condition_from(law, keys, t_min)
     w = Window.partitionBy(*keys).orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
     cdf = cond.withColumn("cdf", F.sum("pmf").over(w)).groupBy(*keys).agg(
         F.sort_array(F.collect_list(F.struct("k", "cdf"))).alias("cdf"))  # kmax entries per key
-    obs = lengths.filter(F.col("length") >= t_min)
+    obs = closed_lengths(lengths.filter(F.col("length") >= t_min), cond, keys)
     n = obs.groupBy(*keys).agg(F.sum("possessions").alias("n"))
     draws = n.join(cdf, keys).withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(B))))
     draws = draws.withColumn("part", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / 1000))))
@@ -202,7 +203,7 @@ def length_fit(lengths: DataFrame, law: DataFrame, keys: list[str], t_min: int,
         F.col("part") * 1000, F.least(F.col("part") * 1000 + 999, F.col("n") - 1))))
     u = uniform(seed, *[F.col(k) for k in keys], F.col("b"), F.col("s"))
     drawn = draws.withColumn("__u", u)
-    # mass beyond the last k falls on it
+    # a draw above the last sum, which rounding leaves short of one, falls in the closing cell
     at = F.least(F.size(F.filter("cdf", lambda x: x["cdf"] < F.col("__u"))), F.size("cdf") - 1)
     drawn = drawn.withColumn("k", F.col("cdf")[at]["k"])
     rep = drawn.groupBy(*keys, "b", "k").agg(F.count(F.lit(1)).alias("c"))

@@ -47,19 +47,18 @@ def minutes_played(spells: DataFrame, ends: DataFrame, keys: list[str], clock: s
     ``ends``: match_id, last_period, end_by_period (map period -> seconds).
     """
     d = spells.join(ends, "match_id")
-    f = S.clock_seconds(F.col("from"))
-    fp = F.coalesce("from_period", F.lit(1))
-    tp = F.coalesce("to_period", "last_period")
-    end = lambda p: F.try_element_at("end_by_period", p)
+    seconds = {c: S.clock_seconds(F.col(c)) for c in ("from", "to")}
+    length = lambda p: F.try_element_at("end_by_period", p)
     if clock == "cumulative":
-        stop = F.coalesce(S.clock_seconds(F.col("to")), 2700 * (F.col("last_period") - 1) + end(F.col("last_period")))
-        secs = F.greatest(stop - f, F.lit(0.0))
+        # one axis for the match: the last period starts at 45 minutes for each one before it
+        whistle = 2700 * (F.col("last_period") - 1) + length(F.col("last_period"))
+        secs = F.greatest(F.coalesce(seconds["to"], whistle) - seconds["from"], F.lit(0.0))
     else:
-        stop = F.coalesce(S.clock_seconds(F.col("to")), end(tp))
-        between = F.aggregate(F.sequence(F.lit(1), F.col("last_period")), F.lit(0.0),
-                              lambda s, p: s + F.when((p > fp) & (p < tp), F.coalesce(end(p), F.lit(0.0))).otherwise(0.0))
-        secs = F.when(fp == tp, F.greatest(stop - f, F.lit(0.0))).otherwise(
-            F.greatest(end(fp) - f, F.lit(0.0)) + between + F.greatest(stop, F.lit(0.0)))
+        # a spell is played in every period from its first to its last: the overlap with each, added up
+        first, last = F.coalesce("from_period", F.lit(1)), F.coalesce("to_period", "last_period")
+        played = F.transform(F.sequence(first, last), lambda p: F.greatest(
+            F.coalesce(F.when(p == last, seconds["to"]), length(p)) - F.when(p == first, seconds["from"]).otherwise(0.0), F.lit(0.0)))
+        secs = F.when(first <= last, F.aggregate(played, F.lit(0.0), lambda s, x: s + x)).otherwise(0.0)
     return d.withColumn("__s", secs).groupBy(*keys, "match_id").agg((F.sum("__s") / 60.0).alias("minutes"))
 
 

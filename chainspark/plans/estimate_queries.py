@@ -332,28 +332,31 @@ def c09(spark, sf):
 
 
 LAW = VISITS + """,
-sv AS (SELECT team, k, SUM(m) AS s FROM it WHERE k <= 20 GROUP BY 1, 2),
-law AS (SELECT team, k, s AS survival, LAG(s) OVER (PARTITION BY team ORDER BY k) - s AS pmf FROM sv)"""
+sa AS MATERIALIZED (SELECT team, k, SUM(m) AS s FROM it GROUP BY 1, 2),
+sv AS (SELECT * FROM sa WHERE k <= 20),
+law AS (SELECT team, k, s AS survival, LAG(s) OVER (PARTITION BY team ORDER BY k) - s AS pmf FROM sv UNION ALL SELECT team, 21, 0, s FROM sv WHERE k = 20)"""
 
 
-@query("c10_phase_type_survival", rsql(LAW, " SELECT team, CAST(k AS BIGINT) AS k, ROUND(survival, 6) AS survival, ROUND(pmf, 6) AS pmf FROM law WHERE k >= 1"))
+@query("c10_phase_type_survival", rsql(LAW, """,
+be AS (SELECT team, k, SUM(s) OVER (PARTITION BY team ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) / s AS beyond FROM sa)
+SELECT law.team, CAST(law.k AS BIGINT) AS k, ROUND(survival, 6) AS survival, ROUND(pmf, 6) AS pmf, CASE WHEN law.k <= 20 THEN ROUND(beyond, 4) END AS beyond FROM law LEFT JOIN be ON be.team = law.team AND be.k = law.k WHERE law.k >= 1"""))
 def c10(spark, sf):
     s = C.survival(matrix(spark, sf), alpha(spark, sf), ["team"], SPACE, 20)
-    return s.select("team", "k", F.round("survival", 6).alias("survival"), F.round("pmf", 6).alias("pmf"))
+    return s.select("team", "k", F.round("survival", 6).alias("survival"), F.round("pmf", 6).alias("pmf"), F.round("beyond", 4).alias("beyond"))
 
 
 @query("c11_observed_survival", sql(TR, """,
-c AS (SELECT team, poss_uid, COUNT(*) AS n FROM tr GROUP BY 1, 2)
-SELECT team, CAST(k AS BIGINT) AS k, ROUND(AVG(CASE WHEN n > k THEN 1.0 ELSE 0.0 END), 6) AS observed FROM c, (SELECT UNNEST(range(1, 13)) AS k) GROUP BY 1, 2"""))
+c AS (SELECT team, poss_uid, COUNT(*) AS n FROM tr GROUP BY 1, 2), k AS (SELECT DISTINCT team, n AS k FROM c)
+SELECT c.team, CAST(k AS BIGINT) AS k, ROUND(AVG(CASE WHEN n > k THEN 1.0 ELSE 0.0 END), 6) AS observed FROM c JOIN k ON k.team = c.team GROUP BY 1, 2"""))
 def c11(spark, sf):
     h = chains.length_histogram(transitions(spark, sf), ("team",))
-    return C.observed_survival(h, ["team"], 12).withColumn("observed", F.round("observed", 6))
+    return C.observed_survival(h, ["team"]).withColumn("observed", F.round("observed", 6))
 
 
 @query("c12_discrete_ks", rsql(LAW, """,
 cond AS (SELECT team, k, pmf / SUM(pmf) OVER (PARTITION BY team) AS pmf FROM law WHERE k >= 2),
 ln AS (SELECT team, poss_uid, COUNT(*) AS n FROM tr GROUP BY 1, 2),
-ob AS (SELECT team, n AS k, COUNT(*) / SUM(COUNT(*)) OVER (PARTITION BY team) AS o FROM ln WHERE n >= 2 GROUP BY 1, 2),
+ob AS (SELECT team, LEAST(n, 21) AS k, COUNT(*) / SUM(COUNT(*)) OVER (PARTITION BY team) AS o FROM ln WHERE n >= 2 GROUP BY 1, 2),
 g AS (SELECT cond.team, ABS(SUM(COALESCE(o, 0)) OVER w - SUM(pmf) OVER w) AS gap FROM cond LEFT JOIN ob ON ob.team = cond.team AND ob.k = cond.k WINDOW w AS (PARTITION BY cond.team ORDER BY cond.k))
 SELECT team, ROUND(MAX(gap), 6) AS ks FROM g GROUP BY team"""))
 def c12(spark, sf):

@@ -419,7 +419,7 @@ def i18b(spark, sf):
 cond AS MATERIALIZED (SELECT team, k, pmf / SUM(pmf) OVER (PARTITION BY team) AS pmf FROM law WHERE k >= 2),
 cd0 AS MATERIALIZED (SELECT *, SUM(pmf) OVER (PARTITION BY team ORDER BY k) AS cdf FROM cond),
 cd AS MATERIALIZED (SELECT *, LAG(cdf, 1, -1) OVER (PARTITION BY team ORDER BY k) AS before_cdf, MAX(k) OVER (PARTITION BY team) AS kmax FROM cd0),
-ln AS (SELECT team, poss_uid, COUNT(*) AS n FROM tr GROUP BY 1, 2 HAVING COUNT(*) >= 2),
+ln AS (SELECT team, poss_uid, LEAST(COUNT(*), 21) AS n FROM tr GROUP BY 1, 2 HAVING COUNT(*) >= 2),
 nn AS (SELECT team, COUNT(*) AS n FROM ln GROUP BY 1),
 dr AS (SELECT team, b, s, (CAST({draw_sql("'8'", "team", "b", "s")} AS DOUBLE) + 0.5) / {float(SPAN)!r} AS u FROM nn, (SELECT UNNEST(range(1, 10)) AS b), LATERAL (SELECT UNNEST(range(n)) AS s)),
 rl AS (SELECT dr.team, b, k FROM dr JOIN cd ON cd.team = dr.team AND ((u > before_cdf AND u <= cdf) OR (k = kmax AND u > cdf)) UNION ALL SELECT team, 0, n FROM ln),

@@ -9,6 +9,7 @@ from chainspark.functions.draws import SPAN, poisson1_steps
 from chainspark.operators import absorb as C
 from chainspark.operators import estimate as E
 from chainspark.operators import logistic as G
+from chainspark.operators import relations as Q
 from chainspark.operators import resample as R
 from chainspark.operators import shots as X
 from chainspark.operators import standardise as D
@@ -264,14 +265,22 @@ def x10(spark, sf):
     return corner_sequences(spark, sf)
 
 
-@query("x11_quick_shot_flags", sql(FA, """,
-c AS (SELECT poss_uid, MIN(CASE WHEN action_type = 'Shot' THEN event_index END) - MIN(event_index) AS gap, MIN(phase) AS phase FROM actions GROUP BY 1)
-SELECT phase, ROUND(AVG(CASE WHEN gap IS NOT NULL AND gap * 3 <= 10 THEN 1.0 ELSE 0.0 END), 6) AS quick, ROUND(AVG(CASE WHEN gap IS NOT NULL THEN 1.0 ELSE 0.0 END), 6) AS any_shot FROM c GROUP BY phase"""))
+# seconds of an action inside its possession: three per action and some of the player's own
+CLOCK = "(event_index * 3 + player_id % 3)"
+
+
+def clock():
+    return F.col("event_index") * 3 + F.col("player_id") % 3
+
+
+@query("x11_quick_shot_flags", sql(FA, f""",
+c AS (SELECT poss_uid, MIN(CASE WHEN action_type = 'Shot' THEN {CLOCK} END) - MIN({CLOCK}) AS gap, MIN(phase) AS phase FROM actions GROUP BY 1)
+SELECT phase, ROUND(AVG(CASE WHEN gap IS NOT NULL AND gap <= 10 THEN 1.0 ELSE 0.0 END), 6) AS quick, ROUND(AVG(CASE WHEN gap IS NOT NULL THEN 1.0 ELSE 0.0 END), 6) AS any_shot FROM c GROUP BY phase"""))
 def x11(spark, sf):
-    """Three seconds per action stand in for the clock of the log."""
-    shot = F.min(F.when(F.col("action_type") == "Shot", F.col("event_index")))
-    c = moves(spark, sf).groupBy("poss_uid").agg((shot - F.min("event_index")).alias("gap"), F.min("phase").alias("phase"))
-    quick = F.coalesce(F.col("gap") * 3 <= 10, F.lit(False)).cast("double")
+    """Possessions with a shot within ten seconds of their first action."""
+    shot = F.min(F.when(F.col("action_type") == "Shot", clock()))
+    c = moves(spark, sf).groupBy("poss_uid").agg((shot - F.min(clock())).alias("gap"), F.min("phase").alias("phase"))
+    quick = F.coalesce(F.col("gap") <= 10, F.lit(False)).cast("double")
     return c.groupBy("phase").agg(F.round(F.avg(quick), 6).alias("quick"),
                                   F.round(F.avg(F.col("gap").isNotNull().cast("double")), 6).alias("any_shot"))
 
@@ -299,12 +308,17 @@ def x12b(spark, sf):
         F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("shots") > 0).cast("double")), 6).alias("shot_rate"))
 
 
-@query("x13_max_state_value", rsql(VALUES, """
-SELECT tr.poss_uid, ROUND(MAX(bg), 6) AS best FROM tr JOIN vals v ON v.team = tr.team AND v.i = tr.from_state WHERE phase = 'set_piece' AND event_index <= 4 GROUP BY 1"""))
+@query("x13_max_state_value", rsql(VALUES, f""",
+st AS (SELECT poss_uid, MIN({CLOCK}) AS t0 FROM tr WHERE phase = 'set_piece' AND action_type <> 'TERMINAL' GROUP BY 1)
+SELECT st.poss_uid, ROUND(MAX(bg), 6) AS best FROM st JOIN tr ON tr.poss_uid = st.poss_uid AND {CLOCK} BETWEEN t0 AND t0 + 10 AND action_type <> 'TERMINAL' JOIN vals v ON v.team = tr.team AND v.i = tr.from_state GROUP BY 1"""))
 def x13(spark, sf):
+    """Best state that a set piece reaches in its first ten seconds, however many actions these are."""
     v = C.state_values(matrix(spark, sf), ["team"], SPACE).select("team", F.col("state").alias("from_state"), "p_goal")
-    d = transitions(spark, sf).filter("phase = 'set_piece' and event_index <= 4").join(v, ["team", "from_state"])
-    return d.groupBy("poss_uid").agg(F.round(F.max("p_goal"), 6).alias("best"))
+    d = transitions(spark, sf).filter("phase = 'set_piece' AND action_type <> 'TERMINAL'").withColumn("second", clock())
+    starts = d.groupBy("poss_uid").agg(F.min("second").alias("t")).withColumn("start_id", F.col("poss_uid"))
+    points = d.join(v, ["team", "from_state"]).select("poss_uid", "second", "p_goal")
+    best = Q.max_within(points, starts, ["poss_uid"], "second", "p_goal", 10.0)
+    return best.select("poss_uid", F.round("best", 6).alias("best"))
 
 
 CROSSED = [("goal_distance", "visible")]
