@@ -5,7 +5,9 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-from pyspark.sql import Column
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Hex digits of a draw, and its range: 60 bits reach every rank of any table and make the bias of
@@ -48,3 +50,36 @@ def poisson1_steps() -> list[float]:
 def poisson1(u: Column) -> Column:
     """Poisson(1) quantile of a uniform: bootstrap weight without any exchange."""
     return sum((F.when(u > c, 1).otherwise(0) for c in poisson1_steps()), F.lit(0)).cast("bigint")
+
+
+def hypergeometric_quantiles(size: int, marked: int, drawn: int, u: np.ndarray) -> np.ndarray:
+    """Marked items among ``drawn`` out of ``size`` items, ``marked`` of them marked, at probabilities u.
+
+    Probabilities follow from their ratios, over the range that lies within forty deviations of the mean;
+    beyond it no double tells the sum from zero. So the cost grows with the root of the size.
+    """
+    low, high = max(0, drawn + marked - size), min(drawn, marked)
+    if low == high:
+        return np.full(len(u), low, np.int64)
+    mean = drawn * marked / size
+    spread = math.sqrt(mean * (1 - marked / size) * (size - drawn) / (size - 1))
+    a, b = max(low, math.floor(mean - 40 * spread - 40)), min(high, math.ceil(mean + 40 * spread + 40))
+    x = np.arange(a + 1, b + 1, dtype=float)
+    ratio = np.log((marked - x + 1) * (drawn - x + 1) / (x * (size - marked - drawn + x)))
+    log = np.concatenate([[0.0], np.cumsum(ratio)])
+    p = np.exp(log - log.max())
+    return a + np.searchsorted(np.cumsum(p) / p.sum(), u, "left").clip(0, b - a)
+
+
+def hypergeometric(df: DataFrame, size: str, marked: str, drawn: str, us: str, out: str) -> DataFrame:
+    """Add ``out``: for each uniform of the array ``us``, a draw without replacement from the row's counts.
+
+    A row stands for a group of any size: replicates cost what its counts cost, no item is moved.
+    """
+    def run(batches):
+        for batch in batches:
+            cells = zip(*(batch.column(c).to_pylist() for c in (size, marked, drawn, us)))
+            values = [hypergeometric_quantiles(n, k, m, np.array(u, float)).tolist() for n, k, m, u in cells]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.list_(pa.int64()))], [*batch.schema.names, out])
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    return df.mapInArrow(run, f"{fields}, `{out}` array<bigint>")

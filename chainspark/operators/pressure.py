@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chainspark.functions.draws import hypergeometric, uniform
 from chainspark.operators import resample as R
 from chainspark.operators.relations import weighted_slope
 from chainspark.space import StateSpace
@@ -100,25 +101,24 @@ def calibrated_difference(acts: DataFrame, keys: list[str], strata: list[str], o
                                    F.count(F.lit(1)).alias("strata"))
 
 
-def calibrated_null(acts: DataFrame, strata: list[str], outcome: str, min_n: int, B: int, seed: int,
-                    uid: str) -> DataFrame:
-    """The same difference with the pressure mark permuted inside strata.
+def calibrated_null(acts: DataFrame, strata: list[str], outcome: str, min_n: int, B: int, seed: int) -> DataFrame:
+    """The same difference with the pressure mark permuted inside strata; b = 0 is the data.
 
-    Inside a stratum only the number of pressed rows among outcome rows matters, so a replicate
-    keeps the marks of the n1 rows with the smallest draws: no labels are moved between tasks.
+    ``outcome`` is true or false. Permuting marks inside a stratum makes the number of pressed rows with the
+    outcome a draw without replacement from the stratum's counts: a replicate is one such draw per
+    stratum, whatever the number of rows. Null strata are strata; rows with a null mark or outcome don't count.
     """
-    from chainspark.functions.draws import chunk_of, draw
-    from chainspark.functions.scan import position
-
-    base = acts.select(*strata, uid, outcome, "y")
-    n1 = base.groupBy(*strata).agg(F.sum("y").cast("bigint").alias("n1"))
-    d = base.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(B)))).withColumn(
-        "u", draw(seed, F.col("b"), F.col(uid)))
-    d = position(d, [*strata, "b"], ["u", uid], chunk_of(F.col("u")), "k").join(n1, strata)
-    d = d.withColumn("y", (F.col("k") <= F.col("n1")).cast("double"))
-    null = calibrated_difference(d, ["b"], strata, outcome, min_n)
-    obs = calibrated_difference(base.withColumn("b", F.lit(0)), ["b"], strata, outcome, min_n)
-    return null.unionByName(obs)
+    y, o = F.col("y").cast("bigint"), F.col(outcome).cast("bigint")
+    cell = acts.filter(y.isNotNull() & o.isNotNull()).groupBy(*strata).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(y).alias("n1"), F.sum(o).alias("hits"), F.sum(y * o).alias("both"))
+    # sums over a few rows per stratum: the observed cells and the replicates come from one table
+    cell = cell.filter((F.col("n1") >= min_n) & (F.col("n") - F.col("n1") >= min_n))
+    us = F.transform(F.sequence(F.lit(1), F.lit(B)), lambda b: uniform(seed, b, *[F.col(c) for c in strata]))
+    drawn = hypergeometric(cell.withColumn("us", us), "n", "hits", "n1", "us", "draws")
+    reps = drawn.select("n", "n1", "hits", F.posexplode(F.concat(F.array("both"), F.col("draws"))).alias("b", "k"))
+    n0 = F.col("n") - F.col("n1")
+    gap = F.col("k") / F.col("n1") - (F.col("hits") - F.col("k")) / n0
+    return reps.groupBy("b").agg((F.sum(F.col("n") * gap) / F.sum("n")).alias("diff"), F.count(F.lit(1)).alias("strata"))
 
 
 SUBSETS = ("all", "k3", "single_live", "single_dead", "k1", "k2", "k3_only", "k4", "k5", "k6")

@@ -239,7 +239,31 @@ def i04(spark, sf):
     return d.select("a", "b", F.round("tv_weighted", 6).alias("tv_weighted"), F.round("tv_max", 6).alias("tv_max"), "n_a", "n_b")
 
 
-@query("i11_context_null")
+def null_summary_sql(reps: str, keys: str, value: str, observed: str | None = None) -> str:
+    """Columns of a permutation summary over ``reps`` (keys, b, value); several values count as ties within 1e-12."""
+    on = " AND ".join(f"r.{k.strip()} = o.{k.strip()}" for k in keys.split(","))
+    own = ", ".join(f"o.{k.strip()}" for k in keys.split(","))
+    return f"""
+SELECT {own}, ROUND(MAX(o.w), 6) AS observed, ROUND(quantile_cont(r.v, 0.5), 6) AS null_median, ROUND(quantile_cont(r.v, 0.95), 6) AS null_p95,
+ ROUND(CASE WHEN stddev_pop(r.v) > 0 THEN (MAX(o.v) - AVG(r.v)) / stddev_pop(r.v) END, 4) AS z, ROUND(MAX(o.v) - quantile_cont(r.v, 0.5), 6) AS excess, (COUNT(*) FILTER (r.v >= o.v - 1e-12) + 1.0::DOUBLE) / (COUNT(r.v) + 1) AS p
+FROM (SELECT {keys}, {value} AS v, {observed or value} AS w FROM {reps} WHERE b = 0) o JOIN (SELECT {keys}, {value} AS v FROM {reps} WHERE b > 0) r ON {on} GROUP BY {own}"""
+
+
+def null_summary(reps, keys, value, two_sided=False):
+    p = R.permutation_p(reps, keys, value, two_sided)
+    return p.withColumns({c: F.round(c, 4 if c == "z" else 6) for c in ("observed", "null_median", "null_p95", "z", "excess")})
+
+
+@query("i11_context_null", sql(TR, LEAGUE_Q + f""",
+lb AS MATERIALIZED (SELECT poss_uid, MIN_BY(score_state, event_index) AS lv FROM tr GROUP BY 1),
+sb AS (SELECT lv, ROW_NUMBER() OVER (ORDER BY lv, poss_uid) AS slot FROM lb),
+sp AS (SELECT poss_uid, b, ROW_NUMBER() OVER (PARTITION BY b ORDER BY {draw_sql("'31'", "b", "poss_uid")}, poss_uid) AS slot FROM lb, (SELECT UNNEST(range(1, 9)) AS b)),
+pl AS MATERIALIZED (SELECT poss_uid, b, lv FROM sp JOIN sb ON sb.slot = sp.slot UNION ALL SELECT poss_uid, 0, lv FROM lb),
+cc AS MATERIALIZED (SELECT b, lv, from_state AS i, to_state AS j, CAST(COUNT(*) AS DOUBLE) AS n FROM tr JOIN pl ON pl.poss_uid = tr.poss_uid GROUP BY 1, 2, 3, 4),
+cf AS (SELECT l.b, l.lv, lq.i, lq.j, q, COALESCE(n, 0) AS n, SUM(COALESCE(n, 0)) OVER (PARTITION BY l.b, l.lv, lq.i) AS ni FROM (SELECT DISTINCT b, lv FROM cc) l CROSS JOIN lq LEFT JOIN cc ON cc.b = l.b AND cc.lv = l.lv AND cc.i = lq.i AND cc.j = lq.j),
+cp AS MATERIALIZED (SELECT b, lv, i, j, ni, (n + 50 * q) / (ni + 50) AS p FROM cf),
+cr AS (SELECT x.b, x.lv AS a, y.lv AS level_b, x.i, 0.5 * SUM(ABS(x.p - y.p)) AS tv, MAX(x.ni) AS na, MAX(y.ni) AS nb FROM cp x JOIN cp y ON x.b = y.b AND x.i = y.i AND x.j = y.j AND x.lv < y.lv GROUP BY 1, 2, 3, 4),
+rp AS MATERIALIZED (SELECT a, level_b, b, SUM(tv * (na + nb)) / SUM(na + nb) AS t FROM cr GROUP BY 1, 2, 3)""" + null_summary_sql("rp", "a, level_b", "t")))
 def i11(spark, sf):
     tr = transitions(spark, sf).withColumn("all", F.lit("all"))
     label = tr.groupBy("all", "poss_uid").agg(F.min_by("score_state", "event_index").alias("score_state"))
@@ -249,7 +273,7 @@ def i11(spark, sf):
     d = X.context_contrast(c.withColumnRenamed("b", "rep"), league_prior(spark, sf), 50.0, "score_state",
                            SPACE, ["rep"])
     d = d.withColumnRenamed("b", "level_b").withColumnRenamed("rep", "b")
-    return R.permutation_p(d, ["a", "level_b"], "tv_weighted")
+    return null_summary(d, ["a", "level_b"], "tv_weighted")
 
 
 # -- multiplicity ----------------------------------------------------------------------------------------
@@ -517,7 +541,19 @@ def i26(spark, sf):
     return rounded(R.interval(long, ["team", "quantity"], "v"), ["team", "quantity"], ["point", "lo", "hi"])
 
 
-@query("i09_pair_permutation")
+@query("i09_pair_permutation", rsql(TR, f""",
+lb AS MATERIALIZED (SELECT DISTINCT team, poss_uid, coach AS era FROM tr),
+sb AS (SELECT team, era, ROW_NUMBER() OVER (PARTITION BY team ORDER BY era, poss_uid) AS slot FROM lb),
+sp AS (SELECT team, poss_uid, b, ROW_NUMBER() OVER (PARTITION BY team, b ORDER BY {draw_sql("'23'", "b", "poss_uid")}, poss_uid) AS slot FROM lb, (SELECT UNNEST(range(1, 5)) AS b)),
+pl AS MATERIALIZED (SELECT sp.team, poss_uid, b, era FROM sp JOIN sb ON sb.team = sp.team AND sb.slot = sp.slot UNION ALL SELECT team, poss_uid, 0, era FROM lb),
+ct AS MATERIALIZED (SELECT pl.team, era, b, from_state AS i, to_state AS j, CAST(COUNT(*) AS DOUBLE) AS n FROM tr JOIN pl ON pl.team = tr.team AND pl.poss_uid = tr.poss_uid GROUP BY 1, 2, 3, 4, 5),
+pm AS MATERIALIZED (SELECT *, n / SUM(n) OVER (PARTITION BY team, era, b, i) AS p FROM ct),
+fi AS (SELECT team, poss_uid, MIN_BY(from_state, event_index) AS i FROM tr GROUP BY 1, 2),
+al AS MATERIALIZED (SELECT pl.team, era, b, i, CAST(COUNT(*) AS DOUBLE) / SUM(COUNT(*)) OVER (PARTITION BY pl.team, era, b) AS a FROM fi JOIN pl ON pl.team = fi.team AND pl.poss_uid = fi.poss_uid GROUP BY 1, 2, 3, 4),
+it AS (SELECT 0 AS k, team, era, b, i, a AS m FROM al
+  UNION ALL SELECT it.k + 1, q.team, q.era, q.b, q.j, SUM(it.m * q.p) FROM it JOIN pm q ON q.team = it.team AND q.era = it.era AND q.b = it.b AND q.i = it.i WHERE it.k < 150 AND it.i < 80 AND q.j < 80 GROUP BY it.k, q.team, q.era, q.b, q.j),
+et AS MATERIALIZED (SELECT team, era, b, SUM(m) AS e_t FROM it GROUP BY 1, 2, 3),
+rp AS MATERIALIZED (SELECT x.team, x.era AS a, y.era AS c, x.b, x.e_t - y.e_t AS t FROM et x JOIN et y ON y.team = x.team AND y.b = x.b AND x.era < y.era)""" + null_summary_sql("rp", "team, a, c", "ABS(t)", "t")))
 def i09(spark, sf):
     """Permute eras between possessions of a club; E_T per era and replicate, spread as statistic."""
     tr = transitions(spark, sf).withColumn("era", F.col("coach"))
@@ -531,7 +567,7 @@ def i09(spark, sf):
     x = s.select("team", "b", F.col("era").alias("a"), F.col("e_t").alias("ta"))
     y = s.select("team", "b", F.col("era").alias("c"), F.col("e_t").alias("tc"))
     d = x.join(y, ["team", "b"]).filter("a < c").withColumn("diff", F.col("ta") - F.col("tc"))
-    return R.permutation_p(d, ["team", "a", "c"], "diff", two_sided=True)
+    return null_summary(d, ["team", "a", "c"], "diff", True)
 
 
 @query("i10_size_matched_subsample", sql(TR, f""",

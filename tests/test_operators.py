@@ -381,6 +381,27 @@ def test_yekutieli_factor_is_the_harmonic_number(spark):
         assert abs(q[-1] - min(1, 1e-5 * harmonic if m > 1 else 1e-6)) < 1e-12
 
 
+def test_hypergeometric_draws_are_exact():
+    """Quantiles against all draws counted by binomials, and against every permutation of a few marks."""
+    from itertools import permutations
+    from chainspark.functions.draws import hypergeometric_quantiles as draws
+    for n, k, m in ((9, 4, 5), (12, 12, 3), (7, 0, 2), (30, 11, 25), (400, 150, 60)):
+        low, high = max(0, k + m - n), min(k, m)
+        p = [math.comb(k, x) * math.comb(n - k, m - x) / math.comb(n, m) for x in range(low, high + 1)]
+        edges = np.cumsum(p)
+        us = np.concatenate([[1e-12], (edges[:-1] + edges[1:]) / 2, edges[:-1] - 1e-9])
+        us = us[us < 1 - 1e-9]  # above, the doubles of the sums themselves decide
+        want = [low + sum(e < u for e in edges) for u in us]
+        assert draws(n, k, m, us).tolist() == [min(w, high) for w in want]
+    marks = (1, 1, 1, 0, 0, 0, 0)
+    seen = sorted(sum(order[:4]) for order in permutations(marks))
+    us = (np.arange(len(seen)) + 0.5) / len(seen)
+    assert draws(7, 3, 4, us).tolist() == seen
+    big = draws(10 ** 10, 3 * 10 ** 9, 10 ** 9, np.array([0.025, 0.5, 0.975]))  # the cost is the root of the size
+    sd = math.sqrt(10 ** 9 * 0.3 * 0.7 * 0.9)
+    assert np.allclose((big - 3 * 10 ** 8) / sd, [-1.959964, 0, 1.959964], atol=1e-3)
+
+
 def test_windows_with_a_hot_bucket(spark):
     """Half of all points lie in one bucket of one key, many at one time; sums and maxima of every window."""
     rng = np.random.default_rng(9)
