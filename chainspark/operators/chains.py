@@ -267,28 +267,3 @@ def with_index(trans: DataFrame, size: str | None = "length", poss: str = "poss_
     """Action index k inside the possession and its length L."""
     return position(trans, [poss], ["event_index"],
                     chunk if chunk is not None else chunk_by_index("event_index"), "k", size)
-
-
-def resolution_sweep(moves: DataFrame, grids: list[tuple[int, int]], space: StateSpace
-                     ) -> DataFrame:
-    """Transition rows at several grids in one job: the grid is a key column."""
-    spec = F.array(*[F.struct(F.lit(nx).alias("nx"), F.lit(ny).alias("ny")) for nx, ny in grids])
-    df = moves.withColumn("g", F.explode(spec)).select("*", "g.nx", "g.ny").drop("g")
-
-    def zone(x: str, y: str) -> Column:
-        def b(c, extent, n):
-            v = F.least(F.greatest(F.col(c), F.lit(0.0)), F.lit(extent - 1e-9))
-            return F.floor(v / F.lit(extent) * F.col(n))
-        return b(x, space.length, "nx") * F.col("ny") + b(y, space.width, "ny")
-
-    phase = space.phase_index(F.col("phase"))
-    n = F.col("nx") * F.col("ny") * space.n_phases
-    end = F.lit(None)
-    for pos, name in enumerate(space.absorbing):
-        end = F.when(F.col("outcome") == name, n + pos).otherwise(end)
-    return df.withColumns({
-        "from_state": (zone("start_x", "start_y") * space.n_phases + phase).cast("bigint"),
-        "to_state": F.coalesce(end, zone("end_x", "end_y") * space.n_phases + phase)
-                     .cast("bigint")})
-
-

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from chainspark.operators import chains
+from chainspark.operators.resolution import resolution_sweep
 from chainspark.plans.registry import query
 from chainspark.plans.tables import MOVES, PHASE_SQL, SPACE, TR, artifact, moves, sql, transitions, zone_sql
 from chainspark.sources import events as E
@@ -177,20 +178,35 @@ def t11(spark, sf):
     return chains.self_transitions(transitions(spark, sf), "action_type")
 
 
-def _sweep_sql():
-    parts = []
-    for nx, ny in ((3, 2), (5, 4), (8, 6)):
-        end = f"CASE outcome WHEN 'GOAL' THEN {nx * ny * 4} WHEN 'SHOT_NOGOAL' THEN {nx * ny * 4 + 1} WHEN 'LOSS' THEN {nx * ny * 4 + 2} WHEN 'OUT' THEN {nx * ny * 4 + 3} ELSE {zone_sql('end_x', 'end_y', nx, ny)} * 4 + {PHASE_SQL} END"
-        parts.append(f"SELECT {nx} AS nx, {ny} AS ny, {zone_sql('start_x', 'start_y', nx, ny)} * 4 + {PHASE_SQL} AS from_state, {end} AS to_state FROM moves")
-    return ",\nsw AS (" + " UNION ALL ".join(parts) + """)
-SELECT nx, ny, CAST(COUNT(DISTINCT from_state) AS BIGINT) AS rows_used, CAST(COUNT(DISTINCT from_state * 1000 + to_state) AS BIGINT) AS cells_used,
- AVG(CASE WHEN from_state = to_state THEN 1.0 ELSE 0.0 END) AS diagonal_share FROM sw GROUP BY nx, ny"""
+GRIDS = [(3, 2), (5, 4), (8, 6)]
 
 
-@query("t12_resolution_sweep", sql(MOVES, _sweep_sql()))
+def _sweep_sql():
+    parts = []
+    for nx, ny in GRIDS:
+        base, zone = nx * ny * 4, zone_sql("end_x", "end_y", nx, ny)
+        end = f"CASE outcome WHEN 'GOAL' THEN {base} WHEN 'SHOT_NOGOAL' THEN {base + 1} WHEN 'LOSS' THEN {base + 2} WHEN 'OUT' THEN {base + 3} ELSE {zone} * 4 + {PHASE_SQL} END"
+        parts.append(f"SELECT {nx} AS nx, {ny} AS ny, {base} AS nt, team, event_index, next_x IS NULL AS last, {zone_sql('start_x', 'start_y', nx, ny)} * 4 + {PHASE_SQL} AS i, {end} AS j FROM moves")
+    return ",\nsw0 AS (" + " UNION ALL ".join(parts) + """),
+sw AS MATERIALIZED (SELECT nx, ny, nt, UNNEST([team, 'all']) AS team, event_index, last, i, j FROM sw0),
+st AS MATERIALIZED (SELECT nx, ny, nt, team, i, COUNT(*)::DOUBLE / SUM(COUNT(*)) OVER (PARTITION BY nx, team) AS a FROM sw WHERE event_index = 1 GROUP BY 1, 2, 3, 4, 5),
+ct AS MATERIALIZED (SELECT nx, ny, nt, team, i, j, COUNT(*)::DOUBLE AS n FROM (SELECT nx, ny, nt, team, i, j FROM sw UNION ALL SELECT nx, ny, nt, team, j, nt + 2 FROM sw WHERE last AND j < nt) GROUP BY ALL),
+ok AS (SELECT *, SUM(CASE WHEN i <> j THEN n ELSE 0 END) OVER (PARTITION BY nx, team, i) AS off FROM ct),
+pq AS MATERIALIZED (SELECT 'kept' AS arm, nx, team, i, j, nt, n / SUM(n) OVER (PARTITION BY nx, team, i) AS p FROM ct
+  UNION ALL SELECT 'moving', nx, team, i, j, nt, n / SUM(n) OVER (PARTITION BY nx, team, i) FROM ok WHERE i <> j OR off = 0),
+it AS (SELECT 0 AS k, arm, nx, team, i, a AS m FROM st, (SELECT UNNEST(['kept', 'moving']) AS arm)
+  UNION ALL SELECT it.k + 1, q.arm, q.nx, q.team, q.j, SUM(it.m * q.p) FROM it JOIN pq q ON q.arm = it.arm AND q.nx = it.nx AND q.team = it.team AND q.i = it.i WHERE it.k < 150 AND q.j < q.nt GROUP BY it.k, q.arm, q.nx, q.team, q.j),
+et AS (SELECT nx, team, SUM(CASE WHEN arm = 'kept' THEN m END) AS e_t, SUM(CASE WHEN arm = 'moving' THEN m END) AS e_m FROM it GROUP BY 1, 2),
+rw AS (SELECT nx, team, i, SUM(n) AS n FROM ct GROUP BY 1, 2, 3),
+dg AS (SELECT nx, ny, nt, team, SUM(n) AS transitions, COUNT(*) AS cells_used, COUNT(DISTINCT i) AS rows_used, SUM(CASE WHEN i = j THEN n ELSE 0 END) / SUM(n) AS diagonal_share FROM ct GROUP BY 1, 2, 3, 4)
+SELECT CAST(dg.nx AS INTEGER) AS nx, CAST(ny AS INTEGER) AS ny, dg.team, transitions, CAST(cells_used AS BIGINT) AS cells_used, CAST(rows_used AS BIGINT) AS rows_used, ROUND(diagonal_share, 6) AS diagonal_share,
+ ROUND((nt - (SELECT COUNT(*) FROM rw WHERE rw.nx = dg.nx AND rw.team = dg.team AND n >= 30)) / nt, 6) AS frac_below_min, ROUND(nt * (nt + 3) / transitions, 6) AS params_per_obs,
+ ROUND(et.e_t, 6) AS e_t, ROUND(et.e_m, 6) AS e_t_moving, ROUND((et.e_t / w.e_t - 1) * 100, 4) AS delta_pct, ROUND((et.e_m / w.e_m - 1) * 100, 4) AS delta_pct_moving
+FROM dg JOIN et ON et.nx = dg.nx AND et.team = dg.team JOIN et w ON w.nx = dg.nx AND w.team = 'all'"""
+
+
+@query("t12_resolution_sweep", "WITH RECURSIVE " + MOVES.strip() + _sweep_sql())
 def t12(spark, sf):
-    df = chains.resolution_sweep(moves(spark, sf), [(3, 2), (5, 4), (8, 6)], SPACE)
-    return df.groupBy("nx", "ny").agg(
-        F.countDistinct("from_state").alias("rows_used"),
-        F.countDistinct("from_state", "to_state").alias("cells_used"),
-        F.avg((F.col("from_state") == F.col("to_state")).cast("double")).alias("diagonal_share"))
+    d = resolution_sweep(moves(spark, sf), GRIDS, SPACE, "team")
+    return d.withColumns({c: F.round(c, 4 if c.startswith("delta") else 6) for c in (
+        "diagonal_share", "frac_below_min", "params_per_obs", "e_t", "e_t_moving", "delta_pct", "delta_pct_moving")})
