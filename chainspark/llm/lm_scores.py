@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chainspark.llm.recurrent import Shape, classes_of, document_scores, start, train
+from chainspark.llm.recurrent import Shape, classes_of, document_scores, one_thread, start, train
 from chainspark.llm.text import LOWER, Ranges, chunks, group_sum, map_arrow
 from chainspark.session import cut_lineage
 
@@ -32,7 +32,7 @@ RATES = (0.01, 0.007, 0.005, 0.003)
 #: Training tokens of a unit, about: one task's work between two averages.
 UNIT_TOKENS = 1_000_000
 #: Ids that are scored together; documents are never cut.
-SCORED_TOGETHER = 1_500_000
+SCORED_TOGETHER = 4_000_000
 #: The end of a document among token hashes, and the pseudo-count.
 END, PSEUDO = np.uint64(0x5ED0_0FD0_C5ED_00F1), 0.1
 _CELL, _SCALE = 4096, float(1 << 20)
@@ -202,6 +202,7 @@ def _averaged(trained: DataFrame, size: int) -> np.ndarray:
 def _trainer(shape: Shape, flat: np.ndarray, end: int, rate: float) -> Callable[[pa.Table], pa.Table]:
     """Trains on a unit's documents, in the order of their hashes, and returns its parameters in cells."""
     def run(table: pa.Table) -> pa.Table:
+        one_thread()
         rows = table.sort_by("place")["ids"].to_pylist()
         ids = np.frombuffer(b"".join(rows), np.uint16).astype(np.int64)
         now = train(shape, flat, ids, end, rate)
@@ -242,6 +243,7 @@ def _scored(encoded: DataFrame, shape: Shape, flat: np.ndarray, end: int) -> Dat
             at = to
 
     def run(batch):
+        one_thread()
         names = [n for n in batch.schema.names if n != "ids"]
         for at, to in groups(batch):
             part = batch.slice(at, to - at)

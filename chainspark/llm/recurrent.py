@@ -7,11 +7,23 @@ untrained model is the unigram model of its vocabulary.
 
 from __future__ import annotations
 
+import ctypes
 from dataclasses import dataclass
+from pathlib import Path
 
 import numpy as np
 
 
+def one_thread() -> None:
+    """Hold numpy's matrix products to one thread: a Spark task has one core, and waiting threads would burn others'."""
+    for lib in Path(np.__file__).parent.parent.glob("numpy.libs/*openblas*"):
+        blas = ctypes.CDLL(str(lib))
+        for name in ("scipy_openblas_set_num_threads64_", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+            if hasattr(blas, name):
+                getattr(blas, name)(1)
+                break
+
+
 @dataclass(frozen=True)
 class Shape:
     """Sizes of a model: words, first word of each class (and the number of words), hidden and embedding units."""
@@ -73,10 +85,6 @@ def start(shape: Shape, counts: np.ndarray, seed: int = 11) -> np.ndarray:
     return flat
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1.0 / (1.0 + np.exp(-np.clip(x, -30, 30)))
-
-
 def _by_class(shape: Shape, targets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Class of every target, positions in class order, and where each class begins (classes + 1)."""
     of = np.searchsorted(shape.firsts, targets, "right") - 1
@@ -87,15 +95,20 @@ def _by_class(shape: Shape, targets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def log_probabilities(shape: Shape, p: dict, states: np.ndarray, targets: np.ndarray) -> np.ndarray:
     """Natural log probability of each target after its state."""
     of, order, cut = _by_class(shape, targets)
-    logits = states @ p["to_class"] + p["class_bias"]
-    top = logits.max(axis=1)
-    out = logits[np.arange(len(of)), of] - top - np.log(np.exp(logits - top[:, None]).sum(axis=1))
-    out = out.astype(np.float64)
+    states, targets, of = states[order], targets[order], of[order]  # in class order: a class is a slice
+
+    def of_softmax(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
+        logits -= logits.max(axis=1, keepdims=True)
+        own = logits[np.arange(len(at)), at]
+        return own - np.log(np.exp(logits).sum(axis=1))
+    logits = states @ p["to_class"]
+    logits += p["class_bias"]
+    logs = of_softmax(logits, of).astype(np.float64)
     for c in np.flatnonzero(np.diff(cut)):
-        rows, a, b = order[cut[c]:cut[c + 1]], shape.firsts[c], shape.firsts[c + 1]
-        own = states[rows] @ p["to_word"][a:b].T + p["word_bias"][a:b]
-        top = own.max(axis=1)
-        out[rows] += own[np.arange(len(rows)), targets[rows] - a] - top - np.log(np.exp(own - top[:, None]).sum(axis=1))
+        rows, a, b = slice(cut[c], cut[c + 1]), shape.firsts[c], shape.firsts[c + 1]
+        logs[rows] += of_softmax(states[rows] @ p["to_word"][a:b].T + p["word_bias"][a:b], targets[rows] - a)
+    out = np.empty_like(logs)
+    out[order] = logs
     return out
 
 
@@ -110,7 +123,10 @@ def document_scores(shape: Shape, flat: np.ndarray, ids: np.ndarray, firsts: np.
     order = np.argsort(-lengths, kind="stable")
     begin, length = firsts[:-1][order], lengths[order]
     active = np.searchsorted(-length, -np.arange(1, (length[0] if len(length) else 0) + 1), "right")
-    table = p["embed"] @ p["input"] + p["input_bias"]
+    table, recur = p["embed"] @ p["input"] + p["input_bias"], p["recur"].copy()
+    h = shape.hidden
+    table[:, :2 * h] *= 0.5  # a gate is (1 + tanh(x / 2)) / 2
+    recur[:, :2 * h] *= 0.5
     h, total = shape.hidden, np.zeros(len(order))
     state = np.zeros((len(order), h), np.float32)
     held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -126,11 +142,7 @@ def document_scores(shape: Shape, flat: np.ndarray, ids: np.ndarray, firsts: np.
         now = ids[begin[:n] + t]
         x = table[np.full(n, end) if before is None else before[:n]]
         old = state[:n]
-        g = old @ p["recur"]
-        r = _sigmoid(x[:, :h] + g[:, :h])
-        z = _sigmoid(x[:, h:2 * h] + g[:, h:2 * h])
-        new = np.tanh(x[:, 2 * h:] + r * (g[:, 2 * h:] + p["recur_bias"]))
-        state = new + z * (old - new)
+        state = _gates(x, old @ recur, old, p["recur_bias"], h)[3]
         held.append((state, now))
         before, size = now, size + n
         if size >= window * 512:
@@ -142,6 +154,23 @@ def document_scores(shape: Shape, flat: np.ndarray, ids: np.ndarray, firsts: np.
     return out
 
 
+def _gates(x: np.ndarray, g: np.ndarray, old: np.ndarray, bias: np.ndarray, h: int):
+    """Gates, recurrent part, candidate and next state of one step, of inputs whose gate columns are halved."""
+    # results get arrays of their own: in place, numpy leaves its vector code
+    halves = x[:, :2 * h] + g[:, :2 * h]
+    gates = np.tanh(halves)
+    gates += 1.0
+    gates *= 0.5
+    pre = g[:, 2 * h:] + bias
+    inner = pre * gates[:, :h]
+    inner += x[:, 2 * h:]
+    new = np.tanh(inner)
+    state = old - new
+    state *= gates[:, h:]
+    state += new
+    return gates, pre, new, state
+
+
 def _scatter(into: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
     order = np.argsort(rows, kind="stable")
     rows = rows[order]
@@ -162,59 +191,69 @@ def window_gradient(shape: Shape, flat: np.ndarray, inputs: np.ndarray, targets:
     h = shape.hidden
     embedded = p["embed"][inputs.reshape(-1)]
     x = (embedded @ p["input"] + p["input_bias"]).reshape(steps, streams, 3 * h)
+    half = np.ones(3 * h, flat.dtype)
+    half[:2 * h] = 0.5  # a gate is (1 + tanh(x / 2)) / 2
+    x *= half
+    recur = p["recur"] * half
     keep = (inputs != end).astype(flat.dtype)[:, :, None]
-    olds, rs, zs, news, pres, states = [], [], [], [], [], np.empty((steps, streams, h), flat.dtype)
+    kept = np.empty((4, steps, streams, h), flat.dtype)  # states before, recurrent parts, candidates, states after
+    olds, pres, news, states = kept
+    gates = np.empty((steps, streams, 2 * h), flat.dtype)
     for t in range(steps):
-        old = state * keep[t]
-        g = old @ p["recur"]
-        r = _sigmoid(x[t, :, :h] + g[:, :h])
-        z = _sigmoid(x[t, :, h:2 * h] + g[:, h:2 * h])
-        pre = g[:, 2 * h:] + p["recur_bias"]
-        new = np.tanh(x[t, :, 2 * h:] + r * pre)
-        state = new + z * (old - new)
+        np.multiply(state, keep[t], out=olds[t])
+        gates[t], pres[t], news[t], state = _gates(x[t], olds[t] @ recur, olds[t], p["recur_bias"], h)
         states[t] = state
-        for kept, value in ((olds, old), (rs, r), (zs, z), (news, new), (pres, pre)):
-            kept.append(value)
-    flat_states, flat_targets = states.reshape(-1, h), targets.reshape(-1)
+    flat_targets = targets.reshape(-1)
     of, order, cut = _by_class(shape, flat_targets)
-    logits = flat_states @ p["to_class"] + p["class_bias"]
-    logits -= logits.max(axis=1, keepdims=True)
-    np.exp(logits, out=logits)
-    logits /= logits.sum(axis=1, keepdims=True)
-    at = np.arange(len(of))
-    loss = -float(np.log(logits[at, of] + 1e-30).sum())
-    logits[at, of] -= 1
-    q["to_class"][:] = flat_states.T @ logits
+    # in class order: a class is a slice
+    seen, words, of = states.reshape(-1, h)[order], flat_targets[order], of[order]
+
+    def softmax_gradient(logits: np.ndarray, at: np.ndarray) -> tuple[float, np.ndarray]:
+        """Loss of the rows' columns ``at``, and its derivatives by the logits."""
+        logits -= logits.max(axis=1, keepdims=True)
+        out = np.exp(logits)
+        out /= out.sum(axis=1, keepdims=True)
+        row = np.arange(len(at))
+        lost = -float(np.log(out[row, at] + 1e-30).sum())
+        out[row, at] -= 1
+        return lost, out
+    loss, logits = softmax_gradient(seen @ p["to_class"] + p["class_bias"], of)
+    q["to_class"][:] = seen.T @ logits
     q["class_bias"][:] = logits.sum(axis=0)
-    d_states = logits @ p["to_class"].T
+    d_seen = logits @ p["to_class"].T
     for c in np.flatnonzero(np.diff(cut)):
-        rows, a, b = order[cut[c]:cut[c + 1]], shape.firsts[c], shape.firsts[c + 1]
-        seen = flat_states[rows]
-        own = seen @ p["to_word"][a:b].T + p["word_bias"][a:b]
-        own -= own.max(axis=1, keepdims=True)
-        np.exp(own, out=own)
-        own /= own.sum(axis=1, keepdims=True)
-        at, word = np.arange(len(rows)), flat_targets[rows] - a
-        loss -= float(np.log(own[at, word] + 1e-30).sum())
-        own[at, word] -= 1
-        q["to_word"][a:b] = own.T @ seen
+        rows, a, b = slice(cut[c], cut[c + 1]), shape.firsts[c], shape.firsts[c + 1]
+        lost, own = softmax_gradient(seen[rows] @ p["to_word"][a:b].T + p["word_bias"][a:b], words[rows] - a)
+        loss += lost
+        q["to_word"][a:b] = own.T @ seen[rows]
         q["word_bias"][a:b] = own.sum(axis=0)
-        d_states[rows] += own @ p["to_word"][a:b]
+        d_seen[rows] += own @ p["to_word"][a:b]
+    d_states = np.empty_like(d_seen)
+    d_states[order] = d_seen
     d_states = d_states.reshape(steps, streams, h)
-    d_x = np.empty_like(x)
-    back = np.zeros((streams, h), flat.dtype)
+    # what does not depend on the steps after, for all steps at once
+    r, z = gates[:, :, :h], gates[:, :, h:]
+    to_new = (1 - z) * (1 - news * news)
+    to_z = (olds - news) * z * (1 - z)
+    to_r = pres * r * (1 - r)
+    d_g = np.empty((steps, streams, 3 * h), flat.dtype)
+    d_x = np.empty_like(d_g)
+    back, turned = np.zeros((streams, h), flat.dtype), p["recur"].T.copy()
     for t in range(steps - 1, -1, -1):
-        old, r, z, new, pre = olds[t], rs[t], zs[t], news[t], pres[t]
         d = d_states[t] + back
-        d_new = d * (1 - z) * (1 - new * new)
-        d_z = d * (old - new) * z * (1 - z)
-        d_r = d_new * pre * r * (1 - r)
-        d_pre = d_new * r
-        d_x[t, :, :h], d_x[t, :, h:2 * h], d_x[t, :, 2 * h:] = d_r, d_z, d_new
-        d_g = np.concatenate([d_r, d_z, d_pre], axis=1)
-        q["recur"] += old.T @ d_g
-        q["recur_bias"] += d_pre.sum(axis=0)
-        back = (d * z + d_g @ p["recur"].T) * keep[t]
+        d_new = d_x[t, :, 2 * h:]
+        np.multiply(d, to_new[t], out=d_new)
+        np.multiply(d_new, to_r[t], out=d_g[t, :, :h])
+        np.multiply(d, to_z[t], out=d_g[t, :, h:2 * h])
+        np.multiply(d_new, r[t], out=d_g[t, :, 2 * h:])
+        back = d_g[t] @ turned
+        d *= z[t]
+        back += d
+        back *= keep[t]
+    d_x[:, :, :2 * h] = d_g[:, :, :2 * h]
+    d_g = d_g.reshape(-1, 3 * h)
+    q["recur"][:] = olds.reshape(-1, h).T @ d_g
+    q["recur_bias"][:] = d_g[:, 2 * h:].sum(axis=0)
     d_x = d_x.reshape(-1, 3 * h)
     q["input"][:] = embedded.T @ d_x
     q["input_bias"][:] = d_x.sum(axis=0)
@@ -236,7 +275,7 @@ def train(shape: Shape, flat: np.ndarray, ids: np.ndarray, end: int, rate: float
     lay[0, :len(ids)], lay[1, :len(ids)] = inputs, ids
     inputs, targets = lay.reshape(2, streams, length).transpose(0, 2, 1)
     flat = flat.copy()
-    mean, square = np.zeros_like(flat), np.zeros_like(flat)
+    mean, square, step = np.zeros_like(flat), np.zeros_like(flat), np.empty_like(flat)
     state = np.zeros((streams, shape.hidden), np.float32)
     for k, t in enumerate(range(0, length, window)):
         now_in, now_out = np.ascontiguousarray(inputs[t:t + window]), np.ascontiguousarray(targets[t:t + window])
@@ -245,7 +284,17 @@ def train(shape: Shape, flat: np.ndarray, ids: np.ndarray, end: int, rate: float
         norm = float(np.sqrt(grad @ grad))
         if norm > 1.0:
             grad /= norm
-        mean += 0.1 * (grad - mean)
-        square += 0.01 * (grad * grad - square)
-        flat -= rate / (1 - 0.9 ** (k + 1)) * mean / (np.sqrt(square / (1 - 0.99 ** (k + 1))) + 1e-6)
+        mean *= 0.9
+        square *= 0.99
+        np.multiply(grad, 0.1, out=step)
+        mean += step
+        np.multiply(grad, grad, out=step)
+        step *= 0.01
+        square += step
+        np.multiply(square, 1 / (1 - 0.99 ** (k + 1)), out=step)
+        np.sqrt(step, out=step)
+        step += 1e-6
+        np.divide(mean, step, out=step)
+        step *= rate / (1 - 0.9 ** (k + 1))
+        flat -= step
     return flat
