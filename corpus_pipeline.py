@@ -19,16 +19,20 @@ from chainspark.session import cut_lineage, drop_scratch, scratch_part
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier, fitted on their labels, does not reject."""
+    """Documents that the quality classifier, fitted on their labels, does not reject.
+
+    Null and empty texts are judged like others; repeated rows fare alike; without labels of both classes all stay.
+    """
     return keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that repeat an earlier one; those of which no word is left go.
+    """Documents without lines that repeat an earlier one, short ones included; those of which no word is left go.
 
-    n_chars, where documents have it, follows the text.
+    n_chars, where documents have it, follows the text. Null and empty texts stay as they are; repeated rows
+    repeat each other's lines.
     """
-    out = dedup_lines(docs.drop("lines_removed"))
+    out = dedup_lines(docs.drop("lines_removed"), least=1)
     cut = F.size("lines_removed") > 0
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(cut, F.length("text").cast("bigint")).otherwise(F.col("n_chars")))
@@ -39,18 +43,24 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: that of the smallest doc_id.
 
-    Near copies share four fifths of their distinct five-word shingles. Rows that repeat both
-    doc_id and text stay once; rows with a null doc_id all stay.
+    Near copies share four fifths of their distinct five-word shingles. Rows are told apart by doc_id and text, so
+    that texts under one doc_id are documents of their own; rows that repeat both stay once. Null and
+    empty texts are copies of nothing else; rows with a null doc_id all stay.
     """
-    first = (similar_groups(docs, k=5, percent=80).where("doc_id = component_id")
-             .select(F.col("doc_id").alias(unused(docs, "_first")[0])).distinct())
-    named = docs.where("doc_id IS NOT NULL")
-    kept = named.join(first, F.col("doc_id") == F.col(first.columns[0]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "text"]).unionByName(docs.where("doc_id IS NULL"))
+    row = unused(docs, "_row")[0]
+    named = docs.where("doc_id IS NOT NULL").withColumn(row, F.xxhash64("doc_id", "text"))
+    groups = similar_groups(named.select(F.col(row).alias("doc_id"), "text"), k=5, percent=80).select(F.col("doc_id").alias(row), "component_id")
+    first = (named.select(row, "doc_id").join(groups.distinct(), row).groupBy("component_id")
+             .agg(F.min(F.struct("doc_id", row)).alias("first")).select(F.col(f"first.{row}").alias(row)))
+    kept = named.join(first, row, "left_semi").dropDuplicates([row]).drop(row)
+    return kept.unionByName(docs.where("doc_id IS NULL"))
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no window of ten consecutive words of a benchmark item."""
+    """Documents that hold no window of ten consecutive words of a benchmark item.
+
+    Null and empty texts, in documents or items, hold and are nothing; repeated rows fare alike.
+    """
     doc, mark = unused(docs, "_doc", "_print")
     hit = (contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("contaminated")
            .select(F.col("doc_id").alias(doc), F.col("print").alias(mark)).distinct())
@@ -58,7 +68,10 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of their sources takes them (copy: 1, 2 ...)."""
+    """Documents as often as the mix of their sources takes them (copy: 1, 2 ...).
+
+    Texts without words weigh nothing; a null source is a source; repeated rows are mixed together.
+    """
     return emit_mix(docs)
 
 

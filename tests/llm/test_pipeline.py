@@ -14,7 +14,7 @@ def test_every_stage_against_plain_python(spark):
     assert good.columns == columns and {r["doc_id"] for r in good.collect()} == verdict
     kept = P.cut_lineage(steps["lines"](spark, good, SF))
     own = [(r["doc_id"], r["text"]) for r in good.collect()]
-    cut = plain.repeated_lines(own, 85, 5)
+    cut = plain.repeated_lines(own, 85, 1)
     want = {i: "\n".join(x for k, x in enumerate(t.split("\n")) if k not in cut.get(i, [])) for i, t in own}
     want = {i: t for i, t in want.items() if not cut.get(i) or plain.words(t)}
     assert kept.columns == columns and {r["doc_id"]: r["text"] for r in kept.collect()} == want
@@ -43,8 +43,21 @@ def test_odd_rows_pass_every_stage(spark):
             out = docs
 
 
+def test_copies_under_repeated_ids(spark):
+    a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    docs = spark.createDataFrame([(3, a), (5, a), (5, b), (5, b), (9, b + " more"), (None, a)], "doc_id bigint, text string")
+    kept = dict(P.STAGES)["near_copies"](spark, docs, SF).collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in kept) == [(0, a), (3, a), (5, b)]
+
+
+def test_short_lines_that_repeat_go(spark):
+    docs = spark.createDataFrame([(1, "one text\nBuy now"), (2, "another one\nBuy now\n--")], "doc_id bigint, text string")
+    kept = dict(P.STAGES)["lines"](spark, docs, SF).collect()
+    assert {r["doc_id"]: r["text"] for r in kept} == {1: "one text\nBuy now", 2: "another one\n--"}
+
+
 def test_run_is_registered(spark):
     import __spark_entry__ as entry
     assert entry.queries()["pipeline"] is P.run and P.ORACLE_SQL is None
-    assert {q.split("_")[0] for q in entry.queries() if q.startswith("op")} == {f"op{n}" for n in range(1, 11)}
+    assert {q.split("_")[0] for q in entry.queries() if q.startswith("op")} == {f"op{n}" for n in range(1, 14)}
     assert P.run(spark, SF).count() > 0
