@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from chainspark.functions.draws import chunk_of, draw
 from chainspark.functions.scan import position
+from chainspark.session import cut_lineage
 from chainspark.space import StateSpace
 
 EPS = 1e-12
@@ -88,6 +89,12 @@ def prior_without(cells: DataFrame, unit: str, space: StateSpace, within=()) ->
     return full.select(*within, unit, "i", "j", q.alias("q"))
 
 
+def rest_counts(cells: DataFrame, unit: str, space: StateSpace) -> DataFrame:
+    """Counts of all other units for every cell: unit, i, j, n."""
+    full = complete(cells, space, (unit,))
+    return full.select(unit, "i", "j", (F.sum("n").over(Window.partitionBy("i", "j")) - F.col("n")).alias("n"))
+
+
 # -- folds and lambda ----------------------------------------------------------------------
 def folds(blocks: DataFrame, k: int, seed: int, keys: list[str], block: str = "poss_uid"
           ) -> DataFrame:
@@ -195,27 +202,41 @@ def error_curve(trans: DataFrame, q: DataFrame, lam: float, fractions: list[floa
                                  F.percentile("e", F.lit(0.5)).alias("err_median"))
 
 
-def lambda_sensitivity(full: DataFrame, lambdas: list[float], ref_lambda: float, top: int,
-                       space: StateSpace, keys=()) -> DataFrame:
-    """How the strongest cells change with lambda: Jaccard to the reference choice, attenuation.
+def lambda_sensitivity(cells: DataFrame, q: DataFrame, lambdas: list[float], space: StateSpace, keys: list[str],
+                       test, min_row: int = 15) -> DataFrame:
+    """How rejected rows change with lambda: keys, lam, tested, rejected, g2_max, attenuation, and the Jaccard index
+    of the rejected set with that of every other lambda (other, jaccard), and the share that all lambdas reject.
 
-    ``full``: completed cells with reference q. Lambda is a key column, so one job covers all.
+    A row is tested against the reference shrunk with lambda: ``test`` turns (keys, lam, i, g2, n) into
+    rows with a column ``rejected``. Rejected sets are bitmaps over the states, so sets are compared by bit
+    counts, whatever their number. ``q``: keys, i, j, q and base counts n of the reference.
     """
-    spec = F.array(*[F.lit(float(x)) for x in lambdas])
-    d = full.withColumn("lam", F.explode(spec))
-    d = shrink(d, F.col("lam"), space, (*keys, "lam"))
-    d = d.withColumn("size", F.round(F.abs(F.col("p") - F.col("q")), 12)).withColumn(
-        "ni", F.sum("n").over(Window.partitionBy(*keys, "lam", "i")))
-    order = Window.partitionBy(*keys, "lam").orderBy(F.desc("size"), "i", "j")
-    d = d.withColumn("chosen", F.row_number().over(order) <= top)
-    ref = F.max(F.when(F.col("lam") == ref_lambda, F.col("chosen"))).over(
-        Window.partitionBy(*keys, "i", "j"))
-    d = d.withColumn("in_ref", ref)
-    both = F.sum((F.col("chosen") & F.col("in_ref")).cast("bigint"))
-    either = F.sum((F.col("chosen") | F.col("in_ref")).cast("bigint"))
-    att = F.sum(F.col("n") * F.col("ni") / (F.col("ni") + F.col("lam"))) / F.sum("n")
-    return d.filter("n > 0 or chosen or in_ref").groupBy(*keys, "lam").agg(
-        (both / either).alias("jaccard"), att.alias("attenuation"))
+    lam = F.explode(F.array(*[F.lit(float(x)) for x in lambdas])).alias("lam")
+    total = F.sum("n").over(Window.partitionBy(*keys, "i"))
+    ref = q.withColumn("ni", total).select(*keys, "i", "j", "n", "ni", "q", lam)
+    star = ref.select(*keys, "i", "j", "lam", ((F.col("n") + F.col("lam") * F.col("q")) / (F.col("ni") + F.col("lam"))).alias("p"))
+    d = cells.withColumn("ni", total).join(star, [*keys, "i", "j"])
+    g2 = d.filter("n > 0").groupBy(*keys, "lam", "i").agg(
+        (2 * F.sum(F.col("n") * F.log(F.col("n") / (F.col("ni") * F.col("p"))))).alias("g2"), F.max("ni").alias("n"))
+    tested = cut_lineage(test(g2.filter(F.col("n") >= min_row)))
+    weight = F.col("n") / (F.col("n") + F.col("lam"))
+    sets = cut_lineage(tested.groupBy(*keys, "lam").agg(
+        F.count(F.lit(1)).alias("tested"), F.sum(F.col("rejected").cast("bigint")).alias("rejected"), F.max("g2").alias("g2_max"),
+        F.percentile(weight, F.lit(0.5)).alias("attenuation"),
+        # state numbers below the 32,768 bits of one bitmap
+        F.bitmap_construct_agg(F.when(F.col("rejected"), F.bitmap_bit_position(F.col("i") + 1))).alias("bits")))
+    other = sets.select(*keys, F.col("lam").alias("other"), F.col("bits").alias("other_bits"), F.col("rejected").alias("other_n"))
+    union = sets.groupBy(*keys).agg(F.bitmap_or_agg("bits").alias("any"))
+    every = tested.filter("rejected").groupBy(*keys, "i").agg(F.countDistinct("lam").alias("c")).groupBy(*keys).agg(
+        F.sum((F.col("c") == len(lambdas)).cast("bigint")).alias("core"))
+    pairs = sets.join(other, keys)
+    both = pairs.groupBy(*keys, "lam", "other").agg(F.first("bits").alias("a"), F.first("other_bits").alias("b"))
+    either = both.select(*keys, "lam", "other", F.explode(F.array("a", "b")).alias("x")).groupBy(*keys, "lam", "other").agg(
+        F.bitmap_count(F.bitmap_or_agg("x")).alias("either"))
+    out = pairs.join(either, [*keys, "lam", "other"]).join(union, keys).join(every, keys, "left")
+    jaccard = F.when(F.col("either") > 0, (F.col("rejected") + F.col("other_n") - F.col("either")) / F.col("either")).otherwise(1.0)
+    core = F.coalesce("core", F.lit(0)) / F.greatest(F.bitmap_count("any"), F.lit(1))
+    return out.select(*keys, "lam", "other", "tested", "rejected", "g2_max", "attenuation", jaccard.alias("jaccard"), core.alias("stability"))
 
 
 def shrink_rate(df: DataFrame, hits: str, n: str, q: str, lam) -> Column:

@@ -141,20 +141,6 @@ def e10(spark, sf):
                            "err_median": F.round("err_median", 6)})
 
 
-@query("e11_lambda_sensitivity", sql(GRID, """,
-lams AS (SELECT CAST(UNNEST([1, 10, 50, 200]) AS DOUBLE) AS lam),
-d AS (SELECT team, lam, i, j, n, ni, ROUND(ABS((n + lam * q) / (ni + lam) - q), 12) AS size FROM qx, lams),
-r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY team, lam ORDER BY size DESC, i, j) <= 50 AS chosen FROM d),
-s AS (SELECT *, MAX(CASE WHEN lam = 50 THEN chosen END) OVER (PARTITION BY team, i, j) AS in_ref FROM r)
-SELECT team, lam, CAST(SUM(CASE WHEN chosen AND in_ref THEN 1 ELSE 0 END) AS DOUBLE) / SUM(CASE WHEN chosen OR in_ref THEN 1 ELSE 0 END) AS jaccard,
- ROUND(SUM(n * ni / (ni + lam)) / SUM(n), 6) AS attenuation FROM s GROUP BY team, lam"""))
-def e11(spark, sf):
-    c = cells(spark, sf)
-    full = E.complete(c, SPACE, ["team"]).join(E.prior_without(c, "team", SPACE), ["team", "i", "j"])
-    return E.lambda_sensitivity(full, [1.0, 10.0, 50.0, 200.0], 50.0, 50, SPACE, ["team"]).withColumn(
-        "attenuation", F.round("attenuation", 6))
-
-
 @query("e12_plateau_attenuation", sql(CV, """
 , pl AS (SELECT team, MAX(score) - MIN(score) AS score_range FROM cv WHERE lam BETWEEN 20 AND 200 GROUP BY team),
 atn AS (SELECT team, AVG(ni / (ni + 50)) AS mean_weight, SUM(ni / (ni + 50) * ni) / SUM(ni) AS mass_weight FROM rowsum GROUP BY team)

@@ -290,6 +290,34 @@ def p_table(spark, sf):
                                       (F.col("n") >= 15).alias("tested"))
 
 
+LAMBDAS = [1.0, 10.0, 50.0, 200.0]
+
+
+@query("e11_lambda_sensitivity", sql(GRID, LEAGUE_Q + f""",
+lams AS (SELECT CAST(UNNEST({LAMBDAS}) AS DOUBLE) AS lam),
+sr AS MATERIALIZED (SELECT r.team, lam, r.i, r.j, n, ni, (rn + lam * q) / (SUM(rn) OVER (PARTITION BY r.team, lam, r.i) + lam) AS p FROM rest0 r JOIN lq ON lq.i = r.i AND lq.j = r.j, lams),
+g AS (SELECT team, lam, i, MAX(ni) AS n, 2 * SUM(CASE WHEN n > 0 THEN n * LN(n / (ni * p)) ELSE 0 END) AS g2 FROM sr WHERE ni >= 15 GROUP BY 1, 2, 3),
+pv AS MATERIALIZED (SELECT *, ROUND(EXP(-g2 / 15), 6) AS p FROM g),
+f AS (SELECT team, lam, p, COUNT(*) AS c FROM pv GROUP BY 1, 2, 3),
+r AS (SELECT *, SUM(c) OVER (PARTITION BY team, lam ORDER BY p) AS k, SUM(c) OVER (PARTITION BY team, lam) AS m FROM f),
+bq AS (SELECT team, lam, p, MIN(p * m / k) OVER (PARTITION BY team, lam ORDER BY p DESC) AS q FROM r),
+rj AS MATERIALIZED (SELECT pv.*, LEAST(1, q) <= 0.05 AS rejected FROM pv JOIN bq ON bq.team = pv.team AND bq.lam = pv.lam AND bq.p = pv.p),
+st AS MATERIALIZED (SELECT team, lam, COUNT(*) AS tested, SUM(CASE WHEN rejected THEN 1 ELSE 0 END) AS rejected, MAX(g2) AS g2_max, quantile_cont(n / (n + lam), 0.5) AS attenuation, LIST(i) FILTER (rejected) AS own FROM rj GROUP BY 1, 2),
+al AS (SELECT team, COUNT(*) FILTER (c = {len(LAMBDAS)}) AS core, COUNT(*) AS anywhere FROM (SELECT team, i, COUNT(*) AS c FROM rj WHERE rejected GROUP BY 1, 2) GROUP BY 1),
+pr AS (SELECT x.*, y.lam AS other, len(list_intersect(COALESCE(x.own, []), COALESCE(y.own, []))) AS both_n, y.rejected AS other_n FROM st x JOIN st y ON y.team = x.team)
+SELECT pr.team, lam, other, CAST(tested AS BIGINT) AS tested, CAST(rejected AS BIGINT) AS rejected, ROUND(g2_max, 4) AS g2_max, ROUND(attenuation, 6) AS attenuation,
+ ROUND(CASE WHEN rejected + other_n > 0 THEN both_n / (rejected + other_n - both_n) ELSE 1 END, 6) AS jaccard, ROUND(COALESCE(core, 0) / GREATEST(COALESCE(anywhere, 0), 1), 6) AS stability FROM pr LEFT JOIN al ON al.team = pr.team"""))
+def e11(spark, sf):
+    """Rows of a team that differ from the other teams' matrix, shrunk to the league's with every lambda."""
+    c = cells(spark, sf)
+    q = E.rest_counts(c, "team", SPACE).join(league_prior(spark, sf), ["i", "j"])
+
+    def test(rows):
+        return R.fdr(rows.withColumn("p", F.round(F.exp(-F.col("g2") / 15), 6)), ["team", "lam"])
+    d = E.lambda_sensitivity(c, q, LAMBDAS, SPACE, ["team"], test)
+    return d.withColumns({"g2_max": F.round("g2_max", 4), **{x: F.round(x, 6) for x in ("attenuation", "jaccard", "stability")}})
+
+
 @query("i12_benjamini_hochberg", sql(PV, BH_Q.format("")))
 def i12(spark, sf):
     d = R.fdr(p_table(spark, sf), ["team"], mask=F.col("tested"))
