@@ -73,13 +73,53 @@ def inflation(lo: Column, hi: Column, rate: Column, n: Column) -> Column:
     return F.when(binom > 0, (hi - lo) / binom)
 
 
-def index_curve(acts: DataFrame, keys: list[str], k_max: int, min_n: int) -> DataFrame:
-    """Rate by action index inside the possession, thin points null."""
-    d = acts.filter(F.col("k") <= k_max).groupBy(*keys, "k").agg(
-        F.avg("y").alias("rate"), F.count(F.lit(1)).alias("n"))
+def index_curve(acts: DataFrame, keys: list[str], k_max: int | None, min_n: int) -> DataFrame:
+    """Rate by action index inside the possession, thin points null; all indices without ``k_max``."""
+    d = acts if k_max is None else acts.filter(F.col("k") <= k_max)
+    d = d.groupBy(*keys, "k").agg(F.avg("y").alias("rate"), F.count(F.lit(1)).alias("n"))
     return d.withColumn("rate", F.when(F.col("n") >= min_n, F.col("rate")))
 
 
+def index_cells(acts: DataFrame, keys: list[str]) -> DataFrame:
+    """Pressed actions and actions per match and index: keys, match_id, k, s, n. Resampling moves these only."""
+    return acts.groupBy(*keys, "match_id", "k").agg(F.sum("y").alias("s"), F.count(F.lit(1)).cast("double").alias("n"))
+
+
+def curve_of(cells: DataFrame, keys: list[str], min_n: int) -> DataFrame:
+    """The index curve of summed cells."""
+    d = cells.groupBy(*keys, "k").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+    return d.select(*keys, "k", "n", F.when(F.col("n") >= min_n, F.col("s") / F.col("n")).alias("rate"))
+
+
+def curve_intervals(cells: DataFrame, unit: str, min_n: int, B: int, seed: int) -> DataFrame:
+    """Index curve of a unit with percentile intervals over redrawn matches: unit, k, point, lo, hi, n."""
+    w = R.multinomial_weights(cells.select(unit, "match_id"), [unit], "match_id", B, seed)
+    reps = R.replicate_sums(cells, w, [unit, "match_id"], [unit, "k"], ["s", "n"])
+    reps = reps.withColumn("rate", F.when(F.col("n") >= min_n, F.col("s") / F.col("n")))
+    i = R.interval(reps, [unit, "k"], "rate", method="percentile")
+    return i.join(reps.filter("b = 0").select(unit, "k", "n"), [unit, "k"]).select(unit, "k", "point", "lo", "hi", "n")
+
+
+def slope_null(cells: DataFrame, club: str, era: str, min_n: int, B: int, seed: int) -> DataFrame:
+    """Difference of two eras' slopes for every pair of eras of a club, with eras permuted between the
+    pair's matches: club, a, c, b, diff (b = 0 is the data).
+
+    A match is repeated per pair that it belongs to, its actions never are: cells per match carry the sums.
+    """
+    eras = cells.select(club, "match_id", era).distinct()
+    one = eras.select(club, F.col(era).alias("a")).distinct()
+    pairs = one.join(one.withColumnRenamed("a", "c"), club).filter("a < c")
+    stratum = F.concat_ws("|", "a", "c").alias("pair")
+    blocks = eras.join(pairs, club).filter((F.col(era) == F.col("a")) | (F.col(era) == F.col("c"))).select(club, "a", "c", stratum, "match_id", era)
+    perm = R.permutation_labels(blocks.select("pair", "match_id", era), ["pair"], "match_id", era, B, seed)
+    labelled = blocks.select(club, "a", "c", "pair", "match_id").join(perm, ["pair", "match_id"]).withColumn("side", F.col(era) == F.col("a"))
+    moved = labelled.select(club, "a", "c", "b", "match_id", "side").join(cells.drop(era), [club, "match_id"])
+    keys = [club, "a", "c", "b"]
+    slope = curve_slope(curve_of(moved, [*keys, "side"], min_n), [*keys, "side"])
+    both = slope.groupBy(*keys).agg(F.max(F.when(F.col("side"), F.col("slope"))).alias("x"), F.max(F.when(~F.col("side"), F.col("slope"))).alias("y"))
+    return both.select(*keys, (F.col("x") - F.col("y")).alias("diff"))
+
+
 def curve_slope(curve: DataFrame, keys: list[str], k_min: int = 2) -> DataFrame:
     """Weighted slope of the curve from ``k_min`` on; needs three points."""
     d = curve.filter((F.col("k") >= k_min) & F.col("rate").isNotNull())

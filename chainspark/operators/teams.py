@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chainspark.functions import scalars as S
-from chainspark.functions.scan import Running, neighbour, running
+from chainspark.functions.scan import Running, neighbour, running, same_keys
+from chainspark.operators import resample as R
+from chainspark.operators.relations import leave_unit_out
 from chainspark.operators.standardise import pairs_of
 
 
@@ -162,3 +164,32 @@ def pair_order(eras: DataFrame) -> DataFrame:
         (F.col("s_a") < F.col("s_b")) | ((F.col("s_a") == F.col("s_b")) & (F.col("a") < F.col("b"))))
     overlap = F.greatest(F.datediff(F.least("e_a", "e_b"), F.col("s_b")) + 1, F.lit(0))
     return d.select("club", "a", "b", overlap.alias("overlap_days"), F.datediff("s_b", "e_a").alias("gap_days"))
+
+
+# -- effects of events -------------------------------------------------------------------------
+def matched_effects(deltas: DataFrame, unit: str, strata: list[str], value: str, min_base: int = 5) -> DataFrame:
+    """Deltas of a unit's events less the mean delta of all other units' events in the same stratum.
+
+    Adds ``base`` (null below ``min_base`` control events) and ``adjusted``. A control's mean is the stratum's total
+    minus the unit's own sum, so no event meets another one; rows with a null delta are dropped, null
+    strata are strata.
+    """
+    d = deltas.filter(F.col(value).isNotNull())
+    own = d.groupBy(unit, *strata).agg(F.sum(value).alias("__sum"), F.count(value).cast("double").alias("__size"))
+    rest = leave_unit_out(own, unit, strata, ["__sum", "__size"])
+    base = F.when(F.col("rest___size") >= min_base, F.col("rest___sum") / F.col("rest___size"))
+    out = same_keys(d, rest.select(unit, *strata, base.alias("base")), [unit, *strata])
+    return out.withColumn("adjusted", F.col(value) - F.col("base"))
+
+
+def unit_effects(effects: DataFrame, unit: str, event: str, metric: str, B: int, seed: int, alpha: float = 0.05) -> DataFrame:
+    """Mean adjusted effect per unit and metric with an interval over redrawn events and FDR inside the metric.
+
+    An event's metrics share its replicate weights. Events without a base count in ``events`` only.
+    """
+    d = effects.withColumns({"__x": F.coalesce("adjusted", F.lit(0.0)), "__k": F.col("adjusted").isNotNull().cast("double")})
+    w = R.multinomial_weights(d.select(unit, event), [unit], event, B, seed)
+    reps = R.replicate_sums(d.select(unit, event, metric, "__x", "__k"), w, [unit, event], [unit, metric], ["__x", "__k"])
+    i = R.interval(reps.withColumn("effect", F.try_divide("__x", "__k")), [unit, metric], "effect")
+    size = d.groupBy(unit, metric).agg(F.count(F.lit(1)).alias("events"), F.sum("__k").cast("bigint").alias("matched"))
+    return R.fdr(size.join(i, [unit, metric]).select(unit, metric, "events", "matched", "point", "lo", "hi", "p"), [metric], "p", alpha)

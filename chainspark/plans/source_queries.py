@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,7 +18,7 @@ from chainspark.plans.inference_queries import PAIR_REPS, pair_reps
 from chainspark.plans.registry import query
 from chainspark.plans.relation_queries import ERAS
 from chainspark.plans.tables import FA, MOVES, SPACE, TR, _BUILT, era_table, load, moves, sql, transitions
-from chainspark.session import cut_lineage, is_written, shared_dir
+from chainspark.session import cut_lineage, is_written, scratch_dir, shared_dir
 from chainspark.sources import adapters as A
 from chainspark.sources import events as E
 
@@ -116,6 +118,20 @@ def s07(spark, sf):
     return d.groupBy("match_id").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("s07_scope_parts", sql(FA, """,
+ix AS (SELECT match_id, MIN(team) AS a, MAX(team) AS b, CASE WHEN month(MIN(match_date)) >= 7 THEN CONCAT('A', year(MIN(match_date))) ELSE CONCAT('C', year(MIN(match_date))) END AS season FROM actions GROUP BY 1)
+SELECT ix.season, actions.match_id, CAST(COUNT(*) AS BIGINT) AS n, CAST(SUM(event_index) AS BIGINT) AS places, ROUND(SUM(start_x), 4) AS x FROM actions JOIN ix ON ix.match_id = actions.match_id
+WHERE ix.season IN ('A1996', 'C1997') AND (a IN ('T1', 'T2') OR b IN ('T1', 'T2')) GROUP BY 1, 2"""))
+def s07b(spark, sf):
+    """Parts of three seasons written, one of them again, and a scope of two read back."""
+    m, index = moves(spark, sf), index_of_matches(spark, sf)
+    path = f"{scratch_dir(spark)}/scope-{uuid.uuid4().hex}"
+    A.write_scope(m, A.scope_of(index, ["A1996", "C1997", "A1997"]), path, "possession")
+    A.write_scope(m, A.scope_of(index, ["C1997"]), path, "possession")
+    d = A.read_scope(A.scope_of(index, ["A1996", "C1997"], clubs=["T1", "T2"]), path)
+    return d.groupBy("season", "match_id").agg(F.count(F.lit(1)).alias("n"), F.sum("event_index").alias("places"), F.round(F.sum("start_x"), 4).alias("x"))
+
+
 @query("s08_unify_parts", sql(FA, """
 SELECT team, CAST(COUNT(*) AS BIGINT) AS n, CAST(COUNT(a) AS BIGINT) AS with_a, ROUND(SUM(v), 4) AS v FROM (SELECT team, event_index AS a, CAST(player_id AS DOUBLE) AS v FROM actions WHERE match_id % 2 = 0 UNION ALL SELECT team, NULL, start_x FROM actions WHERE match_id % 2 = 1) GROUP BY team"""))
 def s08(spark, sf):

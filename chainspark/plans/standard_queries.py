@@ -565,22 +565,52 @@ def q05(spark, sf):
 
 
 CURVE = RIVAL + """,
-cv AS (SELECT coach_faced, k, CASE WHEN COUNT(*) >= 10 THEN AVG(y) END AS rate, COUNT(*) AS n FROM ra WHERE k <= 8 GROUP BY 1, 2)"""
+cv AS (SELECT coach_faced, k, CASE WHEN COUNT(*) >= 10 THEN AVG(y) END AS rate, COUNT(*) AS n FROM ra GROUP BY 1, 2)"""
 
 
 @query("q06_index_curve", sql(CURVE, " SELECT coach_faced, k, ROUND(rate, 6) AS rate, CAST(n AS BIGINT) AS n FROM cv"))
 def q06(spark, sf):
-    return P.index_curve(rival_k(spark, sf), ["coach_faced"], 8, 10).withColumn("rate", F.round("rate", 6))
+    return P.index_curve(rival_k(spark, sf), ["coach_faced"], None, 10).withColumn("rate", F.round("rate", 6))
 
 
 @query("q06_curve_slope", sql(CURVE, """,
 d AS (SELECT coach_faced, CAST(k AS DOUBLE) AS k, rate AS y, CAST(n AS DOUBLE) AS w FROM cv WHERE k >= 2 AND rate IS NOT NULL)
 SELECT coach_faced, CASE WHEN COUNT(*) >= 3 THEN ROUND((SUM(w*k*y) - SUM(w*k)*SUM(w*y)/SUM(w)) / (SUM(w*k*k) - SUM(w*k)*SUM(w*k)/SUM(w)), 6) END AS slope FROM d GROUP BY 1"""))
 def q06b(spark, sf):
-    c = P.index_curve(rival_k(spark, sf), ["coach_faced"], 8, 10)
+    c = P.index_curve(rival_k(spark, sf), ["coach_faced"], None, 10)
     return P.curve_slope(c, ["coach_faced"]).withColumn("slope", F.round("slope", 6))
 
 
+KCELLS = RIVAL + """,
+kc AS MATERIALIZED (SELECT opponent, coach_faced, match_id, k, SUM(y) AS s, CAST(COUNT(*) AS DOUBLE) AS n FROM ra GROUP BY 1, 2, 3, 4)"""
+
+
+@query("q06_curve_interval", sql(KCELLS, weights_sql("kc", "coach_faced", "match_id", 20, 61) + """,
+r AS (SELECT coach_faced, k, b, CASE WHEN SUM(w * n) >= 10 THEN SUM(w * kc.s) / SUM(w * n) END AS rate, SUM(w * n) AS n FROM kc JOIN wt ON wt.s = coach_faced AND wt.k = match_id GROUP BY 1, 2, 3)
+SELECT coach_faced, k, ROUND(MAX(CASE WHEN b = 0 THEN rate END) + 1e-9, 6) AS point, ROUND(quantile_cont(rate, 0.025) FILTER (WHERE b > 0) + 1e-9, 6) AS lo, ROUND(quantile_cont(rate, 0.975) FILTER (WHERE b > 0) + 1e-9, 6) AS hi, MAX(CASE WHEN b = 0 THEN n END) AS n FROM r GROUP BY 1, 2""".replace("SELECT coach_faced, k, b,", "SELECT coach_faced, kc.k AS k, b,")))
+def q06c(spark, sf):
+    cells = P.index_cells(rival_k(spark, sf), ["coach_faced"])
+    i = P.curve_intervals(cells, "coach_faced", 10, 20, 61)
+    return i.select("coach_faced", "k", *[F.round(F.col(c) + 1e-9, 6).alias(c) for c in ("point", "lo", "hi")], "n")
+
+
+@query("q06_slope_permutation", sql(KCELLS, f""",
+er AS (SELECT DISTINCT opponent, match_id, coach_faced FROM kc),
+pa AS (SELECT DISTINCT x.opponent, x.coach_faced AS a, y.coach_faced AS c FROM er x JOIN er y ON x.opponent = y.opponent AND x.coach_faced < y.coach_faced),
+bl AS MATERIALIZED (SELECT pa.*, match_id, coach_faced AS era FROM er JOIN pa ON pa.opponent = er.opponent AND coach_faced IN (a, c)),
+sb AS (SELECT a, c, era, ROW_NUMBER() OVER (PARTITION BY a, c ORDER BY era, match_id) AS slot FROM bl),
+sp AS (SELECT a, c, match_id, b, ROW_NUMBER() OVER (PARTITION BY a, c, b ORDER BY {draw_sql("'67'", "b", "match_id")}, match_id) AS slot FROM bl, (SELECT UNNEST(range(1, 10)) AS b)),
+pl AS (SELECT sp.a, sp.c, sp.match_id, sp.b, sb.era FROM sp JOIN sb ON sb.a = sp.a AND sb.c = sp.c AND sb.slot = sp.slot UNION ALL SELECT a, c, match_id, 0, era FROM bl),
+cu AS (SELECT kc.opponent, pl.a, pl.c, b, era = pl.a AS side, k, SUM(n) AS n, SUM(s) / SUM(n) AS y FROM pl JOIN pa ON pa.a = pl.a AND pa.c = pl.c JOIN kc ON kc.opponent = pa.opponent AND kc.match_id = pl.match_id GROUP BY ALL HAVING SUM(n) >= 10),
+sl AS (SELECT opponent, a, c, b, side, CASE WHEN COUNT(*) >= 3 THEN (SUM(n*k*y) - SUM(n*k)*SUM(n*y)/SUM(n)) / (SUM(n*k*k) - SUM(n*k)*SUM(n*k)/SUM(n)) END AS slope FROM cu WHERE k >= 2 GROUP BY ALL),
+t AS (SELECT opponent, a, c, b, MAX(CASE WHEN side THEN slope END) - MAX(CASE WHEN NOT side THEN slope END) AS v FROM sl GROUP BY 1, 2, 3, 4),
+t2 AS (SELECT *, ABS(v) AS x, MAX(CASE WHEN b = 0 THEN ABS(v) END) OVER (PARTITION BY opponent, a, c) AS o FROM t)
+SELECT opponent, a, c, """ + NULL_SQL + " FROM t2 GROUP BY 1, 2, 3"))
+def q06d(spark, sf):
+    cells = P.index_cells(rival_k(spark, sf), ["opponent", "coach_faced"])
+    return null_summary(P.slope_null(cells, "opponent", "coach_faced", 10, 9, 67), ["opponent", "a", "c"], "diff", two_sided=True)
+
+
 @query("q07_level_contrast", sql(RIVAL, """
 SELECT coach_faced, phase, ROUND(AVG(CASE WHEN k >= 3 THEN y END), 6) AS level_k3, ROUND(AVG(CASE WHEN length = 1 THEN y END), 6) AS single, CAST(SUM(CASE WHEN length = 1 THEN 1 ELSE 0 END) AS BIGINT) AS n_single FROM ra GROUP BY 1, 2"""))
 def q07(spark, sf):

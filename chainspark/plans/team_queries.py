@@ -11,10 +11,11 @@ from chainspark.operators import relations as Q
 from chainspark.operators import resample as R
 from chainspark.operators import standardise as D
 from chainspark.operators import teams as L
-from chainspark.plans.inference_queries import rounded
+from chainspark.plans.inference_queries import rounded, weights_sql
 from chainspark.plans.registry import query
 from chainspark.plans.standard_queries import NULL_SQL, null_summary, permuted_sql
 from chainspark.plans.tables import FA, MOVES, SPACE, TR, era_table, load, moves, sql, transitions
+from chainspark.session import cut_lineage
 
 XG = "ROUND(1 / (1 + EXP(SQRT(POW(120 - start_x, 2) + POW(40 - start_y, 2)) / 40)), 4)"
 PANEL = MOVES + f""",
@@ -157,17 +158,46 @@ def l08(spark, sf):
     return d.select("team", "player_id", "n", F.round("cx", 6).alias("cx"), F.round("cy", 6).alias("cy"), F.round(F.col("shares")[0], 6).alias("share0"))
 
 
-@query("l09_substitution_effect", sql("", """e AS (SELECT *, epoch_us(ts) / 1e6 AS t FROM events),
-f AS (SELECT user_id, MIN(t) AS t FROM e WHERE event_type = 'signup' GROUP BY 1),
-w AS (SELECT f.user_id, f.t, SUM(CASE WHEN e.t < f.t - 60 THEN CASE WHEN event_type = 'click' THEN 1.0 ELSE 0.0 END END) / NULLIF(SUM(CASE WHEN e.t < f.t - 60 THEN 1 END), 0) AS rb, SUM(CASE WHEN e.t > f.t + 60 THEN CASE WHEN event_type = 'click' THEN 1.0 ELSE 0.0 END END) / NULLIF(SUM(CASE WHEN e.t > f.t + 60 THEN 1 END), 0) AS ra
-  FROM f JOIN e ON e.user_id = f.user_id AND ((e.t >= GREATEST(f.t - 60 - 400000, 0) AND e.t < f.t - 60) OR (e.t > f.t + 60 AND e.t <= f.t + 60 + 400000)) GROUP BY 1, 2)
-SELECT user_id % 5 AS segment, CAST(COUNT(ra - rb) AS BIGINT) AS valid, ROUND(AVG(ra - rb), 6) AS delta FROM f0 GROUP BY 1""".replace("FROM f0", "FROM (SELECT f.user_id, w.ra, w.rb FROM f LEFT JOIN w ON w.user_id = f.user_id)")))
-def l09(spark, sf):
+# change of two rates around a user's first event of a kind, against other segments' in the same stratum
+SUB = """e AS (SELECT *, epoch_us(ts) / 1e6 AS t FROM events),
+f AS MATERIALIZED (SELECT user_id, MIN(t) AS t, MIN_BY(value, t) AS v FROM e WHERE event_type = 'signup' GROUP BY 1),
+w AS (SELECT f.user_id, f.t, f.v, m.metric, SUM(CASE WHEN e.t < f.t - 60 THEN CASE WHEN event_type = m.metric THEN 1.0 ELSE 0.0 END END) / NULLIF(SUM(CASE WHEN e.t < f.t - 60 THEN 1 END), 0) AS rb, SUM(CASE WHEN e.t > f.t + 60 THEN CASE WHEN event_type = m.metric THEN 1.0 ELSE 0.0 END END) / NULLIF(SUM(CASE WHEN e.t > f.t + 60 THEN 1 END), 0) AS ra
+  FROM f JOIN e ON e.user_id = f.user_id AND ((e.t >= GREATEST(f.t - 60 - 400000, 0) AND e.t < f.t - 60) OR (e.t > f.t + 60 AND e.t <= f.t + 60 + 400000)), (SELECT UNNEST(['click', 'error']) AS metric) m GROUP BY 1, 2, 3, 4),
+dl AS MATERIALIZED (SELECT user_id, user_id % 5 AS segment, metric, CAST(FLOOR(t / 43200) AS BIGINT) % 2 AS block, CASE WHEN v < 30 THEN 'low' WHEN v > 70 THEN 'high' ELSE 'mid' END AS score, CAST(FLOOR(t / 1209600) AS BIGINT) % 2 AS season, ra - rb AS delta FROM w WHERE ra - rb IS NOT NULL),
+cs AS (SELECT segment, metric, block, score, season, SUM(delta) AS s, COUNT(*) AS n FROM dl GROUP BY ALL),
+rs AS (SELECT *, SUM(s) OVER q - s AS rest_s, SUM(n) OVER q - n AS rest_n FROM cs WINDOW q AS (PARTITION BY metric, block, score, season)),
+ad AS MATERIALIZED (SELECT dl.*, CASE WHEN rest_n >= 5 THEN delta - rest_s / rest_n END AS adjusted FROM dl JOIN rs USING (segment, metric, block, score, season))"""
+
+
+def event_deltas(spark, sf):
     e = load(spark, sf, "events").withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
-    first = e.filter("event_type = 'signup'").groupBy("user_id").agg(F.min("t").alias("t")).withColumn("centre_id", F.col("user_id"))
-    d = Q.window_rates(e, first, ["user_id"], "t", (F.col("event_type") == "click").cast("double"), F.lit(1.0), 400000.0, 60.0)
-    delta = F.col("rate_after") - F.col("rate_before")
-    return d.groupBy((F.col("centre_id") % 5).alias("segment")).agg(F.count(delta).alias("valid"), F.round(F.avg(delta), 6).alias("delta"))
+    first = e.filter("event_type = 'signup'").groupBy("user_id").agg(F.min("t").alias("t"), F.min_by("value", "t").alias("v")).withColumn("centre_id", F.col("user_id"))
+    first = cut_lineage(first)
+    out = None
+    for metric in ("click", "error"):
+        d = Q.window_rates(e, first, ["user_id"], "t", (F.col("event_type") == metric).cast("double"), F.lit(1.0), 400000.0, 60.0)
+        d = d.select("user_id", (F.col("user_id") % 5).alias("segment"), F.lit(metric).alias("metric"), (F.floor(F.col("t") / 43200) % 2).alias("block"),
+                     F.when(F.col("v") < 30, "low").when(F.col("v") > 70, "high").otherwise("mid").alias("score"),
+                     (F.floor(F.col("t") / 1209600) % 2).alias("season"), (F.col("rate_after") - F.col("rate_before")).alias("delta"))
+        out = d if out is None else out.unionByName(d)
+    return out
+
+
+@query("l09_substitution_effect", sql("", SUB + weights_sql("ad", "segment", "user_id", 20, 37) + """,
+rp AS (SELECT segment, metric, b, SUM(w * COALESCE(adjusted, 0)) / NULLIF(SUM(w * CASE WHEN adjusted IS NULL THEN 0 ELSE 1 END), 0) AS v FROM ad JOIN wt ON wt.s = segment AND wt.k = user_id GROUP BY 1, 2, 3),
+pt AS (SELECT segment, metric, v AS t FROM rp WHERE b = 0),
+ag AS MATERIALIZED (SELECT rp.segment, rp.metric, t, quantile_cont(v, 0.025) AS ql, quantile_cont(v, 0.975) AS qh, LEAST(1.0::DOUBLE, 2.0::DOUBLE * (1 + COUNT(*) FILTER (CASE WHEN t >= 0 THEN v - t >= t ELSE v - t <= t END)) / (COUNT(v) + 1)) AS p FROM rp JOIN pt ON pt.segment = rp.segment AND pt.metric = rp.metric WHERE b > 0 GROUP BY 1, 2, 3),
+sz AS (SELECT segment, metric, COUNT(*) AS events, COUNT(adjusted) AS matched FROM ad GROUP BY 1, 2),
+vs AS (SELECT metric, p, COUNT(*) AS c FROM ag GROUP BY 1, 2),
+rk2 AS (SELECT *, SUM(c) OVER (PARTITION BY metric ORDER BY p) AS k, SUM(c) OVER (PARTITION BY metric) AS m FROM vs),
+qs AS (SELECT metric, p, LEAST(1, MIN(p * m / k) OVER (PARTITION BY metric ORDER BY p DESC)) AS q FROM rk2)
+SELECT ag.segment, ag.metric, CAST(events AS BIGINT) AS events, CAST(matched AS BIGINT) AS matched, ROUND(t, 6) AS point, ROUND(2 * t - qh, 6) AS lo, ROUND(2 * t - ql, 6) AS hi, ROUND(ag.p, 6) AS p, ROUND(q, 6) AS q, q <= 0.05 AS rejected
+FROM ag JOIN sz ON sz.segment = ag.segment AND sz.metric = ag.metric JOIN qs ON qs.metric = ag.metric AND qs.p = ag.p"""))
+def l09(spark, sf):
+    """First events of a kind as substitutions: windows with an exclusion zone, controls of the same block, score and season."""
+    d = L.matched_effects(cut_lineage(event_deltas(spark, sf)), "segment", ["metric", "block", "score", "season"], "delta")
+    out = L.unit_effects(d, "segment", "user_id", "metric", 20, 37)
+    return out.withColumns({c: F.round(c, 6) for c in ("point", "lo", "hi", "p", "q")})
 
 
 @query("l10_squad_core_possessions", sql(TR, """,

@@ -33,9 +33,8 @@ def flatten(df: DataFrame, sep: str = "_") -> DataFrame:
     return df.select(*cols)
 
 
-def in_scope(events: DataFrame, index: DataFrame, seasons=None, stages=None, clubs=None, ids=None
-             ) -> DataFrame:
-    """Events of matches chosen on the match index by season, stage class, club or id list."""
+def scope_of(index: DataFrame, seasons=None, stages=None, clubs=None, ids=None) -> DataFrame:
+    """Rows of the match index chosen by season, stage class, club or id list."""
     from chainspark.operators.relations import stage_class
 
     m = index
@@ -47,9 +46,37 @@ def in_scope(events: DataFrame, index: DataFrame, seasons=None, stages=None, clu
         m = m.filter(F.col("home").isin(*clubs) | F.col("away").isin(*clubs))
     if ids is not None:
         m = m.join(ids.select("match_id").distinct(), "match_id", "left_semi")
+    return m
+
+
+def in_scope(events: DataFrame, index: DataFrame, seasons=None, stages=None, clubs=None, ids=None
+             ) -> DataFrame:
+    """Events of matches chosen on the match index by season, stage class, club or id list."""
+    m = scope_of(index, seasons, stages, clubs, ids)
     return events.join(m.select("match_id").distinct(), "match_id", "left_semi")
 
 
+def write_scope(events: DataFrame, scope: DataFrame, path: str, order: str = "index") -> None:
+    """Write the events of a scope's matches (match_id, season) in parts, one folder per season.
+
+    Rows are dealt by range of (season, match, order): a part holds neighbouring matches, so that its
+    min/max statistics prune reads by match, and a match of any size is cut into several parts. Only
+    the seasons that are written are replaced; others under the path stay as they are. A match without
+    events, and a null match_id, write nothing.
+    """
+    tagged = events.drop("season").join(scope.select("match_id", "season").distinct(), "match_id")
+    (tagged.repartitionByRange("season", "match_id", order).sortWithinPartitions("season", "match_id", order)
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("season").parquet(path))
+
+
+def read_scope(scope: DataFrame, path: str) -> DataFrame:
+    """Events under the path of a scope's matches; folders of seasons outside it are pruned before the scan."""
+    wanted = scope.select("season", "match_id").distinct()
+    seasons = [r["season"] for r in wanted.select("season").distinct().collect()]  # one folder each
+    parts = scope.sparkSession.read.parquet(path).filter(F.col("season").isin(*seasons) if seasons else F.lit(False))
+    return parts.join(wanted, ["season", "match_id"], "left_semi")
+
+
 def club_subsets(events: DataFrame, index: DataFrame) -> DataFrame:
     """Every event once per club of its match: one job for all clubs, partition by ``club``."""
     sides = index.select("match_id", F.explode(F.array("home", "away")).alias("club")).distinct()

@@ -422,3 +422,66 @@ def test_windows_with_a_hot_bucket(spark):
     for r in best:
         own = pts[(pts.k == r.k) & (pts.x >= r.t) & (pts.x <= r.t + 20)]
         assert r.best == (None if own.empty else own.v.max())
+
+
+def test_matched_effects_against_loops(spark):
+    rng = np.random.default_rng(11)
+    pdf = pd.DataFrame({"u": rng.integers(0, 3, 200), "s": rng.integers(0, 4, 200), "e": range(200), "v": rng.normal(size=200)})
+    df = spark.createDataFrame(pdf).unionByName(spark.createDataFrame([(0, None, 900, 1.0), (1, None, 901, 3.0), (2, 1, 902, None)], "u bigint, s bigint, e bigint, v double"))
+    got = {r.e: r for r in L.matched_effects(df, "u", ["s"], "v", 1).collect()}
+    assert len(got) == 202 and got[900].base == 3.0 and got[901].adjusted == 2.0
+    for r in pdf.itertuples():
+        others = pdf[(pdf.u != r.u) & (pdf.s == r.s)].v
+        assert abs(got[r.e].adjusted - (r.v - others.mean())) < 1e-9
+    assert all(r.base is None for r in L.matched_effects(df, "u", ["s"], "v", 1000).collect())
+    rows = L.unit_effects(L.matched_effects(df.withColumn("m", F.lit("x")), "u", ["s"], "v", 1), "u", "e", "m", 10, 3).collect()
+    for r in rows:
+        own = [x.adjusted for x in got.values() if x.u == r.u]
+        assert r.matched == len(own) and abs(r.point - np.mean(own)) < 1e-9 and r.p <= r.q <= 1
+
+
+def test_scope_parts_survive_a_second_write(spark, tmp_path):
+    from chainspark.sources import adapters as A
+    events = spark.createDataFrame([(m, i, float(m * i)) for m in range(1, 7) for i in range(50)], "match_id bigint, index bigint, x double")
+    index = spark.createDataFrame([(m, "s1" if m < 4 else "s2", "a" if m % 2 else "b", "c", "Regular Season") for m in range(1, 8)],
+                                  "match_id bigint, season string, home string, away string, stage string")
+    path = f"file:{tmp_path}/parts"
+    A.write_scope(events, A.scope_of(index), path)
+    # one season again, changed: the other one stays
+    A.write_scope(events.withColumn("x", F.lit(-1.0)), A.scope_of(index, ["s2"]), path)
+    back = A.read_scope(A.scope_of(index, clubs=["a"]), path)
+    assert {(r.match_id, r.n, r.s) for r in back.groupBy("match_id").agg(F.count("*").alias("n"), F.sum("x").alias("s")).collect()} == {
+        (1, 50, 1225.0), (3, 50, 3675.0), (5, 50, -50.0)}
+    one = A.read_scope(A.scope_of(index, ["s1"]), path)
+    assert one.count() == 150 and "PartitionFilters: [isnotnull(season" in one._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lattice_rolls_up_to_every_grid(spark):
+    from dataclasses import replace
+
+    from chainspark.operators import resolution as Z
+    rng = np.random.default_rng(6)
+    rows = []
+    for p in range(80):
+        n = int(rng.integers(1, 6))
+        pts = [(float(rng.uniform(0, 120)), float(rng.uniform(0, 80))) for _ in range(n)]
+        for k in range(n):
+            nxt = pts[k + 1] if k + 1 < n else pts[k]
+            out = str(rng.choice(["GOAL", "LOSS", ""])) if k + 1 == n else ""
+            rows.append(("u", k + 1, "open", out, *pts[k], *nxt, None if k + 1 == n else nxt[0]))
+    df = spark.createDataFrame(rows, "unit string, event_index int, phase string, outcome string, start_x double, start_y double, end_x double, end_y double, next_x double")
+    cells, fine = Z.lattice(df, [(3, 2), (5, 4)], SPACE, ["unit"])
+    assert (fine.nx, fine.ny) == (15, 4)
+    for nx, ny in ((3, 2), (5, 4)):
+        counts, starts, own = Z.roll_up(cells, fine, (nx, ny), ["unit"])
+        assert own == replace(SPACE, nx=nx, ny=ny)
+        want = {}
+        for _, k, _, out, x, y, ex, ey, nx_ in rows:
+            z = lambda a, b: (int(a / 120 * nx) * ny + int(b / 80 * ny)) * own.n_phases
+            j = own.absorbing_state(out) if out else z(ex, ey)
+            want[z(x, y), j] = want.get((z(x, y), j), 0) + 1
+            if nx_ is None and not out:
+                key = (j, own.absorbing_state("LOSS"))
+                want[key] = want.get(key, 0) + 1
+        assert {(r.i, r.j): r.n for r in counts.collect()} == want
+        assert sum(r.a for r in starts.collect()) == 80
