@@ -14,7 +14,7 @@ from chainspark.llm.text import LOWER, Chunk, Ranges, _lut, chunks, map_arrow, m
 K = 3
 _BREAK = _lut(bytes(range(0, 48)) + bytes(range(58, 65)) + bytes(range(91, 97)) + bytes(range(123, 128)))
 
-# Notices of public licenses, by SPDX name.
+# Notices of public licenses, by SPDX name. The opening of the BSD licenses is common to all of them.
 TEMPLATES = [
     ("MIT", "Released under the MIT License."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and "
@@ -24,17 +24,39 @@ TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "you may not use this file except in compliance with the License. You may obtain a copy of the "
                    "License at http://www.apache.org/licenses/LICENSE-2.0"),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU "
-                "General Public License as published by the Free Software Foundation, either version 3 of the License, "
-                "or (at your option) any later version."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted "
-                     "provided that the following conditions are met"),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
+    *((f"{short}-{v}.0", f"This work is licensed under the GNU {name}, version {v}.")
+      for short, name, versions in (("GPL", "General Public License", (2, 3)), ("AGPL", "Affero General Public License", (3,)),
+                                    ("LGPL", "Lesser General Public License", (3,))) for v in versions),
+    *((f"{short}-{v}", f"This {what} is free software: you can redistribute it and/or modify it under the terms of the GNU "
+                       f"{name} as published by the Free Software Foundation, either version {v} of the License, "
+                       "or (at your option) any later version.")
+      for short, what, name, v in (("GPL", "program", "General Public License", "2"), ("GPL", "program", "General Public License", "3"),
+                                   ("AGPL", "program", "Affero General Public License", "3"), ("LGPL", "library", "Lesser General Public License", "2.1"),
+                                   ("LGPL", "library", "Lesser General Public License", "3"))),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was "
+                "not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/"),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
+            "granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("Zlib", "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to "
+             "alter it and redistribute it freely"),
+    ("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted "
+            "provided that the following conditions are met"),
+    ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote "
+                     "products derived from this software without specific prior written permission"),
+    *((f"CC-BY{short}-4.0", f"This work is licensed under a Creative Commons Attribution{name} 4.0 International License.")
+      for short, name in (("", ""), ("-SA", "-ShareAlike"), ("-ND", "-NoDerivatives"), ("-NC", "-NonCommercial"),
+                          ("-NC-SA", "-NonCommercial-ShareAlike"), ("-NC-ND", "-NonCommercial-NoDerivatives"))),
+    *((f"CC-BY{short}-4.0", f"Licensed under CC BY{short} 4.0.") for short in ("", "-SA", "-ND", "-NC", "-NC-SA", "-NC-ND")),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights"),
 ]
+#: SPDX writes these two without a minor version where it is zero in the notice.
+_NAMES = {"GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "AGPL-3": "AGPL-3.0", "LGPL-3": "LGPL-3.0"}
+TEMPLATES = [(_NAMES.get(name, name), text) for name, text in TEMPLATES]
+#: Templates of other licenses that hold this share of a template's shingles are near: what tells them apart is asked for.
+NEAR = 0.5
 
 
 def _words(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
@@ -67,6 +89,9 @@ class Templates:
                     raise ValueError(f"a template needs {K} words or more")
                 self.sets.append(np.unique(values[first[i]:first[i + 1]]))
                 self.steps.append(max(8, 1 << (n - 1).bit_length()))
+        # of each template, what near templates of other licenses don't hold
+        self.marks = [[m for j, other in enumerate(self.sets) if self.names[j] != self.names[i]
+                       and len(m := np.setdiff1d(own, other)) <= (1 - NEAR) * len(own)] for i, own in enumerate(self.sets)]
         worst = min((contained * len(s) / (2 * step + (1 - contained) * len(s))
                      for s, step in zip(self.sets, self.steps)), default=1.0)
         self.bands = max(1, math.ceil(math.log(1 - sure) / math.log(1 - worst))) if worst < 1 else 1
@@ -111,9 +136,9 @@ class Templates:
             starts, doc, _ = blocks[step]
             d = int(doc[w])
             end = min(int(starts[w]) + 2 * step, int(first[d + 1]))
-            inside = np.isin(self.sets[t], values[int(starts[w]):end])
-            share = float(inside.mean())
-            if share >= self.contained:
+            held = values[int(starts[w]):end]
+            share = float(np.isin(self.sets[t], held).mean())
+            if share >= self.contained and all(np.isin(m, held).mean() >= self.contained for m in self.marks[t]):
                 n_words = min(2 * step + K - 1, int(bounds[d + 1] - bounds[d]) - (int(starts[w]) - int(first[d])))
                 out.append((d, t, int(starts[w] - first[d]), n_words, share))
         return sorted(out)
@@ -125,8 +150,8 @@ def license_windows(docs: DataFrame, templates: list[tuple[str, str]] | None = N
 
     Words are runs of digits, letters and characters beyond ASCII, A-Z lower-cased, of the whole
     text. ``templates`` are (name, notice) pairs, a bounded parameter; a notice is present where a
-    window holds at least the share ``contained`` of its 3-word shingles. ``licenses`` are the
-    sorted names; ``found`` has the name, first word, words and containment of the best windows.
+    window holds at least the share ``contained`` of its 3-word shingles, and that share of those that tell it
+    from each near notice of another license (version, clause). ``licenses`` are the sorted names; ``found`` has the name, first word, words and containment of the best windows.
     Windows cover every word; a candidate window is missed with probability 1 - ``sure`` at most.
 
     Null and empty texts, and texts of fewer than 3 words, name nothing. Null ids and repeated rows
