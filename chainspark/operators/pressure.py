@@ -37,22 +37,39 @@ def two_sample_g2(da: Column, na: Column, db: Column, nb: Column) -> Column:
     return F.when((na < 1) | (nb < 1) | (p0 <= 0) | (p0 >= 1), 0.0).otherwise(2 * g)
 
 
-def zone_contrast(cells: DataFrame, keys: list[str], era: str, a, b) -> DataFrame:
-    """Two-sample G2 per zone between eras a and b. ``cells``: keys, era, zone, pressed, n."""
+def era_pairs(cells: DataFrame, club: str, era: str) -> DataFrame:
+    """Every pair a < c of eras of a club: club, a, c."""
+    one = cells.select(club, F.col(era).alias("a")).distinct()
+    return one.join(one.withColumnRenamed("a", "c"), club).filter("a < c")
+
+
+def zone_contrast(cells: DataFrame, keys: list[str], era: str) -> DataFrame:
+    """Two-sample G2 per zone of two eras. ``cells``: keys, a, c, era, zone, pressed, n; an era is a or c."""
     def s(e, c):
-        return F.sum(F.when(F.col(era) == e, F.col(c)).otherwise(0.0))
-    d = cells.groupBy(*keys, "zone").agg(s(a, "pressed").alias("da"), s(a, "n").alias("na"),
-                                         s(b, "pressed").alias("db"), s(b, "n").alias("nb"))
+        return F.sum(F.when(F.col(era) == F.col(e), F.col(c)).otherwise(0.0))
+    d = cells.groupBy(*keys, "a", "c", "zone").agg(s("a", "pressed").alias("da"), s("a", "n").alias("na"),
+                                                   s("c", "pressed").alias("db"), s("c", "n").alias("nb"))
     return d.withColumn("g2", two_sample_g2(F.col("da"), F.col("na"), F.col("db"), F.col("nb")))
 
 
-def zone_contrast_null(match_cells: DataFrame, era: str, a, b, stratum: str, B: int, seed: int
-                       ) -> DataFrame:
-    """G2 per zone with eras permuted between matches inside a rival; b = 0 is observed."""
-    m = match_cells.filter(F.col(era).isin(a, b))
-    perm = R.permutation_labels(m.select(stratum, "match_id", era), [stratum], "match_id", era, B, seed)
-    d = m.drop(era).join(perm, [stratum, "match_id"])
-    return zone_contrast(d.withColumnRenamed("b", "rep"), ["rep"], era, a, b).withColumnRenamed("rep", "b")
+def zone_contrasts(match_cells: DataFrame, club: str, era: str) -> DataFrame:
+    """Two-sample G2 per zone for every pair of eras of a club: club, a, c, zone, da, na, db, nb, g2.
+
+    Cells are summed per era first, and repeated per pair then.
+    """
+    per = match_cells.groupBy(club, era, "zone").agg(F.sum("pressed").alias("pressed"), F.sum("n").alias("n"))
+    of_pair = (F.col(era) == F.col("a")) | (F.col(era) == F.col("c"))
+    return zone_contrast(per.join(era_pairs(per, club, era), club).filter(of_pair), [club], era)
+
+
+def zone_contrast_null(match_cells: DataFrame, club: str, era: str, stratum: str, B: int, seed: int) -> DataFrame:
+    """The same for every pair with its eras permuted between its matches inside a rival; b = 0 is observed."""
+    pairs = era_pairs(match_cells, club, era)
+    of_pair = (F.col(era) == F.col("a")) | (F.col(era) == F.col("c"))
+    m = match_cells.join(pairs, club).filter(of_pair).withColumn("pair", F.concat_ws("|", "a", "c"))
+    perm = R.permutation_labels(m.select("pair", stratum, "match_id", era), ["pair", stratum], "match_id", era, B, seed)
+    d = m.drop(era).join(perm, ["pair", stratum, "match_id"])
+    return zone_contrast(d.withColumnRenamed("b", "rep"), [club, "rep"], era).withColumnRenamed("rep", "b")
 
 
 def overdispersion(match_cells: DataFrame, keys: list[str], min_n: int = 5) -> DataFrame:
@@ -107,8 +124,7 @@ def slope_null(cells: DataFrame, club: str, era: str, min_n: int, B: int, seed:
     A match is repeated per pair that it belongs to, its actions never are: cells per match carry the sums.
     """
     eras = cells.select(club, "match_id", era).distinct()
-    one = eras.select(club, F.col(era).alias("a")).distinct()
-    pairs = one.join(one.withColumnRenamed("a", "c"), club).filter("a < c")
+    pairs = era_pairs(eras, club, era)
     stratum = F.concat_ws("|", "a", "c").alias("pair")
     blocks = eras.join(pairs, club).filter((F.col(era) == F.col("a")) | (F.col(era) == F.col("c"))).select(club, "a", "c", stratum, "match_id", era)
     perm = R.permutation_labels(blocks.select("pair", "match_id", era), ["pair"], "match_id", era, B, seed)

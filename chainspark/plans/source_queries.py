@@ -554,11 +554,12 @@ def r14c(spark, sf):
     return K.volume_by(moves(spark, sf), ["season"], "start_x").withColumn("median", F.round("median", 6))
 
 
-@query("r15_artifact_identity", sql(FA, " SELECT 'coach' AS unit, 'KT1_0' AS value, 'attack' AS perspective, CAST(COUNT(*) AS BIGINT) AS n FROM actions WHERE coach = 'KT1_0'"))
+@query("r15_artifact_identity", sql(FA, " SELECT 'coach' AS unit, coach AS value, 'attack' AS perspective, CAST(COUNT(*) AS BIGINT) AS n FROM actions GROUP BY coach"))
 def r15(spark, sf):
-    d = moves(spark, sf).filter("coach = 'KT1_0'").groupBy(
+    """Every coach's rows carry the identity of their artifact: unit and perspective are those asked for."""
+    d = moves(spark, sf).groupBy(
         F.lit("coach").alias("unit"), F.col("coach").alias("value"), F.lit("attack").alias("perspective")).agg(F.count(F.lit(1)).alias("n"))
-    return K.require_identity(d, {"unit": "coach", "value": "KT1_0", "perspective": "attack"})
+    return K.require_identity(d, {"unit": "coach", "perspective": "attack"})
 
 
 @query("r16_eligible_units", sql(TR, " SELECT team, coach, CAST(COUNT(DISTINCT poss_uid) AS BIGINT) AS possessions FROM tr GROUP BY 1, 2 HAVING COUNT(DISTINCT poss_uid) >= 60"))

@@ -513,29 +513,40 @@ def q02(spark, sf):
     return z.unionByName(t).withColumn("rate", F.round("rate", 6))
 
 
-TWO = RIVAL + """,
-zc AS (SELECT zone, SUM(CASE WHEN coach_faced = 'KT1_0' THEN y ELSE 0 END) AS da, SUM(CASE WHEN coach_faced = 'KT1_0' THEN 1 ELSE 0 END) AS na, SUM(CASE WHEN coach_faced = 'KT1_1' THEN y ELSE 0 END) AS db, SUM(CASE WHEN coach_faced = 'KT1_1' THEN 1 ELSE 0 END) AS nb FROM ra WHERE coach_faced IN ('KT1_0', 'KT1_1') GROUP BY 1),
-z0 AS (SELECT *, (da + db) / (na + nb) AS p0 FROM zc)"""
+G2_SQL = """CASE WHEN na < 1 OR nb < 1 OR p0 <= 0 OR p0 >= 1 THEN 0 ELSE 2 * (CASE WHEN da > 0 THEN da * LN(da / (na * p0)) ELSE 0 END + CASE WHEN na - da > 0 THEN (na - da) * LN((na - da) / (na * (1 - p0))) ELSE 0 END
+ + CASE WHEN db > 0 THEN db * LN(db / (nb * p0)) ELSE 0 END + CASE WHEN nb - db > 0 THEN (nb - db) * LN((nb - db) / (nb * (1 - p0))) ELSE 0 END) END"""
+PAIRS = RIVAL + """,
+er AS (SELECT DISTINCT opponent, coach_faced FROM ra),
+pa AS MATERIALIZED (SELECT x.opponent, x.coach_faced AS a, y.coach_faced AS c FROM er x JOIN er y ON x.opponent = y.opponent AND x.coach_faced < y.coach_faced),
+zp AS MATERIALIZED (SELECT ra.opponent, a, c, a || '|' || c AS pair, rival, match_id, coach_faced, zone, y FROM ra JOIN pa ON pa.opponent = ra.opponent AND coach_faced IN (a, c))"""
 
 
-@query("q03_two_sample_g2", sql(TWO, """
-SELECT zone, CAST(da AS DOUBLE) AS da, CAST(na AS DOUBLE) AS na, CAST(db AS DOUBLE) AS db, CAST(nb AS DOUBLE) AS nb, ROUND(CASE WHEN na < 1 OR nb < 1 OR p0 <= 0 OR p0 >= 1 THEN 0 ELSE 2 * (
- CASE WHEN da > 0 THEN da * LN(da / (na * p0)) ELSE 0 END + CASE WHEN na - da > 0 THEN (na - da) * LN((na - da) / (na * (1 - p0))) ELSE 0 END + CASE WHEN db > 0 THEN db * LN(db / (nb * p0)) ELSE 0 END + CASE WHEN nb - db > 0 THEN (nb - db) * LN((nb - db) / (nb * (1 - p0))) ELSE 0 END) END, 6) AS g2 FROM z0"""))
+def _sides_sql(label: str) -> str:
+    return ", ".join(f"CAST(SUM(CASE WHEN {label} = {e} THEN {v} ELSE 0 END) AS DOUBLE) AS {n}" for e, v, n in (
+        ("a", "y", "da"), ("a", "1", "na"), ("c", "y", "db"), ("c", "1", "nb")))
+
+
+@query("q03_two_sample_g2", sql(PAIRS, f""",
+zc AS (SELECT opponent, a, c, zone, {_sides_sql('coach_faced')} FROM zp GROUP BY 1, 2, 3, 4),
+z0 AS (SELECT *, (da + db) / (na + nb) AS p0 FROM zc)
+SELECT opponent, a, c, zone, da, na, db, nb, ROUND({G2_SQL}, 6) AS g2 FROM z0"""))
 def q03(spark, sf):
-    c = match_cells(spark, sf).filter(F.col("coach_faced").isin("KT1_0", "KT1_1"))
-    return P.zone_contrast(c, [], "coach_faced", "KT1_0", "KT1_1").withColumn("g2", F.round("g2", 6))
+    return P.zone_contrasts(match_cells(spark, sf), "opponent", "coach_faced").withColumn("g2", F.round("g2", 6))
 
 
-@query("q03_zone_permutation", sql(RIVAL, """,
-r2 AS (SELECT * FROM ra WHERE coach_faced IN ('KT1_0', 'KT1_1'))""" + permuted_sql("r2", "rival", "match_id", "coach_faced", 20, 81) + """,
-zc AS (SELECT b, zone, SUM(CASE WHEN l = 'KT1_0' THEN y ELSE 0 END) AS da, CAST(SUM(CASE WHEN l = 'KT1_0' THEN 1 ELSE 0 END) AS DOUBLE) AS na, SUM(CASE WHEN l = 'KT1_1' THEN y ELSE 0 END) AS db, CAST(SUM(CASE WHEN l = 'KT1_1' THEN 1 ELSE 0 END) AS DOUBLE) AS nb FROM r2 JOIN pl ON pl.s = rival AND pl.k = match_id GROUP BY 1, 2),
+@query("q03_zone_permutation", sql(PAIRS, f""",
+lb AS MATERIALIZED (SELECT DISTINCT pair, rival, match_id, coach_faced AS l FROM zp),
+sb AS (SELECT pair, rival, l, ROW_NUMBER() OVER (PARTITION BY pair, rival ORDER BY l, match_id) AS slot FROM lb),
+sp AS (SELECT pair, rival, match_id, b, ROW_NUMBER() OVER (PARTITION BY pair, rival, b ORDER BY {draw_sql("'81'", "b", "match_id")}, match_id) AS slot FROM lb, (SELECT UNNEST(range(1, 21)) AS b)),
+pl AS MATERIALIZED (SELECT sp.pair, sp.rival, sp.match_id, sp.b, sb.l FROM sp JOIN sb ON sb.pair = sp.pair AND sb.rival = sp.rival AND sb.slot = sp.slot UNION ALL SELECT pair, rival, match_id, 0, l FROM lb),
+zc AS (SELECT opponent, a, c, b, zone, {_sides_sql('l')} FROM zp JOIN pl ON pl.pair = zp.pair AND pl.rival = zp.rival AND pl.match_id = zp.match_id GROUP BY 1, 2, 3, 4, 5),
 z0 AS (SELECT *, (da + db) / (na + nb) AS p0 FROM zc),
-g AS (SELECT b, zone, CASE WHEN na < 1 OR nb < 1 OR p0 <= 0 OR p0 >= 1 THEN 0 ELSE 2 * (CASE WHEN da > 0 THEN da * LN(da / (na * p0)) ELSE 0 END + CASE WHEN na - da > 0 THEN (na - da) * LN((na - da) / (na * (1 - p0))) ELSE 0 END + CASE WHEN db > 0 THEN db * LN(db / (nb * p0)) ELSE 0 END + CASE WHEN nb - db > 0 THEN (nb - db) * LN((nb - db) / (nb * (1 - p0))) ELSE 0 END) END AS v FROM z0),
-t3 AS (SELECT zone, b, v, v AS x, MAX(CASE WHEN b = 0 THEN v END) OVER (PARTITION BY zone) AS o FROM g)
-SELECT zone, """ + NULL_SQL + " FROM t3 GROUP BY 1"))
+g AS (SELECT opponent, a, c, b, zone, {G2_SQL} AS v FROM z0),
+t3 AS (SELECT *, v AS x, MAX(CASE WHEN b = 0 THEN v END) OVER (PARTITION BY opponent, a, c, zone) AS o FROM g)
+SELECT opponent, a, c, zone, """ + NULL_SQL + " FROM t3 GROUP BY 1, 2, 3, 4"))
 def q03b(spark, sf):
-    n = P.zone_contrast_null(match_cells(spark, sf), "coach_faced", "KT1_0", "KT1_1", "rival", 20, 81)
-    return null_summary(n, ["zone"], "g2")
+    n = P.zone_contrast_null(match_cells(spark, sf), "opponent", "coach_faced", "rival", 20, 81)
+    return null_summary(n, ["opponent", "a", "c", "zone"], "g2")
 
 
 @query("q04_overdispersion", sql(RIVAL, """,
