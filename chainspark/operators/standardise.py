@@ -188,6 +188,24 @@ def parallel_trend(per: DataFrame, keys: list[str], value: str, base: str, order
         F.count(F.lit(1)).alias("seasons"))
 
 
+def slope_intervals(per_match: DataFrame, unit: str, B: int, seed: int) -> DataFrame:
+    """Basic interval of a unit's parallel-trend slope, its matches redrawn.
+
+    ``per_match``: unit, match_id, season, season_order, c, p (numerator and denominator of the measure). The base
+    is the ratio of all other units in the season, from totals minus own sums.
+    """
+    from chainspark.operators import resample as R
+    from chainspark.operators.relations import leave_unit_out
+
+    own = per_match.groupBy(unit, "season").agg(F.sum("c").alias("c"), F.sum("p").alias("p"))
+    base = leave_unit_out(own, unit, ["season"], ["c", "p"]).select(
+        unit, "season", (F.col("rest_c") / F.greatest(F.col("rest_p"), F.lit(1.0))).alias("base"))
+    w = R.multinomial_weights(per_match, [unit], "match_id", B, seed)
+    reps = R.replicate_sums(per_match, w, [unit, "match_id"], [unit, "season", "season_order"], ["c", "p"])
+    reps = reps.withColumn("own", F.col("c") / F.greatest(F.col("p"), F.lit(1.0))).join(base, [unit, "season"])
+    return R.interval(parallel_trend(reps, [unit, "b"], "own", "base", "season_order"), [unit], "slope")
+
+
 # -- context adjustment --------------------------------------------------------------------------
 def context_adjustment(df: DataFrame, keys: list[str], level_a: str, level_b: str) -> DataFrame:
     """[M_u(A) - M_u(B)] - [M_base(A) - M_base(B)], base at the unit's season mix inside each level.

@@ -612,6 +612,37 @@ def i10(spark, sf):
         F.countDistinct("poss_uid").alias("possessions"), F.count(F.lit(1)).alias("rows_kept"))
 
 
+@query("i10_size_matched_spread", rsql(TR, f""",
+sz AS (SELECT team, coach, COUNT(DISTINCT poss_uid) AS n FROM tr GROUP BY 1, 2), mn AS (SELECT team, MIN(n) AS m FROM sz GROUP BY 1),
+id AS (SELECT DISTINCT team, coach, poss_uid FROM tr),
+rk AS (SELECT id.*, b, ROW_NUMBER() OVER (PARTITION BY team, coach, b ORDER BY {draw_sql("'29'", "b", "poss_uid")}, poss_uid) AS k FROM id, (SELECT UNNEST(range(1, 4)) AS b)),
+sd AS MATERIALIZED (SELECT rk.team, coach, b, poss_uid FROM rk JOIN mn ON mn.team = rk.team AND k <= m),
+ct AS (SELECT sd.team, sd.coach, b, from_state AS i, to_state AS j, COUNT(*)::DOUBLE AS n FROM tr JOIN sd ON sd.poss_uid = tr.poss_uid AND sd.coach = tr.coach GROUP BY 1, 2, 3, 4, 5),
+pm AS MATERIALIZED (SELECT *, n / SUM(n) OVER (PARTITION BY team, coach, b, i) AS p FROM ct),
+fi AS (SELECT team, poss_uid, MIN_BY(from_state, event_index) AS i FROM tr GROUP BY 1, 2),
+al AS MATERIALIZED (SELECT sd.team, coach, b, i, COUNT(*)::DOUBLE / SUM(COUNT(*)) OVER (PARTITION BY sd.team, coach, b) AS a FROM fi JOIN sd ON sd.team = fi.team AND sd.poss_uid = fi.poss_uid GROUP BY 1, 2, 3, 4),
+it AS (SELECT 0 AS k, team, coach, b, i, a AS m FROM al
+  UNION ALL SELECT it.k + 1, q.team, q.coach, q.b, q.j, SUM(it.m * q.p) FROM it JOIN pm q ON q.team = it.team AND q.coach = it.coach AND q.b = it.b AND q.i = it.i WHERE it.k < 150 AND it.i < 80 GROUP BY it.k, q.team, q.coach, q.b, q.j),
+et AS (SELECT team, coach, b, SUM(CASE WHEN i < 80 THEN m ELSE 0 END) AS e_t, SUM(CASE WHEN i = 80 THEN m ELSE 0 END) AS p_goal FROM it GROUP BY 1, 2, 3)
+SELECT team, coach, ROUND(AVG(e_t), 6) AS e_t_mean, ROUND(STDDEV_SAMP(e_t), 6) AS e_t_sd, ROUND(MAX(e_t) - MIN(e_t), 6) AS e_t_range, ROUND(AVG(p_goal), 6) AS p_goal_mean, ROUND(STDDEV_SAMP(p_goal), 6) AS p_goal_sd, CAST(COUNT(*) AS BIGINT) AS replicates FROM et GROUP BY 1, 2"""))
+def i10b(spark, sf):
+    """How much expected length and goal probability vary when every era is cut to the size of the smallest."""
+    tr = transitions(spark, sf)
+    ids = tr.select("team", "coach", "poss_uid").distinct()
+    m = ids.groupBy("team", "coach").agg(F.count(F.lit(1)).alias("n")).groupBy("team").agg(F.min("n").alias("m"))
+    s = R.subsample(ids.join(m, "team"), ["team", "coach"], "poss_uid", "m", 3, 29)
+    keys = ["team", "coach", "b"]
+    # possessions are folded to cells before they meet the replicates
+    cells_of = E.count_cells(tr, ("team", "coach", "poss_uid")).join(s, ["team", "coach", "poss_uid"]).groupBy(*keys, "i", "j").agg(F.sum("n").alias("n"))
+    first = tr.groupBy("team", "coach", "poss_uid").agg(F.min_by("from_state", "event_index").alias("i"))
+    starts = first.join(s, ["team", "coach", "poss_uid"]).groupBy(*keys, "i").agg(F.count(F.lit(1)).cast("double").alias("a"))
+    r = C.scalars(E.mle(cells_of, keys), starts, keys, SPACE)
+    out = r.groupBy("team", "coach").agg(
+        F.avg("e_t").alias("e_t_mean"), F.stddev_samp("e_t").alias("e_t_sd"), (F.max("e_t") - F.min("e_t")).alias("e_t_range"),
+        F.avg("p_goal").alias("p_goal_mean"), F.stddev_samp("p_goal").alias("p_goal_sd"), F.count(F.lit(1)).alias("replicates"))
+    return out.select("team", "coach", *[F.round(c, 6).alias(c) for c in out.columns[2:7]], "replicates")
+
+
 @query("i27_pair_compare_report", sql(CELLS, """,
 u AS (SELECT x.team AS a, y.team AS b, x.i, x.ni AS na, y.ni AS nb FROM rowsum x JOIN rowsum y ON x.i = y.i AND x.team < y.team),
 t AS (SELECT u.a, u.b, u.i, na, nb, 0.5 * SUM(ABS(COALESCE(ma.p, 0) - COALESCE(mb.p, 0))) AS tv FROM u, (SELECT UNNEST(range(84)) AS j) js LEFT JOIN mle ma ON ma.team = u.a AND ma.i = u.i AND ma.j = js.j LEFT JOIN mle mb ON mb.team = u.b AND mb.i = u.i AND mb.j = js.j GROUP BY 1, 2, 3, 4, 5)

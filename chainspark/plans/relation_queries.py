@@ -84,19 +84,37 @@ def p07(spark, sf):
     return out
 
 
-@query("p08_prior_sources", sql(TR, """,
-m AS (SELECT 'pooled' AS mode, from_state FROM tr UNION ALL SELECT 'exclude_focus', from_state FROM tr WHERE coach <> 'KT1_0' OR coach IS NULL
- UNION ALL SELECT 'league_minus_unit', from_state FROM tr WHERE NOT (team = 'T1' AND coach = 'KT1_0')
- UNION ALL SELECT 'baseline', from_state FROM tr WHERE team = 'T1' AND coach <> 'KT1_0')
-SELECT mode, CAST(COUNT(*) AS BIGINT) AS n, CAST(COUNT(DISTINCT from_state) AS BIGINT) AS rows_used FROM m GROUP BY mode"""))
-def p08(spark, sf):
+MODES = TR + """,
+m AS MATERIALIZED (SELECT 'pooled' AS mode, from_state, to_state FROM tr UNION ALL SELECT 'exclude_focus', from_state, to_state FROM tr WHERE coach <> 'KT1_0' OR coach IS NULL
+ UNION ALL SELECT 'league_minus_unit', from_state, to_state FROM tr WHERE NOT (team = 'T1' AND coach = 'KT1_0')
+ UNION ALL SELECT 'baseline', from_state, to_state FROM tr WHERE team = 'T1' AND coach <> 'KT1_0')"""
+
+
+def prior_rows(spark, sf):
+    """Transitions of every source of a prior, by mode."""
     tr = transitions(spark, sf)
     focus, own = F.col("coach").eqNullSafe("KT1_0"), F.col("team") == "T1"
     modes = F.array_compact(F.array(
         F.lit("pooled"), F.when(~focus, "exclude_focus"), F.when(~(own & focus), "league_minus_unit"),
         F.when(own & (F.col("coach") != "KT1_0"), "baseline")))
-    return tr.select("from_state", F.explode(modes).alias("mode")).groupBy("mode").agg(
-        N().alias("n"), F.countDistinct("from_state").alias("rows_used"))
+    return tr.select("from_state", "to_state", F.explode(modes).alias("mode"))
+
+
+@query("p08_prior_sources", sql(MODES, """
+SELECT mode, CAST(COUNT(*) AS BIGINT) AS n, CAST(COUNT(DISTINCT from_state) AS BIGINT) AS rows_used FROM m GROUP BY mode"""))
+def p08(spark, sf):
+    return prior_rows(spark, sf).groupBy("mode").agg(N().alias("n"), F.countDistinct("from_state").alias("rows_used"))
+
+
+@query("p08_prior_matrices", sql(MODES, """,
+g AS (SELECT mode, i, j FROM (SELECT DISTINCT mode FROM m), (SELECT UNNEST(range(80)) AS i), (SELECT UNNEST(range(84)) AS j)),
+c AS (SELECT mode, from_state AS i, to_state AS j, COUNT(*)::DOUBLE AS n FROM m GROUP BY 1, 2, 3)
+SELECT g.mode, CAST(g.i AS BIGINT) AS i, CAST(g.j AS BIGINT) AS j, ROUND((COALESCE(n, 0) + 1.0::DOUBLE / 84) / (SUM(COALESCE(n, 0)) OVER (PARTITION BY g.mode, g.i) + 1), 9) AS q FROM g LEFT JOIN c ON c.mode = g.mode AND c.i = g.i AND c.j = g.j"""))
+def p08b(spark, sf):
+    """The prior matrix of every mode, as a unit compared under it would be shrunk to."""
+    from chainspark.operators import estimate as E
+    c = E.count_cells(prior_rows(spark, sf), ("mode",))
+    return E.prior(c, SPACE, ["mode"]).select("mode", "i", "j", F.round("q", 9).alias("q"))
 
 
 @query("p09_excluded_matches", sql(TR, """,

@@ -168,6 +168,21 @@ def d07(spark, sf):
     return D.parallel_trend(d, ["team"], "own", "base", "season_order").withColumn("slope", F.round("slope", 6))
 
 
+@query("d07_slope_interval", sql(TR, """,
+gm AS MATERIALIZED (SELECT team, match_id, season, season_order, SUM(CASE WHEN action_type = 'Carry' THEN 1 ELSE 0 END) AS c, SUM(CASE WHEN action_type = 'Pass' THEN 1 ELSE 0 END) AS p FROM tr GROUP BY 1, 2, 3, 4),
+ls AS (SELECT season, SUM(c) AS c, SUM(p) AS p FROM gm GROUP BY 1), os AS (SELECT team, season, SUM(c) AS c, SUM(p) AS p FROM gm GROUP BY 1, 2),
+bs AS (SELECT os.team, os.season, (ls.c - os.c) / GREATEST(ls.p - os.p, 1) AS base FROM os JOIN ls ON ls.season = os.season)""" + weights_sql("gm", "team", "match_id", 20, 53) + """,
+rp AS (SELECT team, season, season_order, b, SUM(w * c) / GREATEST(SUM(w * p), 1) AS own FROM gm JOIN wt ON wt.s = team AND wt.k = match_id GROUP BY 1, 2, 3, 4),
+sp AS (SELECT rp.team, b, REGR_SLOPE(own - base, CAST(season_order AS DOUBLE)) AS v FROM rp JOIN bs ON bs.team = rp.team AND bs.season = rp.season GROUP BY 1, 2),
+ag AS (SELECT team, MAX(CASE WHEN b = 0 THEN v END) AS t, quantile_cont(v, 0.025) FILTER (WHERE b > 0) AS ql, quantile_cont(v, 0.975) FILTER (WHERE b > 0) AS qh FROM sp GROUP BY 1)
+SELECT team, ROUND(t, 6) AS point, ROUND(2 * t - qh, 6) AS lo, ROUND(2 * t - ql, 6) AS hi FROM ag"""))
+def d07b(spark, sf):
+    """Slope of a team against its contemporaries with the team's matches redrawn; the others stay as they are."""
+    g = transitions(spark, sf).groupBy("team", "match_id", "season", "season_order").agg(
+        F.sum((F.col("action_type") == "Carry").cast("double")).alias("c"), F.sum((F.col("action_type") == "Pass").cast("double")).alias("p"))
+    return rounded(D.slope_intervals(g, "team", 20, 53), ["team"], ["point", "lo", "hi"])
+
+
 @query("d08_drift_report", sql(TR, """,
 g AS (SELECT season_order, team, COUNT(*) / COUNT(DISTINCT match_id) AS rows_match, COUNT(*) / COUNT(DISTINCT poss_uid) AS len, AVG(CASE WHEN action_type = 'Carry' THEN 1.0 ELSE 0.0 END) AS carry, AVG(CASE WHEN from_state = to_state THEN 1.0 ELSE 0.0 END) AS loops FROM tr GROUP BY 1, 2),
 s AS (SELECT season_order, AVG(rows_match) AS rows_match, AVG(len) AS len, STDDEV_SAMP(len) AS sd_len, AVG(carry) AS carry, AVG(loops) AS loops FROM g GROUP BY 1),
