@@ -235,6 +235,30 @@ def x09(spark, sf):
     return i.select("team", "coach", *[F.round(F.col(c) + 1e-8, 6).alias(c) for c in ("point", "lo", "hi")])
 
 
+@query("x09_shot_quality_pairs", sql(SCORE_P.replace("SELECT team, match_id, goal, ROUND", "SELECT team, coach, match_id, goal, ROUND"), """,
+m AS (SELECT team, coach, match_id, SUM(goal) AS g, SUM(p) AS x, COUNT(*) AS n FROM sp GROUP BY 1, 2, 3)""" + weights_sql("m", "coach", "match_id", 20, 3) + """,
+r AS MATERIALIZED (SELECT team, coach, b, SUM(w * (g - x)) / SUM(w * n) AS d FROM m JOIN wt ON wt.s = coach AND wt.k = match_id GROUP BY 1, 2, 3),
+pr AS (SELECT x.team, x.coach AS a, y.coach AS c, x.b, x.d - y.d AS v FROM r x JOIN r y ON y.team = x.team AND y.b = x.b AND x.coach < y.coach),
+pt AS (SELECT team, a, c, v AS t FROM pr WHERE b = 0),
+ag AS MATERIALIZED (SELECT pr.team, pr.a, pr.c, t, quantile_cont(v, 0.025) AS ql, quantile_cont(v, 0.975) AS qh, LEAST(1.0::DOUBLE, 2.0::DOUBLE * (1 + COUNT(*) FILTER (CASE WHEN t >= 0 THEN v - t >= t ELSE v - t <= t END)) / (COUNT(v) + 1)) AS p FROM pr JOIN pt ON pt.team = pr.team AND pt.a = pr.a AND pt.c = pr.c WHERE b > 0 GROUP BY 1, 2, 3, 4),
+vs AS (SELECT team, p, COUNT(*) AS c FROM ag GROUP BY 1, 2),
+rk2 AS (SELECT *, SUM(c) OVER (PARTITION BY team ORDER BY p) AS k, SUM(c) OVER (PARTITION BY team) AS m FROM vs),
+qs AS (SELECT team, p, LEAST(1, MIN(p * m / k) OVER (PARTITION BY team ORDER BY p DESC)) AS q FROM rk2)
+SELECT ag.team, a, c, ROUND(t + 1e-8, 6) AS point, ROUND(2 * t - qh + 1e-8, 6) AS lo, ROUND(2 * t - ql + 1e-8, 6) AS hi, ROUND(ag.p, 6) AS p, ROUND(q, 6) AS q, q <= 0.05 AS rejected FROM ag JOIN qs ON qs.team = ag.team AND qs.p = ag.p"""))
+def x09b(spark, sf):
+    """Goals above expectation of every pair of a team's eras, matches redrawn, with FDR inside the team."""
+    m = scored(spark, sf).groupBy("team", "coach", "match_id").agg(
+        F.sum("goal").alias("g"), F.sum("p").alias("x"), F.count(F.lit(1)).cast("double").alias("n"))
+    w = R.multinomial_weights(m, ["coach"], "match_id", 20, 3)
+    r = R.replicate_sums(m, w, ["coach", "match_id"], ["team", "coach"], ["g", "x", "n"])
+    r = r.select("team", "b", "coach", ((F.col("g") - F.col("x")) / F.col("n")).alias("d"))
+    other = r.select("team", "b", F.col("coach").alias("c"), F.col("d").alias("e"))
+    pairs = r.withColumnRenamed("coach", "a").join(other, ["team", "b"]).filter("a < c").withColumn("d", F.col("d") - F.col("e"))
+    i = R.fdr(R.interval(pairs, ["team", "a", "c"], "d"), ["team"])
+    return i.select("team", "a", "c", *[F.round(F.col(c) + 1e-8, 6).alias(c) for c in ("point", "lo", "hi")],
+                    F.round("p", 6).alias("p"), F.round("q", 6).alias("q"), "rejected")
+
+
 # -- set pieces -----------------------------------------------------------------------------------------
 def set_piece_possessions(spark, sf):
     m = moves(spark, sf)
