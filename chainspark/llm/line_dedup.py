@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chainspark.llm.similarity import Bands, _linked
-from chainspark.llm.text import LOWER, Chunk, Ranges, chunks, collect_array, group_sum, map_arrow, mix, sorted_sets, unused
+from chainspark.llm.text import Chunk, LOWER, Ranges, chunks, collect_array, group_sum, map_arrow, mix, released, sorted_sets, unused
 from chainspark.session import cut_lineage
 
 #: Buckets of the rarity sketch: about one for each word that is not rare; a byte each.
@@ -75,7 +75,7 @@ def _lines(docs: DataFrame, least: int) -> DataFrame:
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([*[pa.nulls(len(used), k) for k in kinds[:6]], pa.array(used.astype(np.int32)),
                                           pa.array(total[used].astype(np.int64))], names)
-    return docs.mapInArrow(run, "doc_id bigint, print bigint, line_no int, n bigint, fp1 bigint, fp2 bigint, bucket int, lines bigint")
+    return docs.mapInArrow(released(run), "doc_id bigint, print bigint, line_no int, n bigint, fp1 bigint, fp2 bigint, bucket int, lines bigint")
 
 
 def _rarity(counts: DataFrame) -> np.ndarray:
@@ -125,7 +125,7 @@ def _prefixes(docs: DataFrame, bands: Bands, least: int, rarity: np.ndarray) ->
                      pa.array(place[head].astype(np.int32)), pa.array(doc[at].astype(np.int64)), pa.array(no[at].astype(np.int32))],
                     ["word", "fp1", "bits", "n", "place", "doc_id", "line_no"])
     return docs.select("doc_id", "text").mapInArrow(
-        run, "word bigint, fp1 bigint, bits bigint, n int, place int, doc_id bigint, line_no int")
+        released(run), "word bigint, fp1 bigint, bits bigint, n int, place int, doc_id bigint, line_no int")
 
 
 def _bit_table(wanted: DataFrame) -> np.ndarray:
@@ -239,7 +239,7 @@ def _pairs(entries: DataFrame, bands: Bands, only: np.ndarray | None = None) ->
             yield of_words(rest)
     slots = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (entries.repartition(slots, "word").sortWithinPartitions("word", "doc_id", "line_no", "fp1").select(*names)
-            .mapInArrow(run, "early bigint, late bigint, more boolean"))
+            .mapInArrow(released(run), "early bigint, late bigint, more boolean"))
 
 
 def repeated_lines(docs: DataFrame, percent: int = 85, least: int = 5) -> DataFrame:

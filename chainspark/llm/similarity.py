@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chainspark.llm.components import components
-from chainspark.llm.text import LOWER, Ranges, chunks, group_sum, map_arrow, mix, shingles, sorted_sets
+from chainspark.llm.text import LOWER, Ranges, chunks, group_sum, map_arrow, mix, released, shingles, sorted_sets
 from chainspark.session import cut_lineage
 
 #: Pairs of a set and a component that are checked before all others.
@@ -166,7 +166,7 @@ def _keys(docs: DataFrame, k: int, bands: Bands) -> DataFrame:
                 key, owner = segment_keys(kept, bounds, size, bands)
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(fp1[owner])],
                                                  ["key", "node"])
-    return docs.where("doc_id IS NOT NULL").select("text").mapInArrow(run, "key bigint, node bigint")
+    return docs.where("doc_id IS NOT NULL").select("text").mapInArrow(released(run), "key bigint, node bigint")
 
 
 def _set_table(docs: DataFrame, k: int) -> DataFrame:
@@ -311,7 +311,7 @@ def _tile_pairs(rows: DataFrame, bands: Bands, most: int | None) -> DataFrame:
     slots = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     tile = names[:3]
     return (rows.select(*names, "bits").repartition(slots, *tile).sortWithinPartitions(*tile)
-            .mapInArrow(run, "a bigint, b bigint").distinct())
+            .mapInArrow(released(run), "a bigint, b bigint").distinct())
 
 
 def similar_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:

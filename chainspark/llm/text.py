@@ -7,6 +7,8 @@ modulo 2^64, taken from prefix sums, so that the hash of any byte range costs on
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -195,9 +197,25 @@ def collect_array(df: DataFrame, index: Column, value: Column, bits: int, dtype)
     return result.reshape(-1)
 
 
+def released(run: Callable) -> Callable:
+    """The same task body; when it ends, what its arrays held goes back to the machine.
+
+    Python workers are reused: without this an idle one keeps the most that any of its tasks ever held,
+    beside the executor's own memory.
+    """
+    def body(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # only where the C library has it
+                ctypes.CDLL(None).malloc_trim(0)
+    return body
+
+
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema) -> DataFrame:
     """mapInArrow over single batches."""
     def run(batches):
         for batch in batches:
             yield from fn(batch)
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(released(run), schema)
