@@ -42,3 +42,53 @@ def test_moves_of_hot_orders(spark):
     finally:
         spark.conf.unset("spark.chainspark.hotRows")
     assert got.count() == want.count() and got.exceptAll(want).count() == 0
+
+
+def test_weights_are_drawn_for_blocks(spark):
+    """No filter on the weights goes below the aggregate of the block cells."""
+    from chainspark.operators import resample as R
+
+    rows = spark.range(1000).selectExpr("id % 5 AS m", "id AS v").groupBy("m").agg(F.sum("v").alias("v"))
+    d = R.poisson_weights(rows, "m", 10, 5).withColumn("w", R.opened("w"))
+    lines = [x.lstrip(" :+-") for x in d._jdf.queryExecution().optimizedPlan().toString().splitlines()]
+    assert any("md5" in x for x in lines) and not any("md5" in x for x in lines if x.startswith("Filter"))
+
+
+def test_draws_are_spread_over_tasks(spark):
+    """Few rows that open into many draws are not merged into one task."""
+    from chainspark.session import spread
+
+    assert spread(spark.range(40).withColumnRenamed("id", "part"), "part").rdd.getNumPartitions() > 1
+
+
+def test_opened_slots_are_not_sent_to_the_driver(spark):
+    from chainspark.operators import contrast as X
+
+    tr = T.transitions(spark, SF)
+    own = F.col("team") == "T1"
+    q = tr.groupBy(F.col("from_state").alias("i"), F.col("to_state").alias("j")).agg((F.count(F.lit(1)) / 5000).alias("q"))
+    seen = []
+    join = X.R.replicate_sums
+    X.R.replicate_sums = lambda cells, weights, *a: seen.append(plan(cells.join(weights, "poss_uid"))) or join(cells, weights, *a)
+    try:
+        X.fingerprint(tr.filter(own), tr.filter(~own), q, 3, 21)
+    finally:
+        X.R.replicate_sums = join
+    head = seen[0]
+    assert head.count("SortMergeJoin") >= 2 and "rank" not in "".join(x for x in head.splitlines() if "BroadcastHashJoin" in x)
+
+
+def test_layout_of_labels(spark, monkeypatch):
+    """Ranges of slots hold every label at its slots, whatever the size of a range."""
+    from chainspark.operators import resample as R
+
+    monkeypatch.setattr(R, "SLOTS", 3)
+    labels = ["a"] * 7 + ["b"] + ["c"] * 2 + ["d"] * 4
+    df = spark.createDataFrame([("s", i, x) for i, x in enumerate(labels)], "s string, m int, l string")
+    rows = R.label_layout(df, ["s"], "l").collect()
+    assert all(len(r["__labels"]) <= 3 for r in rows)
+    got = [next(x["l"] for x in r["__labels"] if x["__hi"] > 3 * r["__range"] + k) for r in sorted(rows, key=lambda r: r["__range"])
+           for k in range(3) if 3 * r["__range"] + k < len(labels)]
+    assert got == labels
+    perm = R.permutation_labels(df, ["s"], "m", "l", 4, 3).groupBy("b", "l").count().collect()
+    assert {(r["b"], r["l"]): r["count"] for r in perm} == {(b, x): labels.count(x) for b in range(5) for x in "abcd"}
