@@ -6,9 +6,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chainspark.functions.draws import hypergeometric, uniform
+from chainspark.functions.draws import SPAN, chunk_of, draw
+from chainspark.functions.scan import position, same_keys
 from chainspark.operators import resample as R
 from chainspark.operators.relations import weighted_slope
+from chainspark.session import cut_lineage
 from chainspark.space import StateSpace
 
 EPS = 1e-12
@@ -157,21 +159,32 @@ def calibrated_difference(acts: DataFrame, keys: list[str], strata: list[str], o
                                    F.count(F.lit(1)).alias("strata"))
 
 
-def calibrated_null(acts: DataFrame, strata: list[str], outcome: str, min_n: int, B: int, seed: int) -> DataFrame:
+def calibrated_null(acts: DataFrame, strata: list[str], outcome: str, min_n: int, B: int, seed: int,
+                    uid: str) -> DataFrame:
     """The same difference with the pressure mark permuted inside strata; b = 0 is the data.
 
-    ``outcome`` is true or false. Permuting marks inside a stratum makes the number of pressed rows with the
-    outcome a draw without replacement from the stratum's counts: a replicate is one such draw per
-    stratum, whatever the number of rows. Null strata are strata; rows with a null mark or outcome don't count.
+    ``outcome`` is true or false, ``uid`` names a row. Every replicate draws for every row, and the n1 rows of a stratum with the smallest
+    draws keep the marks. Rows stay where they are: counts by 1024 ranges of the draw tell which range holds the n1-th,
+    and only that range's rows are ranked. Null strata are strata; rows with a null mark or outcome don't count.
     """
     y, o = F.col("y").cast("bigint"), F.col(outcome).cast("bigint")
-    cell = acts.filter(y.isNotNull() & o.isNotNull()).groupBy(*strata).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(y).alias("n1"), F.sum(o).alias("hits"), F.sum(y * o).alias("both"))
-    # sums over a few rows per stratum: the observed cells and the replicates come from one table
-    cell = cell.filter((F.col("n1") >= min_n) & (F.col("n") - F.col("n1") >= min_n))
-    us = F.transform(F.sequence(F.lit(1), F.lit(B)), lambda b: uniform(seed, b, *[F.col(c) for c in strata]))
-    drawn = hypergeometric(cell.withColumn("us", us), "n", "hits", "n1", "us", "draws")
-    reps = drawn.select("n", "n1", "hits", F.posexplode(F.concat(F.array("both"), F.col("draws"))).alias("b", "k"))
+    acts = acts.select(*strata, uid, y.alias("y"), o.alias("o")).filter("y IS NOT NULL AND o IS NOT NULL")
+    cell = acts.groupBy(*strata).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("y").alias("n1"), F.sum("o").alias("hits"), F.sum(F.col("y") * F.col("o")).alias("both"))
+    cell = cut_lineage(cell.filter((F.col("n1") >= min_n) & (F.col("n") - F.col("n1") >= min_n)))
+    keys = [*strata, "b"]
+    d = acts.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(B)))).withColumn("u", draw(seed, F.col("b"), F.col(uid)))
+    d = d.withColumn("bin", F.floor(F.col("u").cast("double") / F.lit(float(SPAN)) * 1024))
+    before = Window.partitionBy(*keys).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    bins = d.groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("rows"), F.sum("o").alias("with"))
+    bins = bins.withColumns({c: F.coalesce(F.sum(v).over(before), F.lit(0)) for c, v in (("below", "rows"), ("k_below", "with"))})
+    edge = same_keys(bins, cell.drop("both"), strata).filter((F.col("below") < F.col("n1")) & (F.col("n1") <= F.col("below") + F.col("rows")))
+    edge = cut_lineage(edge.drop("rows", "with"))  # a row per stratum and replicate
+    near = same_keys(d.select(*keys, "bin", "u", uid, "o"), edge.select(*keys, "bin", "below", "n1"), [*keys, "bin"])
+    near = position(near, keys, ["u", uid], chunk_of(F.col("u")), "at").filter(F.col("below") + F.col("at") <= F.col("n1"))
+    kept = near.groupBy(*keys).agg(F.sum("o").alias("k_in"))
+    null = same_keys(edge, kept, keys).select("b", "n", "n1", "hits", (F.col("k_below") + F.col("k_in")).alias("k"))
+    reps = null.unionByName(cell.select(F.lit(0).alias("b"), "n", "n1", "hits", F.col("both").alias("k")))
     n0 = F.col("n") - F.col("n1")
     gap = F.col("k") / F.col("n1") - (F.col("hits") - F.col("k")) / n0
     return reps.groupBy("b").agg((F.sum(F.col("n") * gap) / F.sum("n")).alias("diff"), F.count(F.lit(1)).alias("strata"))

@@ -92,3 +92,29 @@ def test_layout_of_labels(spark, monkeypatch):
     assert got == labels
     perm = R.permutation_labels(df, ["s"], "m", "l", 4, 3).groupBy("b", "l").count().collect()
     assert {(r["b"], r["l"]): r["count"] for r in perm} == {(b, x): labels.count(x) for b in range(5) for x in "abcd"}
+
+
+def test_calibration_null_permutes_rows(spark):
+    """Every replicate draws for every row; the rows with the smallest draws keep the marks."""
+    import hashlib
+
+    import numpy as np
+
+    from chainspark.operators import pressure as P
+
+    rng = np.random.default_rng(2)
+    rows = [(int(rng.integers(3)), f"r{i}", bool(rng.random() < 0.3), float(rng.random() < 0.4)) for i in range(900)]
+    df = spark.createDataFrame(rows, "z int, uid string, last boolean, y double")
+    got = {r["b"]: r["diff"] for r in P.calibrated_null(df, ["z"], "last", 10, 3, 7, "uid").collect()}
+    for b in range(4):
+        total = 0.0
+        for z in range(3):
+            part = [r for r in rows if r[0] == z]
+            n1 = int(sum(r[3] for r in part))
+            if b == 0:
+                marked = [r for r in part if r[3]]
+            else:
+                marked = sorted(part, key=lambda r: int(hashlib.md5(f"7:{b}:{r[1]}".encode()).hexdigest()[:15], 16))[:n1]
+            k, hits = sum(r[2] for r in marked), sum(r[2] for r in part)
+            total += len(part) * (k / n1 - (hits - k) / (len(part) - n1))
+        assert abs(got[b] - total / len(rows)) < 1e-9
