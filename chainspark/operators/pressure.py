@@ -164,7 +164,7 @@ def calibrated_null(acts: DataFrame, strata: list[str], outcome: str, min_n: int
     """The same difference with the pressure mark permuted inside strata; b = 0 is the data.
 
     ``outcome`` is true or false, ``uid`` names a row. Every replicate draws for every row, and the n1 rows of a stratum with the smallest
-    draws keep the marks. Rows stay where they are: counts by 1024 ranges of the draw tell which range holds the n1-th,
+    draws keep the marks. Rows stay where they are: counts by 128 ranges of the draw tell which range holds the n1-th,
     and only that range's rows are ranked. Null strata are strata; rows with a null mark or outcome don't count.
     """
     y, o = F.col("y").cast("bigint"), F.col(outcome).cast("bigint")
@@ -174,7 +174,7 @@ def calibrated_null(acts: DataFrame, strata: list[str], outcome: str, min_n: int
     cell = cut_lineage(cell.filter((F.col("n1") >= min_n) & (F.col("n") - F.col("n1") >= min_n)))
     keys = [*strata, "b"]
     d = acts.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(B)))).withColumn("u", draw(seed, F.col("b"), F.col(uid)))
-    d = d.withColumn("bin", F.floor(F.col("u").cast("double") / F.lit(float(SPAN)) * 1024))
+    d = d.withColumn("bin", F.floor(F.col("u").cast("double") / F.lit(float(SPAN)) * 128))
     before = Window.partitionBy(*keys).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     bins = d.groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("rows"), F.sum("o").alias("with"))
     bins = bins.withColumns({c: F.coalesce(F.sum(v).over(before), F.lit(0)) for c, v in (("below", "rows"), ("k_below", "with"))})
