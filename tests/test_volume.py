@@ -118,3 +118,41 @@ def test_calibration_null_permutes_rows(spark):
             k, hits = sum(r[2] for r in marked), sum(r[2] for r in part)
             total += len(part) * (k / n1 - (hits - k) / (len(part) - n1))
         assert abs(got[b] - total / len(rows)) < 1e-9
+
+
+def test_score_deals_events_once(spark):
+    """Events meet teams and earlier goals in one exchange, and only actions and goals are dealt."""
+    from chainspark.sources import events as EV
+    from tests.test_operators import literal_events
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        ev = EV.normalise(literal_events(spark))
+        wide = plan(chains.add_score_state(ev, club="A", chunk=F.lit(0)))
+        built = plan(chains.build_transitions(ev, T.SPACE, club="A"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # the rows; goals by (match, chunk, team), by match, and by chunk
+    assert wide.count("Exchange hashpartitioning") == 4
+    # the same, and two to close possessions; no point travels
+    assert built.count("Exchange hashpartitioning") == 6
+    dealt = [x for x in built.splitlines() if "SortMergeJoin [__g" in x or "Window [" in x]
+    assert dealt and not any("start_x" in x for x in dealt)
+
+
+def test_score_counts_all_events(spark):
+    """Goals of rows that are no actions count, in every chunking; events without a match go."""
+    rows = [(1, 1, "Own Goal For", "B", "A", 1), (1, 2, "Pass", "A", "A", 1), (1, 3, "Pass", "B", "B", 2), (1, 4, "Pass", "A", "A", 3),
+            (2, 1, "Pass", "A", "A", 1), (None, 1, "Pass", "A", "A", 1)]
+    from chainspark.sources import events as EV
+
+    df = spark.createDataFrame(rows, "match_id bigint, index bigint, type string, team string, possession_team string, possession bigint").selectExpr(
+        "cast(index as string) id", "1 period", "0 minute", "0 second", "cast(null as bigint) player_id", "'Regular Play' play_pattern", "'[30, 30]' location",
+        "'[60, 30]' pass_end_location", "cast(null as string) pass_outcome", "cast(null as string) shot_outcome", "*")
+    ev = EV.normalise(df)
+    for chunk in (F.lit(0), F.col("index"), F.floor(F.col("index") / 2)):
+        got = sorted((r["match_id"], r["index"], r["goal_diff"]) for r in chains.add_score_state(ev, chunk=chunk).collect())
+        assert got == [(1, 1, 0), (1, 2, -1), (1, 3, 1), (1, 4, -1), (2, 1, 0)]
+        tr = chains.build_transitions(ev, T.SPACE, cfg=chains.ChainConfig(min_actions=1), chunk=chunk).filter("action_type = 'Pass'")
+        assert sorted((r["match_id"], r["event_index"], r["score_state"]) for r in tr.collect()) == [
+            (1, 2, "losing"), (1, 3, "winning"), (1, 4, "losing"), (2, 1, "drawing")]
