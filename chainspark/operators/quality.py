@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chainspark.functions.scan import exact_quantile
-from chainspark.operators.relations import duplicates, table_difference
 
 
 def profile(df: DataFrame) -> DataFrame:
@@ -51,16 +50,24 @@ def band_share(df: DataFrame, keys: list[str], value: str, cuts: tuple[float, fl
 
 
 def regression_check(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Compare two artifacts: rows, duplicate keys, keys on one side, changed rows."""
-    def n(df, name):
-        return df.agg(F.count(F.lit(1)).alias(name))
-    new = new.select(*old.columns)
-    lost = old.select(*keys).join(new.select(*keys), keys, "left_anti")
-    added = new.select(*keys).join(old.select(*keys), keys, "left_anti")
-    diff = table_difference(old, new)
-    parts = [n(old, "rows_old"), n(new, "rows_new"), n(duplicates(new, keys), "duplicate_keys"),
-             n(lost, "keys_lost"), n(added, "keys_added"), n(diff, "rows_different")]
-    out = reduce(lambda a, b: a.crossJoin(b), parts)  # six one-row tables
+    """Compare two artifacts: rows, duplicate keys, keys on one side, changed rows.
+
+    Equal rows of both sides are counted together, their counts once more by key: each table is dealt once.
+    Null keys repeat each other, but are found on no other side.
+    """
+    cols = old.columns
+    both = old.select("*", F.lit(1).alias("__old"), F.lit(0).alias("__new")).unionByName(
+        new.select(*cols, F.lit(0).alias("__old"), F.lit(1).alias("__new")))
+    rows = both.groupBy(*cols).agg(F.sum("__old").alias("__old"), F.sum("__new").alias("__new"))
+    o, n = F.col("__old"), F.col("__new")
+    per = rows.groupBy(*keys).agg(F.sum(o).alias("__old"), F.sum(n).alias("__new"), F.sum(F.abs(o - n)).alias("__diff"))
+    alone = reduce(lambda x, y: x | y, [F.col(k).isNull() for k in keys])
+
+    def total(value):
+        return F.coalesce(F.sum(value), F.lit(0).cast("bigint"))
+    out = per.agg(total(o).alias("rows_old"), total(n).alias("rows_new"), F.count_if(n > 1).alias("duplicate_keys"),
+                  total(F.when(alone | (n == 0), o)).alias("keys_lost"), total(F.when(alone | (o == 0), n)).alias("keys_added"),
+                  total(F.col("__diff")).alias("rows_different"))
     return out.withColumn("same", (F.col("rows_different") == 0) & (F.col("duplicate_keys") == 0))
 
 

@@ -156,3 +156,16 @@ def test_score_counts_all_events(spark):
         tr = chains.build_transitions(ev, T.SPACE, cfg=chains.ChainConfig(min_actions=1), chunk=chunk).filter("action_type = 'Pass'")
         assert sorted((r["match_id"], r["event_index"], r["score_state"]) for r in tr.collect()) == [
             (1, 2, "losing"), (1, 3, "winning"), (1, 4, "losing"), (2, 1, "drawing")]
+
+
+def test_regression_check_deals_tables_once(spark):
+    """Two aggregates; nulls, repeats and keys of one side are counted as by joins."""
+    from chainspark.operators import quality as K
+
+    old = spark.createDataFrame([("a", 1, 1), ("a", 1, 1), ("b", 1, 2), ("c", 2, 3), (None, 1, 4), (None, 1, 4)], "k string, i int, v int")
+    new = spark.createDataFrame([(1, "a", 1), (2, "c", 9), (2, "c", 9), (5, "d", 9), (1, None, 4)], "i int, k string, v int").select("v", "k", "i")
+    got = K.regression_check(old, new, ["k", "i"])
+    assert plan(got).count("Exchange hashpartitioning") == 2
+    assert got.collect()[0].asDict() == {"rows_old": 6, "rows_new": 5, "duplicate_keys": 1, "keys_lost": 3, "keys_added": 2, "rows_different": 7, "same": False}
+    none = K.regression_check(old.filter("false"), new.filter("false"), ["k", "i"]).collect()[0].asDict()
+    assert none == {"rows_old": 0, "rows_new": 0, "duplicate_keys": 0, "keys_lost": 0, "keys_added": 0, "rows_different": 0, "same": True}
