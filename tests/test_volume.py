@@ -44,6 +44,35 @@ def test_moves_of_hot_orders(spark):
     assert got.count() == want.count() and got.exceptAll(want).count() == 0
 
 
+def test_moves_deal_lines_twice(spark):
+    """Once narrow, for the orders, and once in full: orders' rows come to where the lines are."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        orders = plan(T._possessions(spark, SF))
+        got = plan(T._moves(spark, SF))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "lineitem" not in orders and orders.count("Exchange hashpartitioning") == 4
+    # the plan's rows go down from the join to the scan of lines on its left side
+    left = got[got.index("SortMergeJoin"):got.index("lineitem")]
+    assert left.count("Exchange hashpartitioning") == 1
+
+
+def test_last_part_of_orders(spark, tmp_path):
+    """The last part is that of the last line in the order of all columns, with ties and nulls."""
+    rows = [(1, 1, 9, 5, 1.0), (1, 2, 3, 5, 1.0), (1, 2, 10, 1, 0.5), (1, 2, 10, 1, 2.0), (2, None, 8, 1, 1.0), (2, 1, None, 1, 1.0), (3, None, 4, 2, 1.0)]
+    spark.createDataFrame(rows, "l_orderkey bigint, l_linenumber int, l_partkey bigint, l_suppkey bigint, l_quantity double").selectExpr(
+        "*", "l_quantity l_extendedprice", "timestamp'1995-01-01' l_shipdate").createOrReplaceTempView("last_lines")
+    df = spark.table("last_lines")
+    want = df.groupBy("l_orderkey").agg(F.max_by("l_partkey", F.struct(*T.LINE_ORDER)).alias("p"))
+    df.write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(k, 2, "2-HIGH") for k in (1, 2, 3)], "o_orderkey bigint, o_custkey bigint, o_orderpriority string").selectExpr(
+        "*", "timestamp'1995-01-01' + make_dt_interval(o_orderkey) o_orderdate").write.parquet(f"{tmp_path}/orders.parquet")
+    got = T._possessions(spark, str(tmp_path)).orderBy("possession").select("possession", "length", "score_state").collect()
+    assert {r["l_orderkey"]: r["p"] for r in want.collect()} == {1: 10, 2: None, 3: 4}
+    assert [tuple(r) for r in got] == [(1, 4, "drawing"), (2, 2, "winning"), (3, 1, "winning")]
+
+
 def test_weights_are_drawn_for_blocks(spark):
     """No filter on the weights goes below the aggregate of the block cells."""
     from chainspark.operators import resample as R
