@@ -198,3 +198,12 @@ def test_regression_check_deals_tables_once(spark):
     assert got.collect()[0].asDict() == {"rows_old": 6, "rows_new": 5, "duplicate_keys": 1, "keys_lost": 3, "keys_added": 2, "rows_different": 7, "same": False}
     none = K.regression_check(old.filter("false"), new.filter("false"), ["k", "i"]).collect()[0].asDict()
     assert none == {"rows_old": 0, "rows_new": 0, "duplicate_keys": 0, "keys_lost": 0, "keys_added": 0, "rows_different": 0, "same": True}
+
+
+def test_error_curve_moves_cells_only(spark):
+    """Prefixes of a random order end at draws that rows compare with their own: the result reads cells, no possession."""
+    from chainspark.operators import estimate as E
+
+    tr = T.transitions(spark, SF)
+    q = E.prior(E.count_cells(tr), T.SPACE)
+    assert "poss_uid" not in plan(E.error_curve(tr, q, 20.0, [0.1, 1.0], 2, 7, T.SPACE))
