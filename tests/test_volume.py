@@ -207,3 +207,22 @@ def test_error_curve_moves_cells_only(spark):
     tr = T.transitions(spark, SF)
     q = E.prior(E.count_cells(tr), T.SPACE)
     assert "poss_uid" not in plan(E.error_curve(tr, q, 20.0, [0.1, 1.0], 2, 7, T.SPACE))
+
+
+def test_subsample_by_cutoffs(spark, monkeypatch):
+    """The smallest draws of every key, whatever the ranges; keys of fewer blocks keep all, sizes below one none."""
+    import hashlib
+
+    from chainspark.operators import resample as R
+
+    size = {"a": 5, "b": 9, "c": 40, "d": 0, None: 2}
+    rows = [(k, f"p{i}{k}", size[k]) for k in size for i in range(9 + 3 * (k == "a"))]
+    df = spark.createDataFrame(rows, "k string, p string, n int")
+    want = {(k, b, p) for k in size for b in (1, 2) for p in sorted(
+        (p for x, p, _ in rows if x == k), key=lambda p: (int(hashlib.md5(f"4:{b}:{p}".encode()).hexdigest()[:15], 16), p))[:size[k]]}
+    for ranges in (1, 3, 4096):
+        monkeypatch.setattr(R, "RANGES", ranges)
+        got = [tuple(r) for r in R.subsample(df, ["k"], "p", "n", 2, 4).select("k", "b", "p").collect()]
+        assert len(got) == len(want) and set(got) == want
+    cuts = R.subsample_cutoffs(df, ["k"], "p", "n", 2, 4)
+    assert "Exchange hashpartitioning" not in plan(R.kept(df, cuts, ["k"], "p", 2, 4))
