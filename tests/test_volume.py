@@ -226,3 +226,14 @@ def test_subsample_by_cutoffs(spark, monkeypatch):
         assert len(got) == len(want) and set(got) == want
     cuts = R.subsample_cutoffs(df, ["k"], "p", "n", 2, 4)
     assert "Exchange hashpartitioning" not in plan(R.kept(df, cuts, ["k"], "p", 2, 4))
+
+
+def test_shot_geometry_is_read_back(spark, monkeypatch):
+    """Fits and predictions read features that are worked out already."""
+    from chainspark.plans import shot_queries as Q
+
+    seen = []
+    fold = Q.G.out_of_fold
+    monkeypatch.setattr(Q.G, "out_of_fold", lambda df, *a: seen.append(plan(df)) or fold(df, *a))
+    Q.predictions(spark, SF)
+    assert "frame" not in seen[0] and "goal_distance" in seen[0]
