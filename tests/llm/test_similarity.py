@@ -61,6 +61,29 @@ def test_groups_match_all_pairs(spark, seed, k, percent, monkeypatch):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == plain.groups(docs, k, percent)
 
 
+def test_pairs_are_intersected_once(spark, monkeypatch):
+    """Best pairs, and then all pairs, leave out those that an earlier pass has intersected."""
+    monkeypatch.setattr(S, "TILE", 3)
+    monkeypatch.setattr(S, "BEST", 1)
+    seen = []
+    verified = S._verified_pairs
+    monkeypatch.setattr(S, "_verified_pairs", lambda pairs, *a: seen.append([(min(r), max(r)) for r in pairs.collect()]) or verified(pairs, *a))
+    docs = varied_documents(1)
+    got = S.similar_groups(spark.createDataFrame(docs, "doc_id bigint, text string"), 4, 85).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == plain.groups(docs, 4, 85)
+    assert len(seen) == 3 and not set(seen[0]) & set(seen[1]) and not set(seen[2]) & {*seen[0], *seen[1]}
+
+
+def test_filter_keeps_all_that_is_wanted(spark):
+    """Rows are told before they are dealt, and none that is wanted is lost."""
+    rows = spark.range(2000).selectExpr("id * 7 - 5000 AS rep", "cast(id AS string) AS items")
+    ids = spark.range(0, 2000, 9).selectExpr("id * 7 - 5000 AS rep")
+    likely = S._likely(rows, "rep", ids)
+    assert "Exchange" not in likely._jdf.queryExecution().executedPlan().toString()
+    got, want = {r["rep"] for r in likely.collect()}, {r["rep"] for r in ids.collect()}
+    assert want <= got and len(got) < len(want) + 5
+
+
 def test_odd_rows(spark):
     rows = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in S.similar_groups(plain.odd_documents(spark), 4, 85).collect()}
     assert {(3, 0, 3), (4, 0, 4), (5, 0, 5), (9, 1, 9), (8, 1, 8), (None, 0, None)} <= rows
