@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from chainspark.llm import similarity as S
 from chainspark.llm.components import components
@@ -74,6 +75,20 @@ def test_pairs_are_intersected_once(spark, monkeypatch):
     assert len(seen) == 3 and not set(seen[0]) & set(seen[1]) and not set(seen[2]) & {*seen[0], *seen[1]}
 
 
+def test_large_sets_that_share_a_key_by_chance_are_not_moved(spark, monkeypatch):
+    """Of large unrelated sets under one key no pair is left for the exact check, so none of their sets is made."""
+    rng = random.Random(4)
+    docs = [(i, " ".join(f"w{rng.randrange(10 ** 6)}" for _ in range(1500))) for i in range(6)]
+    docs.append((6, docs[0][1].replace(" w1", " v1", 1)))
+    keys, asked = S._keys, []
+    monkeypatch.setattr(S, "_keys", lambda *a: keys(*a).select(F.lit(1).cast("bigint").alias("key"), "node").distinct())
+    verified = S._verified_pairs
+    monkeypatch.setattr(S, "_verified_pairs", lambda pairs, *a: asked.extend({r["a"], r["b"]} for r in pairs.collect()) or verified(pairs, *a))
+    got = S.similar_groups(spark.createDataFrame(docs, "doc_id bigint, text string"), 5, 80).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {**{i: i for i in range(6)}, 6: 0}
+    assert asked == [{0, 6}]
+
+
 def test_filter_keeps_all_that_is_wanted(spark):
     """Rows are told before they are dealt, and none that is wanted is lost."""
     rows = spark.range(2000).selectExpr("id * 7 - 5000 AS rep", "cast(id AS string) AS items")
