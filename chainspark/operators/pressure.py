@@ -3,10 +3,12 @@ calibration, and difference-in-differences on subsets."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chainspark.functions.draws import SPAN, chunk_of, draw
+from chainspark.functions.draws import SPAN, Draws, chunk_of
 from chainspark.functions.scan import position, same_keys
 from chainspark.operators import resample as R
 from chainspark.operators.relations import weighted_slope
@@ -159,37 +161,128 @@ def calibrated_difference(acts: DataFrame, keys: list[str], strata: list[str], o
                                    F.count(F.lit(1)).alias("strata"))
 
 
+#: Half the range in which the last mark's draw is expected: in standard deviations, and rows beside them.
+SLACK = (6, 20)
+
+
 def calibrated_null(acts: DataFrame, strata: list[str], outcome: str, min_n: int, B: int, seed: int,
                     uid: str) -> DataFrame:
     """The same difference with the pressure mark permuted inside strata; b = 0 is the data.
 
     ``outcome`` is true or false, ``uid`` names a row. Every replicate draws for every row, and the n1 rows of a stratum with the smallest
-    draws keep the marks. Rows stay where they are: counts by 128 ranges of the draw tell which range holds the n1-th,
-    and only that range's rows are ranked. Null strata are strata; rows with a null mark or outcome don't count.
+    draws keep the marks. Rows stay where they are: tasks count the rows below a range in which the n1-th draw is
+    expected, and only the rows inside it are written and ranked. Where it lies outside (once in some hundred million
+    replicates), all rows of the stratum are. Null strata are strata; rows with a null mark or outcome don't count.
     """
     y, o = F.col("y").cast("bigint"), F.col(outcome).cast("bigint")
-    acts = acts.select(*strata, uid, y.alias("y"), o.alias("o")).filter("y IS NOT NULL AND o IS NOT NULL")
+    acts = acts.select(*strata, F.col(uid).cast("string").alias("uid"), y.alias("y"), o.alias("o")).filter("y IS NOT NULL AND o IS NOT NULL")
+    acts = cut_lineage(acts)
     cell = acts.groupBy(*strata).agg(
         F.count(F.lit(1)).alias("n"), F.sum("y").alias("n1"), F.sum("o").alias("hits"), F.sum(F.col("y") * F.col("o")).alias("both"))
     cell = cut_lineage(cell.filter((F.col("n1") >= min_n) & (F.col("n") - F.col("n1") >= min_n)))
     keys = [*strata, "b"]
-    d = acts.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(B)))).withColumn("u", draw(seed, F.col("b"), F.col(uid)))
-    d = d.withColumn("bin", F.floor(F.col("u").cast("double") / F.lit(float(SPAN)) * 128))
-    before = Window.partitionBy(*keys).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    bins = d.groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("rows"), F.sum("o").alias("with"))
-    bins = bins.withColumns({c: F.coalesce(F.sum(v).over(before), F.lit(0)) for c, v in (("below", "rows"), ("k_below", "with"))})
-    edge = same_keys(bins, cell.drop("both"), strata).filter((F.col("below") < F.col("n1")) & (F.col("n1") <= F.col("below") + F.col("rows")))
-    edge = cut_lineage(edge.drop("rows", "with"))  # a row per stratum and replicate
-    near = same_keys(d.select(*keys, "bin", "u", uid, "o"), edge.select(*keys, "bin", "below", "n1"), [*keys, "bin"])
-    near = position(near, keys, ["u", uid], chunk_of(F.col("u")), "at").filter(F.col("below") + F.col("at") <= F.col("n1"))
-    kept = near.groupBy(*keys).agg(F.sum("o").alias("k_in"))
-    null = same_keys(edge, kept, keys).select("b", "n", "n1", "hits", (F.col("k_below") + F.col("k_in")).alias("k"))
-    reps = null.unionByName(cell.select(F.lit(0).alias("b"), "n", "n1", "hits", F.col("both").alias("k")))
+    share = F.col("n1") / F.col("n")
+    slack = SLACK[0] * F.sqrt(share * (1 - share) / F.col("n")) + SLACK[1] / F.col("n")
+    span = F.lit(float(SPAN))
+    guess = cell.select(*strata, (F.greatest(share - slack, F.lit(0.0)) * span).cast("bigint").alias("lo"),
+                        (F.least(share + slack, F.lit(1.0)) * span).cast("bigint").alias("hi"))
+    every = cell.select(*strata, F.explode(F.sequence(F.lit(1), F.lit(B))).alias("b"))
+    null, open_ = None, None
+    for whole in (False, True):
+        asked = guess
+        if whole:
+            left = open_.select(*strata).distinct()
+            asked = left.select(*strata, F.lit(0).cast("bigint").alias("lo"), F.lit(SPAN).cast("bigint").alias("hi"))
+        parts = cut_lineage(_near_draws(same_keys(acts.drop("y"), asked, strata), strata, B, seed))
+        below = parts.filter("u IS NULL").groupBy(*keys).agg(F.sum("rows").alias("below"), F.sum("o").alias("k_below"))
+        edge = same_keys(same_keys(open_ if whole else every, below, keys), cell.drop("both"), strata)
+        edge = edge.withColumn("need", F.col("n1") - F.col("below"))
+        near = same_keys(parts.filter("u IS NOT NULL").select(*keys, "u", "uid", "o"), edge.select(*keys, "need"), keys)
+        near = position(near, keys, ["u", "uid"], chunk_of(F.col("u")), "at")
+        chosen = F.col("at") <= F.col("need")
+        inside = near.groupBy(*keys).agg(F.count(F.lit(1)).alias("inside"), F.coalesce(F.sum(F.when(chosen, F.col("o"))), F.lit(0)).alias("k_in"))
+        found = same_keys(edge, inside, keys, "left").na.fill(0, ["inside", "k_in"])
+        found = cut_lineage(found.select(*keys, "n", "n1", "hits", (F.col("k_below") + F.col("k_in")).alias("k"),
+                                         ((F.col("need") >= 0) & (F.col("need") <= F.col("inside"))).alias("sure")))
+        null = found.filter("sure") if null is None else null.unionByName(found)
+        open_ = found.filter("NOT sure").select(*keys)
+        if open_.isEmpty():
+            break
+    reps = null.select("b", "n", "n1", "hits", "k").unionByName(cell.select(F.lit(0).alias("b"), "n", "n1", "hits", F.col("both").alias("k")))
     n0 = F.col("n") - F.col("n1")
     gap = F.col("k") / F.col("n1") - (F.col("hits") - F.col("k")) / n0
     return reps.groupBy("b").agg((F.sum(F.col("n") * gap) / F.sum("n")).alias("diff"), F.count(F.lit(1)).alias("strata"))
 
 
+#: Rows that a task draws for at once, and strata whose counts it holds before it passes them on.
+DRAWN_ROWS, HELD_STRATA = 40_000, 2_000
+
+
+def _near_draws(acts: DataFrame, strata: list[str], B: int, seed: int) -> DataFrame:
+    """Rows with their draw in every replicate b = 1..B: those inside [lo, hi), and counts of those below.
+
+    ``acts``: strata, uid, o, lo, hi. A row of counts has a null u: rows below and their outcomes, for every stratum and replicate.
+    """
+    fields = [acts.schema[s] for s in strata]
+
+    def run(batches):
+        counts: dict[tuple, np.ndarray] = {}
+
+        def out(values, b, rows, o, u, uid):
+            kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
+            return pa.RecordBatch.from_arrays([*values, *(pa.array(x, t) for x, t in zip((b, rows, o, u, uid), kinds))],
+                                              [*strata, "b", "rows", "o", "u", "uid"])
+
+        def passed_on(types):
+            if counts:
+                names = [key for key in counts for _ in range(B)]
+                cells = np.concatenate(list(counts.values()))
+                yield out([pa.array([k[i] for k in names], t) for i, t in enumerate(types)], np.tile(np.arange(1, B + 1), len(counts)),
+                          cells[:, 0], cells[:, 1], [None] * len(cells), [None] * len(cells))
+                counts.clear()
+
+        def drawn(table):
+            columns = [table.column(s).combine_chunks() for s in strata]
+            values = [np.asarray(c.dictionary_encode("encode").indices) for c in columns]
+            _, first, code = np.unique(np.stack(values), axis=1, return_index=True, return_inverse=True)
+            code = code.reshape(-1)
+            own = [counts.setdefault(tuple(c[int(i)].as_py() for c in columns), np.zeros((B, 2), np.int64)) for i in first]
+            uid, o = table.column("uid").combine_chunks(), table.column("o").to_numpy()
+            lo, hi = (table.column(c).to_numpy().astype(np.uint64) for c in ("lo", "hi"))
+            draws = Draws(seed, uid)
+            rows, at, found = [], [], []
+            for b in range(1, B + 1):
+                u = draws.of(b)
+                under = u < lo
+                n = np.bincount(code[under], minlength=len(own))
+                k = np.bincount(code[under], o[under], len(own)).astype(np.int64)
+                for i, cells in enumerate(own):
+                    cells[b - 1] += (n[i], k[i])
+                near = np.flatnonzero(~under & (u < hi))
+                rows.append(near)
+                at.append(np.full(len(near), b, np.int32))
+                found.append(u[near])
+            rows = np.concatenate(rows)
+            take = pa.array(rows)
+            return out([c.take(take) for c in columns], np.concatenate(at), np.ones(len(rows), np.int64), o[rows],
+                       np.concatenate(found).astype(np.int64), uid.take(take))
+
+        held, types = [], None
+        for batch in batches:
+            types = [batch.schema.field(s).type for s in strata]
+            held.append(batch)
+            if sum(x.num_rows for x in held) >= DRAWN_ROWS:
+                yield drawn(pa.Table.from_batches(held))
+                held.clear()
+                if len(counts) > HELD_STRATA:
+                    yield from passed_on(types)
+        if sum(x.num_rows for x in held):
+            yield drawn(pa.Table.from_batches(held))
+        yield from passed_on(types)
+    named = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
+    return acts.select(*strata, "uid", "o", "lo", "hi").mapInArrow(run, f"{named}, b int, rows bigint, o bigint, u bigint, uid string")
+
+
 SUBSETS = ("all", "k3", "single_live", "single_dead", "k1", "k2", "k3_only", "k4", "k5", "k6")
 
 

@@ -1,5 +1,6 @@
 """What the shared steps move: rows are dealt once, and hot keys give the same tables."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from chainspark.functions.scan import Running, scan
@@ -149,6 +150,31 @@ def test_calibration_null_permutes_rows(spark):
         assert abs(got[b] - total / len(rows)) < 1e-9
 
 
+@pytest.mark.parametrize("slack,passes", [((6, 20), 1), ((0.2, 0), 2)])
+def test_calibration_null_draws_once_in_arrays(spark, monkeypatch, slack, passes):
+    """Draws are taken in arrays, in one pass; where the range misses the last mark, a second one takes all rows."""
+    from chainspark.operators import pressure as P
+
+    plans, cut = [], P.cut_lineage
+    monkeypatch.setattr(P, "cut_lineage", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or cut(df))
+    monkeypatch.setattr(P, "SLACK", slack, raising=False)
+    test_calibration_null_permutes_rows(spark)
+    assert not any("md5" in x for x in plans) and sum("MapInArrow" in x for x in plans) == passes
+
+
+def test_array_draws(spark):
+    """Draws in arrays are those of the column, for messages of any length."""
+    import pyarrow as pa
+
+    from chainspark.functions.draws import Draws, draw
+
+    ids = ["", "a", "é" * 9, "x" * 49, "x" * 50, "x" * 51, "y" * 64, "z" * 200]
+    want = spark.createDataFrame([(i, x) for i, x in enumerate(ids)], "i int, x string").select("i", *[draw(91, F.lit(b), F.col("x")) for b in (1, 9, 10, 4000)])
+    draws = Draws(91, pa.array(ids))
+    got = [draws.of(b).tolist() for b in (1, 9, 10, 4000)]
+    assert [list(r)[1:] for r in want.orderBy("i").collect()] == [list(r) for r in zip(*got)]
+
+
 def test_score_deals_events_once(spark):
     """Events meet teams and earlier goals in one exchange, and only actions and goals are dealt."""
     from chainspark.sources import events as EV
