@@ -263,3 +263,11 @@ def test_shot_geometry_is_read_back(spark, monkeypatch):
     monkeypatch.setattr(Q.G, "out_of_fold", lambda df, *a: seen.append(plan(df)) or fold(df, *a))
     Q.predictions(spark, SF)
     assert "frame" not in seen[0] and "goal_distance" in seen[0]
+
+
+def test_kitagawa_null_has_the_replicates_of_the_reference(spark):
+    """A thousand permutations: p-values lie on their grid, and not only on that of a few."""
+    import __spark_entry__ as entry_module
+
+    p = [r["p"] * 1001 for r in entry_module.queries()["d12_kitagawa_null"](spark, SF).collect()]
+    assert p and all(abs(x - round(x)) < 0.01 for x in p) and any(round(x) % 143 for x in p)
