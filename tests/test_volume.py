@@ -271,3 +271,19 @@ def test_kitagawa_null_has_the_replicates_of_the_reference(spark):
 
     p = [r["p"] * 1001 for r in entry_module.queries()["d12_kitagawa_null"](spark, SF).collect()]
     assert p and all(abs(x - round(x)) < 0.01 for x in p) and any(round(x) % 143 for x in p)
+
+
+def test_replicate_fits_are_those_of_weighted_rows(spark):
+    """Fits of all replicates at once are the fits of rows that are repeated with their weights."""
+    import numpy as np
+
+    from chainspark.operators import logistic as G
+    from chainspark.operators import resample as R
+
+    rng = np.random.default_rng(5)
+    rows = [(int(rng.integers(12)), float(rng.normal(20, 6)), float(rng.random()), int(rng.random() < 0.3)) for _ in range(400)]
+    df = spark.createDataFrame(rows, "m int, p double, q double, y int").repartition(3)
+    w = R.poisson_weights(df, "m", 6, 13).withColumn("w", R.opened("w")).select("*", F.col("w.b").alias("b"), F.col("w.w").alias("wt")).drop("w")
+    want = {r["b"]: r["beta"] for r in G.fit_logistic(w, ["p", "q"], "y", ["b"], 3.0, "wt", [("p", "q")]).collect()}
+    fits = G.fit_replicates(df, ["p", "q"], "y", "m", 6, 13, 3.0, [("p", "q")]).collect()
+    assert len(fits) == 7 and all(r["converged"] and np.allclose(r["beta"], want[r["b"]], atol=1e-8) for r in fits)
